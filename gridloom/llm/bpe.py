@@ -230,9 +230,24 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+# Capitals assigned in Unicode 16 and 17, which Python's tables lack (hexadecimal: first-last, then the first small letter).
+_CAPITALS = "1c89 1c8a; a7cb 264; a7cc a7cd; a7ce a7cf; a7d2 a7d3; a7d4 a7d5; a7da a7db; a7dc 19b; 10d50-10d65 10d70; 16ea0-16eb8 16ebb"
+
+
+@functools.cache
+def _capitals() -> dict[int, int]:
+    out = {}
+    for pair in _CAPITALS.split(";"):
+        span, to = pair.split()
+        ends = [int(x, 16) for x in span.split("-")]
+        out |= {c: int(to, 16) + c - ends[0] for c in range(ends[0], ends[-1] + 1)}
+    return out
+
+
 def lower(text: str) -> str:
     """Lower-case code point by code point, without the context rule for a final sigma."""
-    return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
+    out = text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
+    return out if text.isascii() or max(text) < "\u1c89" else out.translate(_capitals())
 
 
 @functools.lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, simhash
+from . import bpe, decontaminate, quality_rules, secrets, simhash
 from .common import table
 
 #: Where the vocabulary of op6 lies, which is the path that the tokenizers' package names.
@@ -96,3 +96,8 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 @query
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, keep=["doc_id"], with_ids=False)
+
+
+@query
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
