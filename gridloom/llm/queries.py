@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, secrets, simhash
+from . import bpe, decontaminate, html_text, pii, quality_rules, secrets, simhash
 from .common import table
 
 #: Where the vocabulary of op6 lies, which is the path that the tokenizers' package names.
@@ -106,3 +106,8 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
