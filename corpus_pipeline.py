@@ -4,19 +4,49 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality_rules
+from gridloom.llm import bpe, decontaminate, quality_rules, secrets, simhash
 from gridloom.llm.common import shared_dir, table
 
 
+#: The vocabulary file of the last stage.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the least id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; lesser benchmark passages are cut out of the others."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced."""
+    return secrets.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of the decoded text."""
+    found = bpe.encode_decode(docs, VOCABULARY, with_decoded=False)
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 STAGES = [
     ("quality rules", quality),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("BPE", tokens),
 ]
 
 #: The last stage's token ids are beyond SQL; tests/llm hold the whole run against a plain version.

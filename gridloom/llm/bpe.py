@@ -256,14 +256,16 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` and ``decoded``.
 
     Digests are those of the ids as little-endian 32-bit integers and of the decoded UTF-8 text.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
+        fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
+    if with_decoded:
+        fields.append(T.StructField("decoded", T.StringType()))
 
     def compute(texts: list[str | None]) -> dict[str, list]:
         model = load(path)
@@ -274,6 +276,6 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[s
             "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
         }
-        return made | ({"ids": [x.tolist() for x in ids], "decoded": decoded} if with_ids else {})
+        return made | ({"ids": [x.tolist() for x in ids]} if with_ids else {}) | ({"decoded": decoded} if with_decoded else {})
 
     return map_texts(df, text_col, compute, fields, keep)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, pii, quality_rules, secrets, simhash
-from .common import table
+from . import bpe, chat_format, decontaminate, html_text, language_id, pii, quality_rules, secrets, simhash, toxicity
+from .common import remainder, table
 
 #: Where the vocabulary of op6 lies, which is the path that the tokenizers' package names.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -95,7 +95,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 
 @query
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, keep=["doc_id"], with_ids=False)
+    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, keep=["doc_id"], with_ids=False, with_decoded=False)
 
 
 @query
@@ -111,3 +111,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), rest > 0)
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", (rest == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), remainder("doc_id", 4)
+    model = language_id.train(docs, (rest >= 0) & (rest != 2))
+    found = language_id.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    return chat_format.format_chats(chats).select("conv_id", "turn", "role", "role_found", "n_turns", "rendered")
