@@ -1,9 +1,14 @@
-"""Hashed byte n-grams of texts."""
+"""Hashed byte n-grams and words of texts."""
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 
+_WORD = re.compile(r"[^\W\d_]+")
+
 
 def hashed(text: str | None, sizes: tuple[int, ...], bits: int) -> np.ndarray:
     """Ids below ``2**bits`` of all n-grams of the given sizes of a text's UTF-8 bytes, repeats included."""
@@ -20,6 +25,13 @@ def hashed(text: str | None, sizes: tuple[int, ...], bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def hashed_words(text: str | None, bits: int) -> np.ndarray:
+    """Distinct ids below ``2**bits`` of a text's lower-cased words, which are runs of letters."""
+    mask = (1 << bits) - 1
+    found = {zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in set(_WORD.findall((text or "").lower()))}
+    return np.fromiter(found, np.int64, len(found))
+
+
 def sample_mark(column, fraction: float):
     """A filter that keeps about ``fraction`` of the ids, the same ones in every run."""
     from pyspark.sql import functions as F

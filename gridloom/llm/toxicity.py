@@ -2,14 +2,14 @@
 
 A linear classifier is trained with numpy from confirmed toxic texts and unlabelled ones: the
 risk of the negatives is the unlabelled risk less the share of positives in it, by the class
-prior, and is kept from going below zero. Features are the presence of hashed byte n-grams; the
+prior, and is kept from going below zero. Features are the presence of hashed words; the
 ones that tell positives from unlabelled texts best are selected by their log-likelihood ratio.
 
 Training takes at most about ``POSITIVES`` toxic and ``UNLABELLED`` other rows, chosen by a hash
-of their ids; n-grams are counted in Spark, and only the selected ones' packed presence bits
+of their ids; words are counted in Spark, and only the selected ones' packed presence bits
 reach the driver.
 
-Cases: null and empty texts have no n-grams and get the score of the bias; without confirmed
+Cases: null and empty texts have no words and get the score of the bias; without confirmed
 toxic rows every score is 0; a document labelled more than once is toxic if any label says so;
 repeated rows get the same result; clashing input columns are replaced.
 """
@@ -25,19 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, quoted
-from .ngrams import hashed, sample_mark
+from .ngrams import hashed_words, sample_mark
 
-SIZES = (4, 5, 6)
-BITS = 18
+BITS = 20
 POSITIVES, UNLABELLED = 3000, 9000
-SELECTED = 256
-#: Least log-likelihood ratio of a selected n-gram; chance alone seldom gives it among all n-grams.
-LEAST_RATIO = 8.0
-EPOCHS, RATE, L2 = 300, 0.05, 1e-4
+SELECTED = 512
+#: Least log-likelihood ratio of a selected word; chance alone seldom gives it among all words.
+LEAST_RATIO = 4.0
+EPOCHS, RATE, L2 = 600, 0.05, 1e-5
 
 
 class Linear:
-    """Weights of the selected n-grams, and a table from n-gram to weight."""
+    """Weights of the selected words, and a table from word to weight."""
 
     def __init__(self, grams: np.ndarray, weights: np.ndarray, bias: float):
         self.grams, self.weights, self.bias = grams, weights, bias
@@ -49,8 +48,8 @@ class Linear:
 
 
 def features(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Indices of the selected n-grams that a text has."""
-    found = table[hashed((text or "").lower(), SIZES, BITS)]
+    """Indices of the selected words that a text has."""
+    found = table[hashed_words(text, BITS)]
     return np.unique(found[found >= 0])
 
 
@@ -102,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
         sizes = [0, 0]
         for batch in batches:
             for text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[p, np.unique(hashed((text or "").lower(), SIZES, BITS))] += 1
+                sums[p, hashed_words(text, BITS)] += 1
                 sizes[p] += 1
         at = np.flatnonzero(sums.any(axis=0))
         gram = np.append(at, -1)
