@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +41,8 @@ SEED = 42
 SAMPLE = 4096
 #: Members of a bucket that one side of a verifying task holds at most (in expectation).
 BLOCK = 2048
+#: Members of a group whose pairs are compared at once with those of other groups of its size.
+TINY = 24
 #: Word shingles hashed at once.
 HASHED = 65536
 
@@ -227,17 +228,59 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("part", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "probe")
 
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fps = rows["fp"].to_numpy().view(np.uint64)
-        first = rows["mine"].to_numpy() == key[2]
-        home = ~rows["probe"].to_numpy()
-        if key[2] == key[3]:
-            out = _forest(fps[home], fps, distance)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                now, stop = held, len(held[0])
+            else:
+                now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+                if not len(now[0]):
+                    continue
+                # The last group may go on in the next batch.
+                last = np.logical_and.reduce([c == c[-1] for c in now[:4]])
+                stop = len(last) - int(last[::-1].argmin()) if not last.all() else 0
+            held = [c[stop:] for c in now]
+            if stop:
+                found = _links_of_groups([c[:stop] for c in now], distance)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].view(np.int64)), pa.array(found[:, 1].view(np.int64))], names=["a", "b"])
+
+    keys = ["part", "key", "i", "j"]
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(verify, schema).where("a <> b").distinct()
+
+
+def _links_of_groups(rows: list[np.ndarray], distance: int) -> np.ndarray:
+    """Links within the groups of equal (part, key, i, j), which are contiguous.
+
+    Groups of up to ``TINY`` members are compared all at once, by their size; larger ones, which
+    hold at most about two blocks, give a spanning forest.
+    """
+    part, key, i, j, mine, fp, probe = rows
+    fp = fp.view(np.uint64)
+    change = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+    sizes = np.diff(np.append(starts, len(fp)))
+    out = [np.zeros((0, 2), np.uint64)]
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= TINY)]).tolist():
+        groups = starts[sizes == size]
+        left, right = np.triu_indices(size, 1)
+        for at in range(0, len(groups), 1 + 1_000_000 // len(left)):
+            members = fp[groups[at : at + 1 + 1_000_000 // len(left), None] + np.arange(size)]
+            a, b = members[:, left], members[:, right]
+            near = np.bitwise_count(a ^ b) <= distance
+            out.append(np.stack([a[near], b[near]], axis=1))
+    for at, size in zip(starts[sizes > TINY].tolist(), sizes[sizes > TINY].tolist()):
+        own, first, home = fp[at : at + size], mine[at : at + size] == i[at], ~probe[at : at + size]
+        if i[at] == j[at]:
+            found = _forest(own[home], own, distance)
         else:
-            out = _forest(fps[first & home], fps[~first], distance) + _forest(fps[~first & home], fps[first], distance)
-        return pd.DataFrame(np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
-
-    return met.groupBy("part", "key", "i", "j").applyInPandas(verify, schema).where("a <> b").distinct()
+            found = _forest(own[first & home], own[~first], distance) + _forest(own[~first & home], own[first], distance)
+        out.append(np.array(found, np.uint64).reshape(-1, 2))
+    return np.concatenate(out)
 
 
 def components(edges: DataFrame) -> DataFrame:
