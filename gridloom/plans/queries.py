@@ -1,15 +1,28 @@
-"""The registered matrix and tensor queries, with their SQL."""
+"""The registered matrix and tensor queries, with their SQL.
+
+Views: E is the embeddings as a matrix (a row a vector), cells (i, j, v). Results are long-form,
+rounded, with negative zero normalised, so that engines agree to the last bit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import ieee
+from gridloom.operators import batched, learn, linalg, products, setops, signal
+from gridloom.operators.matrix import COL, ROW, Matrix
+from gridloom.operators.tensor import Tensor, contract, contract_axes
+from gridloom.sources import generate, tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+SQL_E = "WITH e AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) "
+
 
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if it has one."""
@@ -23,13 +36,408 @@ def query(sql: str | None = None):
     return put
 
 
-@query(
-    """
-WITH e AS (SELECT vec_id AS k, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
-SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (k) GROUP BY 1, 2"""
-)
-def gram_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    e = e.select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("x").cast("double").alias("v"))
-    f = e.select("vec_id", F.col("i").alias("j"), F.col("v").alias("w"))
-    return e.join(f, "vec_id").groupBy("i", "j").agg(F.round(F.sum(F.col("v") * F.col("w")), 6).alias("v"))
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
+    e = read(spark, sf_dir, "embeddings")
+    return tables.from_arrays(e, "vec_id", "embedding", e.count(), 64)
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    return F.round(x, digits) + 0.0
+
+
+def cells(a: Matrix, digits: int = 6) -> DataFrame:
+    return a.df.select("i", "j", (F.col("v") if a.mask else rounded(F.col("v"), digits)).alias("v"))
+
+
+def matrix_query(name: str, sql: str, f: Callable[[Matrix], Matrix]) -> None:
+    """Register a query of E whose result is a matrix."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cells(f(embeddings(spark, sf_dir)))
+
+    QUERIES[name] = run
+    ORACLE[name] = SQL_E + sql
+
+
+def generated(name: str, sql: str, f: Callable[[SparkSession], Matrix]) -> None:
+    """Register a query of a generated matrix."""
+    QUERIES[name] = lambda spark, sf_dir: cells(f(spark))
+    ORACLE[name] = sql
+
+
+_SQL_GRAM = "SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) GROUP BY 1, 2"
+_GRID = "WITH g AS (SELECT i, j FROM range({m}) a(i), range({n}) b(j)) "
+_R = "round({}, 6) + 0.0 AS v"
+
+# --- products ---------------------------------------------------------------------------------
+
+matrix_query("gram_embeddings", f"SELECT i, j, {_R.format('v')} FROM ({_SQL_GRAM})", products.gram)
+matrix_query("product_with_gram", f"SELECT e.i, g.j, {_R.format('sum(e.v * g.v)')} FROM e JOIN ({_SQL_GRAM}) g ON e.j = g.i GROUP BY 1, 2", lambda e: products.multiply(e, products.gram(e)))
+matrix_query("matmul_chain", f", g AS ({_SQL_GRAM}), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT i, j, {_R.format('v / 1000')} FROM h".replace(", g", ", g", 1), lambda e: products.chain(e.T(), e, e.T(), e) / 1000)
+matrix_query("gemm_gram", f"SELECT i, j, {_R.format('2 * v + 0.5 * v')} FROM ({_SQL_GRAM})", lambda e: products.gemm(2.0, e.T(), e, 0.5, products.gram(e)))
+matrix_query("kron_corner", f", k AS (SELECT * FROM e WHERE i < 6 AND j < 5) SELECT a.i * 6 + b.i AS i, a.j * 5 + b.j AS j, {_R.format('a.v * b.v')} FROM k a, k b", lambda e: products.kron(e.block((0, 5), (0, 4)), e.block((0, 5), (0, 4))))
+matrix_query("cross_rows", ", a AS (SELECT j AS k, v FROM e WHERE i = 0 AND j < 3), b AS (SELECT j AS k, v FROM e WHERE i = 1 AND j < 3) SELECT 0::BIGINT AS i, x.k::BIGINT AS j, round((SELECT v FROM a WHERE k = (x.k + 1) % 3) * (SELECT v FROM b WHERE k = (x.k + 2) % 3) - (SELECT v FROM a WHERE k = (x.k + 2) % 3) * (SELECT v FROM b WHERE k = (x.k + 1) % 3), 6) + 0.0 AS v FROM a x", lambda e: products.cross(e.block((0, 0), (0, 2)), e.block((1, 1), (0, 2))))
+
+# --- element by element -----------------------------------------------------------------------
+
+matrix_query("hadamard_scale", f"SELECT i, j, {_R.format('v * v * 2 + 1')} FROM e", lambda e: e % e * 2.0 + 1.0)
+matrix_query("matrix_sum_difference", f"SELECT a.i, a.j, {_R.format('a.v + b.v - (a.v - 3 * b.v)')} FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: (e + e.fliplr()) - (e - e.fliplr() * 3.0))
+matrix_query("matrix_quotient", f"SELECT a.i, a.j, {_R.format('a.v / (b.v * b.v + 1)')} FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: e.div(e.fliplr().mul(e.fliplr()) + 1.0))
+for _name, _sql in {
+    "exp": "exp(v)", "exp2": "pow(2, v)", "expm1": "exp(v) - 1", "sin": "sin(v)", "cos": "cos(v)", "tan": "tan(v)", "atan": "atan(v)", "sinh": "(exp(v) - exp(-v)) / 2",
+    "cosh": "(exp(v) + exp(-v)) / 2", "tanh": "1 - 2 / (exp(2 * v) + 1)", "asinh": "asinh(v)", "cbrt": "cbrt(v)", "abs": "abs(v)", "sign": "sign(v)", "pow2": "v * v",
+    "angle": "CASE WHEN v < 0 THEN pi() ELSE 0 END",
+}.items():
+    matrix_query(f"elem_{_name}", f"SELECT i, j, {_R.format(_sql)} FROM e", lambda e, f=_name: getattr(e, f)())
+for _name, _sql in {"ln": "ln(v)", "lg": "log2(v)", "log10": "log10(v)", "log1p": "ln(1 + v)", "sqrt": "sqrt(v)"}.items():
+    matrix_query(f"elem_{_name}", f"SELECT i, j, round({_sql.replace('v', '(abs(v) + 0.5)')}, 6) + 0.0 AS v FROM e", lambda e, f=_name: getattr(e.abs() + 0.5, f)())
+for _name, _sql in {"asin": "asin(v)", "acos": "acos(v)", "atanh": "atanh(v)"}.items():
+    matrix_query(f"elem_{_name}", f"SELECT i, j, round({_sql.replace('v', '(v / (1 + abs(v)))')}, 6) + 0.0 AS v FROM e", lambda e, f=_name: getattr(e.div(e.abs() + 1.0), f)())
+for _name, _sql in {"floor": "floor(v)", "ceil": "ceil(v)", "round": "CASE WHEN v < 0 THEN ceil(v - 0.5) ELSE floor(v + 0.5) END", "fix": "trunc(v)"}.items():
+    matrix_query(f"elem_{_name}", f"SELECT i, j, round({_sql.replace('v', '(v * 10)').replace('ele(v * 10)', 'elev')}, 6) + 0.0 AS v FROM e", lambda e, f=_name: getattr(e * 10.0, f)())
+matrix_query("elem_acosh", f"SELECT i, j, {_R.format('acosh(1 + abs(v))')} FROM e", lambda e: (e.abs() + 1.0).acosh())
+matrix_query("elem_pow", f"SELECT i, j, {_R.format('pow(abs(v), 1.5)')} FROM e", lambda e: e.abs().pow(1.5))
+matrix_query("elem_log_base", f"SELECT i, j, {_R.format('ln(abs(v) + 0.5) / ln(3)')} FROM e", lambda e: (e.abs() + 0.5).log(3.0))
+matrix_query("elem_mod", f"SELECT i, j, {_R.format('floor(v * 100) - 7 * floor(floor(v * 100) / 7)')} FROM e", lambda e: (e * 100.0).floor().mod(7.0))
+matrix_query("elem_rem", f"SELECT i, j, {_R.format('floor(v * 100) - 7 * trunc(floor(v * 100) / 7)')} FROM e", lambda e: (e * 100.0).floor().rem(7.0))
+matrix_query("elem_atan2_hypot", f"SELECT a.i, a.j, {_R.format('atan2(a.v, b.v) + sqrt(a.v * a.v + b.v * b.v)')} FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: e.atan2(e.fliplr()) + e.hypot(e.fliplr()))
+matrix_query("elem_extremes", f"SELECT a.i, a.j, {_R.format('greatest(a.v, b.v) - least(a.v, b.v)')} FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: e.emax(e.fliplr()) - e.emin(e.fliplr()))
+matrix_query("divide_by_zero", "SELECT i, j, CASE WHEN v > 0 THEN 1.0 WHEN v < 0 THEN -1.0 ELSE 0.0 END AS v FROM e", lambda e: (e / 0.0).map_elems(lambda v: F.when(F.isnan(v), 0.0).when(v > 0, 1.0).otherwise(-1.0)))
+
+
+@query("SELECT event_id, round(value * value + ln(value) - sin(value), 6) + 0.0 AS v FROM events WHERE value > 0")
+def lazy_chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("value")
+    return read(spark, sf_dir, "events").where("value > 0").select("event_id", rounded(x * x + ieee.log(x) - F.sin(x)).alias("v"))
+
+
+# --- masks ------------------------------------------------------------------------------------
+
+matrix_query("mask_compare", "SELECT a.i, a.j, a.v < b.v OR a.v >= 1 AS v FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: e.lt(e.fliplr()).lor(e.ge(1.0)))
+matrix_query("mask_logic", "SELECT i, j, (v > 0) <> (NOT (v > 1)) AND v <> 0 AS v FROM e", lambda e: e.gt(0.0).lxor(e.gt(1.0).lnot()).land(e))
+matrix_query("mask_select", "SELECT row_number() OVER (ORDER BY i, j) - 1 AS i, 0::BIGINT AS j, round(v, 6) + 0.0 AS v FROM e WHERE v > 1", lambda e: e.select_where(e.gt(1.0)))
+matrix_query("mask_assign", "SELECT i, j, round(CASE WHEN v < 0 THEN 9 ELSE v END, 6) + 0.0 AS v FROM e", lambda e: e.put_where(e.lt(0.0), 9.0))
+matrix_query("any_rows", "SELECT i, 0::BIGINT AS j, bool_or(v > 2) AS v FROM e GROUP BY i", lambda e: e.gt(2.0).any(ROW))
+matrix_query("all_columns", "SELECT 0::BIGINT AS i, j, bool_and(v > -4) AS v FROM e GROUP BY j", lambda e: e.gt(-4.0).all(COL))
+
+
+@query(SQL_E + "SELECT i, j FROM e WHERE v > 1.5")
+def find_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).gt(1.5).find()
+
+
+@query(SQL_E + "SELECT count(*) FILTER (v > 0) AS positive, bool_or(v > 3) AS any_large, bool_and(v < 3) AS all_small FROM e")
+def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return e.df.agg(F.count_if(F.col("v") > 0).alias("positive"), F.bool_or(F.col("v") > 3).alias("any_large"), F.bool_and(F.col("v") < 3).alias("all_small"))
+
+
+# --- reductions -------------------------------------------------------------------------------
+
+for _name, _agg in {"sum": "sum(v)", "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "median": "median(v)"}.items():
+    matrix_query(f"row_{_name}", f"SELECT i, 0::BIGINT AS j, {_R.format(_agg)} FROM e GROUP BY i", lambda e, f=_name: getattr(e, f)(ROW))
+    matrix_query(f"col_{_name}", f"SELECT 0::BIGINT AS i, j, {_R.format(_agg)} FROM e GROUP BY j", lambda e, f=_name: getattr(e, f)(COL))
+matrix_query("row_prod", f"SELECT i, 0::BIGINT AS j, {_R.format('product(1 + v / 100)')} FROM e GROUP BY i", lambda e: (e / 100.0 + 1.0).prod(ROW))
+matrix_query("row_trapz", f"SELECT i, 0::BIGINT AS j, {_R.format('sum(CASE WHEN j IN (0, 63) THEN v / 2 ELSE v END)')} FROM e GROUP BY i", lambda e: e.trapz(ROW))
+matrix_query("col_norms", f"SELECT 0::BIGINT AS i, j, {_R.format('sqrt(sum(v * v))')} FROM e GROUP BY j", linalg.column_norms)
+
+
+def _scalars(spark: SparkSession, **named) -> DataFrame:
+    return spark.range(1).select(*[F.lit(x).alias(k) for k, x in named.items()])
+
+
+@query(SQL_E + "SELECT round(sum(v), 5) + 0.0 AS total, round(var_pop(v), 6) AS var, round(stddev_samp(v), 6) AS sd, round(sqrt(sum(v * v)), 5) AS fro, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY j)), 5) AS one, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY i)), 5) AS inf FROM e")
+def whole_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    r = lambda x, d: round(x, d) + 0.0
+    return _scalars(spark, total=r(e.sum(), 5), var=r(e.var(), 6), sd=r(e.stddev(True), 6), fro=r(e.norm(), 5), one=r(e.norm("one"), 5), inf=r(e.norm("inf"), 5))
+
+
+@query(SQL_E + "SELECT * FROM (SELECT i AS min_i, j AS min_j FROM e ORDER BY v, i, j LIMIT 1), (SELECT i AS max_i, j AS max_j FROM e ORDER BY v DESC, i, j LIMIT 1)")
+def argmin_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    (a, b), (c, d) = e.argmin(), e.argmax()
+    return _scalars(spark, min_i=a, min_j=b, max_i=c, max_j=d)
+
+
+@query("SELECT p_size::DOUBLE AS mode FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1")
+def mode_part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("j"), F.col("p_size").alias("v"))
+    return _scalars(spark, mode=tables.from_cells(sizes, 1, 1).mode())
+
+
+@query("SELECT sum(l_quantity) AS quantity, round(avg(l_extendedprice), 4) AS price, round(var_pop(l_discount), 8) AS discount_var, max(l_tax) AS tax FROM lineitem")
+def lineitem_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    return li.agg(F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.var_pop("l_discount"), 8).alias("discount_var"), F.max("l_tax").alias("tax"))
+
+
+# --- scans and order ------------------------------------------------------------------------------
+
+_ALONG = "OVER (PARTITION BY i ORDER BY j)"
+matrix_query("cumsum_rows", f"SELECT i, j, {_R.format(f'sum(v) {_ALONG}')} FROM e", lambda e: e.cumsum(ROW))
+matrix_query("cumsum_columns", f"SELECT i, j, {_R.format('sum(v) OVER (PARTITION BY j ORDER BY i)')} FROM e", lambda e: e.cumsum(COL))
+matrix_query("cumprod_rows", f"SELECT i, j, {_R.format(f'product(1 + v / 100) {_ALONG}')} FROM e", lambda e: (e / 100.0 + 1.0).cumprod(ROW))
+matrix_query("diff_columns", f"SELECT i, j, {_R.format('d')} FROM (SELECT i, j, lead(v) OVER (PARTITION BY j ORDER BY i) - v AS d FROM e) WHERE d IS NOT NULL", lambda e: e.diff(COL))
+matrix_query("cumtrapz_rows", f"SELECT i, j, {_R.format(f'sum(s) {_ALONG}')} FROM (SELECT i, j, coalesce((v + lag(v) {_ALONG}) / 2, 0) AS s FROM e)", lambda e: e.cumtrapz(ROW))
+matrix_query("gradient_rows", f"SELECT i, j, {_R.format('CASE WHEN a IS NULL THEN (b - v) / 0.5 WHEN b IS NULL THEN (v - a) / 0.5 ELSE b - a END')} FROM (SELECT i, j, v, lag(v) {_ALONG} AS a, lead(v) {_ALONG} AS b FROM e)", lambda e: e.gradient(ROW, 0.5))
+matrix_query("circshift_columns", "SELECT i, (j + 5) % 64 AS j, round(v, 6) + 0.0 AS v FROM e", lambda e: e.circshift(5, 1))
+matrix_query("sort_rows", "SELECT i, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS j, round(v, 6) + 0.0 AS v FROM e", lambda e: e.sort(ROW))
+matrix_query("sort_columns_descending", "SELECT row_number() OVER (PARTITION BY j ORDER BY v DESC) - 1 AS i, j, round(v, 6) + 0.0 AS v FROM e", lambda e: e.sort(COL, True))
+matrix_query("sortrows_by_column", ", r AS (SELECT i AS k, row_number() OVER (ORDER BY v, i) - 1 AS n FROM e WHERE j = 3) SELECT n AS i, j, round(v, 6) + 0.0 AS v FROM e JOIN r ON e.i = r.k", lambda e: e.sortrows(3))
+
+
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, round(value - lag(value) OVER w, 4) + 0.0 AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def scans_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    total = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return read(spark, sf_dir, "events").select("event_id", F.round(total, 4).alias("total"), rounded(F.col("value") - F.lag("value").over(w), 4).alias("step"))
+
+
+# --- sets ---------------------------------------------------------------------------------------------
+
+_SQL_SETS = "WITH a AS (SELECT DISTINCT c_nationkey::DOUBLE AS v FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey::DOUBLE AS v FROM supplier) SELECT row_number() OVER (ORDER BY v) - 1 AS i, 0::BIGINT AS j, v FROM ("
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> tuple[Matrix, Matrix]:
+    c = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("i"), F.lit(0).alias("j"), F.col("c_nationkey").alias("v"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.lit(0).alias("j"), F.col("s_nationkey").alias("v"))
+    return tables.from_cells(c, 1, 1), tables.from_cells(s, 1, 1)
+
+
+for _name, _sql, _f in (
+    ("unique", "SELECT v FROM a", lambda a, b: setops.unique(a)),
+    ("union", "SELECT v FROM a UNION SELECT v FROM b", setops.union),
+    ("intersect", "SELECT v FROM a INTERSECT SELECT v FROM b", setops.intersect),
+    ("setdiff", "SELECT v FROM a EXCEPT SELECT v FROM b", setops.setdiff),
+    ("setxor", "(SELECT v FROM a EXCEPT SELECT v FROM b) UNION (SELECT v FROM b EXCEPT SELECT v FROM a)", setops.setxor),
+):
+    QUERIES[f"set_{_name}"] = lambda spark, sf_dir, f=_f: f(*_keys(spark, sf_dir)).df
+    ORACLE[f"set_{_name}"] = _SQL_SETS + _sql + ")"
+
+
+@query("SELECT c_custkey AS i, 0::BIGINT AS j, c_nationkey IN (SELECT s_nationkey FROM supplier) AS v FROM customer WHERE c_acctbal > 9000")
+def set_ismember(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.ismember(*_keys(spark, sf_dir)).df.select("i", "j", "v")
+
+
+# --- structure ---------------------------------------------------------------------------------------
+
+for _name, _i, _j, _f in (
+    ("transpose", "j", "i", lambda e: e.T()),
+    ("fliplr", "i", "63 - j", lambda e: e.fliplr()),
+    ("flipud", "(SELECT count(*) FROM embeddings) - 1 - i", "j", lambda e: e.flipud()),
+    ("rot90", "63 - j", "i", lambda e: e.rot90()),
+    ("reshape", "(i * 64 + j) // 32", "(i * 64 + j) % 32", lambda e: e.reshape(e.m * 2, 32)),
+):
+    matrix_query(_name, f"SELECT {_i} AS i, {_j} AS j, round(v, 6) + 0.0 AS v FROM e", _f)
+matrix_query("triu_gram", f"SELECT i, j, {_R.format('CASE WHEN j - i >= 1 THEN v ELSE 0 END')} FROM ({_SQL_GRAM})", lambda e: products.gram(e).triu(1))
+matrix_query("tril_gram", f"SELECT i, j, {_R.format('CASE WHEN j - i <= -1 THEN v ELSE 0 END')} FROM ({_SQL_GRAM})", lambda e: products.gram(e).tril(-1))
+matrix_query("diag_gram", f"SELECT i, 0::BIGINT AS j, {_R.format('v')} FROM ({_SQL_GRAM}) WHERE i = j", lambda e: products.gram(e).diag())
+matrix_query("hstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i, j + 64, round(v * 2, 6) + 0.0 FROM e", lambda e: e.hstack(e * 2.0))
+matrix_query("vstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, round(v * 2, 6) + 0.0 FROM e", lambda e: e.vstack(e * 2.0))
+matrix_query("repmat_corner", "SELECT p * 4 + i AS i, q * 3 + j AS j, round(v, 6) + 0.0 AS v FROM e, range(2) a(p), range(3) b(q) WHERE i < 4 AND j < 3", lambda e: e.block((0, 3), (0, 2)).repmat(2, 3))
+matrix_query("blkdiag_corner", ", p AS (SELECT i, j, v FROM e WHERE i < 3 AND j < 2), q AS (SELECT i, j, v FROM p UNION ALL SELECT i + 3, j + 2, v FROM p) SELECT a.i, b.j, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM range(6) a(i) CROSS JOIN range(4) b(j) LEFT JOIN q ON q.i = a.i AND q.j = b.j", lambda e: e.block((0, 2), (0, 1)).blkdiag(e.block((0, 2), (0, 1))))
+matrix_query("block_reversed", "SELECT 9 - i AS i, j - 2 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i BETWEEN 4 AND 9 AND j BETWEEN 2 AND 7", lambda e: e.block((9, 4), (2, 7)))
+matrix_query("row_and_block_assign", "SELECT a.i, a.j, round(CASE WHEN a.i BETWEEN 5 AND 7 AND a.j BETWEEN 10 AND 12 THEN b.v ELSE a.v END, 6) + 0.0 AS v FROM e a LEFT JOIN e b ON b.i = a.i - 5 AND b.j = a.j - 10", lambda e: e.put_block(5, 10, e.block((0, 2), (0, 2))))
+
+# --- generators -----------------------------------------------------------------------------------------
+
+generated("generate_hilb", _GRID.format(m=40, n=40) + "SELECT i, j, round(1.0 / (i + j + 1)::DOUBLE, 6) AS v FROM g", lambda s: generate.hilb(s, 40))
+generated("generate_linspace", "SELECT 0::BIGINT AS i, j, round(2 + j * 3.0::DOUBLE / 99, 6) AS v FROM range(100) a(j)", lambda s: generate.linspace(s, 2.0, 5.0, 100))
+generated("generate_logspace", "SELECT 0::BIGINT AS i, j, round(pow(10, -1 + j * 3.0::DOUBLE / 49), 6) AS v FROM range(50) a(j)", lambda s: generate.logspace(s, -1.0, 2.0, 50))
+generated("generate_range", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM range(37) a(j)", lambda s: generate.span(s, 1.0, 10.0, 0.25))
+generated("generate_eye", _GRID.format(m=20, n=20) + "SELECT i, j, CASE WHEN i = j THEN 3.0::DOUBLE ELSE 0 END AS v FROM g", lambda s: generate.eye(s, 20, 3.0))
+generated("generate_pascal", _GRID.format(m=8, n=8) + "SELECT i, j, (factorial((i + j)::INT) / (factorial(i::INT) * factorial(j::INT)))::DOUBLE AS v FROM g", lambda s: generate.pascal(s, 8))
+generated("generate_wilkinson", _GRID.format(m=9, n=9) + "SELECT i, j, CASE abs(i - j) WHEN 0 THEN abs(i - 4)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM g", lambda s: generate.wilkinson(s, 9))
+generated("generate_toeplitz", _GRID.format(m=12, n=12) + "SELECT i, j, (1 + abs(i - j) * 0.5)::DOUBLE AS v FROM g", lambda s: generate.toeplitz(generate.span(s, 1.0, 6.5, 0.5)))
+generated("generate_hankel", _GRID.format(m=12, n=12) + "SELECT i, j, (CASE WHEN i + j < 12 THEN 1 + (i + j) * 0.5 ELSE 0 END)::DOUBLE AS v FROM g", lambda s: generate.hankel(generate.span(s, 1.0, 6.5, 0.5)))
+generated("generate_vander", _GRID.format(m=6, n=6) + "SELECT i, j, round(pow(1 + i * 0.5, 5 - j), 6)::DOUBLE AS v FROM g", lambda s: generate.vander(generate.span(s, 1.0, 3.5, 0.5)))
+generated("generate_diagonal", _GRID.format(m=6, n=6) + "SELECT i, j, (CASE WHEN i = j THEN 1 + i * 0.5 ELSE 0 END)::DOUBLE AS v FROM g", lambda s: generate.diagonal(generate.span(s, 1.0, 3.5, 0.5)))
+
+
+@query("SELECT n, n * (n * n + 1) / 2.0::DOUBLE AS total, 1::BIGINT AS sums, (n * n)::BIGINT AS different FROM (VALUES (5::BIGINT), (8), (10)) t(n)")
+def magic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and column of a magic square has one sum, and every element is different."""
+    parts = []
+    for n in (5, 8, 10):
+        a = generate.magic(spark, n)
+        sums = a.sum(ROW).df.select("v").unionByName(a.sum(COL).df.select("v"))
+        parts.append(sums.agg(F.lit(n).cast("bigint").alias("n"), F.max("v").alias("total"), F.countDistinct("v").alias("sums")).join(a.df.agg(F.countDistinct("v").alias("different"))))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- signals -------------------------------------------------------------------------------------------------
+
+
+@query("WITH a AS (SELECT j AS k, j + 1 AS v FROM range(50) t(j)), b AS (SELECT j AS k, 2 * j - 1 AS v FROM range(7) t(j)) SELECT 0::BIGINT AS i, a.k + b.k AS j, sum(a.v * b.v)::DOUBLE AS v FROM a, b GROUP BY 2")
+def conv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(signal.conv(generate.span(spark, 1.0, 50.0), generate.span(spark, -1.0, 11.0, 2.0)))
+
+
+@query("SELECT o_orderkey, round(((2 * x - 3) * x) * x + 5, 6) AS v FROM (SELECT o_orderkey, o_totalprice / 100000 AS x FROM orders)")
+def polyval_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", rounded(signal.polyval([2.0, -3.0, 0.0, 5.0], F.col("o_totalprice") / 100000)).alias("v"))
+
+
+@query("SELECT event_id, round(0.2 * value + 0.5 * coalesce(lag(value) OVER w, 0) + 0.3 * coalesce(lag(value, 2) OVER w, 0), 4) AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def fir_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signal.fir(read(spark, sf_dir, "events"), "event_id", "value", [0.2, 0.5, 0.3], ["user_id"])
+    return out.select("event_id", F.round("filtered", 4).alias("v"))
+
+
+@query("WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT a.event_id, round(sum(b.value * pow(0.5, a.r - b.r)) / 3, 6) AS v FROM o a JOIN o b ON a.user_id = b.user_id AND b.r <= a.r GROUP BY a.event_id")
+def iir_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signal.iir(read(spark, sf_dir, "events"), "event_id", "value", [1.0], [1.0, -0.5], ["user_id"])
+    return out.select("event_id", F.round(F.col("filtered") / 3, 6).alias("v"))
+
+
+@query("WITH q AS (SELECT event_id, user_id, event_id + 0.5 AS x FROM events WHERE event_type <> 'click'), k AS (SELECT user_id, event_id::DOUBLE AS x, value AS y FROM events), a AS (SELECT q.event_id, q.user_id, q.x, k.x AS x0, k.y AS y0 FROM q ASOF JOIN k ON q.user_id = k.user_id AND q.x >= k.x), b AS (SELECT a.*, k.x AS x1, k.y AS y1 FROM a ASOF JOIN k ON a.user_id = k.user_id AND a.x <= k.x) SELECT event_id, round((y0 + (y1 - y0) * (x - x0) / (x1 - x0)) / 3, 6) AS v FROM b")
+def interp1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events")
+    asked = ev.where("event_type <> 'click'").select("event_id", "user_id", (F.col("event_id") + 0.5).alias("x"))
+    out = signal.interp1(ev, asked, "event_id", "value", "x", ["user_id"])
+    return out.where(~F.isnan("interpolated")).select("event_id", F.round(F.col("interpolated") / 3, 6).alias("v"))
+
+
+@query("SELECT round(regr_slope(value, event_id), 8) AS slope, round(regr_intercept(value, event_id), 4) AS intercept FROM events")
+def polyfit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slope, intercept = signal.polyfit_line(read(spark, sf_dir, "events"), "event_id", "value", 1)
+    return _scalars(spark, slope=round(slope, 8), intercept=round(intercept, 4))
+
+
+@query(SQL_E + "SELECT i, round(sum(v * v), 5) AS energy FROM e GROUP BY i")
+def dft_parseval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The energy of each row's transform, over its length, is the row's own."""
+    waves = signal.dft_power(embeddings(spark, sf_dir).df, ["i"], "j", "v", 64)
+    return waves.groupBy("i").agg(F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / 64, 5).alias("energy"))
+
+
+@query("SELECT least(floor((value - 0) / 500 * 20), 19)::BIGINT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
+def histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.histogram(read(spark, sf_dir, "events"), "value", 0.0, 500.0, 20)
+
+
+# --- tensors ------------------------------------------------------------------------------------------------------
+
+_SQL_T = "WITH t AS (SELECT n // 12 AS a, n // 4 % 3 AS b, n % 4 AS c, sin(n) AS v FROM range(24) r(n)), u AS (SELECT n // 5 AS c, n % 5 AS d, cos(n) AS v FROM range(20) r(n)) "
+
+
+def _tensors(spark: SparkSession) -> tuple[Tensor, Tensor]:
+    return Tensor.generate(spark, (2, 3, 4), lambda n: F.sin(n)), Tensor.generate(spark, (4, 5), lambda n: F.cos(n))
+
+
+def tensor_query(name: str, sql: str, f: Callable[[Tensor, Tensor], Tensor]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: (lambda t: t.df.select(*t.axes, rounded(F.col("v")).alias("v")))(f(*_tensors(spark)))
+    ORACLE[name] = _SQL_T + sql
+
+
+tensor_query("tensor_contract", f"SELECT a AS a0, b AS a1, d AS a2, {_R.format('sum(t.v * u.v)')} FROM t JOIN u USING (c) GROUP BY 1, 2, 3", contract)
+tensor_query("tensor_contract_axes", f"SELECT a AS a0, {_R.format('sum(t.v * s.v)')} FROM t JOIN (SELECT b, c, sum(v) AS v FROM t GROUP BY 1, 2) s USING (b, c) GROUP BY 1", lambda t, u: contract_axes(t, t.sum(0), [1, 2], [0, 1]))
+tensor_query("tensor_sum_axis", f"SELECT a AS a0, c AS a1, {_R.format('sum(v)')} FROM t GROUP BY 1, 2", lambda t, u: t.sum(1))
+tensor_query("tensor_permute", f"SELECT c AS a0, a AS a1, b AS a2, {_R.format('v')} FROM t", lambda t, u: t.permute([2, 0, 1]))
+tensor_query("tensor_slice_cumsum", f"SELECT b AS a0, c AS a1, {_R.format('sum(v) OVER (PARTITION BY b ORDER BY c)')} FROM t WHERE a = 1", lambda t, u: t.slice(0, 1).cumsum(1))
+tensor_query("tensor_reshape", f"SELECT (a * 12 + b * 4 + c) // 4 AS a0, (a * 12 + b * 4 + c) % 4 AS a1, {_R.format('v')} FROM t", lambda t, u: t.reshape(6, -1))
+tensor_query("tensor_elementwise", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('v * v + exp(v) - 2 * v')} FROM t", lambda t, u: t.mul(t) + t.exp() - t * 2.0)
+
+
+@query("WITH c AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2), w AS (SELECT event_type, count(*)::DOUBLE AS w FROM events GROUP BY 1) SELECT user_id, round(sum(v * w), 2) AS v FROM c JOIN w USING (event_type) GROUP BY 1")
+def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user by type tensor against a vector over types."""
+    ev = read(spark, sf_dir, "events")
+    c = ev.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    w = ev.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return c.join(w, "event_type").groupBy("user_id").agg(F.round(F.sum(F.col("v") * F.col("w")), 2).alias("v"))
+
+
+# --- factorisations, by what must hold of them ------------------------------------------------------------------
+
+
+@query("SELECT 0.0::DOUBLE AS reconstruction, 0.0::DOUBLE AS orthogonality")
+def qr_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    q, r = linalg.qr(e)
+    back = (products.multiply(q, linalg.lift(e, r)) - e).abs().max()
+    unit = float(np.abs(linalg.small(products.gram(q)) - np.eye(e.n)).max())
+    return _scalars(spark, reconstruction=round(back, 6) + 0.0, orthogonality=round(unit, 6) + 0.0)
+
+
+@query(SQL_E + "SELECT round(sum(v * v), 4) AS energy, 64::BIGINT AS rank FROM e")
+def svd_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = linalg.svdvals(embeddings(spark, sf_dir))
+    return _scalars(spark, energy=round(sum(x * x for x in s), 4), rank=sum(x > s[0] * 1e-7 for x in s)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("SELECT 0.0::DOUBLE AS slope")
+def solve_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residual of least squares is orthogonal to all columns."""
+    e = embeddings(spark, sf_dir)
+    a, b = e.block((0, e.m - 1), (0, 62)), e.col(63)
+    x = linalg.solve(a, b)
+    return _scalars(spark, slope=round(products.t_mul(a, b - products.multiply(a, x)).abs().max(), 6) + 0.0)
+
+
+def _label_grams(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+    """The Gram matrix of the first n columns of each label's vectors, plus n on the diagonal."""
+    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("j", "v")).where(F.col("j") < n)
+    e = e.select("label", "vec_id", "j", F.col("v").cast("double").alias("v"))
+    f = e.withColumnsRenamed({"j": "i", "v": "w"})
+    g = e.join(f, ["label", "vec_id"]).groupBy("label", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return g.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + n).otherwise(F.col("v")))
+
+
+_SQL_LG = "WITH x AS (SELECT label, vec_id, unnest(range(8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings), g AS (SELECT a.label, a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN 8 ELSE 0 END AS v FROM x a JOIN x b USING (label, vec_id) GROUP BY a.label, a.j, b.j) "
+
+
+def batched_query(name: str, function: str, back: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]) -> None:
+    """The largest deviation of what the factors give back, per label, rounds to nothing."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = batched.FUNCTIONS[function]
+
+        def check(a: np.ndarray) -> np.ndarray:
+            made = f(a)
+            return np.array([[np.abs(back(made if isinstance(made, dict) else {"R": made}, a)).max()]])
+
+        return batched.apply(_label_grams(spark, sf_dir), "label", 8, 8, check).select("label", rounded(F.col("re"), 5).alias("deviation"))
+
+    QUERIES[name] = run
+    ORACLE[name] = "SELECT DISTINCT label, 0.0::DOUBLE AS deviation FROM embeddings"
+
+
+batched_query("lu_by_label", "lu", lambda r, a: r["P"] @ a - r["L"] @ r["U"])
+batched_query("qr_by_label", "qr", lambda r, a: r["Q"] @ r["R"] - a)
+batched_query("svd_by_label", "svd", lambda r, a: r["U"] @ r["S"] @ r["V"].T - a)
+batched_query("hess_by_label", "hess", lambda r, a: r["Q"] @ r["H"] @ r["Q"].T - a)
+batched_query("schur_by_label", "schur", lambda r, a: r["Q"] @ r["T"] @ r["Q"].conj().T - a)
+batched_query("eig_by_label", "eig", lambda r, a: a @ r["vectors"] - r["vectors"] * r["values"].T)
+batched_query("cholesky_by_label", "cholesky", lambda r, a: r["R"] @ r["R"].T - a)
+batched_query("inverse_by_label", "inverse", lambda r, a: r["R"] @ a - np.eye(8))
+batched_query("sqrtm_by_label", "sqrtm", lambda r, a: r["R"] @ r["R"] - a)
+batched_query("logm_by_label", "logm", lambda r, a: batched.expm(r["R"]) / np.abs(a).max() - a / np.abs(a).max())
+batched_query("adjugate_by_label", "adjugate", lambda r, a: (r["R"] @ a) / np.linalg.det(a) - np.eye(8))
+batched_query("fft_by_label", "fft", lambda r, a: np.fft.ifft(r["R"], axis=0) - a)
+batched_query("fft2_by_label", "fft2", lambda r, a: np.fft.ifft2(r["R"]) - a)
+
+
+@query(_SQL_LG + "SELECT label, round(sum(v), 4) AS total FROM g WHERE i = j GROUP BY label")
+def eig_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues add up to the trace."""
+    found = batched.apply(_label_grams(spark, sf_dir), "label", 8, 8, "eigvals")
+    return found.groupBy("label").agg(F.round(F.sum("re"), 4).alias("total"))
+
+
+@query(_SQL_LG + ", p AS (SELECT * FROM g WHERE i < 3 AND j < 3), m AS (SELECT label, list(v ORDER BY i, j) AS a FROM p GROUP BY label) SELECT label, round(a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7]), 2) AS det FROM m")
+def det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batched.apply(_label_grams(spark, sf_dir).where("i < 3 AND j < 3"), "label", 3, 3, "det").select("label", F.round("re", 2).alias("det"))
+
+
+@query("SELECT a, b, a AND b AS y FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) z(b)")
+def perceptron_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = learn.truth_table(spark, learn.LOGIC["and"])
+    weights, _ = learn.train_online(table, ["a", "b", "one"], "y")
+    return learn.predict(table, ["a", "b", "one"], weights).select("a", "b", F.col("predicted").alias("y"))
