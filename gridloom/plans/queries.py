@@ -6,6 +6,7 @@ rounded, with negative zero normalised, so that engines agree to the last bit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -290,18 +291,18 @@ def fir_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round("filtered", 4).alias("v"))
 
 
-@query("WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT a.event_id, round(sum(b.value * pow(0.5, a.r - b.r)) / 3, 6) AS v FROM o a JOIN o b ON a.user_id = b.user_id AND b.r <= a.r GROUP BY a.event_id")
+@query("WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT a.event_id, round(sum(b.value * pow(0.5, a.r - b.r)) / pi(), 6) AS v FROM o a JOIN o b ON a.user_id = b.user_id AND b.r <= a.r GROUP BY a.event_id")
 def iir_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signal.iir(read(spark, sf_dir, "events"), "event_id", "value", [1.0], [1.0, -0.5], ["user_id"])
-    return out.select("event_id", F.round(F.col("filtered") / 3, 6).alias("v"))
+    return out.select("event_id", F.round(F.col("filtered") / math.pi, 6).alias("v"))
 
 
-@query("WITH q AS (SELECT event_id, user_id, event_id + 0.5 AS x FROM events WHERE event_type <> 'click'), k AS (SELECT user_id, event_id::DOUBLE AS x, value AS y FROM events), a AS (SELECT q.event_id, q.user_id, q.x, k.x AS x0, k.y AS y0 FROM q ASOF JOIN k ON q.user_id = k.user_id AND q.x >= k.x), b AS (SELECT a.*, k.x AS x1, k.y AS y1 FROM a ASOF JOIN k ON a.user_id = k.user_id AND a.x <= k.x) SELECT event_id, round((y0 + (y1 - y0) * (x - x0) / (x1 - x0)) / 3, 6) AS v FROM b")
+@query("WITH q AS (SELECT event_id, user_id, event_id + 0.5 AS x FROM events WHERE event_type <> 'click'), k AS (SELECT user_id, event_id::DOUBLE AS x, value AS y FROM events), a AS (SELECT q.event_id, q.user_id, q.x, k.x AS x0, k.y AS y0 FROM q ASOF JOIN k ON q.user_id = k.user_id AND q.x >= k.x), b AS (SELECT a.*, k.x AS x1, k.y AS y1 FROM a ASOF JOIN k ON a.user_id = k.user_id AND a.x <= k.x) SELECT event_id, round((y0 + (y1 - y0) * (x - x0) / (x1 - x0)) / pi(), 6) AS v FROM b")
 def interp1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events")
     asked = ev.where("event_type <> 'click'").select("event_id", "user_id", (F.col("event_id") + 0.5).alias("x"))
     out = signal.interp1(ev, asked, "event_id", "value", "x", ["user_id"])
-    return out.where(~F.isnan("interpolated")).select("event_id", F.round(F.col("interpolated") / 3, 6).alias("v"))
+    return out.where(~F.isnan("interpolated")).select("event_id", F.round(F.col("interpolated") / math.pi, 6).alias("v"))
 
 
 @query("SELECT round(regr_slope(value, event_id), 8) AS slope, round(regr_intercept(value, event_id), 4) AS intercept FROM events")
