@@ -120,15 +120,14 @@ def magic(spark: SparkSession, n: int) -> Matrix:
     i, j = F.col("i"), F.col("j")
 
     def odd(size: int, a: Column, b: Column) -> Column:
-        return size * F.pmod(a + b + 1 + size // 2, F.lit(size)) + F.pmod(a + 2 * b + size - 3 + 5, F.lit(size)) + 1
+        return size * F.pmod(a + b + 1 + size // 2, F.lit(size)) + F.pmod(a + 2 * b + 1, F.lit(size)) + 1
 
     if n % 2:
         return grid(spark, n, n, odd(n, i, j))
     if n % 4 == 0:
-        flip = F.floor((i % 4) / 2) == F.floor(((j + 1) % 4) / 2)
         straight = i * n + j + 1
         keep = F.when((i % 4).isin(0, 3), (j % 4).isin(0, 3)).otherwise((j % 4).isin(1, 2))
-        return grid(spark, n, n, F.when(keep, n * n + 1 - straight).otherwise(straight) if flip is not None else straight)
+        return grid(spark, n, n, F.when(keep, n * n + 1 - straight).otherwise(straight))
     h, q = n // 2, (n - 2) // 4
     low, right = i >= h, j >= h
     a, b = i % h, j % h
