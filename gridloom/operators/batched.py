@@ -135,6 +135,16 @@ def eig_general(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"values": w[:, None], "vectors": c.conj().T @ v}
 
 
+def polyeig(parts: np.ndarray) -> np.ndarray:
+    """Eigenvalues w of A0 + w·A1 + … + w^d·Ad, whose blocks stand side by side."""
+    n = parts.shape[0]
+    d = parts.shape[1] // n - 1
+    blocks = [parts[:, k * n : (k + 1) * n] for k in range(d + 1)]
+    left, right = np.eye(n * d, k=n), np.eye(n * d)
+    left[-n:], right[-n:, -n:] = np.hstack([-b for b in blocks[:-1]]), blocks[-1]
+    return np.sort_complex(np.linalg.eigvals(np.linalg.solve(right, left)))[:, None]
+
+
 def _svd(a: np.ndarray) -> dict[str, np.ndarray]:
     u, s, vt = np.linalg.svd(a)
     out = np.zeros(a.shape)
@@ -164,6 +174,7 @@ FUNCTIONS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray] | np.ndarray]]
     "inverse": np.linalg.inv, "pinv": np.linalg.pinv, "det": lambda a: np.array([[np.linalg.det(a)]]), "adjugate": adjugate, "rref": rref,
     "rank": lambda a: np.array([[float(np.linalg.matrix_rank(a))]]), "cond": lambda a: np.array([[np.linalg.cond(a)]]),
     "rcond": lambda a: np.array([[1 / np.linalg.cond(a, 1)]]), "null": lambda a: _basis(a, True), "orth": lambda a: _basis(a, False),
+    "polyeig": polyeig,
     "eigvals": lambda a: np.sort_complex(np.linalg.eigvals(a))[:, None],
     "expm": expm, "sinm": lambda a: _real((expm(1j * a) - expm(-1j * a)) / 2j), "cosm": lambda a: _real((expm(1j * a) + expm(-1j * a)) / 2),
     "sinhm": lambda a: (expm(a) - expm(-a)) / 2, "coshm": lambda a: (expm(a) + expm(-a)) / 2,

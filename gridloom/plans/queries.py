@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import ieee
-from gridloom.operators import batched, learn, linalg, products, setops, signal
+from gridloom.operators import batched, complexes, learn, linalg, products, setops, signal
 from gridloom.operators.matrix import COL, ROW, Matrix
 from gridloom.operators.tensor import Tensor, contract, contract_axes
 from gridloom.sources import generate, tables
@@ -442,3 +442,43 @@ def perceptron_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = learn.truth_table(spark, learn.LOGIC["and"])
     weights, _ = learn.train_online(table, ["a", "b", "one"], "y")
     return learn.predict(table, ["a", "b", "one"], weights).select("a", "b", F.col("predicted").alias("y"))
+
+
+# --- complex matrices ------------------------------------------------------------------------------------------------
+
+
+def complex_query(name: str, sql: str, f: Callable[[complexes.Complex], complexes.Complex]) -> None:
+    """Register a query of Z = E + i·(E with its columns reversed)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = embeddings(spark, sf_dir)
+        return f(complexes.Complex.of(e, e.fliplr())).df.select("i", "j", rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+
+    QUERIES[name] = run
+    ORACLE[name] = SQL_E + ", z AS (SELECT a.i, a.j, a.v AS re, b.v AS im FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j) " + sql
+
+
+_RI = "round({}, 6) + 0.0 AS re, round({}, 6) + 0.0 AS im"
+complex_query("complex_square", f"SELECT i, j, {_RI.format('re * re - im * im', '2 * re * im')} FROM z", lambda z: z % z)
+complex_query("complex_exp", f"SELECT i, j, {_RI.format('exp(re) * cos(im)', 'exp(re) * sin(im)')} FROM z", lambda z: z.exp())
+complex_query("complex_ln", f"SELECT i, j, {_RI.format('ln(sqrt(re * re + im * im))', 'atan2(im, re)')} FROM z", lambda z: z.ln())
+complex_query("complex_sqrt", f"SELECT i, j, {_RI.format('sqrt(sqrt(re * re + im * im)) * cos(atan2(im, re) / 2)', 'sqrt(sqrt(re * re + im * im)) * sin(atan2(im, re) / 2)')} FROM z", lambda z: z.sqrt())
+complex_query("complex_sin", f"SELECT i, j, {_RI.format('sin(re) * (exp(im) + exp(-im)) / 2', 'cos(re) * (exp(im) - exp(-im)) / 2')} FROM z", lambda z: z.sin())
+complex_query("complex_quotient", f"SELECT i, j, {_RI.format('(re * re - im * im) / (re * re + im * im)', '2 * re * im / (re * re + im * im)')} FROM z", lambda z: z.div(z.conj()))
+complex_query("complex_gram", f"SELECT a.j AS i, b.j AS j, {_RI.format('sum(a.re * b.re + a.im * b.im)', 'sum(a.re * b.im - a.im * b.re)')} FROM z a JOIN z b USING (i) GROUP BY 1, 2", lambda z: z.H() * z)
+
+
+@query("WITH RECURSIVE p AS (SELECT i, j, -2 + j * 0.05::DOUBLE AS a, -1.2 + i * 0.06::DOUBLE AS b FROM range(40) x(i), range(60) y(j)), s AS (SELECT i, j, a, b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0 AS n FROM p UNION ALL SELECT i, j, a, b, x * x - y * y + a, 2 * x * y + b, n + 1 FROM s WHERE n < 30 AND x * x + y * y <= 4) SELECT i, j, max(n)::BIGINT AS steps FROM s GROUP BY 1, 2")
+def mandelbrot_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = generate.zeros(spark, 40, 60).df
+    points = g.select("i", "j", (F.lit(-2.0) + F.col("j") * 0.05).alias("a"), (F.lit(-1.2) + F.col("i") * 0.06).alias("b"))
+    return complexes.mandelbrot(points, "a", "b", 30).select("i", "j", "steps")
+
+
+@query("WITH p AS (SELECT event_id, (event_id % 97) * 0.7 + value / 1000 AS x, (event_id % 89) * 0.9 AS y FROM events), d AS (SELECT a.event_id, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS r2 FROM p a JOIN p b ON a.event_id <> b.event_id AND abs(a.x - b.x) < 1.5 AND abs(a.y - b.y) < 1.5) SELECT event_id, count(*) AS partners, round(avg(r2), 6) AS mean_r2 FROM d WHERE r2 < 2.25 AND r2 > 0 GROUP BY 1")
+def neighbours_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range join under pair forces: partners within the cutoff, by squares."""
+    ev = read(spark, sf_dir, "events")
+    p = ev.select("event_id", ((F.col("event_id") % 97) * 0.7 + F.col("value") / 1000).alias("x"), ((F.col("event_id") % 89) * 0.9).alias("y"))
+    found = complexes.near_pairs(p, "event_id", "x", "y", 1.5)
+    return found.groupBy(F.col("k").alias("event_id")).agg(F.count(F.lit(1)).alias("partners"), F.round(F.avg("r2"), 6).alias("mean_r2"))

@@ -115,7 +115,7 @@ def test_linalg(spark):
     assert linalg.normest(a) == pytest.approx(np.linalg.norm(x, 2), rel=1e-4)
 
 
-@pytest.mark.parametrize("name", sorted(set(batched.FUNCTIONS) - {"roots", "poly"}))
+@pytest.mark.parametrize("name", sorted(set(batched.FUNCTIONS) - {"roots", "poly", "polyeig"}))
 def test_batched_functions_run(name):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(4, 4))
@@ -181,3 +181,43 @@ def test_perceptrons(spark):
     w, epochs = learn.train_batch(learn.truth_table(spark, learn.LOGIC["and"]), ["a", "b", "one"], "y")
     assert epochs > 0
     assert learn.train_online(learn.truth_table(spark, learn.LOGIC["xor"]), ["a", "b", "one"], "y", epochs=20)[1] == -1
+
+
+def test_polynomial_eigenvalues():
+    a = np.diag([2.0, 6.0])
+    found = batched.polyeig(np.hstack([a, -3 * np.eye(2) - np.diag([0.0, 2.0]), np.eye(2)]))
+    assert np.allclose(found.ravel(), [1, 2, 2, 3])
+
+
+def test_complex(spark):
+    from gridloom.operators.complexes import Complex
+
+    x = np.array([[1 + 2j, -3j], [0.5, 2 - 1j]])
+    z = Complex.of(Matrix.of(spark, x.real.tolist()), Matrix.of(spark, x.imag.tolist()))
+
+    def array(c):
+        out = np.zeros(c.shape, complex)
+        for r in c.df.select("i", "j", "re", "im").collect():
+            out[r[0], r[1]] = complex(r[2], r[3])
+        return out
+
+    assert np.allclose(array(z * z), x @ x) and np.allclose(array(z.H()), x.conj().T) and np.allclose(array(z.sqrt()), np.sqrt(x))
+    for f in ("exp", "sin", "cos", "tan", "sinh", "cosh", "tanh", "conj"):
+        assert np.allclose(array(getattr(z, f)()), getattr(np, f)(x)), f
+    assert np.isclose(z.dot(z), (x.conj() * x).sum()) and np.isclose(z.var(), np.var(x)) and (z * z.H()).is_hermitian() and not z.is_hermitian()
+    with pytest.raises(TypeError):
+        z.sort(ROW)
+
+
+def test_pair_forces_are_balanced(spark):
+    from gridloom.operators.complexes import pair_forces
+
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0, 6, (60, 2))
+    got = {r["k"]: r for r in pair_forces(spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(p)], "k int, x double, y double"), "k", "x", "y", 1.2).collect()}
+    d = p[:, None] - p[None]
+    r2 = (d**2).sum(-1) + np.eye(60) * 99
+    s6 = np.where(r2 < 1.44, r2**-3.0, 0)
+    want = (24 * (2 * s6 * s6 - s6) / r2)[..., None] * d
+    for k in got:
+        assert got[k]["fx"] == pytest.approx(want[k, :, 0].sum(), rel=1e-6) and got[k]["partners"] == (r2[k] < 1.44).sum()
