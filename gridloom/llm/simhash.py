@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 4) -> DataFrame:
     """One row of every component, the one of the least id, with its own columns.
 
-    Rows with a null id stay, since none of them can be named as a copy of another.
+    Rows that share id and text are one row. Rows with a null id stay, since none of them can be
+    named as a copy of another.
     """
     marked = near_duplicates(docs, text_col, id_col, distance)
     gone = marked.where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("__gone")).distinct()
@@ -337,6 +338,6 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
         return left
     single = left.join(twins, quoted(id_col).eqNullSafe(F.col("__gone")), "left_anti")
     again = left.join(twins, quoted(id_col).eqNullSafe(F.col("__gone")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col]))
+    return single.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
