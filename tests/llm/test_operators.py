@@ -339,3 +339,13 @@ def test_empty_tables_and_clashing_columns(spark, odd):
     assert language_id.train(odd.limit(0), F.lit(True)) is None
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(odd, labels, F.lit(True)) is None
+
+
+def test_chat_odd(spark):
+    schema = "conv_id long, turn int, text string, role string, ROLE_FOUND string"
+    assert chat_format.format_chats(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, 0, "hello", "user", "x"), (1, 0, "hello", "user", "x"), (1, None, None, None, None), (None, None, "User:", "robot", None), (2, 5, "word " * 50_000, "assistant", None)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, schema))
+    got = out.collect()
+    assert len(got) == 5 and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert next(r for r in got if r["text"] == "User:")["role_found"] == "user"
