@@ -3,24 +3,66 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.matrix import Matrix
 
-#: Inner lengths up to this are multiplied cell by cell; beyond it, blocks of this order meet.
+#: Order of the blocks that meet in large products.
 BLOCK = 256
+#: Products of more pairs of cells than this are made by blocks.
+MOST_PAIRS = 50_000_000
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:
-    """A·B: an equi-join of A's columns with B's rows, and a sum that is partly done before the shuffle."""
+    """A·B: an equi-join of A's columns with B's rows, and a sum that is partly done before the shuffle.
+
+    Large products meet by blocks instead, which makes fewer rows by the order of a block.
+    """
     if a.n != b.m:
         raise ValueError(f"product of shapes {a.shape} and {b.shape}")
+    if a.m * a.n * b.n > MOST_PAIRS:
+        return multiply_blocked(a, b)
     left = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
     return Matrix(left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")), a.m, b.n)
 
 
+def _blocks(df: DataFrame, row: str, col: str, names: tuple[str, str, str], block: int) -> DataFrame:
+    """Cells packed by block: a block holds at most ``block`` x ``block`` cells, however large the matrix."""
+    at = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    inner = F.struct((F.col(row) % block).cast("int").alias("r"), (F.col(col) % block).cast("int").alias("c"), F.col("v"))
+    return df.groupBy(at(row).alias(names[0]), at(col).alias(names[1])).agg(F.collect_list(inner).alias(names[2]))
+
+
+def multiply_blocked(a: Matrix, b: Matrix, block: int = BLOCK) -> Matrix:
+    """A·B by an equi-join of blocks on the inner block index; each pair is one dense product."""
+    rows, columns = a.m, b.n
+    both = _blocks(a.df, "i", "j", ("p", "k", "x"), block).join(_blocks(b.df, "i", "j", ("k", "q", "y"), block), "k")
+
+    def dense(cells: pa.ListArray, at: int) -> np.ndarray:
+        out = np.zeros((block, block))
+        own = cells[at].values
+        out[own.field(0).to_numpy(), own.field(1).to_numpy()] = own.field(2).to_numpy()
+        return out
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row in range(batch.num_rows):
+                m, n = min(block, rows - p[row] * block), min(block, columns - q[row] * block)
+                made = (dense(batch.column(2), row) @ dense(batch.column(3), row))[:m, :n]
+                i, j = np.indices(made.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + p[row] * block), pa.array(j.ravel() + q[row] * block), pa.array(made.ravel())], names=["i", "j", "v"])
+
+    cells = both.select("p", "q", "x", "y").mapInArrow(products, "i bigint, j bigint, v double")
+    return Matrix(cells.groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, b.n)
+
+
 def gram(a: Matrix) -> Matrix:
     """AᵀA: rows meet on their own index, so that a table partitioned by row is not shuffled twice."""
     return t_mul(a, a)

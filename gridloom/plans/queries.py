@@ -78,6 +78,7 @@ _R = "round({}, 6) + 0.0 AS v"
 
 matrix_query("gram_embeddings", f"SELECT i, j, {_R.format('v')} FROM ({_SQL_GRAM})", products.gram)
 matrix_query("product_with_gram", f"SELECT e.i, g.j, {_R.format('sum(e.v * g.v)')} FROM e JOIN ({_SQL_GRAM}) g ON e.j = g.i GROUP BY 1, 2", lambda e: products.multiply(e, products.gram(e)))
+matrix_query("product_by_blocks", ORACLE["product_with_gram"].removeprefix(SQL_E), lambda e: products.multiply_blocked(e, products.gram(e), 24))
 matrix_query("matmul_chain", f", g AS ({_SQL_GRAM}), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT i, j, {_R.format('v / 1000')} FROM h".replace(", g", ", g", 1), lambda e: products.chain(e.T(), e, e.T(), e) / 1000)
 matrix_query("gemm_gram", f"SELECT i, j, {_R.format('2 * v + 0.5 * v')} FROM ({_SQL_GRAM})", lambda e: products.gemm(2.0, e.T(), e, 0.5, products.gram(e)))
 matrix_query("kron_corner", f", k AS (SELECT * FROM e WHERE i < 6 AND j < 5) SELECT a.i * 6 + b.i AS i, a.j * 5 + b.j AS j, {_R.format('a.v * b.v')} FROM k a, k b", lambda e: products.kron(e.block((0, 5), (0, 4)), e.block((0, 5), (0, 4))))

@@ -221,3 +221,11 @@ def test_pair_forces_are_balanced(spark):
     want = (24 * (2 * s6 * s6 - s6) / r2)[..., None] * d
     for k in got:
         assert got[k]["fx"] == pytest.approx(want[k, :, 0].sum(), rel=1e-6) and got[k]["partners"] == (r2[k] < 1.44).sum()
+
+
+def test_product_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(11, 7)), rng.normal(size=(7, 9))
+    a, b = Matrix.of(spark, x.tolist()), Matrix.of(spark, y.tolist())
+    for block in (3, 4, 16):
+        assert np.allclose(products.multiply_blocked(a, b, block).to_rows(), x @ y)
