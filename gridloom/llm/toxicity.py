@@ -32,7 +32,7 @@ POSITIVES, UNLABELLED = 3000, 9000
 SELECTED = 512
 #: Least log-likelihood ratio of a selected word; chance alone seldom gives it among all words.
 LEAST_RATIO = 4.0
-EPOCHS, RATE, L2 = 600, 0.05, 1e-5
+EPOCHS, RATE, L2 = 600, 0.05, 1e-4
 
 
 class Linear:
