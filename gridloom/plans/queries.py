@@ -7,9 +7,10 @@ rounded, with negative zero normalised, so that engines agree to the last bit.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,8 @@ matrix_query("product_by_blocks", ORACLE["product_with_gram"].removeprefix(SQL_E
 matrix_query("matmul_chain", f", g AS ({_SQL_GRAM}), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT i, j, {_R.format('v / 1000')} FROM h".replace(", g", ", g", 1), lambda e: products.chain(e.T(), e, e.T(), e) / 1000)
 matrix_query("gemm_gram", f"SELECT i, j, {_R.format('2 * v + 0.5 * v')} FROM ({_SQL_GRAM})", lambda e: products.gemm(2.0, e.T(), e, 0.5, products.gram(e)))
 matrix_query("kron_corner", f", k AS (SELECT * FROM e WHERE i < 6 AND j < 5) SELECT a.i * 6 + b.i AS i, a.j * 5 + b.j AS j, {_R.format('a.v * b.v')} FROM k a, k b", lambda e: products.kron(e.block((0, 5), (0, 4)), e.block((0, 5), (0, 4))))
+_SMALL = ((1.0, 2.0), (-0.5, 3.0))
+matrix_query("kron_embeddings", f", s AS (SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (1, 0, -0.5), (1, 1, 3.0)) t(i, j, v)) SELECT e.i * 2 + s.i AS i, e.j * 2 + s.j AS j, {_R.format('e.v * s.v')} FROM e, s", lambda e: products.kron(e, linalg.lift(e, np.array(_SMALL))))
 matrix_query("cross_rows", ", a AS (SELECT j AS k, v FROM e WHERE i = 0 AND j < 3), b AS (SELECT j AS k, v FROM e WHERE i = 1 AND j < 3) SELECT 0::BIGINT AS i, x.k::BIGINT AS j, round((SELECT v FROM a WHERE k = (x.k + 1) % 3) * (SELECT v FROM b WHERE k = (x.k + 2) % 3) - (SELECT v FROM a WHERE k = (x.k + 2) % 3) * (SELECT v FROM b WHERE k = (x.k + 1) % 3), 6) + 0.0 AS v FROM a x", lambda e: products.cross(e.block((0, 0), (0, 2)), e.block((1, 1), (0, 2))))
 
 # --- element by element -----------------------------------------------------------------------
@@ -244,6 +247,8 @@ matrix_query("hstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SEL
 matrix_query("vstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, round(v * 2, 6) + 0.0 FROM e", lambda e: e.vstack(e * 2.0))
 matrix_query("repmat_corner", "SELECT p * 4 + i AS i, q * 3 + j AS j, round(v, 6) + 0.0 AS v FROM e, range(2) a(p), range(3) b(q) WHERE i < 4 AND j < 3", lambda e: e.block((0, 3), (0, 2)).repmat(2, 3))
 matrix_query("blkdiag_corner", ", p AS (SELECT i, j, v FROM e WHERE i < 3 AND j < 2), q AS (SELECT i, j, v FROM p UNION ALL SELECT i + 3, j + 2, v FROM p) SELECT a.i, b.j, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM range(6) a(i) CROSS JOIN range(4) b(j) LEFT JOIN q ON q.i = a.i AND q.j = b.j", lambda e: e.block((0, 2), (0, 1)).blkdiag(e.block((0, 2), (0, 1))))
+matrix_query("repmat_embeddings", "SELECT p * (SELECT count(*) FROM embeddings) + i AS i, q * 64 + j AS j, round(v, 6) + 0.0 AS v FROM e, range(2) a(p), range(3) b(q)", lambda e: e.repmat(2, 3))
+matrix_query("blkdiag_embeddings", ", n AS (SELECT count(*) AS m FROM embeddings), q AS (SELECT i, j, v FROM e UNION ALL SELECT i + m, j + 64, v * 2 FROM e, n) SELECT a.i, b.j, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(2 * m)) AS i FROM n) a CROSS JOIN range(128) b(j) LEFT JOIN q ON q.i = a.i AND q.j = b.j", lambda e: e.blkdiag(e * 2.0))
 matrix_query("block_reversed", "SELECT 9 - i AS i, j - 2 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i BETWEEN 4 AND 9 AND j BETWEEN 2 AND 7", lambda e: e.block((9, 4), (2, 7)))
 matrix_query("row_and_block_assign", "SELECT a.i, a.j, round(CASE WHEN a.i BETWEEN 5 AND 7 AND a.j BETWEEN 10 AND 12 THEN b.v ELSE a.v END, 6) + 0.0 AS v FROM e a LEFT JOIN e b ON b.i = a.i - 5 AND b.j = a.j - 10", lambda e: e.put_block(5, 10, e.block((0, 2), (0, 2))))
 
@@ -383,29 +388,51 @@ def solve_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalars(spark, slope=round(products.t_mul(a, b - products.multiply(a, x)).abs().max(), 6) + 0.0)
 
 
-def _label_grams(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+WIDTH = 64
+
+
+def _label_grams(spark: SparkSession, sf_dir: str, n: int = WIDTH) -> DataFrame:
     """The Gram matrix of the first n columns of each label's vectors, plus n on the diagonal."""
-    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("j", "v")).where(F.col("j") < n)
-    e = e.select("label", "vec_id", "j", F.col("v").cast("double").alias("v"))
-    f = e.withColumnsRenamed({"j": "i", "v": "w"})
-    g = e.join(f, ["label", "vec_id"]).groupBy("label", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    full = F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("x")
+    e = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("label", full)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = np.indices((n, n)).reshape(2, -1)
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(len(labels), WIDTH)[:, :n]
+            places: dict = {}
+            for at, label in enumerate(labels):
+                places.setdefault(label, []).append(at)
+            for label, rows in places.items():
+                made = pa.array([label] * (n * n), batch.schema.field(0).type), pa.array(i), pa.array(j), pa.array((x[rows].T @ x[rows]).ravel())
+                yield pa.RecordBatch.from_arrays(list(made), names=["label", "i", "j", "v"])
+
+    g = e.mapInArrow(partial, f"label {e.schema['label'].dataType.simpleString()}, i bigint, j bigint, v double")
+    g = g.groupBy("label", "i", "j").agg(F.sum("v").alias("v"))
     return g.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + n).otherwise(F.col("v")))
 
 
 _SQL_LG = "WITH x AS (SELECT label, vec_id, unnest(range(8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings), g AS (SELECT a.label, a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN 8 ELSE 0 END AS v FROM x a JOIN x b USING (label, vec_id) GROUP BY a.label, a.j, b.j) "
 
 
-def batched_query(name: str, function: str, back: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]) -> None:
+def _unit(a: np.ndarray) -> np.ndarray:
+    """The matrix scaled to a determinant of 1 or -1, which stays in range for any number of rows."""
+    return a / math.exp(np.linalg.slogdet(a)[1] / len(a))
+
+
+def batched_query(name: str, function: str, back: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], unit: bool = False) -> None:
     """The largest deviation of what the factors give back, per label, rounds to nothing."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = batched.FUNCTIONS[function]
 
         def check(a: np.ndarray) -> np.ndarray:
+            a = _unit(a) if unit else a
             made = f(a)
             return np.array([[np.abs(back(made if isinstance(made, dict) else {"R": made}, a)).max()]])
 
-        return batched.apply(_label_grams(spark, sf_dir), "label", 8, 8, check).select("label", rounded(F.col("re"), 5).alias("deviation"))
+        return batched.apply(_label_grams(spark, sf_dir), "label", WIDTH, WIDTH, check).select("label", rounded(F.col("re"), 5).alias("deviation"))
 
     QUERIES[name] = run
     ORACLE[name] = "SELECT DISTINCT label, 0.0::DOUBLE AS deviation FROM embeddings"
@@ -418,10 +445,10 @@ batched_query("hess_by_label", "hess", lambda r, a: r["Q"] @ r["H"] @ r["Q"].T -
 batched_query("schur_by_label", "schur", lambda r, a: r["Q"] @ r["T"] @ r["Q"].conj().T - a)
 batched_query("eig_by_label", "eig", lambda r, a: a @ r["vectors"] - r["vectors"] * r["values"].T)
 batched_query("cholesky_by_label", "cholesky", lambda r, a: r["R"] @ r["R"].T - a)
-batched_query("inverse_by_label", "inverse", lambda r, a: r["R"] @ a - np.eye(8))
+batched_query("inverse_by_label", "inverse", lambda r, a: r["R"] @ a - np.eye(len(a)))
 batched_query("sqrtm_by_label", "sqrtm", lambda r, a: r["R"] @ r["R"] - a)
 batched_query("logm_by_label", "logm", lambda r, a: batched.expm(r["R"]) / np.abs(a).max() - a / np.abs(a).max())
-batched_query("adjugate_by_label", "adjugate", lambda r, a: (r["R"] @ a) / np.linalg.det(a) - np.eye(8))
+batched_query("adjugate_by_label", "adjugate", lambda r, a: (r["R"] @ a) / np.linalg.det(a) - np.eye(len(a)), unit=True)
 batched_query("fft_by_label", "fft", lambda r, a: np.fft.ifft(r["R"], axis=0) - a)
 batched_query("fft2_by_label", "fft2", lambda r, a: np.fft.ifft2(r["R"]) - a)
 
@@ -429,13 +456,27 @@ batched_query("fft2_by_label", "fft2", lambda r, a: np.fft.ifft2(r["R"]) - a)
 @query(_SQL_LG + "SELECT label, round(sum(v), 4) AS total FROM g WHERE i = j GROUP BY label")
 def eig_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eigenvalues add up to the trace."""
-    found = batched.apply(_label_grams(spark, sf_dir), "label", 8, 8, "eigvals")
+    found = batched.apply(_label_grams(spark, sf_dir, 8), "label", 8, 8, "eigvals")
+    return found.groupBy("label").agg(F.round(F.sum("re"), 4).alias("total"))
+
+
+@query(SQL_E + "SELECT label, round(sum(v * v) + 64 * 64, 4) AS total FROM e JOIN embeddings ON e.i = vec_id GROUP BY label")
+def eig_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues add up to the trace, over all components."""
+    found = batched.apply(_label_grams(spark, sf_dir), "label", WIDTH, WIDTH, "eigvals")
     return found.groupBy("label").agg(F.round(F.sum("re"), 4).alias("total"))
 
 
 @query(_SQL_LG + ", p AS (SELECT * FROM g WHERE i < 3 AND j < 3), m AS (SELECT label, list(v ORDER BY i, j) AS a FROM p GROUP BY label) SELECT label, round(a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7]), 2) AS det FROM m")
 def det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batched.apply(_label_grams(spark, sf_dir).where("i < 3 AND j < 3"), "label", 3, 3, "det").select("label", F.round("re", 2).alias("det"))
+    return batched.apply(_label_grams(spark, sf_dir, 8).where("i < 3 AND j < 3"), "label", 3, 3, "det").select("label", F.round("re", 2).alias("det"))
+
+
+@query()
+def log_det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithm of the determinant over all components; the matrices are positive definite."""
+    found = batched.apply(_label_grams(spark, sf_dir), "label", WIDTH, WIDTH, lambda a: np.array([[np.linalg.slogdet(a)[1]]]))
+    return found.select("label", F.round("re", 6).alias("log_det"))
 
 
 @query("SELECT a, b, a AND b AS y FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) z(b)")
