@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain CRF that adds what they miss.
 
 Tokens are tagged as the begin or inside of a secret, or as outside, from their shape, the words
-before them, and features of the file. Tokens that are short, or plain words, can only be
-outside; the chain falls apart at them, so only runs of the other tokens are decoded, which
-gives the labels that decoding the whole text would. The CRF is fitted on a small labelled table
+before them, and features of the file. Tokens under ``MIN_TOKEN`` characters, and words in plain
+case that no key or auth word precedes, can only be outside; the chain falls apart at them, so
+only runs of the other tokens are decoded, which gives the labels that decoding the whole text
+would. The CRF is fitted on a small labelled table
 that this module spells out. Spans of the patterns always stay; spans of the CRF that touch none
 of them are added under the kind ``secret``.
 
@@ -13,8 +14,10 @@ rows are scanned alike; clashing input columns are replaced; an empty table stay
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -56,13 +59,13 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 # --- the CRF ---------------------------------------------------------------------------------
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]*[0-9][A-Za-z0-9+/_=.~-]*")
+#: Shorter tokens are outside.
+MIN_TOKEN = 6
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{MIN_TOKEN},}}")
 _DIGIT = re.compile(r"[0-9]")
-_INNER = re.compile(r"[A-Za-z0-9+/_=.~-]")
-_TAIL = re.compile(r"[A-Za-z0-9+/_=.~-]+")
-_WORD_BEFORE = re.compile(r"([A-Za-z_]{2,})[^A-Za-z]{0,6}$")
-#: Shorter tokens, and tokens without a digit, are outside.
-MIN_TOKEN = 12
+#: A name and its value in one token, as in ``pwd=...``.
+_PAIR = re.compile(r"(-{0,2}[A-Za-z][A-Za-z_.-]*=)(?=[^=])")
+_CODE = re.compile(r"(?m)^[^\S\n]*+(?:export |const |let |var |[A-Za-z_]++\s*+[:=]|[#{}])")
 #: Characters before a token that its features see.
 CONTEXT = 48
 
@@ -70,6 +73,7 @@ FEATURES = [
     "bias", "long20", "long32", "mixed_case", "digits_only", "digits_dots", "hex_only", "has_base64", "dashed_groups",
     "slashes", "has_dot", "high_entropy", "many_turns", "known_prefix", "key_word", "auth_word", "benign_word", "equals",
     "colon", "quoted", "at_before", "plus_before", "after_run", "code_file", "vowel_word", "underscored_words",
+    "short", "no_digit", "one_case", "assigned", "bearer_before", "two_humps",
 ]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
@@ -80,6 +84,19 @@ _BENIGN = {"commit", "sha", "md5", "uuid", "guid", "checksum", "http", "https",
 _PREFIX = re.compile(r"(?:sk|pk|rk)[-_](?:live|test|proj|ant)|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|eyJ|npm_|pypi-|SG\.|hf_|dop_v1_|shpat_|ya29\.")
 
 
+_SIGNAL = _KEY | _AUTH
+_NAMED = _KEY - {"private", "access"}
+_SIGNALS = re.compile("|".join(sorted(_SIGNAL, key=len, reverse=True)), re.IGNORECASE)
+_STEMS = sorted(w for w in _SIGNAL if not any(o != w and o in w for o in _SIGNAL))
+_ASSIGNED = re.compile(r"""([A-Za-z_]+)["']?\s*[:=]\s*["'`]?$""")
+_BEARER = re.compile(r"(?i)\b(?:bearer|basic)\s+$")
+
+
+def _words(before: str) -> set[str]:
+    """The last three words before a token, with the parts of those joined by underscores."""
+    return {w.lower() for x in re.findall(r"[A-Za-z_]{2,}", before[-CONTEXT:])[-3:] for w in (*x.split("_"), x)}
+
+
 def _entropy(token: str) -> float:
     n = len(token)
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
@@ -87,9 +104,12 @@ def _entropy(token: str) -> float:
 
 def token_features(token: str, before: str, after_run: bool, code_file: bool) -> list[int]:
     """Active features of a token, given the characters before it."""
+    if m := _PAIR.match(token):
+        before, token = before + m[1], token[m.end() :]
     letters = re.sub(r"[^A-Za-z]", "", token)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]) if a.isalnum() and b.isalnum())
-    words = {w.lower() for x in re.findall(r"[A-Za-z_]{2,}", before[-CONTEXT:])[-3:] for w in (*x.split("_"), x)}
+    words = _words(before)
+    assigned = _ASSIGNED.search(before[-CONTEXT:])
     tail = before.rstrip(" ")[-1:]
     near = before[-4:]
     on = {
@@ -117,28 +137,39 @@ def token_features(token: str, before: str, after_run: bool, code_file: bool) ->
         "plus_before": tail == "+",
         "after_run": after_run,
         "code_file": code_file,
-        "vowel_word": bool(re.search(r"[a-z]*[aeiou][a-z]*[aeiou][a-z]*[aeiou]", token)) and turns <= 2,
+        "vowel_word": turns <= 2 and any(sum(map(run.count, "aeiou")) >= 3 for run in re.findall(r"[a-z]+", token)),
         "underscored_words": bool(re.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+)+[_-]?[0-9]*(?:\.[a-z]+)?", token)),
+        "short": len(token) < 12,
+        "no_digit": not _DIGIT.search(token),
+        "one_case": letters == letters.lower() or letters == letters.upper() or letters.istitle(),
+        "assigned": assigned is not None and bool({w.lower() for w in (*assigned[1].split("_"), assigned[1])} & _NAMED),
+        "bearer_before": bool(_BEARER.search(before[-CONTEXT:])),
+        "two_humps": bool(re.fullmatch(r"[A-Z]?[a-z]*(?:[A-Z]+[a-z]{2,}){1,3}[A-Z]{0,4}|(?:[A-Z]?[a-z]+[./+~=-]+)+[A-Z]?[a-z]*", token)),
     }
     return [_AT[f] for f, yes in on.items() if yes]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of token characters that are long enough and hold a digit."""
-    out, at = [], 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and _INNER.match(text, start - 1):
-            start -= 1
-        end = _TAIL.match(text, start).end()
-        if end - start >= MIN_TOKEN:
-            out.append((start, end))
-        at = end
+    """Long enough tokens with a digit or mixed case, or after (or with) a key or auth word."""
+    low = text.lower()
+    signals = [m.end() for m in _SIGNALS.finditer(text)] if any(w in low for w in _STEMS) else []
+    out = []
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        if not _DIGIT.search(token) and (token.islower() or token.isupper() or token.istitle()):
+            a, b = m.span()
+            k = bisect.bisect_right(signals, b)
+            if not k or signals[k - 1] <= a - CONTEXT:
+                continue
+            pair = _PAIR.match(token)
+            if not _words(text[max(0, a - CONTEXT) : a] + (pair[1] if pair else "")) & _SIGNAL:
+                continue
+        out.append(m.span())
     return out
 
 
 def _is_code(text: str) -> bool:
-    return len(re.findall(r"(?m)^\s*(?:export |const |let |var |[A-Za-z_]+\s*[:=]|[#{}])", text[:100_000])) >= 3
+    return sum(1 for _ in itertools.islice(_CODE.finditer(text), 3)) == 3
 
 
 def crf_spans(text: str, model: LinearChain) -> list[Span]:
@@ -199,6 +230,43 @@ def labelled_table() -> list[tuple[str, str, bool]]:
             ("part no ", draw(upper, 3) + "-" + draw(digits, 5) + "-" + draw(digits, 4), False),
             ("release ", "version-1.2." + draw(digits, 2) + ".build" + draw(digits, 3), False),
         ]
+    prose = "building important hidden because message settings information nothing between drawer carefully expired".split()
+    camel = "JavaScript McDonald iPhone YouTube HTMLElement PostgreSQL getElementById LaTeX MacArthur GmbH-Recht onClickHandler".split()
+    for k in range(24):
+        word, hump = prose[k % len(prose)], camel[k % len(camel)]
+        rows += [
+            ("pwd=", draw(alnum, rng.randrange(6, 11)) + "7", True),
+            ("pass: ", draw(lower, 5) + draw(digits, 3), True),
+            ("passphrase: ", draw(lower + upper, 14) + "nQ", True),
+            ("passphrase: '", draw(lower, 6) + "-" + draw(lower, 7), True),
+            ("Authorization: Bearer ", draw(lower + upper, 22) + "xZ", True),
+            ("Authorization: Bearer ", draw(lower + upper, 30) + "pL", True),
+            ("DB_PASS=", draw(lower, rng.randrange(7, 11)), True),
+            ("pwd: ", draw(lower, rng.randrange(8, 12)), True),
+            ("session: ", word, False),
+            ("client: ", hump, False),
+            ("access: ", word, False),
+            ("client_secret=", draw(lower + upper, 18) + "jK", True),
+            ("key is ", draw(lower + upper, 26) + "wR", True),
+            ("the password is ", word, False),
+            ("access to the ", word, False),
+            ("a token for the ", word, False),
+            ("the private ", hump, False),
+            ("written in ", hump, False),
+            ("session with ", hump, False),
+            ("key in the ", hump, False),
+            ("in the ", word + "." + rng.choice(["The", "And", "but", "We"]), False),
+            ("it was ", word + "/" + prose[(k + 5) % len(prose)], False),
+            ("about ", draw(digits, 3) + "." + draw(digits, 2) + "0", False),
+            ("number ", draw(digits, 7), False),
+            ("code ", draw(upper, 2) + "-" + draw(digits, 4), False),
+            ("call ", draw(digits, 3) + "-" + draw(digits, 4), False),
+            ("on ", f"20{draw(digits, 2)}-0{rng.randrange(1, 9)}-1{draw(digits, 1)}", False),
+            ("the ", draw(digits, 2) + "th-century", False),
+            ("model ", "covid-" + draw(digits, 2), False),
+            ("basic ", word, False),
+            ("client ", hump, False),
+        ]
     return rows
 
 
