@@ -174,11 +174,11 @@ def hits(words: list[bytes], vocabulary: dict[bytes, int], automaton: SuffixAuto
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items by shards of bounded size; the driver holds one shard at a time."""
-    shard: list[tuple[str, list[bytes]]] = []
+    shard: list[tuple[str | None, list[bytes]]] = []
     size = 0
-    rows = benchmark.select(quoted(item_col).cast("string").alias("i"), quoted(text_col).cast("string").alias("t")).where("i IS NOT NULL")
+    rows = benchmark.select(quoted(item_col).cast("string").alias("i"), quoted(text_col).cast("string").alias("t"))
     for row in rows.toLocalIterator():
         words = words_of(row["t"])
         if not words:
@@ -223,7 +223,7 @@ def scan(
                         new, found = hits(words, vocabulary, automaton) if automaton else ([], set())
                         counts.append(len(words))
                         spans.append([{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in was] + new)])
-                        items.append(sorted({*had, *(names[k] for k in found)}))
+                        items.append(sorted({*had, *(names[k] for k in found if names[k] is not None)}))
                     made = [pa.array(x, type=arrow.field(len(kept) + 1 + i).type) for i, x in enumerate((counts, spans, items))]
                     columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept) + 1)]
                     yield pa.RecordBatch.from_arrays([*columns, *made], schema=arrow)
@@ -232,7 +232,7 @@ def scan(
 
     done = False
     for shard in _shards(benchmark, item_col, item_text_col, shard_words):
-        names = sorted({i for i, _ in shard})
+        names = sorted({i for i, _ in shard}, key=lambda i: (i is None, i or ""))
         index = {n: k for k, n in enumerate(names)}
         vocabulary: dict[bytes, int] = {}
         items = [(index[i], [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for i, words in shard]
