@@ -313,10 +313,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     slim = docs.select(*{c: quoted(c) for c in (id_col, text_col)}.values())
     prints = materialize(fingerprints(slim, text_col, [id_col]), "fingerprints")
-    least = materialize(prints.groupBy("fp").agg(F.min(quoted(id_col)).alias("least_id")), "distinct")
-    roots = components(links(least.select("fp"), distance))
-    known = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = materialize(known, "roots")
+    known = _roots(prints, id_col, distance)
     heads = known.where("fp <> root").select("fp", "root", "least_id")
     alone = known.where("fp = root")
     best = heads.select("root", "least_id").unionByName(alone.select("root", "least_id")).groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -324,20 +321,38 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return prints.join(mapped, "fp", "left").select(quoted(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _roots(prints: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """(fp, least_id, root) of every distinct fingerprint, the root naming its component."""
+    least = materialize(prints.groupBy("fp").agg(F.min(quoted(id_col)).alias("least_id")), "distinct")
+    roots = components(links(least.select("fp"), distance))
+    known = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(known, "roots")
+
+
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 4) -> DataFrame:
     """One row of every component, the one of the least id, with its own columns.
 
-    Rows that share id and text are one row. Rows with a null id stay, since none of them can be
-    named as a copy of another.
+    Rows are told apart by id and a hash of the text of 128 bits, so that rows of one id and
+    different texts stay or go each with its own component; rows that share both are one row.
+    A row with a null id only stays if its component has no other ids.
     """
-    marked = near_duplicates(docs, text_col, id_col, distance)
-    gone = marked.where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, quoted(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    twins = docs.groupBy(quoted(id_col).alias("__gone")).count().where("count > 1 AND __gone IS NOT NULL").select("__gone")
-    if twins.isEmpty():
-        return left
-    single = left.join(twins, quoted(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    again = left.join(twins, quoted(id_col).eqNullSafe(F.col("__gone")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col, text_col]))
-
-
+    text = quoted(text_col).cast("string")
+    hashes = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    slim = docs.select(*{c: quoted(c) for c in (id_col, text_col)}.values(), *[h.alias(c) for c, h in hashes.items()])
+    prints = materialize(fingerprints(slim, text_col, [id_col, *hashes]), "fingerprints")
+    known = _roots(prints, id_col, distance)
+    row = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("__id"), *hashes)
+    first = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    first = first.join(known.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    keep = materialize(first.select("row.__id", *[F.col(f"row.{c}").alias(f"{c}k") for c in hashes]), "kept")
+    rows = docs.withColumns(hashes)
+    same = (F.col("__h1") == F.col("__h1k")) & (F.col("__h2") == F.col("__h2k"))
+    left = rows.join(keep, (quoted(id_col) == F.col("__id")) & same, "left_semi")
+    twins = prints.where(quoted(id_col).isNotNull()).groupBy(quoted(id_col).alias("__id"), *[F.col(c).alias(f"{c}k") for c in hashes]).count().where("count > 1").drop("count")
+    if not twins.isEmpty():
+        again = (quoted(id_col) == F.col("__id")) & same
+        left = left.join(twins, again, "left_anti").unionByName(left.join(twins, again, "left_semi").dropDuplicates([id_col, *hashes]))
+    if not prints.where(quoted(id_col).isNull()).isEmpty():
+        nameless = rows.where(quoted(id_col).isNull()).dropDuplicates([*hashes])
+        left = left.unionByName(nameless.join(keep.where("__id IS NULL"), same, "left_semi"))
+    return left.drop(*hashes)
