@@ -5,9 +5,13 @@ CRF's features, neighbouring nodes share its transition potentials, and distant
 repeat or resemble each other (same digits, or the same last digits) share a skip potential that
 favours equal labels. Sum-product message passing over the loopy graph gives every node's
 marginals, so that an entity which a pattern recognises in one place is labelled the same where
-it is written in another way. Repeated tokens are linked in a row, first to second to third, not
-all with all. In a document without a pattern's span and without a token that looks like an
-entity by itself nothing can be passed on, and no messages are sent.
+it is written in another way. Tokens that repeat or resemble each other are tied to one hub node
+of what they share, without a score of its own, so that any two of them are two links apart. A
+hub hears those that a pattern or their own score recognises; others that are tied to one of these,
+over however many hubs, only pass on what other hubs tell them, since any number of mentions
+without a cue says nothing against the one that has it.
+Messages are sent until they settle. Where no pattern has a span, and every node's own score is
+so clear that no neighbour could turn it, whatever its label, none are sent.
 
 Weights are fitted on a small labelled table that this module spells out; the skip potential is
 chosen on it as well. Spans of the patterns always stay; a run of nodes with one label that
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -163,9 +168,11 @@ def node_features(token: str, before: str, follows: bool, base: str | None) -> l
 
 
 def skip_links(tokens: list[str]) -> list[tuple[int, int]]:
-    """Pairs of nodes that repeat or resemble each other, each with the next one of its kind."""
-    last: dict[tuple[str, str], int] = {}
-    out = set()
+    """Pairs of a node and a hub, which has a number from ``len(tokens)``.
+
+    A hub holds the nodes that share a key; keys with the same nodes have one hub.
+    """
+    members: dict[tuple[str, str], list[int]] = {}
     for k, token in enumerate(tokens):
         digits = re.sub(r"[^0-9]", "", token)
         keys = [("word", token.lower())] if "@" in token or len(digits) >= 4 else []
@@ -174,18 +181,49 @@ def skip_links(tokens: list[str]) -> list[tuple[int, int]]:
         if "@" in token:
             keys.append(("local", token.lower().partition("@")[0]))
         for key in keys:
-            if key in last:
-                out.add((last[key], k))
-            last[key] = k
-    return sorted(out)
+            members.setdefault(key, []).append(k)
+    groups = dict.fromkeys(tuple(ks) for ks in members.values() if len(ks) > 1)
+    return [(k, len(tokens) + h) for h, ks in enumerate(groups) for k in ks]
+
+
+#: Rounds after which messages that have not settled are damped more, and the share of new ones that is tried last.
+SLOWER = 200
+LEAST_SHARE = 1e-3
 
 
 # --- inference ----------------------------------------------------------------------------------
 
 
-def marginals(scores: np.ndarray, chain: list[tuple[int, int]], pair: np.ndarray, skips: list[tuple[int, int]], skip: float, rounds: int = 12) -> np.ndarray:
-    """Label marginals by loopy sum-product messages along chain and skip edges, damped by half."""
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, column, n) for column in rows.T], axis=1)
+
+
+def _groups(n: int, links: list[tuple[int, int]]) -> np.ndarray:
+    """The connected component of each of n nodes."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return np.array([find(k) for k in range(n)])
+
+
+def marginals(scores: np.ndarray, chain: list[tuple[int, int]], pair: np.ndarray, skips: list[tuple[int, int]], skip: float, listens: list[bool] | None = None, settled: float = 1e-4) -> np.ndarray:
+    """Label marginals by loopy sum-product messages along chain and skip edges, until no message moves by ``settled``.
+
+    New messages are damped by half, and by more after every ``SLOWER`` rounds that do not settle, so that loops
+    that swing come to rest; they are left where they are only if they would still swing at a share of ``LEAST_SHARE``.
+    """
     links = chain + skips
+    real = len(scores)
+    hubs = max((b + 1 - real for _, b in skips), default=0)
+    scores = np.concatenate([scores, np.zeros((max(0, hubs), scores.shape[1]))])
     n, labels = scores.shape
     if not links:
         return np.exp(scores - logsumexp(scores, 1)[:, None])
@@ -194,15 +232,26 @@ def marginals(scores: np.ndarray, chain: list[tuple[int, int]], pair: np.ndarray
     same = np.eye(labels) * skip
     tables = np.array([pair] * len(chain) + [same] * len(skips) + [pair.T] * len(chain) + [same] * len(skips))
     opposite = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-    messages = np.zeros((len(src), labels))
-    for _ in range(rounds):
+    quiet = len(chain) + np.flatnonzero(np.array(listens if listens is not None else [], bool))
+    hub_to_node = np.arange(len(links) + len(chain), 2 * len(links))
+    messages = np.full((len(src), labels), -np.log(labels))
+    share = 0.5
+    for k in itertools.count(1):
         belief = scores.copy()
-        np.add.at(belief, dst, messages)
+        belief += _summed(dst, messages, n)
         out = logsumexp((belief[src] - messages[opposite])[:, :, None] + tables, 1)
+        told = _summed(dst[hub_to_node], messages[hub_to_node], n)
+        out[quiet] = logsumexp((told[src[quiet]] - messages[opposite[quiet]])[:, :, None] + same, 1)
         out -= logsumexp(out, 1)[:, None]
-        messages = 0.5 * messages + 0.5 * out
+        moved = np.abs(out - messages).max()
+        messages = (1 - share) * messages + share * out
+        if moved <= settled or share < LEAST_SHARE:
+            break
+        if k % SLOWER == 0:
+            share *= 0.7
     belief = scores.copy()
-    np.add.at(belief, dst, messages)
+    belief += _summed(dst, messages, n)
+    belief = belief[:real]
     return np.exp(belief - logsumexp(belief, 1)[:, None])
 
 
@@ -222,12 +271,32 @@ class SkipChain:
             kinds.append(next((k for x, y, k in base[at : at + 4] if x < b and a < y), None))
         follows = [k > 0 and found[k][0] - found[k - 1][1] <= 2 for k in range(len(found))]
         scores = self.chain.scores([node_features(text[a:b], text[max(0, a - CONTEXT) : a], f, k) for (a, b), f, k in zip(found, follows, kinds)])
-        alone = np.exp(scores - logsumexp(scores, 1)[:, None])
-        if not base and alone[:, OTHER].min() > 0.5:
-            return [OTHER] * len(found)
         chain = [(k - 1, k) for k in range(1, len(found)) if follows[k]]
+        skips = skip_links([text[a:b] for a, b in found])
+        if self._clear(scores, follows, skips):
+            return [OTHER] * len(found)
         # The chain's first-label weights are in the features; its rows begin anywhere.
-        return marginals(scores, chain, self.chain.pair, skip_links([text[a:b] for a, b in found]), self.skip).argmax(axis=1).tolist()
+        known = (scores.argmax(axis=1) != OTHER) | np.array([k is not None for k in kinds])
+        known = np.append(known, np.zeros(max((h + 1 - len(known) for _, h in skips), default=0), bool))
+        group = _groups(len(known), skips)
+        heard = np.bincount(group, known) > 0
+        listens = [bool(heard[group[k]]) and not known[k] for k, _ in skips]
+        return marginals(scores, chain, self.chain.pair, skips, self.skip, listens).argmax(axis=1).tolist()
+
+    def _clear(self, scores: np.ndarray, follows: list[bool], skips: list[tuple[int, int]]) -> bool:
+        """Whether every node is OTHER whatever it is told.
+
+        A message is a weighted mean over the sender's labels, so it cannot favour a label over OTHER by more than the
+        link's potentials do for the one sender's label that favours it most.
+        """
+        pair, linked = self.chain.pair, np.array([*follows, False])
+        most = np.zeros(scores.shape)
+        most += np.where(linked[:-1, None], (pair - pair[:, [OTHER]]).max(axis=0), 0)
+        most += np.where(linked[1:, None], (pair - pair[[OTHER]]).max(axis=1), 0)
+        most += self.skip * np.bincount(np.array([k for k, _ in skips], int), minlength=len(scores))[:, None]
+        gap = scores[:, [OTHER]] - scores - most
+        gap[:, OTHER] = np.inf
+        return bool(gap.min() > 0)
 
 
 def scan_text(text: str | None, model: SkipChain) -> tuple[list[Span], list[Span]]:
