@@ -26,15 +26,19 @@ from .common import map_texts
 # Elements that HTML names as inline, void, raw text, and sectioning.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = "script|style|noscript|template|iframe|svg|math|object|canvas|textarea|select|title|head"
+_DROPPED = frozenset("script style noscript template iframe svg math object canvas textarea select title".split())
+# Of these, what has no end tag goes on to the end of the page; of the others, only the tag is dropped.
+_RAW = frozenset("script style iframe textarea title".split())
+_IN_HEAD = frozenset("base link meta html head".split())
 _CLOSED_BY_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<({_DROPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in (*_DROPPED, "head")}
 _NAME = re.compile(r"[a-z]+")
 # Words in class and id names that hint at what an element holds.
 _BAD = frozenset(
@@ -42,6 +46,11 @@ _BAD = frozenset(
     " legal login masthead menu meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related"
     " reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar tooltip widget".split()
 )
+# Names of what an element has beside its content, and of headers that belong to an article.
+_BESIDE = re.compile(r"(?<![\w-])(?:has|no|with|without)[-_][\w-]*")
+_OWN_HEADER = re.compile(r"(?<![\w-])(entry|post|article)[-_]header(?![\w-])")
+# Bad names of layout, which an article or main element inside lifts; one in comments or teasers stays bad.
+_LAYOUT = frozenset("footer header menu nav navbar navigation overlay sidebar skip login signup cookie cookies consent".split())
 _GOOD = frozenset("article body content entry main post story text".split())
 _NAV_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -81,6 +90,7 @@ class _Open:
     heading: bool = False
     item: bool = False
     hidden: bool = False
+    layout: bool = False
 
 
 @dataclass
@@ -104,7 +114,9 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text and not any(o.hidden for o in self.stack):
             has = lambda what: any(getattr(o, what) for o in self.stack)
-            self.blocks.append(Block(text, self.linked, has("article"), has("boilerplate"), has("bad"), has("good"), has("heading"), has("item")))
+            inner = max((k for k, o in enumerate(self.stack) if o.article), default=0)
+            bad = any(o.bad and not (o.layout and k < inner) for k, o in enumerate(self.stack))
+            self.blocks.append(Block(text, self.linked, has("article"), has("boilerplate"), bad, has("good"), has("heading"), has("item")))
         self.parts, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -113,11 +125,14 @@ class _Reader:
         if tag == "li" and self.stack and self.stack[-1].tag == "li":
             self.stack.pop()
         names: set[str] = set()
-        hidden = False
+        hidden = own = False
         if attributes.strip():
             for m in _ATTRIBUTE.finditer(attributes):
                 what, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if what in ("class", "id", "aria-label"):
+                    own |= what != "aria-label" and _OWN_HEADER.search(value) is not None
+                    if what != "aria-label":
+                        value = _OWN_HEADER.sub(r"\1", _BESIDE.sub(" ", value))
                     names |= set(_NAME.findall(value))
                 elif what == "role" and value in _NAV_ROLES:
                     names.add("nav")
@@ -126,13 +141,14 @@ class _Reader:
         self.stack.append(
             _Open(
                 tag,
-                boilerplate=tag in ("nav", "footer", "aside", "form", "menu", "dialog", "button") or (tag == "header" and not inside),
+                boilerplate=tag in ("nav", "footer", "aside", "form", "menu", "dialog", "button") or (tag == "header" and not inside and not own),
                 article=tag in ("article", "main"),
                 bad=tag not in ("body", "html", "article", "main") and bool(names & _BAD),
                 good=bool(names & _GOOD) and not names & _BAD,
                 heading=tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
                 item=tag in ("li", "td", "th", "dd", "dt"),
                 hidden=hidden,
+                layout=not names & _BAD - _LAYOUT,
             )
         )
 
@@ -147,30 +163,54 @@ def blocks(page: str | None) -> list[Block]:
     """The flat blocks of a page in page order."""
     if not page:
         return []
-    r, at = _Reader(), 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    r, at, in_head = _Reader(), 0, False
+    unclosed: set[str] = set()
+
+    def end_of(tag: str, start: int) -> int:
+        """Where the end tag from ``start`` on ends, -1 if there is none; a tag that has none is sought once."""
+        found = None if tag in unclosed else _ENDS[tag].search(page, start)
+        if found is None:
+            unclosed.add(tag)
+        return found.end() if found else -1
+
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not in_head:
             r.take(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[2] is None:
+            if in_head:
+                continue
             if m[0].startswith("<![CDATA["):
                 r.take(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[3].lower()
+        tag = m[2].lower()
+        if tag in _DROPPED:
+            if not m[1] and not (tag in ("svg", "math") and m[0].endswith("/>")):
+                end = end_of(tag, at)
+                at = end if end >= 0 else len(page) if tag in _RAW else at
+                continue
+            if not m[1]:
+                continue
+        if tag == "head":
+            r.flush()
+            # Without an end tag, the head ends with its last element, and text is of the body.
+            in_head = not m[1] and (in_head or end_of(tag, at) >= 0)
+            continue
+        in_head = in_head and tag in _IN_HEAD
         if tag in _INLINE:
             if tag == "a":
-                r.links = max(0, r.links + (-1 if m[2] else 1))
+                r.links = max(0, r.links + (-1 if m[1] else 1))
             elif tag in ("img", "wbr"):
                 continue
             continue
         r.flush()
         if tag == "br" or tag in _VOID:
             continue
-        if m[2]:
+        if m[1]:
             r.close(tag)
         else:
             r.links = 0
-            r.open(tag, m[4] or "")
+            r.open(tag, m[3] or "")
     r.take(page[at:])
     r.flush()
     return r.blocks
