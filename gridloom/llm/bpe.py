@@ -4,7 +4,9 @@ For every word a greedy longest match proposes tokens. The proposal is right exa
 of its adjacent pairs is: when the merges, run on the two tokens' characters alone, give the two
 tokens back. Pairs are checked for all words of a batch at once against a sorted table of pairs
 already judged; only pairs never seen before are judged by merging, and only words with a failing
-pair are merged exactly. Words are cached up to a bound, after which the cache starts anew.
+pair are merged exactly, by a heap of their pairs, in a time that grows with n log n of their
+characters. Words are cached up to bounds on their number and characters, after which the cache
+starts anew.
 
 The vocabulary file is named by path; it is read by each Python worker once and never copied.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import itertools
 import json
 import unicodedata
@@ -30,6 +33,10 @@ from .common import map_texts
 
 #: Words and pairs that a worker remembers.
 CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
+#: Characters of the words that a worker remembers.
+CACHE_CHARS = 8_000_000
+#: Symbols from which a word is merged by a heap; shorter ones are searched, with the same result.
+LONG_WORD = 64
 SUFFIX = "</w>"
 
 # The printable stand-ins of bytes in byte-level vocabularies are the bytes that
@@ -90,6 +97,7 @@ class WordBpe:
         self.final = {k[: -len(SUFFIX)]: v for k, v in self.ids.items() if k.endswith(SUFFIX)}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.sound: dict[int, bool] = {}
         self.pairs = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
@@ -98,6 +106,8 @@ class WordBpe:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges in rank order, leftmost first."""
+        if len(symbols) >= LONG_WORD:
+            return self.merge_long(symbols)
         get, none = self.ranks.get, len(self.ranks)
         symbols = list(symbols)
         ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
@@ -111,6 +121,29 @@ class WordBpe:
                 ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
         return symbols
 
+    def merge_long(self, symbols: list[str]) -> list[str]:
+        """The same for long words: a heap of (rank, place of the left symbol), over a linked list of symbols."""
+        ranks, own = self.ranks, [*symbols, ""]
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[pair], k) for k, pair in enumerate(zip(own, own[1:n])) if pair in ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            nxt = after[k]
+            # A symbol that has been merged away is empty, and in no pair.
+            if nxt == n or ranks.get((own[k], own[nxt])) != rank:
+                continue
+            own[k], own[nxt] = own[k] + own[nxt], ""
+            after[k] = after[nxt]
+            if after[k] < n:
+                before[after[k]] = k
+                if (found := ranks.get((own[k], own[after[k]]))) is not None:
+                    heapq.heappush(heap, (found, k))
+            if before[k] >= 0 and (found := ranks.get((own[before[k]], own[k]))) is not None:
+                heapq.heappush(heap, (found, before[k]))
+        return [x for x in own if x]
+
     def symbols(self, token: str) -> list[str]:
         """The single characters of a token, the last one with the word's end if it has it."""
         if token.endswith(SUFFIX):
@@ -191,15 +224,17 @@ class WordBpe:
                 self.words[word] = ids
         for chunk, ws in zip(chunks, split):
             self.chunks[chunk] = tuple(t for w in ws for t in self.words[w])
+            self.held += len(chunk)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of every text.
 
         No word crosses a space or a line end, so a text is looked up chunk by chunk between them.
         """
-        if len(self.chunks) > CACHE_WORDS:
+        if len(self.chunks) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.chunks.clear()
-        if len(self.words) > CACHE_WORDS:
+            self.held = 0
+        if len(self.words) > CACHE_WORDS or not self.chunks:
             self.words.clear()
         parts: list[list[str | list[str]]] = []
         for text in texts:
