@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows that a Python task handles at once; bounds what its temporary arrays take.
 CHUNK_ROWS = 128
 
+#: Rows of one key from which a join treats the key as hot, and how many hot keys there can be at most.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
 _ROW_TEXT = "__row_text"
 
 
@@ -46,6 +49,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], size_col: str, total: int) -> DataFrame:
+    """Inner join where ``right``, a written table, has one row a key and says how many of the ``total`` rows of ``left`` have it.
+
+    Rows of hot keys stay where they are and meet a broadcast of their keys, of which there are no more than
+    ``HOT_KEYS`` by count; the others are shuffled. So no task gets all rows of a large group.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.where(F.col(size_col) > most)
+    if hot.isEmpty():
+        return left.join(right, list(keys))
+    few = F.broadcast(hot)
+    cold = left.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(right.where(F.col(size_col) <= most), list(keys))
+    return left.join(few, list(keys)).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,8 @@ partitions, correlated bits together, every partition gets its own threshold, ch
 programming on candidate counts estimated from a sample, and thresholds that sum to
 ``distance - partitions + 1`` (-1: the partition is not probed) guarantee that a linked pair
 agrees within the threshold on some partition. Every row is probed, candidates are verified, and
-links are contracted to components.
+links are contracted to components. Joins on a bucket, node, component or fingerprint that many
+rows share leave these rows where they are (``join_spread``).
 
 Exact copies share a fingerprint, so only distinct fingerprints are probed: a group of copies is
 one row. Members of a bucket are not paired with each other in the plan: a bucket is cut into
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, quoted
+from .common import join_spread, map_texts, materialize, quoted
 
 BITS = 64
 SHINGLE = 4
@@ -42,7 +43,9 @@ SAMPLE = 4096
 #: Members of a bucket that one side of a verifying task holds at most (in expectation).
 BLOCK = 2048
 #: Members of a group whose pairs are compared at once with those of other groups of its size.
-TINY = 24
+TINY = 64
+#: Comparisons of two fingerprints that one probe, which is written, shuffled and sorted, is worth.
+PROBE_COST = 64
 #: Word shingles hashed at once.
 HASHED = 65536
 
@@ -116,8 +119,9 @@ def _ball(width: int, radius: int) -> int:
 def choose_plan(sample: np.ndarray, rows: int, distance: int, most_probes: int = 2048) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, of least estimated cost for ``rows`` distinct fingerprints.
 
-    For every number of partitions, the cost of a partition at a threshold is its probes a row
-    plus the candidates that the sample's own pairs suggest; the thresholds are allocated by
+    For every number of partitions, the cost of a partition at a threshold is its probes a row,
+    each at ``PROBE_COST``, plus the candidates that the sample's own pairs suggest, which keeps
+    probes, and with them the shuffle, few until buckets are large; the thresholds are allocated by
     dynamic programming over partitions and what remains of the sum.
     """
     rng = np.random.default_rng(7)
@@ -138,7 +142,7 @@ def choose_plan(sample: np.ndarray, rows: int, distance: int, most_probes: int =
                 if probes > most_probes:
                     break
                 share = max((near <= t).mean() if len(near) else 0.0, probes / 2.0 ** len(g))
-                row[t] = probes + rows * share
+                row[t] = PROBE_COST * probes + rows * share
             costs.append(row)
         # table: what is left of the sum -> (cost, thresholds so far)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -219,11 +223,11 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
                     made = [np.full(len(fps), p, np.int32), (own ^ np.uint64(flip)).view(np.int64), fps.view(np.int64), np.full(len(fps), k > 0)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
 
-    placed = distinct.select("fp").mapInArrow(probe, "part int, key bigint, fp bigint, probe boolean")
+    placed = materialize(distinct.select("fp").mapInArrow(probe, "part int, key bigint, fp bigint, probe boolean"), "probes")
     # A bucket in which nothing is at home has only probes, which meet elsewhere: it is dropped with the lonely ones.
     sizes = placed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("probe")).cast("int")).alias("own"))
-    sizes = sizes.where("n > 1 AND own > 0").select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = placed.join(sizes, ["part", "key"])
+    sizes = materialize(sizes.where("n > 1 AND own > 0").select("part", "key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
+    met = join_spread(placed, sizes, ["part", "key"], "n", placed.count())
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("part", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "probe")
@@ -291,16 +295,20 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest chain.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    size = now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = materialize(least.select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = join_spread(both.where("v > u"), least, ["u"], "n", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        tied = join_spread(large, least, ["u"], "n", large.count())
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         nxt = materialize(small.where("u <> v").distinct(), "small")
-        done = now.exceptAll(nxt).isEmpty() and nxt.exceptAll(now).isEmpty()
+        # Edges are distinct, so two tables of one size are equal if one has no edge of its own.
+        was, size = size, nxt.count()
+        done = was == size and nxt.join(now, ["u", "v"], "left_anti").isEmpty()
         now = nxt
         if done:
             return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
@@ -314,16 +322,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     slim = docs.select(*{c: quoted(c) for c in (id_col, text_col)}.values())
     prints = materialize(fingerprints(slim, text_col, [id_col]), "fingerprints")
     known = _roots(prints, id_col, distance)
-    heads = known.where("fp <> root").select("fp", "root", "least_id")
-    alone = known.where("fp = root")
-    best = heads.select("root", "least_id").unionByName(alone.select("root", "least_id")).groupBy("root").agg(F.min("least_id").alias("component_id"))
-    mapped = materialize(known.select("fp", "root").join(best, "root").select("fp", "component_id"), "components")
-    return prints.join(mapped, "fp", "left").select(quoted(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    best = known.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    best = materialize(best, "components")
+    mapped = join_spread(known.select("fp", "rows", "root"), best, ["root"], "prints", known.count()).select("fp", "rows", "component_id")
+    mapped = materialize(mapped, "mapped")
+    found = join_spread(prints, mapped, ["fp"], "rows", prints.count())
+    return found.select(quoted(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _roots(prints: DataFrame, id_col: str, distance: int) -> DataFrame:
-    """(fp, least_id, root) of every distinct fingerprint, the root naming its component."""
-    least = materialize(prints.groupBy("fp").agg(F.min(quoted(id_col)).alias("least_id")), "distinct")
+    """(fp, least_id, rows, root) of every distinct fingerprint, the root naming its component."""
+    least = materialize(prints.groupBy("fp").agg(F.min(quoted(id_col)).alias("least_id"), F.count(F.lit(1)).alias("rows")), "distinct")
     roots = components(links(least.select("fp"), distance))
     known = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return materialize(known, "roots")
