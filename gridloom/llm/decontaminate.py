@@ -1,13 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton of the benchmark items.
 
-The automaton of all normalised items (lower-cased ASCII, words of letters, digits and
-non-ASCII characters) is built once and broadcast. Tasks stream the words of each document
-through it and track the longest match that ends at every word: a match of 13 words ends a
-window, and shorter items, which are one window each, are found on the suffix links.
-
-The benchmark is cut into shards of at most ``SHARD_WORDS`` words, each with its own automaton,
-so that what is broadcast is bounded; documents pass through one shard after another without a
-shuffle, carrying their hit spans along.
+The words of all normalised items (lower-cased ASCII, words of letters, digits and non-ASCII
+characters) are broadcast, and every Python worker builds their automaton once. Tasks stream the
+words of each document through it and track the longest match that ends at every word: a match
+of 13 words ends a window, and shorter items, which are one window each, are found on the suffix
+links.
+
+The benchmark is cut into shards of at most ``SHARD_WORDS`` words (an item of more is a shard of
+its own), each with its own automaton. A stage streams documents through the automata of up to
+``GROUP`` shards without a shuffle; where there are more, its result, with the hit spans so far,
+is written to the shared folder for the next stage, and its broadcasts are dropped. So neither a
+task nor the driver holds more than ``GROUP`` shards, however large the benchmark.
 
 Cases: a null or empty text has no words and no hits; null or empty items have no windows;
 repeated items count by their id once each; null item ids are left out of the list of ids; an
@@ -16,6 +19,7 @@ empty benchmark or table gives no hits; clashing input columns are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import CHUNK_ROWS, other_columns, quoted
+from .common import CHUNK_ROWS, materialize, other_columns, quoted
 
 WINDOW = 13
 #: A document is contaminated if this many times its hit words are no fewer than its words.
 COVERAGE = 20
 #: Item words of one automaton; a state takes about 300 bytes in Python.
 SHARD_WORDS = 100_000
+#: Shards whose automata a task holds at once.
+GROUP = 4
 
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -192,6 +198,19 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int
         yield shard
 
 
+#: Automata that this worker has built, with their items' names and vocabularies, by shard.
+_BUILT: dict[str, tuple[list[str | None], dict[bytes, int], SuffixAutomaton]] = {}
+
+
+def _built(key: str, box) -> tuple[list[str | None], dict[bytes, int], SuffixAutomaton]:
+    if key not in _BUILT:
+        while len(_BUILT) >= GROUP:
+            _BUILT.pop(next(iter(_BUILT)))
+        names, words, items = box.value
+        _BUILT[key] = names, {w: k for k, w in enumerate(words)}, SuffixAutomaton([(i, seq.tolist()) for i, seq in items])
+    return _BUILT[key]
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -210,9 +229,9 @@ def scan(
     arrow = to_arrow_schema(schema)
     context = docs.sparkSession.sparkContext
 
-    def passing(box) -> Callable:
+    def passing(shards: list) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vocabulary, automaton = box.value if box is not None else ([], {}, None)
+            automata = [_built(key, box) for key, box in shards]
             for batch in batches:
                 for at in range(0, batch.num_rows, CHUNK_ROWS):
                     part = batch.slice(at, CHUNK_ROWS)
@@ -220,25 +239,33 @@ def scan(
                     old_spans, old_items = part.column(len(kept) + 2).to_pylist(), part.column(len(kept) + 3).to_pylist()
                     for text, was, had in zip(part.column(len(kept)).to_pylist(), old_spans, old_items):
                         words = words_of(text)
-                        new, found = hits(words, vocabulary, automaton) if automaton else ([], set())
+                        every, known = [(x["start"], x["end"]) for x in was], set(had)
+                        for names, vocabulary, automaton in automata:
+                            new, found = hits(words, vocabulary, automaton)
+                            every += new
+                            known |= {names[k] for k in found if names[k] is not None}
                         counts.append(len(words))
-                        spans.append([{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in was] + new)])
-                        items.append(sorted({*had, *(names[k] for k in found if names[k] is not None)}))
+                        spans.append([{"start": a, "end": b} for a, b in _merged(every)])
+                        items.append(sorted(known))
                     made = [pa.array(x, type=arrow.field(len(kept) + 1 + i).type) for i, x in enumerate((counts, spans, items))]
                     columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept) + 1)]
                     yield pa.RecordBatch.from_arrays([*columns, *made], schema=arrow)
 
         return run
 
-    done = False
+    group: list = []
     for shard in _shards(benchmark, item_col, item_text_col, shard_words):
+        if len(group) == GROUP:
+            now = materialize(now.mapInArrow(passing(group), schema), "decontaminated")
+            for _, box in group:
+                box.destroy()
+            group = []
         names = sorted({i for i, _ in shard}, key=lambda i: (i is None, i or ""))
         index = {n: k for k, n in enumerate(names)}
         vocabulary: dict[bytes, int] = {}
-        items = [(index[i], [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for i, words in shard]
-        now = now.mapInArrow(passing(context.broadcast((names, vocabulary, SuffixAutomaton(items)))), schema)
-        done = True
-    return now if done else now.mapInArrow(passing(None), schema)
+        items = [(index[i], np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32)) for i, words in shard]
+        group.append((uuid.uuid4().hex, context.broadcast((names, list(vocabulary), items))))
+    return now.mapInArrow(passing(group), schema)
 
 
 def verdicts(scanned: DataFrame, coverage: int = COVERAGE) -> DataFrame:
