@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a linear-chain CRF that adds what they miss.
 
-Tokens are tagged as the begin or inside of a secret, or as outside, from their shape, the words
-before them, and features of the file. Tokens under ``MIN_TOKEN`` characters, and words in plain
-case that no key or auth word precedes, can only be outside; the chain falls apart at them, so
-only runs of the other tokens are decoded, which gives the labels that decoding the whole text
-would. The CRF is fitted on a small labelled table
-that this module spells out. Spans of the patterns always stay; spans of the CRF that touch none
-of them are added under the kind ``secret``.
+The words and tokens of a whole text are one chain, whose labels are the begin or inside of a
+secret, or outside. Labels follow from a token's shape, the words before and after it, features of
+the file and the label before, and are decoded by Viterbi. Tokens under ``MIN_TOKEN`` characters, and
+words in plain case that no key or auth word precedes, can only be outside: between two of these, the
+chain's best labels are those of the tokens there, with the weights of the steps from and to outside,
+so only such runs are decoded, which gives the labels of decoding the whole text. The CRF is fitted
+on whole sentences of a small labelled table that this module makes. Spans of the patterns always
+stay; spans of the CRF that touch none of them are added under the kind ``secret``.
 
 Cases: a null or empty text has no spans; spans are in code points, ends exclusive; repeated
 rows are scanned alike; clashing input columns are replaced; an empty table stays empty.
@@ -23,6 +24,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +68,17 @@ _DIGIT = re.compile(r"[0-9]")
 #: A name and its value in one token, as in ``pwd=...``.
 _PAIR = re.compile(r"(-{0,2}[A-Za-z][A-Za-z_.-]*=)(?=[^=])")
 _CODE = re.compile(r"(?m)^[^\S\n]*+(?:export |const |let |var |[A-Za-z_]++\s*+[:=]|[#{}])")
-#: Characters before a token that its features see.
+#: Characters before and after a token that its features see.
 CONTEXT = 48
+BEGIN, OUTSIDE, INSIDE = range(3)
+_WORD = re.compile(r"\w")
 
 FEATURES = [
     "bias", "long20", "long32", "mixed_case", "digits_only", "digits_dots", "hex_only", "has_base64", "dashed_groups",
     "slashes", "has_dot", "high_entropy", "many_turns", "known_prefix", "key_word", "auth_word", "benign_word", "equals",
     "colon", "quoted", "at_before", "plus_before", "after_run", "code_file", "vowel_word", "underscored_words",
-    "short", "no_digit", "one_case", "assigned", "bearer_before", "two_humps",
+    "short", "no_digit", "one_case", "assigned", "bearer_before", "two_humps", "key_after", "benign_after", "quoted_after",
+    "plain",
 ]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
@@ -102,8 +107,8 @@ def _entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
 
 
-def token_features(token: str, before: str, after_run: bool, code_file: bool) -> list[int]:
-    """Active features of a token, given the characters before it."""
+def token_features(token: str, before: str, after: str, after_run: bool, code_file: bool) -> list[int]:
+    """Active features of a token, given the characters before and after it."""
     if m := _PAIR.match(token):
         before, token = before + m[1], token[m.end() :]
     letters = re.sub(r"[^A-Za-z]", "", token)
@@ -112,6 +117,7 @@ def token_features(token: str, before: str, after_run: bool, code_file: bool) ->
     assigned = _ASSIGNED.search(before[-CONTEXT:])
     tail = before.rstrip(" ")[-1:]
     near = before[-4:]
+    following = {w.lower() for w in re.findall(r"[A-Za-z]{2,}", after[:CONTEXT].partition("\n")[0])[:4]}
     on = {
         "bias": True,
         "long20": len(token) >= 20,
@@ -145,6 +151,9 @@ def token_features(token: str, before: str, after_run: bool, code_file: bool) ->
         "assigned": assigned is not None and bool({w.lower() for w in (*assigned[1].split("_"), assigned[1])} & _NAMED),
         "bearer_before": bool(_BEARER.search(before[-CONTEXT:])),
         "two_humps": bool(re.fullmatch(r"[A-Z]?[a-z]*(?:[A-Z]+[a-z]{2,}){1,3}[A-Z]{0,4}|(?:[A-Z]?[a-z]+[./+~=-]+)+[A-Z]?[a-z]*", token)),
+        "key_after": bool(following & _NAMED),
+        "benign_after": bool(following & _BENIGN),
+        "quoted_after": after[:1] in ("'", '"', "`") and bool(after),
     }
     return [_AT[f] for f, yes in on.items() if yes]
 
@@ -172,6 +181,17 @@ def _is_code(text: str) -> bool:
     return sum(1 for _ in itertools.islice(_CODE.finditer(text), 3)) == 3
 
 
+def run_labels(model: LinearChain, scores: np.ndarray, preceded: bool, followed: bool) -> list[int]:
+    """Best labels of neighbouring tokens between others that are outside, or at an end of the text."""
+    scores = scores.copy()
+    if preceded:
+        # Viterbi adds the weights of first labels, which this token has none of.
+        scores[0] += model.pair[OUTSIDE] - model.first
+    if followed:
+        scores[-1] += model.pair[:, OUTSIDE]
+    return model.viterbi(scores)
+
+
 def crf_spans(text: str, model: LinearChain) -> list[Span]:
     """Spans that the CRF tags as secrets."""
     found = candidates(text)
@@ -180,19 +200,22 @@ def crf_spans(text: str, model: LinearChain) -> list[Span]:
     code = _is_code(text)
     runs: list[list[tuple[int, int]]] = []
     for a, b in found:
-        if runs and a - runs[-1][-1][1] <= 1:
+        if runs and not _WORD.search(text, runs[-1][-1][1], a):
             runs[-1].append((a, b))
         else:
             runs.append([(a, b)])
     out: list[Span] = []
-    for run in runs:
-        tokens = [token_features(text[a:b].rstrip(".="), text[max(0, a - CONTEXT) : a], k > 0, code) for k, (a, b) in enumerate(run)]
-        for tag, (a, b) in zip(model.viterbi(model.scores(tokens)), run):
+    for k, run in enumerate(runs):
+        near = [False] + [a - b <= 1 for (_, b), (a, _) in zip(run, run[1:])]
+        tokens = [token_features(text[a:b].rstrip(".="), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], n, code) for (a, b), n in zip(run, near)]
+        preceded = k > 0 or _WORD.search(text, 0, run[0][0]) is not None
+        followed = k + 1 < len(runs) or _WORD.search(text, run[-1][1]) is not None
+        for tag, n, (a, b) in zip(run_labels(model, model.scores(tokens), preceded, followed), near, run):
             b -= len(text[a:b]) - len(text[a:b].rstrip("."))
-            if tag == 0 or (tag == 2 and (not out or out[-1][1] < a - 1)):
-                out.append((a, b, "secret"))
-            elif tag == 2:
+            if tag == INSIDE and n and out and out[-1][1] >= a - 1:
                 out[-1] = (out[-1][0], b, "secret")
+            elif tag != OUTSIDE:
+                out.append((a, b, "secret"))
     return out
 
 
@@ -270,18 +293,54 @@ def labelled_table() -> list[tuple[str, str, bool]]:
     return rows
 
 
+def labelled_sentences() -> list[tuple[str, list[tuple[int, int]], list[int]]]:
+    """Whole sentences of the labelled table: text, candidate tokens, and their labels."""
+    rng = random.Random(23)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alnum = lower + lower.upper() + "0123456789"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    ends = ["", ".", " is it.", " and so on", "\nhost: here", " # for the build", " was sent to them"]
+    out = []
+
+    def put(text: str, secrets: list[str]) -> None:
+        spans = candidates(text)
+        at = [(text.index(x), text.index(x) + len(x)) for x in secrets]
+        labels = [next((BEGIN if k == 0 else INSIDE for k, (a, b) in enumerate(at) if a <= x and y <= b + 1), OUTSIDE) for x, y in spans]
+        # A token that holds the name and the value is the secret as well.
+        labels = [BEGIN if at and label == OUTSIDE and x <= at[0][0] and at[0][1] <= y else label for label, (x, y) in zip(labels, spans)]
+        if spans:
+            out.append((text, spans, labels))
+
+    for before, token, secret in labelled_table():
+        quote = before[-1:] if before[-1:] in ("'", '"') else ""
+        put(before + token + quote + rng.choice(ends), [token] if secret else [])
+        if rng.random() < 0.5:
+            put("it was seen that " + before + token + quote + rng.choice(ends), [token] if secret else [])
+    for k in range(60):
+        pem = [draw(alnum + "+/", 64) for _ in range(rng.randint(2, 4))]
+        put("-----BEGIN PRIVATE KEY-----\n" + "\n".join(pem) + "\n-----END PRIVATE KEY-----\n", pem)
+        token = draw(alnum, rng.randint(14, 30)) + "4"
+        put(rng.choice(["use ", "they sent ", "", "take "]) + token + rng.choice([" as the password", " is the token", " for a password", " is our secret key"]), [token])
+        put(rng.choice(["see ", "they sent ", "take "]) + token[:8].lower() + draw("0123456789", 4) + rng.choice([" as the order", " is the invoice", " in the file", " on the page"]), [])
+        put(f"the keys are {token} {draw(lower, 5)} of it and {draw(lower, 4)}", [token])
+    return out
+
+
 @functools.cache
 def fitted() -> LinearChain:
-    """The CRF over labels begin (0), outside (1), inside (2), fitted on the labelled table."""
+    """The CRF over labels begin (0), outside (1), inside (2), fitted on the labelled sentences."""
     sequences = []
-    rows = labelled_table()
-    for before, token, secret in rows:
-        sequences.append(([token_features(token, before, False, False)], [0 if secret else 1]))
-        sequences.append(([token_features(token, before, False, True)], [0 if secret else 1]))
-    for (b1, t1, s1), (_, t2, s2) in zip(rows[::5], rows[2::7]):
-        first = token_features(t1, b1, False, False)
-        second = token_features(t2, b1 + t1 + " ", True, False)
-        sequences.append(([first, second], [0 if s1 else 1, (2 if s1 else 0) if s2 else 1]))
+    for k, (text, spans, labels) in enumerate(labelled_sentences()):
+        tokens, ys, at = [], [], 0
+        for (a, b), y in zip(spans, labels):
+            plain = len(re.findall(r"\w+", text[at:a]))
+            tokens += [[_AT["bias"], _AT["plain"]]] * plain
+            ys += [OUTSIDE] * plain
+            tokens.append(token_features(text[a:b].rstrip(".="), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], bool(ys) and not plain and a - at <= 1, k % 2 == 0))
+            ys.append(y)
+            at = b
+        plain = len(re.findall(r"\w+", text[at:]))
+        sequences.append((tokens + [[_AT["bias"], _AT["plain"]]] * plain, ys + [OUTSIDE] * plain))
     return LinearChain(len(FEATURES), 3).fit(sequences)
 
 
