@@ -1,5 +1,7 @@
 """What a pattern recognises once reaches all repeats, however many and however far."""
 
+import itertools
+
 import numpy as np
 
 from gridloom.llm import pii
@@ -27,3 +29,64 @@ def test_silence_is_what_messages_would_say():
         always._clear = lambda *a: False
         if found:
             assert model.labels(text, found, base) == always.labels(text, found, base)
+
+
+def _exact(scores, chain, pair, skips, skip):
+    """Marginals, and log likelihoods of labellings, by summing over all labellings of nodes and hubs."""
+    n, labels = scores.shape
+    hubs = max((b + 1 - n for _, b in skips), default=0)
+    out, total = np.zeros((n, labels)), -np.inf
+    value = lambda ys: sum(scores[k][ys[k]] for k in range(n)) + sum(pair[ys[a], ys[b]] for a, b in chain) + sum(skip * (ys[a] == ys[b]) for a, b in skips)
+    for ys in itertools.product(range(labels), repeat=n + hubs):
+        w = value(ys)
+        total = np.logaddexp(total, w)
+        for k in range(n):
+            out[k, ys[k]] += np.exp(w)
+    return out / out.sum(axis=1, keepdims=True), lambda ys: value(ys) - total
+
+
+def test_marginals_are_exact_on_trees_and_near_on_loops():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        scores, pair, skip = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), float(rng.uniform(0.2, 2))
+        for chain, skips, most in (([(0, 1), (2, 3)], [(1, 5), (2, 5), (4, 5)], 1e-3), ([], [(0, 5), (1, 5), (1, 6), (3, 6)], 1e-3), ([(0, 1), (1, 2), (2, 3), (3, 4)], [(0, 5), (4, 5)], 0.12)):
+            got = pii.marginals(scores, chain, pair, skips, skip, settled=1e-7)
+            assert np.abs(got - _exact(scores, chain, pair, skips, skip)[0]).max() < most
+
+
+def test_slopes_of_all_potentials():
+    """Seen less expected counts are the slopes of the exact log likelihood, on a document without loops."""
+    sample = pii.Sample([("call 5455552355 or . see 5455552355 of it . on 1999 now", [3, 3, 4])])
+    rng = np.random.default_rng(1)
+    scores, pair, skip = rng.normal(size=(3, 5)), rng.normal(size=(5, 5)), 0.7
+    assert len(sample.skips) == 2 and not sample.chain or len(sample.chain) <= 2
+    graph = sample.graph
+    tables, messages = graph.tables(pair, skip), graph.start()
+    for _ in range(50):
+        messages = graph.sent(scores, tables, messages, graph.quiet(None))
+    node, pairs, ties = sample.slopes(pair, skip, scores, messages)
+    ys = [*sample.gold, *sample.hub_gold[graph.real :]]
+
+    def loss(scores, pair, skip):
+        return _exact(scores, sample.chain, pair, sample.skips, skip)[1](ys)
+
+    step = 1e-4
+    assert abs((loss(scores, pair, skip + step) - loss(scores, pair, skip - step)) / (2 * step) - ties) < 1e-3
+    for at in np.ndindex(scores.shape):
+        up, down = scores.copy(), scores.copy()
+        up[at], down[at] = up[at] + step, down[at] - step
+        assert abs((loss(up, pair, skip) - loss(down, pair, skip)) / (2 * step) - node[at]) < 1e-3
+    up = pair.copy()
+    up[3, 4] += step
+    assert abs((loss(scores, up, skip) - loss(scores, pair, skip)) / step - pairs[3, 4]) < 1e-2
+
+
+def test_the_fitted_weight_carries_over_repeats():
+    model = pii.fitted()
+    assert model.skip > 1
+    text = "call +1 (545) 555-2355 now." + " later 5455552355 was seen ." * 60
+    assert len(pii.scan_text(text, model)[1]) == 61
+    assert pii.scan_text("later 5455552355 was seen . " * 60, model)[1] == []
+    docs = pii.labelled_documents()
+    wrong = [t for t, ys in docs if model.labels(t, pii.nodes(t), pii.base_spans(t)) != ys]
+    assert len(wrong) <= len(docs) // 50
