@@ -5,9 +5,11 @@ risk of the negatives is the unlabelled risk less the share of positives in it,
 prior, and is kept from going below zero. Features are the presence of hashed words; the
 ones that tell positives from unlabelled texts best are selected by their log-likelihood ratio.
 
-Training takes at most about ``POSITIVES`` toxic and ``UNLABELLED`` other rows, chosen by a hash
-of their ids; words are counted in Spark, and only the selected ones' packed presence bits
-reach the driver.
+Words are counted over all learning rows. The classifier is fitted on at most about ``POSITIVES``
+toxic and ``UNLABELLED`` other rows, chosen by a hash of their ids; only their selected words' packed
+presence bits reach the driver. The weight of the regulariser is the one of ``L2`` of the least
+non-negative risk of verdicts (zero-one loss) on rows of these that it was not fitted on, over
+``FOLDS`` folds; other rows have no part in it.
 
 Cases: null and empty texts have no words and get the score of the bias; without confirmed
 toxic rows every score is 0; a document labelled more than once is toxic if any label says so;
@@ -32,7 +34,9 @@ POSITIVES, UNLABELLED = 3000, 9000
 SELECTED = 512
 #: Least log-likelihood ratio of a selected word; chance alone seldom gives it among all words.
 LEAST_RATIO = 4.0
-EPOCHS, RATE, L2 = 600, 0.05, 1e-4
+EPOCHS, RATE = 300, 0.05
+#: Weights of the regulariser that are tried, and the folds of the learning rows that they are tried on.
+L2, FOLDS = (1e-5, 1e-4, 1e-3), 3
 
 
 class Linear:
@@ -53,25 +57,50 @@ def features(text: str | None, table: np.ndarray) -> np.ndarray:
     return np.unique(found[found >= 0])
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk under the logistic loss, by Adam."""
-    width = positive.shape[1]
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    p = np.hstack([positive, np.ones((len(positive), 1))]).astype(np.float32)
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1))]).astype(np.float32)
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positives' share of the risk under the logistic loss, and the negatives', before it is kept from below zero."""
     soft = lambda z: np.logaddexp(0, z)
+    return prior * float(soft(-zp).mean()), float(soft(zu).mean()) - prior * float(soft(zp).mean())
+
+
+def slope(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The direction of steepest ascent that a step goes down: of the risk, or back up that of overfitted negatives."""
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    zp, zu = p @ w, u @ w
+    negative = u.T @ sig(zu) / len(u) - prior * (p.T @ sig(zp)) / len(p)
+    if risk(zp, zu, prior)[1] < 0:
+        return -negative
+    return negative - prior * (p.T @ sig(-zp)) / len(p)
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+
+
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk under the logistic loss, by Adam."""
+    w = np.zeros(positive.shape[1] + 1, np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    p, u = _with_one(positive), _with_one(unlabelled)
     for step in range(1, epochs + 1):
-        zp, zu = p @ w, u @ w
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        slope_negative = u.T @ sig(zu) / len(u) - prior * (p.T @ sig(zp)) / len(p)
-        slope_positive = -prior * (p.T @ sig(-zp)) / len(p)
-        # Below zero the negatives' risk is overfitted: the step goes back up its slope.
-        g = slope_positive + slope_negative if negative >= 0 else -slope_negative
-        g = g + L2 * np.append(w[:-1], 0)
+        g = slope(w, p, u, prior) + np.float32(l2) * np.append(w[:-1], np.float32(0))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w = (w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return w[:-1].astype(float), float(w[-1])
+
+
+def choose_l2(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The weight of least non-negative zero-one risk on left-out folds of the rows; the larger of ties."""
+    if min(len(positive), len(unlabelled)) < 2 * FOLDS:
+        return max(L2)
+    total = dict.fromkeys(L2, 0.0)
+    for fold in range(FOLDS):
+        p_out, u_out = np.arange(len(positive)) % FOLDS == fold, np.arange(len(unlabelled)) % FOLDS == fold
+        for l2 in L2:
+            w, bias = nnpu(positive[~p_out], unlabelled[~u_out], prior, l2)
+            caught, flagged = (positive[p_out] @ w + bias >= 0).mean(), (unlabelled[u_out] @ w + bias >= 0).mean()
+            total[l2] += prior * (1 - caught) + max(0.0, flagged - prior * caught)
+    return min(L2, key=lambda x: (total[x], -x))
 
 
 def _log_ratio(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
@@ -93,21 +122,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
     known = own.where((F.col("toxic") == 1) & sample_mark(F.col("__id"), POSITIVES / hit)).select("__id")
     texts = docs.where(learn).select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("text"))
     # POSITIVES bounds what is broadcast here.
-    rows = texts.join(F.broadcast(known), "__id", "left_semi").select("text", F.lit(1).alias("p"))
-    rows = rows.unionByName(texts.where(sample_mark(F.col("__id"), UNLABELLED / total)).select("text", F.lit(0).alias("p")))
+    marked = texts.join(F.broadcast(known.withColumn("p", F.lit(True))), "__id", "left").select("__id", "text", F.coalesce("p", F.lit(False)).alias("p"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int64)
         sizes = [0, 0]
         for batch in batches:
             for text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[p, hashed_words(text, BITS)] += 1
-                sizes[p] += 1
-        at = np.flatnonzero(sums.any(axis=0))
-        gram = np.append(at, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.append(sums[1, at], sizes[1])), pa.array(np.append(sums[0, at], sizes[0]))], names=["gram", "p", "u"])
-
-    counted = rows.coalesce(8).mapInArrow(count, "gram bigint, p bigint, u bigint").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+                words = hashed_words(text, BITS)
+                for k in (0, 1) if p else (0,):
+                    sums[k, words] += 1
+                    sizes[k] += 1
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[1, at], sizes[1])), pa.array(np.append(sums[0, at], sizes[0]))], names=["gram", "p", "u"])
+
+    counted = marked.select("text", "p").mapInArrow(count, "gram bigint, p bigint, u bigint").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    chosen = F.col("p") | sample_mark(F.col("__id"), UNLABELLED / total)
+    rows = marked.where(chosen).select("text", "p", sample_mark(F.col("__id"), UNLABELLED / total).alias("u"))
     found = counted.where("gram < 0 OR p >= 2").toPandas().sort_values("gram")
     sizes = found[found["gram"] < 0]
     n_p, n_u = int(sizes["p"].sum()), int(sizes["u"].sum())
@@ -127,11 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
             row[features(text, table)] = 1
         return {"bits": [r.tobytes() for r in np.packbits(bits, axis=1)]}
 
-    packed = sorted((r["p"], bytes(r["bits"])) for r in map_texts(rows, "text", pack, [T.StructField("bits", T.BinaryType())], ["p"]).collect())
-    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in packed]), axis=1)[:, : len(grams)]
-    p = np.array([k for k, _ in packed])
-    weights, bias = nnpu(x[p == 1], x[p == 0], prior)
-    return Linear(grams, weights, bias)
+    packed = sorted((bytes(r["bits"]), r["p"], r["u"]) for r in map_texts(rows, "text", pack, [T.StructField("bits", T.BinaryType())], ["p", "u"]).collect())
+    if not packed:
+        return None
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b, _, _ in packed]), axis=1)[:, : len(grams)]
+    positive, unlabelled = x[np.array([p for _, p, _ in packed])], x[np.array([u for _, _, u in packed])]
+    # Rows are in the order of their bits; folds deal them by a fixed shuffle.
+    rng = np.random.default_rng(3)
+    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    if not len(positive) or not len(unlabelled):
+        return None
+    return Linear(grams, *nnpu(positive, unlabelled, prior, choose_l2(positive, unlabelled, prior)))
 
 
 def score(docs: DataFrame, model: Linear | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
