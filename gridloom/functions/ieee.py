@@ -102,7 +102,7 @@ UNARY = {
     "angle": lambda x: F.when(F.isnan(x), NAN).when(x < 0, math.pi).otherwise(0.0), "arg": lambda x: F.when(F.isnan(x), NAN).when(x < 0, math.pi).otherwise(0.0),
 }
 
-#: Mathematical constants.
+# Mathematical constants.
 CONSTANTS = {
     "e": math.e, "log2e": math.log2(math.e), "log10e": math.log10(math.e), "pi": math.pi, "inv_pi": 1 / math.pi, "inv_sqrtpi": 1 / math.sqrt(math.pi),
     "ln2": math.log(2), "ln10": math.log(10), "sqrt2": math.sqrt(2), "sqrt3": math.sqrt(3), "inv_sqrt3": 1 / math.sqrt(3),

@@ -62,3 +62,21 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     """(bin, n): counts in equal bins, the last one closed."""
     at = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1)).cast("bigint")
     return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram2d(df: DataFrame, x: str, y: str, xs: tuple[float, float], ys: tuple[float, float], bins: int) -> DataFrame:
+    """(bx, by, n): counts in a grid of equal bins over both ranges, the last ones closed."""
+    at = lambda c, ends: F.least(F.floor((F.col(c) - ends[0]) / (ends[1] - ends[0]) * bins), F.lit(bins - 1)).cast("bigint")
+    inside = df.where(F.col(x).between(*xs) & F.col(y).between(*ys))
+    return inside.groupBy(at(x, xs).alias("bx"), at(y, ys).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hexbin(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
+    """(cx, cy, n): counts by the nearest of the hexagon centres, which are two shifted grids of width x width·√3."""
+    height = width * 3**0.5
+    a = (F.round(F.col(x) / width) * width, F.round(F.col(y) / height) * height)
+    b = ((F.floor(F.col(x) / width) + 0.5) * width, (F.floor(F.col(y) / height) + 0.5) * height)
+    far = lambda c: (F.col(x) - c[0]) * (F.col(x) - c[0]) + (F.col(y) - c[1]) * (F.col(y) - c[1])
+    first = far(a) <= far(b)
+    centre = [F.when(first, a[k]).otherwise(b[k]) for k in (0, 1)]
+    return df.groupBy(F.round(centre[0], 9).alias("cx"), F.round(centre[1], 9).alias("cy")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,23 +1,33 @@
-"""Linear algebra of tall matrices, from one distributed aggregate.
-
-A tall matrix has any number of rows and up to ``MOST_COLUMNS`` columns. Its Gram matrix, which
-is all that leaves the cluster, gives R of its QR, singular values, null space, least squares and
-rank; Q, U and residuals are products that stay distributed. Two Gram passes (Cholesky QR, twice)
-bring Q to orthogonality near working precision unless the matrix is close to rank-deficient.
-Factorisations that need a whole large square matrix in one place are not offered; tables of many
-small matrices are in ``batched``.
+"""Linear algebra of tall matrices, by orthogonal factors of parts of their rows.
+
+A tall matrix has any number of rows and up to ``MOST_COLUMNS`` columns. Every partition reduces
+its rows to the triangular factor of their QR, factors are stacked and reduced again, and the last
+one, of n x n, reaches the driver. It has A's singular values, null space, rank and least squares
+to working precision: the condition is not squared, as it would be by the Gram matrix. Q, U and
+residuals are products with small matrices that stay distributed. Square matrices up to
+``MOST_COLUMNS`` are solved and inverted by LU on the driver; factorisations that need a larger
+square matrix in one place are not offered; tables of many small matrices are in ``batched``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import materialize
 from gridloom.operators.matrix import CELLS, COL, Matrix
-from gridloom.operators.products import gram, multiply, t_mul
+from gridloom.operators.products import t_mul
 
-#: Columns of a tall matrix; its Gram matrix has the square of this many cells on the driver.
+#: Columns of a tall matrix; a triangular factor has the square of this many cells on the driver.
 MOST_COLUMNS = 1024
+#: Triangular factors that one task stacks, and rows that it stacks on a factor at once.
+FAN_IN, STACKED = 8, 4096
+
+EPS = 2.0**-52
 
 
 def small(a: Matrix) -> np.ndarray:
@@ -36,85 +46,217 @@ def lift(a: Matrix, x: np.ndarray) -> Matrix:
     return Matrix(a.spark.createDataFrame(cells, CELLS), *x.shape)
 
 
-def _gram(a: Matrix) -> np.ndarray:
+# --- rows ---------------------------------------------------------------------------------------
+
+
+def rows_of(a: Matrix) -> DataFrame:
+    """(i, r): a row's elements as one array. Matrices that were read as rows have them; others meet by row."""
     if a.n > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns")
-    return small(gram(a))
+    if a.packed is not None:
+        return a.packed
+    cells = F.array_sort(F.collect_list(F.struct("j", "v")))
+    return a.df.groupBy("i").agg(F.transform(cells, lambda c: c["v"]).alias("r"))
+
+
+def of_rows(rows: DataFrame, m: int, n: int) -> Matrix:
+    cells = rows.select("i", F.posexplode("r").alias("j", "v"))
+    return Matrix(cells.select("i", F.col("j").cast("bigint").alias("j"), "v"), m, n, packed=rows)
+
+
+def times(a: Matrix, x: np.ndarray) -> Matrix:
+    """A·X for a small X, row by row: nothing is shuffled if A's rows are at hand."""
+    width, box = x.shape[1], a.spark.sparkContext.broadcast(np.ascontiguousarray(x, dtype=float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = _stacked(batch.column(1), len(box.value)) @ box.value
+            offsets = pa.array(np.arange(0, made.size + 1, width, dtype=np.int32) if width else np.zeros(len(made) + 1, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], names=["i", "r"])
+
+    return of_rows(rows_of(a).mapInArrow(run, "i bigint, r array<double>"), a.m, width)
+
+
+def _stacked(lists: pa.ListArray, n: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _reduce(n: int, x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    for at in range(0, len(x), STACKED):
+        held = np.linalg.qr(np.vstack([held, x[at : at + STACKED]]), mode="r")
+    return held
+
+
+def triangle(rows: DataFrame, n: int) -> np.ndarray:
+    """The triangular factor, of at most n rows, of all ``r`` of ``rows``, with a non-negative diagonal.
+
+    Each level leaves one factor a partition, and then one for ``FAN_IN`` of the level before.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = np.zeros((0, n))
+        for batch in batches:
+            held = _reduce(n, _stacked(batch.column(0), n), held)
+        yield _as_batch(TaskContext.get().partitionId(), held)
+
+    def _as_batch(part: int, held: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, held.size + 1, n, dtype=np.int32)), pa.array(held.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), part, np.int64)), lists], names=["p", "r"])
+
+    def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = np.zeros((0, n)), 0
+        for batch in parts:
+            part = batch.column(0)[0].as_py() // FAN_IN if batch.num_rows else part
+            held = _reduce(n, _stacked(batch.column(1), n), held)
+        yield _as_batch(part, held)
+
+    level = materialize(rows.select("r").mapInArrow(fold, "p bigint, r array<double>"), "triangles")
+    while (level.agg(F.max("p")).first()[0] or 0) >= FAN_IN:
+        groups = level.withColumn("g", F.floor(F.col("p") / FAN_IN))
+        stacked = groups.groupBy("g").agg(F.min("p").alias("p"), F.flatten(F.collect_list("r")).alias("r")).select("p", "r")
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield from again(iter([pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1)], names=["p", "r"])]))
+
+        level = materialize(stacked.mapInArrow(each, "p bigint, r array<double>"), "triangles")
+    held = np.array([r["r"] for r in level.select("r").collect()], dtype=float).reshape(-1, n)
+    r = np.linalg.qr(held, mode="r")
+    return np.where(np.diag(r) < 0, -1.0, 1.0)[:, None] * r if len(r) else r
+
+
+def _triangle(a: Matrix) -> np.ndarray:
+    return triangle(rows_of(a), a.n)
+
+
+def _beside(a: Matrix, b: Matrix) -> np.ndarray:
+    """The triangular factor of A and B side by side."""
+    both = rows_of(a).join(rows_of(b).select("i", F.col("r").alias("s")), "i").select("i", F.concat("r", "s").alias("r"))
+    return triangle(both, a.n + b.n)
+
+
+# --- factorisations -----------------------------------------------------------------------------
 
 
 def qr(a: Matrix) -> tuple[Matrix, np.ndarray]:
-    """(Q distributed, R small) with a non-negative diagonal; full column rank is needed."""
+    """(Q distributed, R small) with a non-negative diagonal; full column rank is needed.
+
+    Q is A·R⁻¹, made orthogonal to working precision by the same step once more.
+    """
     if a.m < a.n:
         raise ValueError("more columns than rows")
-    first = np.linalg.cholesky(_gram(a)).T
-    q = multiply(a, lift(a, np.linalg.inv(first)))
-    second = np.linalg.cholesky(_gram(q)).T
-    return multiply(q, lift(a, np.linalg.inv(second))), second @ first
+    first = _triangle(a)
+    if len(first) < a.n or np.abs(np.diag(first)).min() <= EPS * np.abs(first).max():
+        raise ArithmeticError("columns depend on each other; use qr_pivoted()")
+    q = times(a, np.linalg.inv(first))
+    second = _triangle(q)
+    return times(a, np.linalg.inv(second @ first)), second @ first
+
+
+def pivoted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(Q, R, P) with X·P = Q·R: each step reflects the column that is longest below the rows done."""
+    from gridloom.operators import batched
+
+    made = batched.qr_pivoted(x)
+    return made["Q"], made["R"], made["P"]
+
+
+def qr_pivoted(a: Matrix) -> tuple[Matrix, np.ndarray, np.ndarray]:
+    """(Q distributed, R, P small) with A·P = Q·R, the diagonal of R falling; Q has as many columns as A has rank."""
+    _, r, p = pivoted(_triangle(a))
+    d = np.abs(np.diag(r))
+    k = int((d > max(a.shape) * EPS * d.max(initial=0.0)).sum())
+    q = times(a, p[:, :k] @ np.linalg.inv(r[:k, :k]))
+    again = _triangle(q)
+    return times(q, np.linalg.inv(again)), again @ r[:k], p
 
 
-def _eigen(a: Matrix) -> tuple[np.ndarray, np.ndarray]:
-    values, vectors = np.linalg.eigh(_gram(a))
-    order = np.argsort(values)[::-1]
-    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
+def _tall(a: Matrix) -> Matrix:
+    return a if a.m >= a.n else a.T()
 
 
 def svdvals(a: Matrix) -> list[float]:
-    return _eigen(a if a.m >= a.n else a.T())[0].tolist()
+    return np.linalg.svd(_triangle(_tall(a)), compute_uv=False).tolist()
+
+
+def _right(a: Matrix) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and all right vectors of A."""
+    _, s, vt = np.linalg.svd(_triangle(a))
+    return np.append(s, np.zeros(a.n - len(s))), vt.T
+
+
+def _kept(a: Matrix, s: np.ndarray, tol: float = -1.0) -> np.ndarray:
+    return s > (tol if tol >= 0 else max(a.shape) * EPS * s.max(initial=0.0))
 
 
 def svd(a: Matrix) -> tuple[Matrix, np.ndarray, np.ndarray]:
     """(U distributed, singular values, V small) of the numerically non-zero part."""
-    s, v = _eigen(a)
-    keep = s > s.max(initial=0.0) * 1e-8
-    return multiply(a, lift(a, v[:, keep] / s[keep])), s[keep], v[:, keep]
+    s, v = _right(a)
+    keep = _kept(a, s)
+    return times(a, v[:, keep] / s[keep]), s[keep], v[:, keep]
 
 
 def low_rank(a: Matrix, k: int) -> Matrix:
     """The best approximation of rank k: A V Vᵀ with the k leading right vectors."""
-    _, v = _eigen(a)
-    return multiply(a, lift(a, v[:, :k] @ v[:, :k].T))
+    _, v = _right(a)
+    return times(a, v[:, :k] @ v[:, :k].T)
 
 
 def rank(a: Matrix, tol: float = -1.0) -> int:
-    s = np.array(svdvals(a))
-    return int((s > (tol if tol >= 0 else s.max(initial=0.0) * 1e-7)).sum())
+    return int(_kept(a, np.array(svdvals(a)), tol).sum())
 
 
-def cond(a: Matrix) -> float:
-    s = svdvals(a)
-    return float("inf") if s[-1] == 0 else s[0] / s[-1]
+def cond(a: Matrix, kind: str = "two") -> float:
+    """two: largest over smallest singular value; one, inf, fro: norm times the inverse's; infinite if singular."""
+    if kind == "two":
+        s = svdvals(a)
+        return float("inf") if s[-1] <= EPS * s[0] * 1e-3 else s[0] / s[-1]
+    try:
+        return a.norm(kind) * inverse(a).norm(kind)
+    except np.linalg.LinAlgError:
+        return float("inf")
 
 
 def null(a: Matrix) -> np.ndarray:
-    s, v = _eigen(a)
-    return v[:, s <= s.max(initial=0.0) * 1e-7]
+    s, v = _right(a)
+    return v[:, ~_kept(a, s)]
 
 
 def orth(a: Matrix) -> Matrix:
     return svd(a)[0]
 
 
-def pinv_times(a: Matrix, b: Matrix) -> np.ndarray:
-    """pinv(A)·B, small."""
-    s, v = _eigen(a)
-    keep = s > s.max(initial=0.0) * 1e-8
-    return v[:, keep] / s[keep] ** 2 @ v[:, keep].T @ small(t_mul(a, b))
-
-
-lsqminnorm = pinv_times
+def _least(r: np.ndarray, n: int, shape: tuple[int, int]) -> np.ndarray:
+    """Least squares of least norm from the factor of A and B side by side."""
+    u, s, vt = np.linalg.svd(r[:n, :n], full_matrices=False)
+    keep = s > max(shape) * EPS * s.max(initial=0.0)
+    return vt[keep].T @ ((u[:, keep].T @ r[: len(u), n:]) / s[keep][:, None])
 
 
 def solve(a: Matrix, b: Matrix) -> Matrix:
-    """Least squares for tall A, exact for square A; one more step corrects the residual."""
-    if a.m < a.n:
-        raise ValueError("under-determined")
+    """By LU for square A, which must not be singular; least squares, of least norm, for tall A of any rank."""
     if a.m != b.m:
         raise ValueError("sides of different heights")
-    g = _gram(a)
-    x = np.linalg.solve(g, small(t_mul(a, b)))
-    residual = b - multiply(a, lift(a, x))
-    x = x + np.linalg.solve(g, small(t_mul(a, residual)))
-    return lift(a, x)
+    if a.m < a.n:
+        raise ValueError("under-determined")
+    if a.m == a.n:
+        return lift(a, np.linalg.solve(small(a), small(b)))
+    return lift(a, _least(_beside(a, b), a.n, a.shape))
+
+
+def lsqminnorm(a: Matrix, b: Matrix) -> np.ndarray:
+    """pinv(A)·B, small, for any shape and rank."""
+    if a.m >= a.n:
+        return _least(_beside(a, b), a.n, a.shape)
+    s, v = _right(a)
+    keep = _kept(a, s)
+    return v[:, keep] / s[keep] ** 2 @ v[:, keep].T @ small(t_mul(a, b))
+
+
+pinv_times = lsqminnorm
 
 
 def right_divide(a: Matrix, b: Matrix) -> Matrix:
@@ -123,10 +265,15 @@ def right_divide(a: Matrix, b: Matrix) -> Matrix:
 
 
 def inverse(a: Matrix) -> Matrix:
-    from gridloom.sources import generate
-
     a._square("inverse")
-    return solve(a, generate.eye(a.spark, a.n))
+    return lift(a, np.linalg.inv(small(a)))
+
+
+def power(a: Matrix, p: int) -> Matrix:
+    """A whole power; negative ones of the inverse."""
+    from gridloom.operators import products
+
+    return products.power(a, p) if p >= 0 else products.power(inverse(a), -p)
 
 
 def det(a: Matrix) -> float:
@@ -140,7 +287,7 @@ def normest(a: Matrix, tol: float = 1e-6, most: int = 100) -> float:
     x = np.ones((a.n, 1)) / np.sqrt(a.n)
     was = 0.0
     for _ in range(most):
-        y = small(t_mul(a, multiply(a, lift(a, x))))
+        y = small(t_mul(a, times(a, x)))
         now = float(np.sqrt(np.linalg.norm(y)))
         x = y / max(np.linalg.norm(y), 1e-300)
         if abs(now - was) <= tol * now:
@@ -151,3 +298,4 @@ def normest(a: Matrix, tol: float = 1e-6, most: int = 100) -> float:
 
 def column_norms(a: Matrix) -> Matrix:
     return (a * 1.0).map_elems(lambda v: v * v)._reduce(COL, F.sqrt(F.sum("v")))
+

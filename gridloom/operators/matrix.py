@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import ieee
+from gridloom.operators import scans
+from gridloom.operators.scans import numbered
 
 ROW, COL = True, False
 
 CELLS = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("v", T.DoubleType())])
 
+
 class _Cell:
     """The columns of a cell, made when they are used: a session must be running by then."""
 
@@ -43,12 +46,16 @@ def _index(k: int, n: int, axis: str) -> int:
 
 
 class Matrix:
-    """A dense matrix of doubles or booleans; see the module."""
+    """A dense matrix of doubles or booleans; see the module.
+
+    ``packed`` are the same elements as rows (i, r), where the matrix was read or made so; products
+    and factorisations then need no shuffle to meet by row.
+    """
 
-    def __init__(self, df: DataFrame, m: int, n: int, mask: bool = False):
+    def __init__(self, df: DataFrame, m: int, n: int, mask: bool = False, packed: DataFrame | None = None):
         if m < 0 or n < 0:
             raise ValueError("a shape is not negative")
-        self.df, self.m, self.n, self.mask = df, m, n, mask
+        self.df, self.m, self.n, self.mask, self.packed = df, m, n, mask, packed
 
     # --- making ---
 
@@ -110,10 +117,14 @@ class Matrix:
         return Matrix(both.select("i", "j", f(F.col("a"), F.col("b")).alias("v")), self.m, self.n, mask)
 
     def __add__(self, o):
-        return self._zip(o, lambda a, b: a + b, "sum") if isinstance(o, Matrix) else self._with(cell.v + F.lit(o))
+        if isinstance(o, Matrix):
+            return self._zip(o, lambda a, b: a + b, "sum")
+        return self._with(cell.v + F.lit(o)) if isinstance(o, (int, float)) else NotImplemented
 
     def __sub__(self, o):
-        return self._zip(o, lambda a, b: a - b, "difference") if isinstance(o, Matrix) else self._with(cell.v - F.lit(o))
+        if isinstance(o, Matrix):
+            return self._zip(o, lambda a, b: a - b, "difference")
+        return self._with(cell.v - F.lit(o)) if isinstance(o, (int, float)) else NotImplemented
 
     def __radd__(self, k: float):
         return self._with(F.lit(k) + cell.v)
@@ -129,7 +140,7 @@ class Matrix:
             from gridloom.operators import products
 
             return products.multiply(self, o)
-        return self._with(cell.v * F.lit(o))
+        return self._with(cell.v * F.lit(o)) if isinstance(o, (int, float)) else NotImplemented
 
     def __rmul__(self, k: float):
         return self._with(cell.v * F.lit(k))
@@ -193,6 +204,16 @@ class Matrix:
     def fill(self, value: float) -> Matrix:
         return self._with(F.lit(float(value)))
 
+    def spy(self, tol: float = 0.0) -> Matrix:
+        """1 where the magnitude is above ``tol``, else 0."""
+        return self._with(F.when(F.abs(cell.v) > tol, 1.0).otherwise(0.0))
+
+    def lazy(self):
+        """A deferred element-wise expression of this matrix."""
+        from gridloom.operators.lazy import Expr
+
+        return Expr.of(self)
+
     # --- comparisons, masks ---
 
     def _compare(self, op: str, o) -> Matrix:
@@ -303,14 +324,23 @@ class Matrix:
 
     def col(self, b: int) -> Matrix:
         b = _index(b, self.n, "column")
-        return Matrix(self.df.where(cell.j == b), self.m, self.n, self.mask)._moved(cell.i, F.lit(0), self.m, 1)
+        out = Matrix(self.df.where(cell.j == b), self.m, self.n, self.mask)._moved(cell.i, F.lit(0), self.m, 1)
+        out.packed = self._sliced(b, b)
+        return out
+
+    def _sliced(self, c1: int, c2: int) -> DataFrame | None:
+        """The rows' columns from c1 to c2, if rows are at hand."""
+        return None if self.packed is None else self.packed.select("i", F.slice("r", c1 + 1, c2 - c1 + 1).alias("r"))
 
     def block(self, rows: tuple[int, int], cols: tuple[int, int]) -> Matrix:
         """Both ends included; a reversed range walks backward."""
         (r1, r2), (c1, c2) = [tuple(_index(k, n, w) for k in x) for x, n, w in ((rows, self.m, "row"), (cols, self.n, "column"))]
         inside = cell.i.between(min(r1, r2), max(r1, r2)) & cell.j.between(min(c1, c2), max(c1, c2))
         to_i, to_j = (cell.i - r1 if r1 <= r2 else r1 - cell.i), (cell.j - c1 if c1 <= c2 else c1 - cell.j)
-        return Matrix(self.df.where(inside), self.m, self.n, self.mask)._moved(to_i, to_j, abs(r2 - r1) + 1, abs(c2 - c1) + 1)
+        out = Matrix(self.df.where(inside), self.m, self.n, self.mask)._moved(to_i, to_j, abs(r2 - r1) + 1, abs(c2 - c1) + 1)
+        if (r1, r2) == (0, self.m - 1) and c1 <= c2:
+            out.packed = self._sliced(c1, c2)
+        return out
 
     def put_block(self, a: int, b: int, o: Matrix) -> Matrix:
         """A copy with ``o`` written at (a, b)."""
@@ -365,20 +395,31 @@ class Matrix:
         return math.sqrt(self.var(sample))
 
     def median(self, axis: bool | None = None):
-        return self._scalar(F.median(cell.v), "median") if axis is None else self._reduce(axis, F.median(cell.v))
+        """The middle value, the mean of both for an even count. Long lines are ranked, not gathered."""
+        if axis is None:
+            self._need("median")
+            return self.reshape(1, self.numel()).median(ROW).scalar()
+        run, _, n = self._along(axis)
+        if n <= scans.BLOCK:
+            return self._reduce(axis, F.median(cell.v))
+        middle = self.sort(axis).df.where(F.col(run).isin((n - 1) // 2, n // 2))
+        return Matrix(middle, self.m, self.n)._reduce(axis, F.avg(cell.v))
 
     def mode(self) -> float:
         """The most frequent value, the smallest among ties."""
         self._need("mode")
         return self.df.groupBy("v").count().orderBy(F.desc("count"), "v").first()["v"]
 
-    def argmin(self) -> tuple[int, int]:
+    def argmin(self, flat: bool = False) -> tuple[int, int] | int:
+        """The first place of the least value in row-major order, as a pair or as a flat index."""
         self._need("argmin")
-        return tuple(self.df.select(F.min(F.struct("v", "i", "j")).alias("x")).select("x.i", "x.j").first())
+        i, j = self.df.select(F.min(F.struct("v", "i", "j")).alias("x")).select("x.i", "x.j").first()
+        return i * self.n + j if flat else (i, j)
 
-    def argmax(self) -> tuple[int, int]:
+    def argmax(self, flat: bool = False) -> tuple[int, int] | int:
         self._need("argmax")
-        return tuple(self.df.select(F.min(F.struct((-cell.v).alias("w"), "i", "j")).alias("x")).select("x.i", "x.j").first())
+        i, j = self.df.select(F.min(F.struct((-cell.v).alias("w"), "i", "j")).alias("x")).select("x.i", "x.j").first()
+        return i * self.n + j if flat else (i, j)
 
     def trace(self) -> float:
         self._square("trace")
@@ -412,41 +453,68 @@ class Matrix:
             return self._reduce(axis, F.sum(cell.v * 0.0))
         return self._reduce(axis, F.sum(F.when(F.col(key).isin(0, n - 1), cell.v / 2).otherwise(cell.v)))
 
-    # --- scans: windows along one axis, partitioned by the other ---
+    # --- scans: along one axis, in blocks of bounded length ---
 
     def _along(self, axis: bool) -> tuple[str, str, int]:
         """(index that runs, index that stays, length). ROW runs along each row."""
         return ("j", "i", self.n) if axis == ROW else ("i", "j", self.m)
 
-    def _window(self, axis: bool):
-        run, stay, _ = self._along(axis)
-        return Window.partitionBy(stay).orderBy(run)
+    def _running(self, axis: bool, how: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Matrix:
+        run, stay, n = self._along(axis)
+        return Matrix(scans.running(self.df.select("i", "j", "v"), stay, run, n, how, join), self.m, self.n)
+
+    def _with_neighbours(self, axis: bool) -> DataFrame:
+        run, stay, n = self._along(axis)
+        return scans.with_neighbours(self.df.select("i", "j", "v"), stay, run, n)
 
     def cumsum(self, axis: bool) -> Matrix:
-        return self._with(F.sum(cell.v).over(self._window(axis).rowsBetween(Window.unboundedPreceding, 0)))
+        return self._running(axis, F.sum, lambda a, b: a + b)
 
     def cumprod(self, axis: bool) -> Matrix:
-        return self._with(F.product(cell.v).over(self._window(axis).rowsBetween(Window.unboundedPreceding, 0)))
+        return self._running(axis, F.product, lambda a, b: a * b)
 
     def diff(self, axis: bool) -> Matrix:
         run, _, n = self._along(axis)
-        out = self._with(F.lead(cell.v).over(self._window(axis)) - cell.v).df.where(F.col(run) < n - 1)
+        out = self._with_neighbours(axis).where(F.col(run) < n - 1).select("i", "j", (F.col("after") - cell.v).alias("v"))
         left = max(n - 1, 0)
         return Matrix(out, self.m, left) if axis == ROW else Matrix(out, left, self.n)
 
     def cumtrapz(self, axis: bool) -> Matrix:
-        w = self._window(axis)
-        step = Matrix(self.df.select("i", "j", F.coalesce((cell.v + F.lag(cell.v).over(w)) / 2, F.lit(0.0)).alias("v")), self.m, self.n)
-        return step.cumsum(axis)
+        step = self._with_neighbours(axis).select("i", "j", F.coalesce((cell.v + F.col("before")) / 2, F.lit(0.0)).alias("v"))
+        return Matrix(step, self.m, self.n).cumsum(axis)
 
     def gradient(self, axis: bool, h: float = 1.0) -> Matrix:
         if h == 0:
             raise ValueError("the spacing is zero")
-        w = self._window(axis)
-        before, after = F.lag(cell.v).over(w), F.lead(cell.v).over(w)
+        before, after = F.col("before"), F.col("after")
         inner = (after - before) / (2 * h)
         ends = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), (after - cell.v) / h).otherwise((cell.v - before) / h)
-        return self._with(F.coalesce(inner, ends))
+        return Matrix(self._with_neighbours(axis).select("i", "j", F.coalesce(inner, ends).alias("v")), self.m, self.n)
+
+    def trapz_over(self, x: Matrix) -> float:
+        """Trapezoids of these values over the places ``x``, both taken in row-major order."""
+        if x.numel() != self.numel():
+            raise ValueError("as many places as values are needed")
+        flat = lambda a: a.df.select((cell.i * a.n + cell.j).alias("k"), F.col("v").alias("w"))
+        both = flat(x).withColumnRenamed("w", "x").join(flat(self).withColumnRenamed("w", "y"), "k").select(F.lit(0).alias("s"), "k", F.struct("x", "y").alias("v"))
+        near, v = scans.with_neighbours(both, "s", "k", self.numel()), F.col("v")
+        area = (F.col("after")["x"] - v["x"]) * (F.col("after")["y"] + v["y"]) / 2
+        return near.agg(F.coalesce(F.sum(area), F.lit(0.0))).first()[0]
+
+    def _automatic(self) -> int:
+        """The dimension that transforms run along: a vector's own, a matrix's columns."""
+        return 1 if self.m == 1 else 0
+
+    def fftshift(self, both: bool = False) -> Matrix:
+        """Half a turn along the automatic dimension, or along both."""
+        if both:
+            return self.circshift(self.m // 2, 0).circshift(self.n // 2, 1)
+        return self.circshift(self.shape[self._automatic()] // 2, self._automatic())
+
+    def ifftshift(self, both: bool = False) -> Matrix:
+        if both:
+            return self.circshift(-(self.m // 2), 0).circshift(-(self.n // 2), 1)
+        return self.circshift(-(self.shape[self._automatic()] // 2), self._automatic())
 
     def circshift(self, k: int, dim: int = 0) -> Matrix:
         if dim == 0:
@@ -456,9 +524,14 @@ class Matrix:
     # --- order ---
 
     def sort(self, axis: bool, descending: bool = False) -> Matrix:
-        run, stay, _ = self._along(axis)
-        rank = F.row_number().over(Window.partitionBy(stay).orderBy(F.desc("v") if descending else F.asc("v"))) - 1
-        out = self.df.select(F.col(stay), rank.cast("bigint").alias(run), "v")
+        """Every row or column by itself. Long ones are ranged over tasks: each has the same length, which gives its ranks."""
+        run, stay, n = self._along(axis)
+        key = F.desc("v") if descending else F.asc("v")
+        if n <= scans.BLOCK:
+            rank = F.row_number().over(Window.partitionBy(stay).orderBy(key)) - 1
+            out = self.df.select(F.col(stay), rank.cast("bigint").alias(run), "v")
+        else:
+            out = numbered(self.df.select(stay, "v"), [stay, key]).select(stay, (F.col("rank") - F.col(stay) * n).alias(run), "v")
         return Matrix(out.select("i", "j", "v"), self.m, self.n)
 
     def sortrows(self, key: int = 0, descending: bool = False) -> Matrix:
@@ -482,8 +555,10 @@ class Matrix:
         return self._moved(F.floor(k / n), k % n, m, n) if n else Matrix(self.df, m, n)
 
     def repmat(self, a: int, b: int) -> Matrix:
-        tiles = self.spark.range(a).withColumnRenamed("id", "p").join(F.broadcast(self.spark.range(b).withColumnRenamed("id", "q")))
-        out = self.df.join(F.broadcast(tiles))
+        """Every cell is written a x b times, where it is: the copies are the result itself."""
+        out = self.df.select("i", "j", "v", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+        if a <= 0 or b <= 0:
+            raise ValueError("counts are positive")
         return Matrix(out.select((F.col("p") * self.m + cell.i).alias("i"), (F.col("q") * self.n + cell.j).alias("j"), "v"), self.m * a, self.n * b)
 
     def fliplr(self) -> Matrix:
@@ -579,21 +654,3 @@ class Matrix:
             out[a][b] = x
         return out
 
-
-def numbered(df: DataFrame, order: list) -> DataFrame:
-    """Add ``rank``, the 0-based position in the order, without gathering rows in one task.
-
-    Rows are ranged into sorted partitions; each partition's offset, of which there is one number
-    a partition, is joined back.
-    """
-    sortable = [F.col(c) if isinstance(c, str) else c for c in order]
-    held = df.repartitionByRange(*sortable).sortWithinPartitions(*sortable)
-    held = held.select("*", F.monotonically_increasing_id().alias("__id")).persist()
-    part = F.shiftright("__id", 33)
-    sizes = held.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("c")).orderBy("__p").collect()
-    offsets, at = {}, 0
-    for s in sizes:
-        offsets[s["__p"]] = at
-        at += s["c"]
-    base = F.lit(0).cast("bigint") if not offsets else F.element_at(F.create_map(*[F.lit(x) for k, o in offsets.items() for x in (k, o)]), part)
-    return held.withColumn("rank", (base + (F.col("__id") - F.shiftleft(part, 33))).cast("bigint")).drop("__id")

@@ -12,24 +12,21 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.matrix import Matrix
 
-#: Order of the blocks that meet in large products.
+#: Order of the blocks that meet in products.
 BLOCK = 256
-#: Products of more pairs of cells than this are made by blocks.
-MOST_PAIRS = 50_000_000
+#: Columns that rows may have, and cells that a small factor or a Gram matrix may have, to be held by every task.
+MOST_COLUMNS, MOST_SMALL = 1024, 1024 * 1024
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:
-    """A·B: an equi-join of A's columns with B's rows, and a sum that is partly done before the shuffle.
-
-    Large products meet by blocks instead, which makes fewer rows by the order of a block.
-    """
+    """A·B by blocks; where A's rows are at hand and B is small by its shape, B is sent to the rows instead."""
     if a.n != b.m:
         raise ValueError(f"product of shapes {a.shape} and {b.shape}")
-    if a.m * a.n * b.n > MOST_PAIRS:
-        return multiply_blocked(a, b)
-    left = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    return Matrix(left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")), a.m, b.n)
+    if a.packed is not None and a.n <= MOST_COLUMNS and b.numel() <= MOST_SMALL:
+        from gridloom.operators import linalg
+
+        return linalg.times(a, linalg.small(b))
+    return multiply_blocked(a, b)
 
 
 def _blocks(df: DataFrame, row: str, col: str, names: tuple[str, str, str], block: int) -> DataFrame:
@@ -60,21 +57,43 @@ def multiply_blocked(a: Matrix, b: Matrix, block: int = BLOCK) -> Matrix:
                 yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + p[row] * block), pa.array(j.ravel() + q[row] * block), pa.array(made.ravel())], names=["i", "j", "v"])
 
     cells = both.select("p", "q", "x", "y").mapInArrow(products, "i bigint, j bigint, v double")
-    return Matrix(cells.groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, b.n)
+    # With one inner block every cell is whole already.
+    return Matrix(cells if a.n <= block else cells.groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, b.n)
 
 
 def gram(a: Matrix) -> Matrix:
-    """AᵀA: rows meet on their own index, so that a table partitioned by row is not shuffled twice."""
-    return t_mul(a, a)
+    """AᵀA: every task sums the products of its own rows, and only these small sums are shuffled."""
+    if a.n > MOST_COLUMNS:
+        return multiply_blocked(a.T(), a)
+    from gridloom.operators import linalg
+
+    return _row_products(linalg.rows_of(a).select("r", F.col("r").alias("s")), a.n, a.n)
 
 
 def t_mul(a: Matrix, b: Matrix) -> Matrix:
-    """AᵀB without a transpose."""
+    """AᵀB without a transpose: rows meet on their own index."""
     if a.m != b.m:
         raise ValueError(f"product of shapes {a.shape[::-1]} and {b.shape}")
-    left = a.df.select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("x"))
-    right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    return Matrix(left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")), a.n, b.n)
+    if max(a.n, b.n) > MOST_COLUMNS:
+        return multiply_blocked(a.T(), b)
+    from gridloom.operators import linalg
+
+    both = linalg.rows_of(a).join(linalg.rows_of(b).select("i", F.col("r").alias("s")), "i")
+    return _row_products(both.select("r", "s"), a.n, b.n)
+
+
+def _row_products(rows: DataFrame, m: int, n: int) -> Matrix:
+    """The sum over rows of rᵀ·s, of m x n."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m, n))
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (0, 1))
+            total += x.T @ y
+        i, j = np.indices((m, n)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    return Matrix(rows.mapInArrow(partial, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")), m, n)
 
 
 def mul_t(a: Matrix, b: Matrix) -> Matrix:

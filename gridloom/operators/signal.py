@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.matrix import Matrix
+from gridloom.operators.scans import BLOCK, lagged, last_and_next, numbered
+
+
+#: Taps of one block of a convolution.
+CONV_BLOCK = 16_384
+
+
+def conv(a: Matrix, b: Matrix, block: int = CONV_BLOCK) -> Matrix:
+    """Full convolution: every block of A meets every block of B once, and each pair is transformed, multiplied and added in."""
+    count_b = -(-b.numel() // block)
+    flat = lambda m: m.df.select((F.col("i") * m.n + F.col("j")).alias("k"), "v")
 
+    def packed(m: Matrix, name: str) -> DataFrame:
+        inner = F.struct((F.col("k") % block).cast("int").alias("k"), "v")
+        return flat(m).groupBy(F.floor(F.col("k") / block).alias(name)).agg(F.collect_list(inner).alias(f"{name}_cells"))
 
-def conv(a: Matrix, b: Matrix) -> Matrix:
-    """Full convolution: every pair of taps adds to the sum of their indices."""
-    flat = lambda m, k, c: m.df.select((F.col("i") * m.n + F.col("j")).alias(k), F.col("v").alias(c))
-    both = flat(a, "p", "x").crossJoin(flat(b, "q", "y"))
-    out = both.groupBy((F.col("p") + F.col("q")).alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return Matrix(out.select(F.lit(0).cast("bigint").alias("i"), "j", "v"), 1, a.numel() + b.numel() - 1)
+    left = packed(a, "p").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count_b - 1).cast("bigint"))))
+    both = left.join(packed(b, "q"), "q").select("p", "q", "p_cells", "q_cells")
+    length = 2 * block
+
+    def dense(cells: pa.ListArray, at: int) -> np.ndarray:
+        out, own = np.zeros(length), cells[at].values
+        out[own.field(0).to_numpy()] = own.field(1).to_numpy()
+        return out
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = (batch.column(0)[row].as_py() + batch.column(1)[row].as_py()) * block
+                made = np.fft.irfft(np.fft.rfft(dense(batch.column(2), row)) * np.fft.rfft(dense(batch.column(3), row)), length)
+                keep = max(0, min(length, total - at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + keep)), pa.array(made[:keep])], names=["j", "v"])
+
+    total = a.numel() + b.numel() - 1
+    out = both.mapInArrow(products, "j bigint, v double").groupBy("j").agg(F.sum("v").alias("v"))
+    return Matrix(out.select(F.lit(0).cast("bigint").alias("i"), "j", "v"), 1, total)
 
 
 def polyval(coefficients: list[float], x: Column) -> Column:
@@ -25,58 +59,96 @@ def polyval(coefficients: list[float], x: Column) -> Column:
 
 
 def fir(df: DataFrame, order: str, value: str, taps: list[float], by: list[str] | None = None) -> DataFrame:
-    """Add ``filtered``: the weighted sum of a value and those before it, per series."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    out = F.lit(0.0)
-    for k, t in enumerate(taps):
-        out = out + F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) * F.lit(float(t))
-    return df.withColumn("filtered", out)
+    """Add ``filtered``: the weighted sum of a value and those before it, per series (``by``), whatever a series' length."""
+    if not taps:
+        raise ValueError("no taps")
+    out = F.col(value).cast("double") * F.lit(float(taps[0]))
+    for k, t in enumerate(taps[1:]):
+        out = out + F.coalesce(F.get("__lag", F.lit(k)), F.lit(0.0)) * F.lit(float(t))
+    return lagged(df, by or [], order, value, len(taps) - 1).select(*df.columns, out.alias("filtered"))
 
 
-def iir(df: DataFrame, order: str, value: str, b: list[float], a: list[float], by: list[str]) -> DataFrame:
-    """Difference equation of each series (``by``), as a fold over its ordered values.
+def iir(df: DataFrame, order: str, value: str, b: list[float], a: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, order, filtered): the difference equation of each series, whatever its length.
 
-    A series is sequential by nature; it is held as one array, so its length is bounded by a task.
+    Ordered rows are cut into blocks. The state that a block leaves is linear in the one it enters with, so
+    each block first tells the state it leaves from rest; these are chained, one row a block; and every block
+    then runs from the state it enters with.
     """
     if not a or a[0] == 0:
         raise ValueError("a[0] is zero")
-    b, a = [x / a[0] for x in b], [x / a[0] for x in a]
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).cast("double").alias("x"))))
-    folded = df.groupBy(*by).agg(rows.alias("rows"))
-    zero = lambda n: F.array(*[F.lit(0.0)] * max(n, 1))
-
-    def step(s: Column, r: Column) -> Column:
-        y = r["x"] * b[0]
-        for k, c in enumerate(b[1:]):
-            y = y + F.get(s["xs"], F.lit(k)) * c
-        for k, c in enumerate(a[1:]):
-            y = y - F.get(s["ys"], F.lit(k)) * c
-        keep = lambda new, old, n: F.slice(F.concat(F.array(new), old), 1, max(n, 1))
-        return F.struct(keep(r["x"], s["xs"], len(b) - 1).alias("xs"), keep(y, s["ys"], len(a) - 1).alias("ys"), F.concat(s["out"], F.array(F.struct(r["k"].alias("k"), y.alias("y")))).alias("out"))
-
-    kind = df.schema[order].dataType.simpleString()
-    start = F.struct(zero(len(b) - 1).alias("xs"), zero(len(a) - 1).alias("ys"), F.array().cast(f"array<struct<k:{kind},y:double>>").alias("out"))
-    done = folded.select(*by, F.aggregate("rows", start, step, lambda s: s["out"]).alias("o"))
-    return done.select(*by, F.inline("o")).withColumnsRenamed({"k": order, "y": "filtered"})
+    by, size = by or [], max(len(a), len(b)) - 1
+    num = np.array([*b, *[0.0] * (size + 1 - len(b))]) / a[0]
+    den = np.array([*a, *[0.0] * (size + 1 - len(a))]) / a[0]
+    series = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = numbered(df.select(*by, F.col(order), F.col(value).cast("double").alias("__x"), series.alias("__s")), [*by, order])
+    rows = rows.withColumn("__b", F.floor(F.col("rank") / BLOCK))
+
+    def through(xs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs of one series' values from a state, and the state after them."""
+        z, out = state.tolist(), np.empty(len(xs))
+        for k, x in enumerate(xs.tolist()):
+            y = num[0] * x + (z[0] if size else 0.0)
+            z = [num[i + 1] * x + (z[i + 1] if i + 1 < size else 0.0) - den[i + 1] * y for i in range(size)]
+            out[k] = y
+        return out, np.array(z)
+
+    def pieces(part: pd.DataFrame) -> list[tuple[int, int]]:
+        names = part["__s"].to_numpy()
+        cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+        return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]))
+
+    def leaves(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rank")
+        last = pieces(part)[-1]
+        z = through(part["__x"].to_numpy()[slice(*last)], np.zeros(size))[1]
+        return pd.DataFrame({"__b": [part["__b"].iloc[0]], "first": [part["__s"].iloc[0]], "last": [part["__s"].iloc[-1]], "whole": [last[0] == 0], "n": [len(part)], "z": [z.tolist()]})
+
+    step = np.zeros((size, size))
+    for k in range(size):
+        step[k, 0] = -den[k + 1]
+        if k + 1 < size:
+            step[k, k + 1] = 1.0
+
+    def chained(blocks: pd.DataFrame) -> pd.DataFrame:
+        z, last, out = np.zeros(size), None, []
+        for r in blocks.sort_values("__b").itertuples(index=False):
+            enters = z if r.first == last else np.zeros(size)
+            out.append(enters.tolist())
+            z = np.array(r.z) + (np.linalg.matrix_power(step, r.n) @ enters if r.whole and size else 0.0)
+            last = r.last
+        return pd.DataFrame({"__b": blocks.sort_values("__b")["__b"].to_numpy(), "enters": out})
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rank")
+        xs, out, z = part["__x"].to_numpy(), np.empty(len(part)), np.array(part["enters"].iloc[0])
+        for p, q in pieces(part):
+            out[p:q] = through(xs[p:q], z)[0]
+            z = np.zeros(size)
+        return part[[*by, order]].assign(filtered=out)
+
+    summary = rows.select("__b", "rank", "__s", "__x").groupBy("__b").applyInPandas(leaves, "__b bigint, first string, last string, whole boolean, n bigint, z array<double>")
+    enters = summary.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(chained, "__b bigint, enters array<double>")
+    schema = T.StructType([*rows.select(*by, order).schema.fields, T.StructField("filtered", T.DoubleType())])
+    return rows.join(enters, "__b").groupBy("__b").applyInPandas(run, schema)
 
 
 def interp1(knots: DataFrame, queries: DataFrame, x: str, y: str, q: str, by: list[str] | None = None, fill: float = float("nan")) -> DataFrame:
     """Add ``interpolated``: knots and queries are ordered together, and each query takes the knots around it.
 
-    One window over the union replaces a range join. ``by`` names independent series.
+    One order of the union replaces a range join, and every query's row goes with it. ``by`` names independent series.
     """
     by = by or []
-    both = knots.select(*by, F.col(x).cast("double").alias("__p"), F.col(y).cast("double").alias("__y"), F.lit(0).alias("__q"), F.lit(None).cast("long").alias("__id"))
-    asked = queries.withColumn("__id", F.monotonically_increasing_id()).select("*", F.col(q).cast("double").alias("__p"))
-    both = both.unionByName(asked.select(*by, "__p", F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q"), "__id"))
-    w = Window.partitionBy(*by).orderBy("__p", "__q")
+    row = F.struct(*[F.col(c) for c in queries.columns])
+    asked = queries.select(*by, F.col(q).cast("double").alias("__p"), F.lit(1).alias("__q"), F.lit(None).cast("double").alias("__y"), row.alias("__row"))
+    known = knots.select(*by, F.col(x).cast("double").alias("__p"), F.lit(0).alias("__q"), F.col(y).cast("double").alias("__y"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    both = known.unionByName(asked)
     knot = F.when(F.col("__q") == 0, F.struct(F.col("__p").alias("x"), F.col("__y").alias("y")))
-    low = F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.select("*", low.alias("lo"), high.alias("hi")).where("__q = 1")
-    at = F.col("lo")["y"] + (F.col("hi")["y"] - F.col("lo")["y"]) * F.try_divide(F.col("__p") - F.col("lo")["x"], F.col("hi")["x"] - F.col("lo")["x"])
-    value = F.when(F.col("lo")["x"] == F.col("__p"), F.col("lo")["y"]).when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit(fill)).otherwise(at)
-    return queries.withColumn("__id", F.monotonically_increasing_id()).join(near.select("__id", value.alias("interpolated")), "__id").drop("__id")
+    near = last_and_next(both, by, ["__p", "__q"], knot).where("__q = 1")
+    lo, hi = F.col("lo"), F.col("hi")
+    at = lo["y"] + (hi["y"] - lo["y"]) * F.try_divide(F.col("__p") - lo["x"], hi["x"] - lo["x"])
+    value = F.when(lo["x"] == F.col("__p"), lo["y"]).when(lo.isNull() | hi.isNull(), F.lit(fill)).otherwise(at)
+    return near.select("__row.*", value.alias("interpolated"))
 
 
 def dft_power(df: DataFrame, by: list[str], order: str, value: str, n: int) -> DataFrame:
@@ -92,8 +164,6 @@ def dft_power(df: DataFrame, by: list[str], order: str, value: str, n: int) -> D
 
 def polyfit_line(df: DataFrame, x: str, y: str, degree: int) -> list[float]:
     """Coefficients, highest power first, from sums of moments: one aggregate, whatever the rows."""
-    import numpy as np
-
     moments = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k)))).alias(f"s{k}") for k in range(2 * degree + 1)]
     mixed = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k))) * F.col(y)).alias(f"t{k}") for k in range(degree + 1)]
     r = df.agg(*moments, *mixed).first()

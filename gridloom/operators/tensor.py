@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import ieee
 from gridloom.operators.matrix import Matrix, cell
+from gridloom.operators.scans import numbered
 
 
 class Tensor:
@@ -54,6 +55,44 @@ class Tensor:
             out = out * n + F.col(a)
         return out
 
+    # --- elements ---
+
+    def at(self, *index: int) -> float:
+        if len(index) != self.rank():
+            raise IndexError(f"{len(index)} indices of rank {self.rank()}")
+        hit = F.lit(True)
+        for k, (a, n) in enumerate(zip(index, self.shape)):
+            at = a + n if a < 0 else a
+            if not 0 <= at < n:
+                raise IndexError(f"index {a} is outside axis {k}")
+            hit &= F.col(f"a{k}") == at
+        return self.df.where(hit).first()["v"]
+
+    def flat(self, k: int) -> float:
+        """The element at a flat row-major index."""
+        index, rest = [], k + self.size() if k < 0 else k
+        if not 0 <= rest < self.size():
+            raise IndexError("the index is outside")
+        for n in reversed(self.shape):
+            index.append(rest % n)
+            rest //= n
+        return self.at(*reversed(index))
+
+    def scalar(self) -> float:
+        if self.size() != 1:
+            raise ValueError("only a tensor of one element is a scalar")
+        return self.df.first()["v"]
+
+    def equals(self, o: Tensor) -> bool:
+        """Whole equality: false for other shapes, and for any NaN."""
+        return self.shape == o.shape and self.compare("eq", o).all()
+
+    def allclose(self, o: Tensor, rtol: float = 1e-5, atol: float = 1e-8) -> bool:
+        if self.shape != o.shape:
+            return False
+        near = lambda a, b: ieee.compare("le", F.abs(a - b), atol + rtol * F.abs(b)) | ieee.compare("eq", a, b)
+        return self._zip(o, near).all()
+
     # --- views: renames and filters ---
 
     def reshape(self, *shape: int) -> Tensor:
@@ -151,8 +190,17 @@ class Tensor:
         """(flat index, value) of the marked elements."""
         return self.df.join(mask.df.where(ieee.truth(cell.v)).drop("v"), self.axes).select(self.flat_index().alias("n"), "v")
 
-    def put_where(self, mask: Tensor, value: float) -> Tensor:
-        return self._zip(mask, lambda x, y: F.when(ieee.truth(y), F.lit(float(value))).otherwise(x))
+    def put_where(self, mask: Tensor, value: float | Tensor) -> Tensor:
+        """The marked elements become a scalar, or those of a tensor of rank one with as many, in row-major order."""
+        if not isinstance(value, Tensor):
+            return self._zip(mask, lambda x, y: F.when(ieee.truth(y), F.lit(float(value))).otherwise(x))
+        if self.shape != mask.shape:
+            raise ValueError("a mask of another shape")
+        if value.rank() != 1 or value.size() != mask.nnz():
+            raise ValueError("as many values as marked elements are needed")
+        places = numbered(mask.df.where(ieee.truth(cell.v)).select(*self.axes), self.axes)
+        new = places.join(value.df.select(F.col("a0").alias("rank"), F.col("v").alias("w")), "rank").drop("rank")
+        return Tensor(self.df.join(new, self.axes, "left").select(*self.axes, F.coalesce("w", "v").alias("v")), self.shape)
 
     # --- reductions and scans ---
 
@@ -187,6 +235,9 @@ class Tensor:
     def var(self, sample: bool = False) -> float:
         return self._all(F.var_samp(cell.v) if sample else F.var_pop(cell.v))
 
+    def stddev(self, sample: bool = False) -> float:
+        return math.sqrt(self.var(sample))
+
     def norm(self) -> float:
         return math.sqrt(self._all(F.sum(cell.v * cell.v)) or 0.0)
 

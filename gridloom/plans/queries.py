@@ -6,19 +6,21 @@ rounded, with negative zero normalised, so that engines agree to the last bit.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import ieee
 from gridloom.operators import batched, complexes, learn, linalg, products, setops, signal
 from gridloom.operators.matrix import COL, ROW, Matrix
-from gridloom.operators.tensor import Tensor, contract, contract_axes
-from gridloom.sources import generate, tables
+from gridloom.operators.identity import I, Identity
+from gridloom.operators.tensor import Tensor, contract, contract_acc, contract_axes
+from gridloom.sources import generate, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,8 +118,11 @@ matrix_query("divide_by_zero", "SELECT i, j, CASE WHEN v > 0 THEN 1.0 WHEN v < 0
 
 @query("SELECT event_id, round(value * value + ln(value) - sin(value), 6) + 0.0 AS v FROM events WHERE value > 0")
 def lazy_chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("value")
-    return read(spark, sf_dir, "events").where("value > 0").select("event_id", rounded(x * x + ieee.log(x) - F.sin(x)).alias("v"))
+    x = tables.from_cells(read(spark, sf_dir, "events").where("value > 0").select("event_id", F.lit(0).alias("j"), "value"), 1, 1, "event_id", "j", "value").lazy()
+    return (x % x + x.ln() - x.sin()).eval().df.select(F.col("i").alias("event_id"), rounded(F.col("v")).alias("v"))
+
+
+matrix_query("lazy_two_matrices", f"SELECT a.i, a.j, {_R.format('2 * a.v * b.v - exp(-abs(a.v)) + greatest(a.v, b.v)')} FROM e a JOIN e b ON a.i = b.i AND b.j = 63 - a.j", lambda e: (lambda x, y: (x % y * 2.0 - (-x.abs()).exp() + x.emax(y)).eval())(e.lazy(), e.fliplr().lazy()))
 
 
 # --- masks ------------------------------------------------------------------------------------
@@ -138,7 +143,7 @@ def find_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL_E + "SELECT count(*) FILTER (v > 0) AS positive, bool_or(v > 3) AS any_large, bool_and(v < 3) AS all_small FROM e")
 def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return e.df.agg(F.count_if(F.col("v") > 0).alias("positive"), F.bool_or(F.col("v") > 3).alias("any_large"), F.bool_and(F.col("v") < 3).alias("all_small"))
+    return _scalars(spark, positive=e.gt(0.0).nnz(), any_large=e.gt(3.0).any(), all_small=e.lt(3.0).all())
 
 
 # --- reductions -------------------------------------------------------------------------------
@@ -177,8 +182,11 @@ def mode_part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sum(l_quantity) AS quantity, round(avg(l_extendedprice), 4) AS price, round(var_pop(l_discount), 8) AS discount_var, max(l_tax) AS tax FROM lineitem")
 def lineitem_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
-    return li.agg(F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.var_pop("l_discount"), 8).alias("discount_var"), F.max("l_tax").alias("tax"))
+    li = read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    a = tables.from_columns(li, "k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 1)
+    sums, means, tops = (x.df for x in (a.sum(COL), a.mean(COL), a.max(COL)))
+    at = lambda df, j, d: round(df.where(F.col("j") == j).first()["v"], d)
+    return _scalars(spark, quantity=at(sums, 0, 4), price=at(means, 1, 4), discount_var=round(a.col(2).var(), 8), tax=at(tops, 3, 8))
 
 
 # --- scans and order ------------------------------------------------------------------------------
@@ -196,11 +204,13 @@ matrix_query("sort_columns_descending", "SELECT row_number() OVER (PARTITION BY
 matrix_query("sortrows_by_column", ", r AS (SELECT i AS k, row_number() OVER (ORDER BY v, i) - 1 AS n FROM e WHERE j = 3) SELECT n AS i, j, round(v, 6) + 0.0 AS v FROM e JOIN r ON e.i = r.k", lambda e: e.sortrows(3))
 
 
-@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, round(value - lag(value) OVER w, 4) + 0.0 AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, round(value - coalesce(lag(value) OVER w, 0), 4) + 0.0 AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def scans_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    total = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return read(spark, sf_dir, "events").select("event_id", F.round(total, 4).alias("total"), rounded(F.col("value") - F.lag("value").over(w), 4).alias("step"))
+    """Running sums as the filter 1 / (1 - z), steps as the filter 1 - z, of every user's events."""
+    ev = read(spark, sf_dir, "events")
+    total = signal.iir(ev, "event_id", "value", [1.0], [1.0, -1.0], ["user_id"]).select("event_id", F.round("filtered", 4).alias("total"))
+    step = signal.fir(ev, "event_id", "value", [1.0, -1.0], ["user_id"]).select("event_id", rounded(F.col("filtered"), 4).alias("step"))
+    return total.join(step, "event_id")
 
 
 # --- sets ---------------------------------------------------------------------------------------------
@@ -267,15 +277,29 @@ generated("generate_vander", _GRID.format(m=6, n=6) + "SELECT i, j, round(pow(1
 generated("generate_diagonal", _GRID.format(m=6, n=6) + "SELECT i, j, (CASE WHEN i = j THEN 1 + i * 0.5 ELSE 0 END)::DOUBLE AS v FROM g", lambda s: generate.diagonal(generate.span(s, 1.0, 3.5, 0.5)))
 
 
-@query("SELECT n, n * (n * n + 1) / 2.0::DOUBLE AS total, 1::BIGINT AS sums, (n * n)::BIGINT AS different FROM (VALUES (5::BIGINT), (8), (10)) t(n)")
+# Magic squares of orders 3 to 6, row by row.
+_MAGIC = {
+    3: [8, 1, 6, 3, 5, 7, 4, 9, 2], 4: [16, 2, 3, 13, 5, 11, 10, 8, 9, 7, 6, 12, 4, 14, 15, 1],
+    5: [17, 24, 1, 8, 15, 23, 5, 7, 14, 16, 4, 6, 13, 20, 22, 10, 12, 19, 21, 3, 11, 18, 25, 2, 9],
+    6: [35, 1, 6, 26, 19, 24, 3, 32, 7, 21, 23, 25, 31, 9, 2, 22, 27, 20, 8, 28, 33, 17, 10, 15, 30, 5, 34, 12, 14, 16, 4, 36, 29, 13, 18, 11],
+}
+
+
+@query("SELECT n, k // n AS i, k % n AS j, v::DOUBLE AS v FROM (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, unnest(range({n * n})) AS k, unnest({c}) AS v" for n, c in _MAGIC.items()) + ")")
+def magic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [generate.magic(spark, n).df.select(F.lit(n).cast("bigint").alias("n"), "i", "j", "v") for n in _MAGIC]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT n, n * (n * n + 1) / 2.0::DOUBLE AS total, 1::BIGINT AS sums, (n * n)::BIGINT AS different FROM (VALUES (7::BIGINT), (8), (10)) t(n)")
 def magic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row and column of a magic square has one sum, and every element is different."""
     parts = []
-    for n in (5, 8, 10):
+    for n in (7, 8, 10):
         a = generate.magic(spark, n)
         sums = a.sum(ROW).df.select("v").unionByName(a.sum(COL).df.select("v"))
         parts.append(sums.agg(F.lit(n).cast("bigint").alias("n"), F.max("v").alias("total"), F.countDistinct("v").alias("sums")).join(a.df.agg(F.countDistinct("v").alias("different"))))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # --- signals -------------------------------------------------------------------------------------------------
@@ -331,15 +355,30 @@ def histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tensors ------------------------------------------------------------------------------------------------------
 
-_SQL_T = "WITH t AS (SELECT n // 12 AS a, n // 4 % 3 AS b, n % 4 AS c, sin(n) AS v FROM range(24) r(n)), u AS (SELECT n // 5 AS c, n % 5 AS d, cos(n) AS v FROM range(20) r(n)) "
+_SQL_T = (
+    "WITH t AS (SELECT a, b, c, coalesce(v, 0) AS v FROM range(7) x(a) CROSS JOIN range(16) y(b) CROSS JOIN range(12) z(c) LEFT JOIN (SELECT l_linenumber - 1 AS a, l_orderkey % 16 AS b, month(l_shipdate) - 1 AS c,"
+    " sum(l_quantity) / count(*) / 50 AS v FROM lineitem GROUP BY 1, 2, 3) USING (a, b, c)), u AS (SELECT c, d, coalesce(v, 0) AS v FROM range(12) z(c) CROSS JOIN range(11) w(d) LEFT JOIN (SELECT month(l_shipdate) - 1 AS c,"
+    " round(l_discount * 100)::BIGINT AS d, avg(l_extendedprice) / 100000 AS v FROM lineitem GROUP BY 1, 2) USING (c, d)) "
+)
 
 
-def _tensors(spark: SparkSession) -> tuple[Tensor, Tensor]:
-    return Tensor.generate(spark, (2, 3, 4), lambda n: F.sin(n)), Tensor.generate(spark, (4, 5), lambda n: F.cos(n))
+def _filled(df: DataFrame, shape: tuple[int, ...]) -> Tensor:
+    zeros = Tensor.generate(df.sparkSession, shape, lambda n: n * 0)
+    both = zeros.df.drop("v").join(df, zeros.axes, "left")
+    return Tensor(both.select(*zeros.axes, F.coalesce("v", F.lit(0.0)).alias("v")), shape)
+
+
+def _tensors(spark: SparkSession, sf_dir: str) -> tuple[Tensor, Tensor]:
+    """Mean quantities by line number, order and month, and mean prices by month and discount."""
+    li = read(spark, sf_dir, "lineitem")
+    month = (F.month("l_shipdate") - 1).cast("bigint")
+    t = li.groupBy((F.col("l_linenumber") - 1).cast("bigint").alias("a0"), (F.col("l_orderkey") % 16).alias("a1"), month.alias("a2")).agg((F.avg("l_quantity") / 50).alias("v"))
+    u = li.groupBy(month.alias("a0"), F.round(F.col("l_discount") * 100).cast("bigint").alias("a1")).agg((F.avg("l_extendedprice") / 100000).alias("v"))
+    return _filled(t, (7, 16, 12)), _filled(u, (12, 11))
 
 
 def tensor_query(name: str, sql: str, f: Callable[[Tensor, Tensor], Tensor]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: (lambda t: t.df.select(*t.axes, rounded(F.col("v")).alias("v")))(f(*_tensors(spark)))
+    QUERIES[name] = lambda spark, sf_dir: (lambda t: t.df.select(*t.axes, rounded(F.col("v")).alias("v")))(f(*_tensors(spark, sf_dir)))
     ORACLE[name] = _SQL_T + sql
 
 
@@ -348,29 +387,85 @@ tensor_query("tensor_contract_axes", f"SELECT a AS a0, {_R.format('sum(t.v * s.v
 tensor_query("tensor_sum_axis", f"SELECT a AS a0, c AS a1, {_R.format('sum(v)')} FROM t GROUP BY 1, 2", lambda t, u: t.sum(1))
 tensor_query("tensor_permute", f"SELECT c AS a0, a AS a1, b AS a2, {_R.format('v')} FROM t", lambda t, u: t.permute([2, 0, 1]))
 tensor_query("tensor_slice_cumsum", f"SELECT b AS a0, c AS a1, {_R.format('sum(v) OVER (PARTITION BY b ORDER BY c)')} FROM t WHERE a = 1", lambda t, u: t.slice(0, 1).cumsum(1))
-tensor_query("tensor_reshape", f"SELECT (a * 12 + b * 4 + c) // 4 AS a0, (a * 12 + b * 4 + c) % 4 AS a1, {_R.format('v')} FROM t", lambda t, u: t.reshape(6, -1))
+tensor_query("tensor_reshape", f"SELECT (a * 192 + b * 12 + c) // 32 AS a0, (a * 192 + b * 12 + c) % 32 AS a1, {_R.format('v')} FROM t", lambda t, u: t.reshape(42, -1))
 tensor_query("tensor_elementwise", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('v * v + exp(v) - 2 * v')} FROM t", lambda t, u: t.mul(t) + t.exp() - t * 2.0)
+tensor_query("tensor_cumprod_axis", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('product(1 + v / 100) OVER (PARTITION BY a, c ORDER BY b)')} FROM t", lambda t, u: (t.fill(1.0) + t / 100.0).cumprod(1))
+tensor_query("tensor_diff_axis", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('d')} FROM (SELECT a, b, c, lead(v) OVER (PARTITION BY a, b ORDER BY c) - v AS d FROM t) WHERE d IS NOT NULL", lambda t, u: t.diff(2))
+tensor_query("tensor_mean_axis", f"SELECT b AS a0, c AS a1, {_R.format('avg(v)')} FROM t GROUP BY 1, 2", lambda t, u: t.mean(0))
+tensor_query("tensor_extremes_axis", f"SELECT a AS a0, b AS a1, {_R.format('max(v) - min(v)')} FROM t GROUP BY 1, 2", lambda t, u: t.max(2) - t.min(2))
+tensor_query("tensor_rounding", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('floor(v * 7) + ceil(v * 5) + sign(v - 0.5) + ln(1 + v)')} FROM t", lambda t, u: (t * 7.0).floor() + (t * 5.0).ceil() + (t - t.fill(0.5)).sign() + t.log1p())
+tensor_query("tensor_mask_write", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('CASE WHEN v > 0.5 THEN -1 ELSE v END')} FROM t", lambda t, u: t.put_where(t.compare("gt", 0.5), -1.0))
+tensor_query("tensor_mask_write_vector", f"SELECT a AS a0, b AS a1, c AS a2, {_R.format('CASE WHEN v > 0.5 THEN row_number() OVER (PARTITION BY v > 0.5 ORDER BY a, b, c) - 1 ELSE v END')} FROM t", lambda t, u: (lambda k: t.put_where(k, Tensor.generate(t.df.sparkSession, (k.nnz(),), lambda n: n)))(t.compare("gt", 0.5)))
+tensor_query("tensor_swap_reverse", f"SELECT b AS a0, c AS a1, a AS a2, {_R.format('v')} FROM t", lambda t, u: t.T().swap_axes(0, 1))
+tensor_query("tensor_contract_acc", f"SELECT a AS a0, b AS a1, d AS a2, {_R.format('sum(t.v * u.v) + 1')} FROM t JOIN u USING (c) GROUP BY 1, 2, 3", lambda t, u: contract_acc(t, u, 1, contract(t, u).fill(1.0)))
+tensor_query("tensor_logic", f"SELECT a AS a0, b AS a1, c AS a2, ((v > 0.4) <> (v > 0.6) OR NOT (v <> 0))::INT::DOUBLE AS v FROM t", lambda t, u: (lambda k: k._with(F.col("v").cast("double")))(t.compare("gt", 0.4).lxor(t.compare("gt", 0.6)).lor(t.lnot())))
+
+
+@query(_SQL_T + "SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(sqrt(sum(v * v)), 5) AS norm, count(*) FILTER (v > 0.5) AS large, (SELECT round(v, 6) FROM t WHERE a = 6 AND b = 3 AND c = 11) AS cell, (SELECT round(v, 6) FROM t WHERE a * 192 + b * 12 + c = 100) AS flat, bool_or(v > 2) AS any_big, true AS near FROM t")
+def tensor_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = _tensors(spark, sf_dir)
+    big = t.compare("gt", 0.5)
+    return _scalars(spark, mean=round(t.mean(), 6), sd=round(t.stddev(True), 6), norm=round(t.norm(), 5), large=big.nnz(), cell=round(t.at(-1, 3, -1), 6), flat=round(t.flat(100), 6), any_big=t.compare("gt", 2.0).any(), near=t.allclose(t * 1.0) and not t.equals(t + t.fill(1.0)))
+
+
+@query(_SQL_T + "SELECT a * 192 + b * 12 + c AS n FROM t WHERE v > 0.5")
+def tensor_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensors(spark, sf_dir)[0].compare("gt", 0.5).find()
 
 
 @query("WITH c AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2), w AS (SELECT event_type, count(*)::DOUBLE AS w FROM events GROUP BY 1) SELECT user_id, round(sum(v * w), 2) AS v FROM c JOIN w USING (event_type) GROUP BY 1")
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user by type tensor against a vector over types."""
     ev = read(spark, sf_dir, "events")
-    c = ev.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
-    w = ev.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return c.join(w, "event_type").groupBy("user_id").agg(F.round(F.sum(F.col("v") * F.col("w")), 2).alias("v"))
+    # Types are few and named; each takes its place in their order.
+    types = sorted(r[0] for r in ev.select("event_type").distinct().collect())
+    place = (F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1).cast("bigint")
+    c = Tensor(ev.groupBy(F.col("user_id").alias("a0"), place.alias("a1")).agg(F.sum("value").alias("v")), (ev.agg(F.max("user_id")).first()[0] + 1, len(types)))
+    w = Tensor(ev.groupBy(place.alias("a0")).agg(F.count(F.lit(1)).cast("double").alias("v")), (len(types),))
+    return contract(c, w).df.select(F.col("a0").alias("user_id"), F.round("v", 2).alias("v"))
 
 
 # --- factorisations, by what must hold of them ------------------------------------------------------------------
 
 
-@query("SELECT 0.0::DOUBLE AS reconstruction, 0.0::DOUBLE AS orthogonality")
+@query(SQL_E + f"SELECT i, j, {_R.format('v')}, true AS orthogonal FROM ({_SQL_GRAM})")
 def qr_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RᵀR is the Gram matrix, R is triangular, Q is orthogonal, and Q·R is E again."""
     e = embeddings(spark, sf_dir)
     q, r = linalg.qr(e)
-    back = (products.multiply(q, linalg.lift(e, r)) - e).abs().max()
+    back = (linalg.times(q, r) - e).abs().max()
     unit = float(np.abs(linalg.small(products.gram(q)) - np.eye(e.n)).max())
-    return _scalars(spark, reconstruction=round(back, 6) + 0.0, orthogonality=round(unit, 6) + 0.0)
+    ok = back < 1e-9 and unit < 1e-9 and not np.tril(r, -1).any()
+    return cells(linalg.lift(e, r.T @ r)).withColumn("orthogonal", F.lit(bool(ok)))
+
+
+@query(SQL_E + f", w AS (SELECT i, j, v FROM e UNION ALL SELECT i, 64, sum(v) FROM e WHERE j < 2 GROUP BY i) SELECT a.j AS i, b.j AS j, {_R.format('sum(a.v * b.v)')}, 64::BIGINT AS rank FROM w a JOIN w b USING (i) GROUP BY 1, 2")
+def qr_pivoted_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a column that is the sum of two others: as many columns in Q as the rank, and P·RᵀR·Pᵀ the Gram matrix."""
+    e = embeddings(spark, sf_dir)
+    q, r, p = linalg.qr_pivoted(_with_sum(e))
+    return cells(linalg.lift(e, p @ (r.T @ r) @ p.T)).withColumn("rank", F.lit(q.n).cast("bigint"))
+
+
+def _with_sum(e: Matrix) -> Matrix:
+    """E with a last column that is the sum of the first two."""
+    rows = e.packed.select("i", F.concat("r", F.array(F.get("r", F.lit(0)) + F.get("r", F.lit(1)))).alias("r"))
+    return linalg.of_rows(rows, e.m, e.n + 1)
+
+
+@query(SQL_E + f", c AS (SELECT a.i, a.v AS x, b.v AS y FROM e a JOIN e b USING (i) WHERE a.j = 0 AND b.j = 1) SELECT k AS i, 0::BIGINT AS j, {_R.format('k * 1.0 * sum(x * y) / sum(x * x) / 5')} FROM c, (VALUES (1::BIGINT), (2)) t(k) GROUP BY k")
+def solve_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least squares of least norm over a column and its double: the slope of the line, shared 1 to 2."""
+    e = embeddings(spark, sf_dir)
+    a = linalg.of_rows(e.packed.select("i", F.array(F.get("r", F.lit(0)), 2 * F.get("r", F.lit(0))).alias("r")), e.m, 2)
+    return cells(linalg.solve(a, e.col(1))).select((F.col("i") + 1).alias("i"), "j", "v")
+
+
+@query("WITH g AS (SELECT i, j FROM range(7) a(i), range(7) b(j)) SELECT i, j, round((CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END * (i + j + 1) * (factorial((7 + i)::INT) / factorial((7 - j - 1)::INT) / factorial((i + j + 1)::INT)) * (factorial((7 + j)::INT) / factorial((7 - i - 1)::INT) / factorial((i + j + 1)::INT)) * pow(factorial((i + j)::INT) / factorial(i::INT) / factorial(j::INT), 2))::DOUBLE / 1e6, 5) + 0.0 AS v, 7::BIGINT AS rank FROM g")
+def hilbert_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ill-conditioned matrix whose inverse is known in whole numbers."""
+    h = generate.hilb(spark, 7)
+    return cells(linalg.inverse(h) / 1e6, 5).withColumn("rank", F.lit(linalg.rank(h)).cast("bigint"))
 
 
 @query(SQL_E + "SELECT round(sum(v * v), 4) AS energy, 64::BIGINT AS rank FROM e")
@@ -379,13 +474,13 @@ def svd_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalars(spark, energy=round(sum(x * x for x in s), 4), rank=sum(x > s[0] * 1e-7 for x in s)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("SELECT 0.0::DOUBLE AS slope")
+@query(SQL_E + f"SELECT a.j AS i, 0::BIGINT AS j, {_R.format('sum(a.v * b.v)')} FROM e a JOIN e b USING (i) WHERE a.j < 63 AND b.j = 63 GROUP BY 1")
 def solve_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The residual of least squares is orthogonal to all columns."""
+    """Least squares of the last column on the others: AᵀA·x, which must be Aᵀb."""
     e = embeddings(spark, sf_dir)
     a, b = e.block((0, e.m - 1), (0, 62)), e.col(63)
     x = linalg.solve(a, b)
-    return _scalars(spark, slope=round(products.t_mul(a, b - products.multiply(a, x)).abs().max(), 6) + 0.0)
+    return cells(products.t_mul(a, products.multiply(a, x)))
 
 
 WIDTH = 64
@@ -421,36 +516,132 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / math.exp(np.linalg.slogdet(a)[1] / len(a))
 
 
-def batched_query(name: str, function: str, back: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], unit: bool = False) -> None:
-    """The largest deviation of what the factors give back, per label, rounds to nothing."""
+_SQL_MEANS = (
+    "WITH x AS (SELECT label, vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),"
+    " s AS (SELECT a.label, a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (label, vec_id) GROUP BY 1, 2, 3),"
+    " g AS (SELECT label, i, j, v / n + CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM s JOIN c USING (label)) "
+)
+# What the matrix of a label is made to be, from its mean Gram matrix plus one on the diagonal.
+_SQL_FORM = {
+    "spd": "SELECT label, i, j, {} FROM g",
+    # Columns turned by one: eigenvalues all around zero.
+    "turned": "SELECT label, i, (j + 1) % 64 AS j, {} FROM g",
+    # One and a half times the upper part: neither symmetric nor normal, eigenvalues to the right of zero.
+    "leaning": "SELECT label, i, j, {} FROM (SELECT label, i, j, v * CASE WHEN j > i THEN 1.5 ELSE 1 END AS v FROM g)",
+    # The first row twice: singular.
+    "singular": "SELECT label, i, j, {} FROM (SELECT label, i, j, v FROM g WHERE i < 63 UNION ALL SELECT label, 63, j, v FROM g WHERE i = 0)",
+}
+_FORM: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "spd": lambda g: g, "turned": lambda g: np.roll(g, 1, axis=1), "leaning": lambda g: g + 0.5 * np.triu(g, 1), "singular": lambda g: np.vstack([g[:63], g[:1]]),
+}
+
+
+def _label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean Gram matrix of each label's vectors, plus one on the diagonal."""
+    counts = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    g = _label_grams(spark, sf_dir).join(F.broadcast(counts), "label") if counts.count() <= 100_000 else _label_grams(spark, sf_dir).join(counts, "label")
+    return g.select("label", "i", "j", (F.when(F.col("i") == F.col("j"), F.col("v") - WIDTH).otherwise(F.col("v")) / F.col("n") + (F.col("i") == F.col("j")).cast("double")).alias("v"))
+
+
+def batched_query(name: str, form: str, back: Callable[[np.ndarray], tuple[np.ndarray, bool]], value: str = "v") -> None:
+    """Cells that factors give back, per label, against SQL's own; ``ok`` is what else must hold of the factors."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = batched.FUNCTIONS[function]
-
-        def check(a: np.ndarray) -> np.ndarray:
-            a = _unit(a) if unit else a
-            made = f(a)
-            return np.array([[np.abs(back(made if isinstance(made, dict) else {"R": made}, a)).max()]])
+        def check(g: np.ndarray) -> dict[str, np.ndarray]:
+            made, ok = back(_FORM[form](g))
+            return {"ok" if ok else "wrong": made}
 
-        return batched.apply(_label_grams(spark, sf_dir), "label", WIDTH, WIDTH, check).select("label", rounded(F.col("re"), 5).alias("deviation"))
+        found = batched.apply(_label_means(spark, sf_dir), "label", WIDTH, WIDTH, check)
+        return found.select("label", "i", "j", rounded(F.col("re"), 5).alias("v"), (F.col("factor") == "ok").alias("ok"))
 
     QUERIES[name] = run
-    ORACLE[name] = "SELECT DISTINCT label, 0.0::DOUBLE AS deviation FROM embeddings"
+    ORACLE[name] = _SQL_MEANS + f"SELECT label, i, j, v, true AS ok FROM ({_SQL_FORM[form].format(f'round({value}, 5) + 0.0 AS v')})"
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: float = 1e-9) -> bool:
+    return bool(np.abs(a - b).max() <= most * max(1.0, np.abs(b).max()))
+
+
+def _unitary(q: np.ndarray) -> bool:
+    return _near(q.conj().T @ q, np.eye(q.shape[1]))
+
+
+def _upper(r: np.ndarray, k: int = 0) -> bool:
+    return not np.tril(r, k - 1).any()
+
+
+def _real_form(t: np.ndarray) -> bool:
+    """Whether blocks on the diagonal are 1 x 1, or 2 x 2 with complex values and equal diagonals."""
+    at = [k for k in range(len(t) - 1) if batched.is_schur_block(t, k)]
+    return _upper(t, -1) and all(k + 1 not in at and abs(t[k, k] - t[k + 1, k + 1]) < 1e-9 and t[k, k + 1] * t[k + 1, k] < 0 for k in at)
 
 
-batched_query("lu_by_label", "lu", lambda r, a: r["P"] @ a - r["L"] @ r["U"])
-batched_query("qr_by_label", "qr", lambda r, a: r["Q"] @ r["R"] - a)
-batched_query("svd_by_label", "svd", lambda r, a: r["U"] @ r["S"] @ r["V"].T - a)
-batched_query("hess_by_label", "hess", lambda r, a: r["Q"] @ r["H"] @ r["Q"].T - a)
-batched_query("schur_by_label", "schur", lambda r, a: r["Q"] @ r["T"] @ r["Q"].conj().T - a)
-batched_query("eig_by_label", "eig", lambda r, a: a @ r["vectors"] - r["vectors"] * r["values"].T)
-batched_query("cholesky_by_label", "cholesky", lambda r, a: r["R"] @ r["R"].T - a)
-batched_query("inverse_by_label", "inverse", lambda r, a: r["R"] @ a - np.eye(len(a)))
-batched_query("sqrtm_by_label", "sqrtm", lambda r, a: r["R"] @ r["R"] - a)
-batched_query("logm_by_label", "logm", lambda r, a: batched.expm(r["R"]) / np.abs(a).max() - a / np.abs(a).max())
-batched_query("adjugate_by_label", "adjugate", lambda r, a: (r["R"] @ a) / np.linalg.det(a) - np.eye(len(a)), unit=True)
-batched_query("fft_by_label", "fft", lambda r, a: np.fft.ifft(r["R"], axis=0) - a)
-batched_query("fft2_by_label", "fft2", lambda r, a: np.fft.ifft2(r["R"]) - a)
+batched_query("lu_by_label", "turned", lambda a: (lambda r: (r["P"].T @ r["L"] @ r["U"], _upper(r["U"]) and _upper(r["L"].T) and bool((np.diag(r["L"]) == 1).all())))(batched.lu(a)))
+batched_query("lu_singular_by_label", "singular", lambda a: (lambda r: (r["P"].T @ r["L"] @ r["U"], bool(np.abs(np.diag(r["U"])).min() < 1e-9)))(batched.lu(a)))
+batched_query("qr_by_label", "turned", lambda a: (lambda r: (r["Q"] @ r["R"], _unitary(r["Q"]) and _upper(r["R"])))(batched.FUNCTIONS["qr"](a)))
+batched_query("qr_pivoted_by_label", "singular", lambda a: (lambda r: (r["Q"] @ r["R"] @ r["P"].T, _unitary(r["Q"]) and _upper(r["R"]) and abs(r["R"][-1, -1]) < 1e-9 and bool((np.diff(np.abs(np.diag(r["R"]))) < 1e-9).all())))(batched.qr_pivoted(a)))
+batched_query("svd_by_label", "turned", lambda a: (lambda r: (r["U"] @ r["S"] @ r["V"].T, _unitary(r["U"]) and _unitary(r["V"]) and bool((np.diff(np.diag(r["S"])) <= 0).all())))(batched.FUNCTIONS["svd"](a)))
+batched_query("hess_by_label", "turned", lambda a: (lambda r: (r["Q"] @ r["H"] @ r["Q"].T, _unitary(r["Q"]) and _upper(r["H"], -1)))(batched.hess(a)))
+batched_query("schur_by_label", "turned", lambda a: (lambda r: ((r["Q"] @ r["T"] @ r["Q"].conj().T).real, _unitary(r["Q"]) and _upper(r["T"])))(batched.schur(a)))
+batched_query("schur_real_by_label", "turned", lambda a: (lambda r: (r["Q"] @ r["T"] @ r["Q"].T, _unitary(r["Q"]) and _real_form(r["T"])))(batched.schur_real(a)))
+batched_query("eig_by_label", "turned", lambda a: (lambda r: ((r["vectors"] @ np.diag(r["values"].ravel()) @ np.linalg.inv(r["vectors"])).real, bool(np.abs(np.linalg.norm(r["vectors"], axis=0) - 1).max() < 1e-9)))(batched.eig(a)))
+batched_query("cholesky_by_label", "spd", lambda a: (lambda r: (r @ r.T, _upper(r.T)))(batched.FUNCTIONS["cholesky"](a)))
+batched_query("inverse_by_label", "leaning", lambda a: (lambda r: (np.linalg.inv(r), _near(r @ a, np.eye(len(a)))))(batched.FUNCTIONS["inverse"](a)))
+batched_query("pinv_by_label", "singular", lambda a: (lambda r: (a @ r @ a, _near(r @ a @ r, r) and _near((a @ r).T, a @ r)))(np.linalg.pinv(a, rcond=1e-12)))
+batched_query("sqrtm_by_label", "leaning", lambda a: (lambda r: ((r @ r).real, True))(batched.sqrtm(a)))
+batched_query("logm_by_label", "leaning", lambda a: (batched.expm(batched.logm(a)).real, True))
+batched_query("powm_by_label", "leaning", lambda a: (np.linalg.matrix_power(batched.powm(a, 1 / 3), 3), True))
+batched_query("funm_by_label", "leaning", lambda a: (np.linalg.inv(batched.funm(a, lambda z: 1 / z)).real, True))
+batched_query("adjugate_by_label", "leaning", lambda a: (lambda u, r: (np.linalg.inv(r * np.linalg.det(u)) * math.exp(np.linalg.slogdet(a)[1] / len(a)) * np.linalg.det(u) ** 2, _near(u @ r, np.linalg.det(u) * np.eye(len(a)), 1e-6)))(_unit(a), batched.adjugate(_unit(a))))
+batched_query("decompose_by_label", "leaning", lambda a: (lambda d: (np.linalg.inv(d.solve(np.eye(len(a)))), d.kind == "lu" and _near(a.T @ d.solve(np.eye(len(a)), transposed=True), np.eye(len(a)))))(batched.Decomposition.of(a)))
+batched_query("decompose_spd_by_label", "spd", lambda a: (lambda d: (np.linalg.inv(d.solve(np.eye(len(a)))), d.kind == "cholesky" and abs(math.log(d.det()) - np.linalg.slogdet(a)[1]) < 1e-8))(batched.Decomposition.of(a)))
+batched_query("eig_general_by_label", "spd", lambda a: (lambda b, r: ((b @ r["vectors"] @ np.diag(r["values"].ravel()) @ r["vectors"].T @ b), _near(r["vectors"].T @ b @ r["vectors"], np.eye(len(a)))))(np.diag(1.0 + np.arange(len(a)) / 64), batched.eig_general(a, np.diag(1.0 + np.arange(len(a)) / 64))))
+batched_query("expm_by_label", "leaning", lambda a: (batched.logm(batched.expm(a)).real, _near(batched.FUNCTIONS["sinm"](a) @ batched.FUNCTIONS["sinm"](a) + batched.FUNCTIONS["cosm"](a) @ batched.FUNCTIONS["cosm"](a), np.eye(len(a)), 1e-8)))
+batched_query("ifft_by_label", "turned", lambda a: (batched.fft(batched.fft(a), inverse=True).real, True))
+batched_query("fft2_by_label", "turned", lambda a: (np.fft.ifft2(batched.FUNCTIONS["fft2"](a)).real, _near(batched.FUNCTIONS["fft2"](a)[0, 0], a.sum())))
+
+
+@query(_SQL_MEANS + "SELECT label, f::BIGINT AS i, j, round(sum(v * cos(2 * pi() * f * i / 64)), 4) + 0.0 AS re, round(-sum(v * sin(2 * pi() * f * i / 64)), 4) + 0.0 AS im FROM g, range(64) t(f) GROUP BY label, f, j")
+def fft_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of every column, against the sum of its waves."""
+    return batched.apply(_label_means(spark, sf_dir), "label", WIDTH, WIDTH, "fft").select("label", "i", "j", rounded(F.col("re"), 4).alias("re"), rounded(F.col("im"), 4).alias("im"))
+
+
+@query(_SQL_MEANS + "SELECT label, i, f::BIGINT AS j, round(sum(CASE WHEN j < 40 THEN v * cos(2 * pi() * f * j / 40) ELSE 0 END), 4) + 0.0 AS re, round(-sum(CASE WHEN j < 40 THEN v * sin(2 * pi() * f * j / 40) ELSE 0 END), 4) + 0.0 AS im FROM g, range(40) t(f) GROUP BY label, f, i")
+def fft_cut_rows_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of every row, cut to 40 elements."""
+    found = batched.apply(_label_means(spark, sf_dir), "label", WIDTH, WIDTH, lambda a: batched.fft(a, 40, 1))
+    return found.select("label", "i", "j", rounded(F.col("re"), 4).alias("re"), rounded(F.col("im"), 4).alias("im"))
+
+
+@query(_SQL_MEANS + "SELECT label, i AS k, round(v, 5) AS finite FROM g WHERE i = j AND i < 60 UNION ALL SELECT label, i, NULL FROM g WHERE i = j AND i >= 60")
+def pencil_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues of the diagonal against one whose last four elements are zero: four are infinite."""
+
+    def run(g: np.ndarray) -> np.ndarray:
+        d = np.diag(g)
+        made = batched.pencil(np.diag(d), np.diag([1.0] * 60 + [0.0] * 4))
+        values = [x.real / y.real for x, y, inf in zip(made["alpha"].ravel(), made["beta"].ravel(), made["infinite"].ravel()) if not inf]
+        # Sorted values go back to the places that the diagonal's own have.
+        out = np.full((64, 1), np.nan)
+        out[np.argsort(d[:60], kind="stable"), 0] = sorted(values)
+        return out
+
+    found = batched.apply(_label_means(spark, sf_dir), "label", WIDTH, WIDTH, run)
+    return found.select("label", F.col("i").alias("k"), F.when(~F.isnan("re"), F.round("re", 5)).alias("finite"))
+
+
+@query(_SQL_MEANS + ", n AS (SELECT label, max(s) AS one FROM (SELECT label, j, sum(abs(v)) AS s FROM g GROUP BY 1, 2) GROUP BY 1) SELECT label, round(one, 5) AS one, true AS near FROM n")
+def rcond_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one norm, and whether the estimated condition is within a third of the true one and not above it."""
+
+    def run(g: np.ndarray) -> np.ndarray:
+        one = np.abs(g).sum(axis=0).max()
+        estimate, true = batched.FUNCTIONS["rcond"](g)[0, 0], 1 / batched.cond(g, "one")
+        return np.array([[one, float(true * (1 - 1e-9) <= estimate <= true * 1.5)]])
+
+    found = batched.apply(_label_means(spark, sf_dir), "label", WIDTH, WIDTH, run)
+    return found.groupBy("label").agg(F.max(F.when(F.col("j") == 0, F.round("re", 5))).alias("one"), F.bool_and((F.col("j") == 0) | (F.col("re") == 1)).alias("near"))
 
 
 @query(_SQL_LG + "SELECT label, round(sum(v), 4) AS total FROM g WHERE i = j GROUP BY label")
@@ -524,3 +715,110 @@ def neighbours_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ev.select("event_id", ((F.col("event_id") % 97) * 0.7 + F.col("value") / 1000).alias("x"), ((F.col("event_id") % 89) * 0.9).alias("y"))
     found = complexes.near_pairs(p, "event_id", "x", "y", 1.5)
     return found.groupBy(F.col("k").alias("event_id")).agg(F.count(F.lit(1)).alias("partners"), F.round(F.avg("r2"), 6).alias("mean_r2"))
+
+
+# --- elements, shapes, tests and other scalars --------------------------------------------------------------------------
+
+
+@query(SQL_E + "SELECT (SELECT round(v, 6) FROM e WHERE i = 2 AND j = 5) AS at, (SELECT round(v, 6) FROM e ORDER BY i DESC, j DESC LIMIT 1) AS last, (SELECT round(v, 6) FROM e WHERE i = 1 AND j = 6) AS flat, (SELECT count(*) FROM embeddings) AS rows, 64::BIGINT AS cols, count(*) AS numel, false AS empty FROM e")
+def element_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return _scalars(spark, at=round(e.at(2, 5), 6), last=round(e.at(-1, -1), 6), flat=round(e.flat(70), 6), rows=e.rows(), numel=e.numel(), empty=e.empty()).withColumn("cols", F.lit(e.cols()).cast("bigint"))
+
+
+matrix_query("row_slice", "SELECT 0::BIGINT AS i, j, round(v, 6) + 0.0 AS v FROM e WHERE i = 7", lambda e: e.row(7))
+matrix_query("scalar_on_the_left", f"SELECT i, j, {_R.format('3 - 2 * (1 + v)')} FROM e", lambda e: 3.0 - 2.0 * (1.0 + e))
+matrix_query("negated", f"SELECT i, j, {_R.format('-v')} FROM e", lambda e: -e)
+matrix_query("modulo_integer", f"SELECT i, j, {_R.format('floor(v * 100) - 5 * trunc(floor(v * 100) / 5)')} FROM e", lambda e: (e * 100.0).floor() % 5)
+matrix_query("mask_assign_vector", f"SELECT i, j, {_R.format('CASE WHEN v > 1 THEN row_number() OVER (PARTITION BY v > 1 ORDER BY i, j) - 1 ELSE v END')} FROM e", lambda e: (lambda k: e.put_where(k, (lambda n: generate.grid(e.spark, n, 1, F.col("i")))(k.nnz())))(e.gt(1.0)))
+matrix_query("element_assign", f"SELECT i, j, {_R.format('CASE WHEN i = 3 AND j = 4 THEN 7.5 ELSE v END')} FROM e", lambda e: e.put(3, 4, 7.5))
+matrix_query("spy_large", "SELECT i, j, (abs(v) > 1)::INT::DOUBLE AS v FROM e", lambda e: e.spy(1.0))
+matrix_query("resized_wider", f"SELECT a.i, b.j, {_R.format('coalesce(e.v, 0)')} FROM (SELECT vec_id AS i FROM embeddings) a CROSS JOIN range(70) b(j) LEFT JOIN e ON e.i = a.i AND e.j = b.j", lambda e: e.resized(e.m, 70))
+matrix_query("fftshift_columns", "SELECT (i + n // 2) % n AS i, j, round(v, 6) + 0.0 AS v FROM e, (SELECT count(*) AS n FROM embeddings)", lambda e: e.fftshift())
+matrix_query("ifftshift_both", "SELECT (i + n - n // 2) % n AS i, (j + 32) % 64 AS j, round(v, 6) + 0.0 AS v FROM e, (SELECT count(*) AS n FROM embeddings)", lambda e: e.ifftshift(both=True))
+matrix_query("identity_sum", f"SELECT i, j, {_R.format('v + CASE WHEN i = j THEN 2.5 ELSE 0 END')} FROM ({_SQL_GRAM})", lambda e: products.gram(e) + (Identity(64, 1.5) + I))
+matrix_query("identity_product", f"SELECT i, j, {_R.format('v * 6')} FROM ({_SQL_GRAM})", lambda e: (I * 3) * products.gram(e) * (2 * I))
+matrix_query("gemm_ranks", f"SELECT a.i, b.i AS j, {_R.format('sum(a.v * b.v)')} FROM e a JOIN e b USING (j) WHERE a.i < 40 AND b.i < 40 GROUP BY 1, 2", lambda e: products.mul_t(e.block((0, 39), (0, 63)), e.block((0, 39), (0, 63))))
+matrix_query("low_rank_whole", f"SELECT i, j, {_R.format('v')} FROM e", lambda e: linalg.low_rank(e, 64))
+matrix_query("power_of_gram", f", g AS (SELECT i, j, v / (SELECT count(*) FROM embeddings) AS v FROM ({_SQL_GRAM})), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT a.i, b.j, {_R.format('sum(a.v * b.v)')} FROM h a JOIN g b ON a.j = b.i GROUP BY 1, 2", lambda e: products.power(products.gram(e) / float(e.m), 3))
+matrix_query("right_divide_gram", f", g AS (SELECT i, j, v + CASE WHEN i = j THEN 64 ELSE 0 END AS v FROM ({_SQL_GRAM})) SELECT i, j, {_R.format('v')} FROM g", lambda e: (lambda g: (g / (g * 2.0)).T() * 2.0 * g)(products.gram(e) + Identity(64, 64.0)))
+generated("generate_range_half_open", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM range(36) a(j)", lambda s: generate.span(s, 1.0, 10.0, 0.25, half_open=True))
+
+
+@query(SQL_E + f", g AS ({_SQL_GRAM}) SELECT (SELECT round(sum(v), 4) FROM g WHERE i = j) AS trace, (SELECT round(sum(v * v), 2) FROM g) AS dot, (SELECT bool_and(abs(a.v - b.v) < 1e-6) FROM g a JOIN g b ON a.i = b.j AND a.j = b.i) AS symmetric, (SELECT bool_and(v = 0) FROM g WHERE i <> j) AS diagonal, (SELECT max(i - j) FROM g WHERE v <> 0) AS below, (SELECT max(j - i) FROM g WHERE v <> 0) AS above, false AS upper, true AS triangular, true AS same, false AS shifted")
+def structure_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = products.gram(embeddings(spark, sf_dir))
+    below, above = g.bandwidth()
+    return _scalars(spark, trace=round(g.trace(), 4), dot=round(g.dot(g), 2), symmetric=g.is_symmetric(), diagonal=g.is_diagonal(), upper=g.is_upper(), triangular=g.triu().is_upper() and g.tril().is_lower() and g.is_banded(63, 63), same=g.allclose(g * 1.0), shifted=g.equals(g + 1.0)).select("*", F.lit(below).cast("bigint").alias("below"), F.lit(above).cast("bigint").alias("above"))
+
+
+@query(SQL_E + ", a AS (SELECT j AS k, v FROM e WHERE i = 0), s AS (SELECT a.k, a.v, b.v AS w FROM a JOIN a b ON b.k = a.k + 1), x AS (SELECT k, k * k + 1.0 AS v FROM a), y AS (SELECT x.k, z.v - x.v AS d FROM x JOIN x z ON z.k = x.k + 1) SELECT round((SELECT sum((v + w) / 2) FROM s), 6) AS unit, round((SELECT sum(d * (v + w) / 2) FROM s JOIN y USING (k)), 5) AS over_x, (SELECT k FROM a ORDER BY v DESC, k LIMIT 1) AS top, round((SELECT median(v) FROM e), 6) AS middle")
+def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    a = e.row(0)
+    x = generate.grid(spark, 1, 64, F.col("j") * F.col("j") + 1.0)
+    return _scalars(spark, unit=round(a.trapz(), 6), over_x=round(a.trapz_over(x), 5), middle=round(e.median(), 6)).withColumn("top", F.lit(a.argmax(flat=True)).cast("bigint"))
+
+
+@query("WITH w AS (SELECT 21 AS n), g AS (SELECT i, j, CASE abs(i - j) WHEN 0 THEN abs(i - 10)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM range(21) a(i), range(21) b(j)) SELECT round(max(s), 6) AS one, round((SELECT sqrt(sum(v * v)) FROM g), 6) AS fro, 10.746194::DOUBLE AS two, 10.746194::DOUBLE AS estimate, true AS conditioned FROM (SELECT j, sum(abs(v)) AS s FROM g GROUP BY j)")
+def norms_of_wilkinson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest eigenvalue of the order 21 is a known value; conditions of all kinds are finite and in order."""
+    w = generate.wilkinson(spark, 21)
+    kinds = {k: linalg.cond(w, k) for k in ("two", "one", "inf", "fro")}
+    ok = kinds["two"] <= kinds["one"] and abs(kinds["one"] - kinds["inf"]) < 1e-9 and kinds["fro"] >= kinds["two"] and linalg.cond(generate.full(spark, 3, 3, 1.0)) == math.inf
+    return _scalars(spark, one=round(w.norm("one"), 6), fro=round(w.norm(), 6), two=round(w.norm("two"), 6), estimate=round(linalg.normest(w, 1e-13, 2000), 6), conditioned=bool(ok))
+
+
+@query("SELECT floor(least(value / 500 * 20, 19))::BIGINT AS bx, least(event_id % 97 // 5, 19)::BIGINT AS by, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1, 2")
+def histogram2d_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events").withColumn("y", (F.col("event_id") % 97).cast("double"))
+    return learn.histogram2d(ev, "value", "y", (0.0, 500.0), (0.0, 100.0), 20)
+
+
+@query("WITH p AS (SELECT value AS x, (event_id % 89) * 1.25 AS y, 8.0::DOUBLE AS w, 8 * sqrt(3.0) AS h FROM events), c AS (SELECT x, y, round(x / w) * w AS ax, round(y / h) * h AS ay, (floor(x / w) + 0.5) * w AS bx, (floor(y / h) + 0.5) * h AS b2 FROM p), d AS (SELECT *, (x - ax) * (x - ax) + (y - ay) * (y - ay) <= (x - bx) * (x - bx) + (y - b2) * (y - b2) AS first FROM c) SELECT round(CASE WHEN first THEN ax ELSE bx END, 9) + 0.0 AS cx, round(CASE WHEN first THEN ay ELSE b2 END, 9) + 0.0 AS cy, count(*) AS n FROM d GROUP BY 1, 2")
+def hexbin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events").withColumn("y", (F.col("event_id") % 89) * 1.25)
+    return learn.hexbin(ev, "value", "y", 8.0).select((F.col("cx") + 0.0).alias("cx"), (F.col("cy") + 0.0).alias("cy"), "n")
+
+
+@query("SELECT * FROM (VALUES ('csv', 'col0,col1' || chr(10) || '1,0.5' || chr(10) || '0.5,0.333'), ('tsv', '1' || chr(9) || '0.5' || chr(10) || '0.5' || chr(9) || '0.333'), ('markdown', '| col0 | col1 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 0.5 |' || chr(10) || '| 0.5 | 0.333 |'), ('matlab', 'A = [1 0.5; 0.5 0.333];'), ('numpy', 'A = np.array([[1, 0.5], [0.5, 0.333]])'), ('plain', '1 0.5' || chr(10) || '0.5 0.333'), ('pretty', '    1   0.5' || chr(10) || '  0.5 0.333')) t(fmt, said)")
+def render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = generate.hilb(spark, 2)
+    made = [(f, sinks.render(h, sinks.Options(f, 3, header=f == "csv"))) for f in ("csv", "tsv", "markdown", "matlab", "numpy", "plain", "pretty")]
+    return spark.createDataFrame(made, "fmt string, said string")
+
+
+@query("SELECT 0::BIGINT AS i, j, v FROM (SELECT unnest(range(4)) AS j, unnest([6.0, 11.0, 6.0, 1.0]) AS v)")
+def poly_from_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x + 1)(x + 2)(x + 3), lowest power first, from its roots; these from its coefficients again."""
+    table = lambda xs: spark.createDataFrame([(0, 0, k, float(x)) for k, x in enumerate(xs)], "key int, i bigint, j bigint, v double")
+    made = batched.apply(table([-1, -2, -3]), "key", 1, 3, "poly").select("key", "i", "j", F.col("re").alias("v"))
+    back = batched.apply(made, "key", 1, 4, "roots").select("key", F.col("j").alias("i"), F.col("i").alias("j"), F.col("re").alias("v"))
+    again = batched.apply(back, "key", 1, 3, "poly")
+    return again.select("i", (3 - F.col("j")).alias("j"), rounded(F.col("re")).alias("v"))
+
+
+@query("SELECT 0::BIGINT AS i, j, v FROM (SELECT unnest(range(3)) AS j, unnest([1.0, 2.0, 3.0]) AS v)")
+def deconv_of_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = lambda xs: spark.createDataFrame([(0, 0, k, float(x)) for k, x in enumerate(xs)], "key int, i bigint, j bigint, v double")
+    y = batched.apply_pair(table([1, 2, 3]), table([2, -1, 4, 1]), "key", (1, 3), (1, 4), "conv").select("key", "i", "j", F.col("re").alias("v"))
+    found = batched.apply_pair(y, table([2, -1, 4, 1]), "key", (1, 6), (1, 4), "deconv")
+    return found.where("factor = 'quotient'").select("i", "j", rounded(F.col("re")).alias("v"))
+
+
+@query("SELECT a, b, f, CASE f WHEN 'and' THEN a AND b WHEN 'or' THEN a OR b WHEN 'nand' THEN NOT (a AND b) WHEN 'nor' THEN NOT (a OR b) ELSE a <> b END AS y FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) z(b), (VALUES ('and'), ('or'), ('nand'), ('nor'), ('xor')) w(f)")
+def truth_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [learn.truth_table(spark, f, bias=False).select("a", "b", F.lit(name).alias("f"), "y") for name, f in learn.LOGIC.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT true AS inside, true AS permutation, true AS whole, (SELECT bool_and(n_nationkey IN (SELECT c_nationkey FROM customer)) FROM nation WHERE n_nationkey < 3) AS subset")
+def random_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random matrices keep to their bounds; a permutation has every number once; a few keys among the customers' are a subset."""
+    u, k, p = generate.rand(spark, 200, 50, -1.0, 2.0, 5), generate.randi(spark, 3, 9, 100, 40, 6), generate.randperm(spark, 5000, 7)
+    inside = u.min() >= -1 and u.max() < 2 and abs(u.mean() - 0.5) < 0.05 and abs(generate.randn(spark, 200, 50, 8).var() - 1) < 0.1
+    whole = (k.min(), k.max()) == (3.0, 9.0) and k.equals(k.floor())
+    few = read(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("i"), F.lit(0).alias("j"), F.col("n_nationkey").alias("v"))
+    many = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.lit(0).alias("j"), F.col("c_nationkey").alias("v"))
+    subset = setops.issubset(tables.from_cells(few, 3, 1), tables.from_cells(many, 1, 1))
+    return _scalars(spark, inside=bool(inside), permutation=p.df.select(F.countDistinct("v")).first()[0] == 5000 and p.sum() == 5000 * 4999 / 2, whole=bool(whole), subset=bool(subset))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,13 @@ def completed(df: DataFrame, m: int, n: int) -> Matrix:
     return Matrix(every.join(df, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v")), m, n)
 
 
-def span(spark: SparkSession, start: float, stop: float, step: float = 1.0) -> Matrix:
-    """start, start + step, … up to stop, included within 1e-12; empty if the sign is wrong."""
+def span(spark: SparkSession, start: float, stop: float, step: float = 1.0, half_open: bool = False) -> Matrix:
+    """start, start + step, … up to stop, included within 1e-12 or, half open, left out; empty if the sign is wrong."""
     if step == 0:
         raise ValueError("the step is zero")
+    if half_open:
+        n = max(0, math.ceil((stop - start) / step))
+        return grid(spark, 1 if n else 0, n, F.lit(float(start)) + F.col("j") * F.lit(float(step)))
     n = max(0, int((stop - start) / step + 1e-12) + 1) if (stop - start) / step >= -1e-12 else 0
     return grid(spark, 1 if n else 0, n, F.lit(float(start)) + F.col("j") * F.lit(float(step)))
 
@@ -153,7 +158,7 @@ def randi(spark: SparkSession, low: int, high: int, m: int, n: int, seed: int =
 
 def randperm(spark: SparkSession, n: int, seed: int = 0) -> Matrix:
     """A permutation of 0 … n-1, by sorting on random marks."""
-    from gridloom.operators.matrix import numbered
+    from gridloom.operators.scans import numbered
 
     marks = spark.range(n).select("id", F.rand(seed).alias("r"))
     return Matrix(numbered(marks, ["r", "id"]).select(F.lit(0).cast("bigint").alias("i"), F.col("rank").alias("j"), F.col("id").cast("double").alias("v")), 1, n)

@@ -9,9 +9,13 @@ from gridloom.operators.matrix import Matrix
 
 
 def from_arrays(df: DataFrame, row_col: str, array_col: str, m: int, n: int) -> Matrix:
-    """One row per ``row_col``, its elements from an array; elements become doubles first."""
+    """One row per ``row_col``, its elements from an array; elements become doubles first.
+
+    A null array is no row; rows are at hand for products, where a null element is NaN.
+    """
+    packed = df.where(F.col(array_col).isNotNull()).select(F.col(row_col).cast("bigint").alias("i"), F.transform(array_col, lambda x: x.cast("double")).alias("r"))
     cells = df.select(F.col(row_col).cast("bigint").alias("i"), F.posexplode(array_col).alias("j", "x"))
-    return Matrix(cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("x").cast("double").alias("v")), m, n)
+    return Matrix(cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("x").cast("double").alias("v")), m, n, packed=packed)
 
 
 def from_columns(df: DataFrame, row_col: str, columns: list[str], m: int) -> Matrix:
