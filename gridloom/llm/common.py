@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.functions.shared import materialize, shared_dir
+
+__all__ = ["join_spread", "map_texts", "materialize", "other_columns", "quoted", "remainder", "shared_dir", "table"]
+
 #: Rows that a Python task handles at once; bounds what its temporary arrays take.
 CHUNK_ROWS = 128
 
@@ -21,34 +23,6 @@ HOT_ROWS, HOT_KEYS = 1_000, 100_000
 _ROW_TEXT = "__row_text"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a plain local session) one is chosen: a temporary
-    folder under a local master, else the warehouse, which executors share.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.master.startswith("local"):
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], size_col: str, total: int) -> DataFrame:
     """Inner join where ``right``, a written table, has one row a key and says how many of the ``total`` rows of ``left`` have it.
 
