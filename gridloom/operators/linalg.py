@@ -149,7 +149,7 @@ def qr(a: Matrix) -> tuple[Matrix, np.ndarray]:
     if a.m < a.n:
         raise ValueError("more columns than rows")
     first = _triangle(a)
-    if len(first) < a.n or np.abs(np.diag(first)).min() <= EPS * np.abs(first).max():
+    if len(first) < a.n or np.abs(np.diag(first)).min() <= max(a.shape) * EPS * np.abs(first).max():
         raise ArithmeticError("columns depend on each other; use qr_pivoted()")
     q = times(a, np.linalg.inv(first))
     second = _triangle(q)
