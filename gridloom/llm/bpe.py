@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 #: Words and pairs that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
+CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
 #: Characters of the words that a worker remembers.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 4_000_000
 #: Symbols from which a word is merged by a heap; shorter ones are searched, with the same result.
 LONG_WORD = 64
 SUFFIX = "</w>"

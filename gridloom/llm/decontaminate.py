@@ -23,7 +23,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -299,11 +298,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_
     inner = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("__row"), quoted(text_col).cast("string").alias("__own"))
     found = verdicts(scan(inner, benchmark, "__own", keep=["__row", "__own"]), coverage).where("NOT contaminated")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
+    found = found.select("__row", F.col("__own").alias("__cut"), "hit_spans")
+    schema = T.StructType(found.schema.fields[:2])
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(texts, arrow.field(1).type)], schema=arrow)
 
-    found = found.select("__row", cut("__own", "hit_spans").alias("__cut"))
+    found = found.mapInArrow(cut, schema)
     columns = []
     for c in docs.columns:
         own = F.col("__row").getField(c)

@@ -25,7 +25,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -401,12 +400,12 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars") ->
     """Every row with its secrets replaced; ``chars_col``, if present, follows a changed text."""
     model = fitted()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact_text(t, model) for t in texts], dtype=object)
+    def clean(texts: list[str | None]) -> dict[str, list]:
+        return {"__clean": [redact_text(t, model) for t in texts]}
 
     rest = other_columns(df, [text_col, chars_col])
-    made = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("__row"), clean(quoted(text_col).cast("string")).alias("__clean"))
+    inner = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("__row"), quoted(text_col).cast("string").alias("__own"))
+    made = map_texts(inner, "__own", clean, [T.StructField("__clean", T.StringType())], ["__row"])
     own = lambda c: F.col("__row").getField(c)
     columns = []
     for c in df.columns:
