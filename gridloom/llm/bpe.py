@@ -31,10 +31,8 @@ from pyspark.sql import types as T
 
 from .common import map_texts
 
-#: Words and pairs that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
-#: Characters of the words that a worker remembers.
-CACHE_CHARS = 4_000_000
+#: Words and pairs that a worker remembers, and characters for each of these words on average.
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 32
 #: Symbols from which a word is merged by a heap; shorter ones are searched, with the same result.
 LONG_WORD = 64
 SUFFIX = "</w>"
@@ -97,7 +95,7 @@ class WordBpe:
         self.final = {k[: -len(SUFFIX)]: v for k, v in self.ids.items() if k.endswith(SUFFIX)}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.held, self.most = 0, CACHE_WORDS
         self.sound: dict[int, bool] = {}
         self.pairs = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
@@ -231,10 +229,10 @@ class WordBpe:
 
         No word crosses a space or a line end, so a text is looked up chunk by chunk between them.
         """
-        if len(self.chunks) > CACHE_WORDS or self.held > CACHE_CHARS:
+        if len(self.chunks) > self.most or self.held > CACHE_CHARS * self.most:
             self.chunks.clear()
             self.held = 0
-        if len(self.words) > CACHE_WORDS or not self.chunks:
+        if len(self.words) > self.most or not self.chunks:
             self.words.clear()
         parts: list[list[str | list[str]]] = []
         for text in texts:
@@ -291,10 +289,11 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, with_decoded: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` and ``decoded``.
 
     Digests are those of the ids as little-endian 32-bit integers and of the decoded UTF-8 text.
+    ``cache_words`` bounds what a worker remembers: fewer take less memory and more time, with the same result.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
@@ -304,6 +303,7 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[s
 
     def compute(texts: list[str | None]) -> dict[str, list]:
         model = load(path)
+        model.most = cache_words
         ids = model.encode_batch(texts)
         decoded = [model.decode(x) for x in ids]
         made = {
