@@ -13,6 +13,8 @@ from gridloom.llm.common import shared_dir, table
 
 #: The vocabulary file of the last stage.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Words that a worker of the last stage remembers, beside what it still holds of the stages before.
+CACHE_WORDS = 120_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the decoded text."""
-    found = bpe.encode_decode(docs, VOCABULARY, with_decoded=False)
+    found = bpe.encode_decode(docs, VOCABULARY, with_decoded=False, cache_words=CACHE_WORDS)
     return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
