@@ -95,7 +95,7 @@ class WordBpe:
         self.final = {k[: -len(SUFFIX)]: v for k, v in self.ids.items() if k.endswith(SUFFIX)}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
-        self.held, self.most = 0, CACHE_WORDS
+        self.held, self.held_words, self.most = 0, 0, CACHE_WORDS
         self.sound: dict[int, bool] = {}
         self.pairs = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
@@ -220,6 +220,7 @@ class WordBpe:
             spelled = [w if w.isascii() and w.isprintable() else "".join(names[b] for b in w.encode("utf-8", "surrogatepass")) for w in fresh]
             for word, ids in zip(fresh, self.encode_words(spelled)):
                 self.words[word] = ids
+                self.held_words += len(word)
         for chunk, ws in zip(chunks, split):
             self.chunks[chunk] = tuple(t for w in ws for t in self.words[w])
             self.held += len(chunk)
@@ -232,8 +233,9 @@ class WordBpe:
         if len(self.chunks) > self.most or self.held > CACHE_CHARS * self.most:
             self.chunks.clear()
             self.held = 0
-        if len(self.words) > self.most or not self.chunks:
+        if len(self.words) > self.most or self.held_words > CACHE_CHARS * self.most:
             self.words.clear()
+            self.held_words = 0
         parts: list[list[str | list[str]]] = []
         for text in texts:
             own: list[str | list[str]] = []
