@@ -1,6 +1,6 @@
 """BPE encoding by speculation and verification, and decoding.
 
-For every word a greedy longest match proposes tokens. The proposal is right exactly when each
+For every word a greedy longest match, run over all words of a batch at once, proposes tokens. The proposal is right exactly when each
 of its adjacent pairs is: when the merges, run on the two tokens' characters alone, give the two
 tokens back. Pairs are checked for all words of a batch at once against a sorted table of pairs
 already judged; only pairs never seen before are judged by merging, and only words with a failing
@@ -22,8 +22,10 @@ import hashlib
 import heapq
 import itertools
 import json
+import struct
 import unicodedata
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +38,10 @@ CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 32
 #: Symbols from which a word is merged by a heap; shorter ones are searched, with the same result.
 LONG_WORD = 64
 SUFFIX = "</w>"
+#: Added to the code point of a word's last character in texts of many words; beyond all bytes' stand-ins.
+LAST = 0x200
+#: Bits of an id in a pair of ids, and in a merge, which is its rank and the id that it makes.
+BITS, MASK, NONE = 20, (1 << 20) - 1, 1 << 62
 
 # The printable stand-ins of bytes in byte-level vocabularies are the bytes that
 # print in Latin-1 themselves; the others take code points from 256 on, in order.
@@ -72,6 +78,10 @@ def _newer() -> frozenset[str]:
     return frozenset(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
 
 
+def mark_end(word: str) -> str:
+    return word[:-1] + chr(ord(word[-1]) + LAST)
+
+
 class WordBpe:
     """Encoder and decoder of one word-level BPE vocabulary file."""
 
@@ -79,7 +89,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        self.joins = {self.ids[a] << BITS | self.ids[b]: k << BITS | self.ids[a + b] for k, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
@@ -87,104 +98,100 @@ class WordBpe:
         new = f"[{''.join(sorted(_newer()))}]"
         careful = words.replace(r"[\p{L}]", rf"(?:(?!{new})\p{{L}})").replace(r"[\p{N}]", rf"(?!{new})\p{{N}}").replace(r"[^\s\p{L}\p{N}]", rf"(?:{new}|[^\s\p{{L}}\p{{N}}])")
         self.new, self.careful = _newer(), regex.compile(careful)
-        self.first_new = min(self.new, default="\U0010ffff")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes = byte_names()
-        self.longest = max(len(x) - len(SUFFIX) * x.endswith(SUFFIX) for x in self.ids)
-        self.inner = {k: v for k, v in self.ids.items() if not k.endswith(SUFFIX)}
-        self.final = {k[: -len(SUFFIX)]: v for k, v in self.ids.items() if k.endswith(SUFFIX)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.bytes = dict(enumerate(byte_names()))
+        own = {k: v for k, v in self.ids.items() if k not in self.special}
+        self.inner = {k: v for k, v in own.items() if not k.endswith(SUFFIX)}
+        self.final = {k[: -len(SUFFIX)]: v for k, v in own.items() if k.endswith(SUFFIX)}
+        self.last = np.zeros(1 + max(self.names), bool)
+        self.last[list(self.final.values())] = True
+        self.match = ahocorasick.Automaton()
+        for k, v in self.inner.items():
+            self.match.add_word(k, v)
+        for k, v in self.final.items():
+            self.match.add_word(mark_end(k), v)
+        self.match.make_automaton()
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.held, self.held_words, self.most = 0, 0, CACHE_WORDS
-        self.sound: dict[int, bool] = {}
+        self.sound = np.full(len(self.last), -1, np.int8)
         self.pairs = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
 
     # --- exact merging ---
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Apply the merges in rank order, leftmost first."""
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Apply the merges to symbols, which are ids, in rank order, leftmost first."""
         if len(symbols) >= LONG_WORD:
             return self.merge_long(symbols)
-        get, none = self.ranks.get, len(self.ranks)
-        symbols = list(symbols)
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+        get, symbols = self.joins.get, list(symbols)
+        found = [get(a << BITS | b, NONE) for a, b in itertools.pairwise(symbols)]
+        while found and (best := min(found)) < NONE:
+            i = found.index(best)
+            symbols[i] = new = best & MASK
+            del symbols[i + 1], found[i]
+            if i < len(found):
+                found[i] = get(new << BITS | symbols[i + 1], NONE)
             if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+                found[i - 1] = get(symbols[i - 1] << BITS | new, NONE)
         return symbols
 
-    def merge_long(self, symbols: list[str]) -> list[str]:
-        """The same for long words: a heap of (rank, place of the left symbol), over a linked list of symbols."""
-        ranks, own = self.ranks, [*symbols, ""]
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """The same for long words: a heap of (merge, place of the left symbol), over a linked list of symbols."""
+        joins, own = self.joins, [*symbols, MASK]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[pair], k) for k, pair in enumerate(zip(own, own[1:n])) if pair in ranks]
+        heap = [(joins[a << BITS | b], k) for k, (a, b) in enumerate(itertools.pairwise(symbols)) if a << BITS | b in joins]
         heapq.heapify(heap)
         while heap:
-            rank, k = heapq.heappop(heap)
+            join, k = heapq.heappop(heap)
             nxt = after[k]
-            # A symbol that has been merged away is empty, and in no pair.
-            if nxt == n or ranks.get((own[k], own[nxt])) != rank:
+            # A symbol that has been merged away is MASK, which is no id and so in no pair.
+            if nxt == n or joins.get(own[k] << BITS | own[nxt]) != join:
                 continue
-            own[k], own[nxt] = own[k] + own[nxt], ""
+            own[k], own[nxt] = join & MASK, MASK
             after[k] = after[nxt]
             if after[k] < n:
                 before[after[k]] = k
-                if (found := ranks.get((own[k], own[after[k]]))) is not None:
+                if (found := joins.get(own[k] << BITS | own[after[k]])) is not None:
                     heapq.heappush(heap, (found, k))
-            if before[k] >= 0 and (found := ranks.get((own[before[k]], own[k]))) is not None:
+            if before[k] >= 0 and (found := joins.get(own[before[k]] << BITS | own[k])) is not None:
                 heapq.heappush(heap, (found, before[k]))
-        return [x for x in own if x]
+        return [x for x in own if x != MASK]
 
-    def symbols(self, token: str) -> list[str]:
-        """The single characters of a token, the last one with the word's end if it has it."""
+    def symbols(self, token: str) -> list[int]:
+        """The ids of a token's single characters, the last one with the word's end if it has it."""
         if token.endswith(SUFFIX):
             own = token[: -len(SUFFIX)]
-            return [*own[:-1], own[-1] + SUFFIX]
-        return list(token)
+            return [*map(self.inner.__getitem__, own[:-1]), self.final[own[-1]]]
+        return list(map(self.inner.__getitem__, token))
 
-    def exact(self, word: str) -> tuple[int, ...]:
-        return tuple(self.ids[s] for s in self.merge(self.symbols(word + SUFFIX)))
+    def exact(self, word: str) -> bytes:
+        ids = self.merge(self.symbols(word + SUFFIX))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     # --- speculation and verification ---
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over the word, its end included."""
-        out, at, n = [], 0, len(word)
-        inner, final, longest = self.inner, self.final, self.longest
-        while at < n:
-            end = min(n, at + longest)
-            found = final.get(word[at:end]) if end == n else inner.get(word[at:end])
-            while found is None:
-                end -= 1
-                found = inner.get(word[at:end])
-            out.append(found)
-            at = end
-        return out
+    def propose(self, words: list[str]) -> np.ndarray:
+        """Greedy longest matches over all words one after the other; none goes beyond a word's marked last character."""
+        return np.fromiter((v for _, v in self.match.iter_long("".join(map(mark_end, words)))), np.int64)
 
-    def token_sound(self, token: int) -> bool:
-        """Whether a token's own characters merge to it."""
-        found = self.sound.get(token)
-        if found is None:
-            found = self.sound[token] = self.merge(self.symbols(self.names[token])) == [self.names[token]]
-        return found
+    def sound_tokens(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token's own characters merge to it."""
+        for t in np.unique(tokens[self.sound[tokens] < 0]).tolist():
+            self.sound[t] = self.merge(self.symbols(self.names[t])) == [t]
+        return self.sound[tokens] == 1
 
     def judge_pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each pair (left << 20 | right) is compatible; new ones are learned."""
+        """Whether each pair (left << BITS | right) is compatible; new ones are learned."""
         at = np.searchsorted(self.pairs, keys)
         known = (at < len(self.pairs)) & (self.pairs[np.minimum(at, max(0, len(self.pairs) - 1))] == keys) if len(self.pairs) else np.zeros(len(keys), bool)
         fresh = np.unique(keys[~known])
         if len(fresh):
             verdict = []
             for k in fresh.tolist():
-                a, b = self.names[k >> 20], self.names[k & 0xFFFFF]
-                verdict.append(self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b])
+                a, b = k >> BITS, k & MASK
+                verdict.append(self.merge(self.symbols(self.names[a]) + self.symbols(self.names[b])) == [a, b])
             if len(self.pairs) + len(fresh) > CACHE_PAIRS:
                 now = np.unique(keys)
                 old = np.isin(self.pairs, now)
@@ -194,35 +201,36 @@ class WordBpe:
             self.pairs, self.fits = both[order], np.concatenate([self.fits, np.array(verdict, bool)])[order]
         return self.fits[np.searchsorted(self.pairs, keys)]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Token ids of words, spelled in the vocabulary's characters, all at once."""
-        proposals = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        good = np.fromiter((self.token_sound(t) for t in flat.tolist()), bool, len(flat))
-        inner = np.ones(len(flat), bool)
-        inner[ends - 1] = False
-        left = np.flatnonzero(inner)
+        flat = self.propose(words)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        good = self.sound_tokens(flat)
+        left = np.flatnonzero(~self.last[flat])
         if len(left):
-            good[left] &= self.judge_pairs((flat[left] << 20) | flat[left + 1])
-        fits = np.logical_and.reduceat(good, ends - sizes)
-        return [tuple(p) if fit else self.exact(w) for w, p, fit in zip(words, proposals, fits.tolist())]
+            good[left] &= self.judge_pairs((flat[left] << BITS) | flat[left + 1])
+        fits = np.logical_and.reduceat(good, starts)
+        whole, size = flat.astype("<u4").tobytes(), 4
+        return [
+            whole[a * size : b * size] if fit else self.exact(w)
+            for w, a, b, fit in zip(words, starts.tolist(), ends.tolist(), fits.tolist(), strict=True)
+        ]
 
     # --- texts ---
 
     def learn_chunks(self, chunks: list[str]) -> None:
         """Encode chunks, which are texts without a space or line end, that are not cached yet."""
-        split = [(self.split if c.isascii() or max(c) < self.first_new or self.new.isdisjoint(c) else self.careful).findall(c) for c in chunks]
+        new = self.new.intersection("".join(chunks))
+        split = [[c] if c.isascii() and c.isalpha() else (self.split if new.isdisjoint(c) else self.careful).findall(c) for c in chunks]
         fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
         if fresh:
-            names = self.bytes
-            spelled = [w if w.isascii() and w.isprintable() else "".join(names[b] for b in w.encode("utf-8", "surrogatepass")) for w in fresh]
+            spelled = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes) for w in fresh]
             for word, ids in zip(fresh, self.encode_words(spelled)):
                 self.words[word] = ids
                 self.held_words += len(word)
         for chunk, ws in zip(chunks, split):
-            self.chunks[chunk] = tuple(t for w in ws for t in self.words[w])
+            self.chunks[chunk] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
             self.held += len(chunk)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -251,13 +259,8 @@ class WordBpe:
             self.learn_chunks(sorted(fresh))
         out = []
         for own in parts:
-            ids: list[int] = []
-            for p in own:
-                if p.__class__ is list:
-                    ids += itertools.chain.from_iterable(map(known.__getitem__, p))
-                else:
-                    ids.append(self.special[p])
-            out.append(np.array(ids, dtype="<u4"))
+            ids = [b"".join(map(known.__getitem__, p)) if p.__class__ is list else struct.pack("<I", self.special[p]) for p in own]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
