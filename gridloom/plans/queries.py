@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import ieee
-from gridloom.operators import batched, complexes, learn, linalg, products, setops, signal
+from gridloom.operators import batched, complexes, distributions, learn, linalg, products, setops, signal
 from gridloom.operators.matrix import COL, ROW, Matrix
 from gridloom.operators.identity import I, Identity
 from gridloom.operators.tensor import Tensor, contract, contract_acc, contract_axes
@@ -781,6 +781,23 @@ def hexbin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.hexbin(ev, "value", "y", 8.0).select((F.col("cx") + 0.0).alias("cx"), (F.col("cy") + 0.0).alias("cy"), "n")
 
 
+@query("WITH b AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) SELECT event_type, round(any_value(q1), 6) AS q1, round(any_value(m), 6) AS median, round(any_value(q3), 6) AS q3, count(*) AS n, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outside FROM events JOIN b USING (event_type) GROUP BY 1")
+def boxes_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distributions.boxes(read(spark, sf_dir, "events"), "event_type", "value")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "n", "low", "high", "outside")
+
+
+@query("SELECT x::DOUBLE AS x, round(avg(exp(-pow((value - x) / 7.5, 2) / 2)) / (7.5 * sqrt(2 * pi())), 9) AS d FROM events, (SELECT unnest(range(0, 320, 5)) AS x) GROUP BY 1")
+def density_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distributions.density(read(spark, sf_dir, "events"), "value", [5.0 * k for k in range(64)], 7.5)
+    return found.select("x", F.round("d", 9).alias("d"))
+
+
+@query(SQL_E + "SELECT i, j, round(s - v, 6) + 0.0 AS low, round(s, 6) + 0.0 AS high FROM (SELECT i, j, v, sum(v) OVER (PARTITION BY i ORDER BY j) AS s FROM e)")
+def bands_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.bands(embeddings(spark, sf_dir)).select("i", "j", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"))
+
+
 @query("SELECT * FROM (VALUES ('csv', 'col0,col1' || chr(10) || '1,0.5' || chr(10) || '0.5,0.333'), ('tsv', '1' || chr(9) || '0.5' || chr(10) || '0.5' || chr(9) || '0.333'), ('markdown', '| col0 | col1 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 0.5 |' || chr(10) || '| 0.5 | 0.333 |'), ('matlab', 'A = [1 0.5; 0.5 0.333];'), ('numpy', 'A = np.array([[1, 0.5], [0.5, 0.333]])'), ('plain', '1 0.5' || chr(10) || '0.5 0.333'), ('pretty', '    1   0.5' || chr(10) || '  0.5 0.333')) t(fmt, said)")
 def render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = generate.hilb(spark, 2)
