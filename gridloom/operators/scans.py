@@ -96,11 +96,13 @@ def last_and_next(df: DataFrame, by: Sequence[str], order: Sequence[str], mark:
     ends = ranked.groupBy("__b").agg(F.max_by("__m", F.when(F.col("__m").isNotNull(), F.col("rank"))).alias("l"), F.min_by("__m", F.when(F.col("__m").isNotNull(), F.col("rank"))).alias("f"))
     over = Window.orderBy("__b")
     before = F.last("l", True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("f", True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("f", True).over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1))
     carried = ends.select("__b", before.alias("__before"), after.alias("__after"))
     w = Window.partitionBy("__b").orderBy("rank")
     low = F.last("__m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("__m", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Looking back in falling order keeps one running value; a frame to the end of the block would be read anew for every row.
+    falling = Window.partitionBy("__b").orderBy(F.desc("rank"))
+    high = F.last("__m", True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     found = ranked.select("*", low.alias("__l"), high.alias("__h")).join(carried, "__b")
     own = lambda x: F.when(x["s"].eqNullSafe(series), x["m"])
     lo, hi = own(F.coalesce("__l", "__before")), own(F.coalesce("__h", "__after"))
