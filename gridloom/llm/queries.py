@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_text, language_id, pii, quality_rules, secrets, simhash, toxicity
+from . import bpe, chat_format, context_tree, decontaminate, html_text, language_id, merkle, pii, quality_rules, secrets, simhash, spelling, toxicity
 from .common import remainder, table
 
 #: Where the vocabulary of op6 lies, which is the path that the tokenizers' package names.
@@ -132,3 +132,91 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations")
     return chat_format.format_chats(chats).select("conv_id", "turn", "role", "role_found", "n_turns", "rendered")
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10)
+    model = context_tree.train(docs, rest > 0)
+    found = context_tree.score(docs, model, keep=["doc_id"])
+    n = F.lit(model.train_tokens).cast("bigint").alias("train_tokens")
+    return found.select("doc_id", (rest == 0).alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "bits_per_byte")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, changed)
+
+
+# crc32 of an expression's bytes: every byte is folded in, then eight shifts (-1).
+_SQL_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(hex(encode({0})), ''),
+    lambda x, i: CASE WHEN i % 2 = 1 THEN []::BIGINT[] ELSE [{1}, -1, -1, -1, -1, -1, -1, -1, -1] END))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+
+def _sql_crc(text: str) -> str:
+    return _SQL_CRC.format(text, f"(instr('0123456789ABCDEF', hex(encode({text}))[i - 1]) * 16 + instr('0123456789ABCDEF', x) - 17)::BIGINT")
+
+
+_SQL_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_SQL_LEAF = "sha256(" + " || ".join(_SQL_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_SQL_LEAF.format(text="text")} AS leaf,
+         CASE WHEN {_sql_crc("doc_id::VARCHAR")} % 2 = 0 THEN {_SQL_LEAF.format(text="replace(text, chr(10), '')")} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+nodes(source, lvl, pos, n, h) AS (
+  SELECT coalesce('=' || source, ''), 0, pos, n, leaf FROM l
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n),
+steps AS (
+  SELECT source, lvl, pos, n, string_agg(h, '' ORDER BY pos) OVER before AS a, string_agg(h, '' ORDER BY pos) OVER after AS b FROM nodes WHERE n > 1
+  WINDOW before AS (PARTITION BY source, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY source, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+usteps AS (
+  SELECT lvl, pos, n, string_agg(h, '' ORDER BY pos) OVER before AS a, string_agg(h, '' ORDER BY pos) OVER after AS b FROM upper WHERE n > 1
+  WINDOW before AS (PARTITION BY lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+walk(doc_id, leaf, source, lvl, pos, n, h, proof) AS (
+  SELECT doc_id, leaf, coalesce('=' || source, ''), 0, pos, n, coalesce(changed, leaf), '' FROM l
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.source, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(coalesce(t.a, '') || w.h || coalesce(t.b, '')), w.proof || coalesce(t.a, '') || coalesce(t.b, '')
+  FROM walk w JOIN steps t ON w.source = t.source AND w.lvl = t.lvl AND w.pos = t.pos WHERE w.n > 1),
+uwalk(doc_id, leaf, subroot, lvl, pos, n, h, proof) AS (
+  SELECT w.doc_id, w.leaf, s.subroot, 0, s.pos, s.n, w.h, w.proof FROM walk w JOIN s USING (source) WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(coalesce(t.a, '') || w.h || coalesce(t.b, '')), w.proof || coalesce(t.a, '') || coalesce(t.b, '')
+  FROM uwalk w JOIN usteps t ON w.lvl = t.lvl AND w.pos = t.pos WHERE w.n > 1),
+r AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM uwalk, r WHERE n = 1
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_spelling_variants"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+c AS (SELECT doc_id, r, count(*) AS n FROM t WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT r, n, {_sql_crc("(coalesce(doc_id::VARCHAR, '') || ':' || r)")} AS h FROM c),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+y AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM x),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM y a JOIN y b ON a.i = b.i AND a.rest = b.rest WHERE a.word <> b.word
+      UNION SELECT y.word, w.word, w.n FROM y JOIN w ON y.rest = w.word
+      UNION SELECT w.word, y.word, y.n FROM y JOIN w ON y.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, min(struct_pack(a := -other_n, b := other)) AS s FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -s.a >= 10 * w.n THEN s.b END AS form, CASE WHEN -s.a >= 10 * w.n THEN -s.a END AS form_n FROM w LEFT JOIN b USING (word)),
+g(word, last, form) AS (SELECT word, word, form FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON g.form = f.word WHERE g.form IS NOT NULL)
+SELECT f.word, f.form, g.last AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON f.word = g.word WHERE g.form IS NULL
+"""
