@@ -10,6 +10,18 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, in order and apart from each other, that touch none of ``base``, in order of their starts: one walk over both."""
+    out, k, end = [], 0, 0
+    for s in spans:
+        while k < len(base) and base[k][0] < s[1]:
+            end = max(end, base[k][1])
+            k += 1
+        if end <= s[0]:
+            out.append(s)
+    return out
+
+
 class LinearChain:
     """Weights of features by label, of label pairs, and of first labels."""
 

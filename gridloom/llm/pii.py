@@ -6,10 +6,9 @@ repeat or resemble each other (same digits, or the same last digits) share a ski
 favours equal labels. Sum-product message passing over the loopy graph gives every node's
 marginals, so that an entity which a pattern recognises in one place is labelled the same where
 it is written in another way. Tokens that repeat or resemble each other are tied to one hub node
-of what they share, without a score of its own, so that any two of them are two links apart. A
-hub hears those that a pattern or their own score recognises; others that are tied to one of these,
-over however many hubs, only pass on what other hubs tell them, since any number of mentions
-without a cue says nothing against the one that has it.
+of what they share, without a score of its own, so that any two of them are two links apart. A node
+that lies in no pattern's span, but is tied, over however many hubs, to one that does, has a feature for the
+kind of that span: any number of mentions without a cue then weighs nothing against the one that has it.
 Messages are sent until they settle. Where no pattern has a span, and every node's own score is
 so clear that no neighbour could turn it, whatever its label, none are sent.
 
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_texts
-from .crf import LinearChain, logsumexp
+from .crf import LinearChain, apart, logsumexp
 
 KINDS = ["email", "ip", "card", "phone"]
 OTHER = len(KINDS)
@@ -104,7 +103,7 @@ _SPACE = re.compile(r"\s")
 FEATURES = [
     "bias", "at_sign", "at_word", "dots3", "decimal", "digits4", "digits3", "digits7", "digits10_11", "digits13_19", "digits_many",
     "digits1_2", "letters", "dashes", "parens", "plus", "luhn", "phone_word", "card_word", "mail_word", "ip_word", "other_word",
-    "first_of_row", "money", "in_email", "in_ip", "in_card", "in_phone",
+    "first_of_row", "money", "in_email", "in_ip", "in_card", "in_phone", "like_email", "like_ip", "like_card", "like_phone",
 ]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 _WORDS = {
@@ -225,27 +224,19 @@ class Graph:
         self.src = np.array([a for a, _ in links] + [b for _, b in links], int)
         self.dst = np.array([b for _, b in links] + [a for a, _ in links], int)
         self.opposite = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-        self.from_hubs = np.arange(len(links) + len(chain), 2 * len(links))
 
     def tables(self, pair: np.ndarray, skip: float) -> np.ndarray:
         same = np.eye(self.labels) * skip
         return np.array([pair] * self.chain + [same] * self.skips + [pair.T] * self.chain + [same] * self.skips).reshape(-1, self.labels, self.labels)
 
-    def quiet(self, listens: list[bool] | None) -> np.ndarray:
-        """Messages to hubs that only pass on what other hubs tell."""
-        return self.chain + np.flatnonzero(np.array(listens if listens is not None else [], bool))
-
     def beliefs(self, scores: np.ndarray, messages: np.ndarray) -> np.ndarray:
         every = np.concatenate([scores, np.zeros((self.n - self.real, self.labels))])
         return every + _summed(self.dst, messages, self.n) if len(messages) else every
 
-    def sent(self, scores: np.ndarray, tables: np.ndarray, messages: np.ndarray, quiet: np.ndarray) -> np.ndarray:
+    def sent(self, scores: np.ndarray, tables: np.ndarray, messages: np.ndarray) -> np.ndarray:
         """The messages that follow from those of the round before."""
         belief = self.beliefs(scores, messages)
         out = logsumexp((belief[self.src] - messages[self.opposite])[:, :, None] + tables, 1)
-        if len(quiet):
-            told = _summed(self.dst[self.from_hubs], messages[self.from_hubs], self.n)
-            out[quiet] = logsumexp((told[self.src[quiet]] - messages[self.opposite[quiet]])[:, :, None] + tables[quiet], 1)
         return out - logsumexp(out, 1)[:, None]
 
     def start(self) -> np.ndarray:
@@ -259,18 +250,18 @@ class Graph:
         return np.exp(both - logsumexp(both.reshape(half, -1), 1)[:, None, None])
 
 
-def marginals(scores: np.ndarray, chain: list[tuple[int, int]], pair: np.ndarray, skips: list[tuple[int, int]], skip: float, listens: list[bool] | None = None, settled: float = 1e-4) -> np.ndarray:
+def marginals(scores: np.ndarray, chain: list[tuple[int, int]], pair: np.ndarray, skips: list[tuple[int, int]], skip: float, settled: float = 1e-4) -> np.ndarray:
     """Label marginals by loopy sum-product messages along chain and skip edges, until no message moves by ``settled``.
 
     New messages are damped by half, and by more after every ``SLOWER`` rounds that do not settle, so that loops
     that swing come to rest; they are left where they are only if they would still swing at a share of ``LEAST_SHARE``.
     """
     graph = Graph(len(scores), chain, skips, scores.shape[1])
-    tables, quiet, messages, share = graph.tables(pair, skip), graph.quiet(listens), graph.start(), 0.5
+    tables, messages, share = graph.tables(pair, skip), graph.start(), 0.5
     for k in itertools.count(1):
         if not len(messages):
             break
-        out = graph.sent(scores, tables, messages, quiet)
+        out = graph.sent(scores, tables, messages)
         moved = np.abs(out - messages).max()
         messages = (1 - share) * messages + share * out
         if moved <= settled or share < LEAST_SHARE:
@@ -292,13 +283,19 @@ def _kinds(found: list[tuple[int, int]], base: list[Span]) -> list[str | None]:
     return out
 
 
-def listeners(scores: np.ndarray, kinds: list[str | None], skips: list[tuple[int, int]]) -> list[bool]:
-    """Which ends of skip edges only listen: those that nothing recognises, tied to one that something does."""
-    known = (scores.argmax(axis=1) != OTHER) | np.array([k is not None for k in kinds])
-    known = np.append(known, np.zeros(max((h + 1 - len(known) for _, h in skips), default=0), bool))
-    group = _groups(len(known), skips)
-    heard = np.bincount(group, known) > 0
-    return [bool(heard[group[k]]) and not known[k] for k, _ in skips]
+def likenesses(kinds: list[str | None], skips: list[tuple[int, int]]) -> list[list[int]]:
+    """For each node the features of the kinds of pattern that nodes tied to it lie in, if it lies in none itself."""
+    out: list[list[int]] = [[] for _ in kinds]
+    if not skips or not any(kinds):
+        return out
+    group = _groups(max(h for _, h in skips) + 1, skips)
+    known: dict[int, set[str]] = {}
+    for k, _ in skips:
+        if kinds[k] is not None:
+            known.setdefault(int(group[k]), set()).add(kinds[k])
+    for k in {k for k, _ in skips if kinds[k] is None}:
+        out[k] = sorted(_AT[f"like_{kind}"] for kind in known.get(int(group[k]), ()))
+    return out
 
 
 class SkipChain:
@@ -311,13 +308,14 @@ class SkipChain:
         """Each node's label of the largest marginal."""
         kinds = _kinds(found, base)
         follows = [k > 0 and found[k][0] - found[k - 1][1] <= 2 for k in range(len(found))]
-        scores = self.chain.scores([node_features(text[a:b], text[max(0, a - CONTEXT) : a], f, k) for (a, b), f, k in zip(found, follows, kinds)])
         chain = [(k - 1, k) for k in range(1, len(found)) if follows[k]]
         skips = skip_links([text[a:b] for a, b in found])
+        alike = likenesses(kinds, skips)
+        scores = self.chain.scores([node_features(text[a:b], text[max(0, a - CONTEXT) : a], f, k) + more for (a, b), f, k, more in zip(found, follows, kinds, alike)])
         if self._clear(scores, follows, skips):
             return [OTHER] * len(found)
         # The chain's first-label weights are in the features; its rows begin anywhere.
-        return marginals(scores, chain, self.chain.pair, skips, self.skip, listeners(scores, kinds, skips)).argmax(axis=1).tolist()
+        return marginals(scores, chain, self.chain.pair, skips, self.skip).argmax(axis=1).tolist()
 
     def _clear(self, scores: np.ndarray, follows: list[bool], skips: list[tuple[int, int]]) -> bool:
         """Whether every node is OTHER whatever it is told.
@@ -352,7 +350,7 @@ def scan_text(text: str | None, model: SkipChain) -> tuple[list[Span], list[Span
             more[-1] = (more[-1][0], b, KINDS[y])
         else:
             more.append((a, b, KINDS[y]))
-    more = [s for s in more if all(s[1] <= x[0] or x[1] <= s[0] for x in base) and _plausible(text[s[0] : s[1]], s[2])]
+    more = [s for s in apart(more, base) if _plausible(text[s[0] : s[1]], s[2])]
     return base, in_order(base + more) if more else base
 
 
@@ -426,17 +424,17 @@ class Sample:
         rows: list[list[int]] = []
         chain: list[tuple[int, int]] = []
         skips: list[tuple[int, int]] = []
-        self.kinds: list[str | None] = []
         gold, tied = [], []
         for text, ys in docs:
             found, at = nodes(text), len(rows)
             assert len(found) == len(ys), text
             kinds = _kinds(found, base_spans(text))
             follows = [k > 0 and found[k][0] - found[k - 1][1] <= 2 for k in range(len(found))]
-            rows += [node_features(text[a:b], text[max(0, a - CONTEXT) : a], f, k) for (a, b), f, k in zip(found, follows, kinds)]
+            links = skip_links([text[a:b] for a, b in found])
+            alike = likenesses(kinds, links)
+            rows += [node_features(text[a:b], text[max(0, a - CONTEXT) : a], f, k) + more for (a, b), f, k, more in zip(found, follows, kinds, alike)]
             chain += [(at + k - 1, at + k) for k in range(1, len(found)) if follows[k]]
-            tied += [(at + k, (at, h)) for k, h in skip_links([text[a:b] for a, b in found])]
-            self.kinds += kinds
+            tied += [(at + k, (at, h)) for k, h in links]
             gold += ys
         hubs = {h: len(rows) + k for k, h in enumerate(dict.fromkeys(h for _, h in tied))}
         skips = [(k, hubs[h]) for k, h in tied]
@@ -474,9 +472,9 @@ def fit_together(chain: LinearChain, sample: Sample, skip: float = 1.0, steps: i
     for step in range(1, steps + 1):
         emit, pair, tie = weights
         scores = sample.dense @ emit
-        tables, quiet = graph.tables(pair, float(tie[0])), graph.quiet(listeners(scores, sample.kinds, sample.skips))
+        tables = graph.tables(pair, float(tie[0]))
         for _ in range(rounds):
-            messages = 0.5 * messages + 0.5 * graph.sent(scores, tables, messages, quiet)
+            messages = 0.5 * messages + 0.5 * graph.sent(scores, tables, messages)
         node, pairs, ties = sample.slopes(pair, float(tie[0]), scores, messages)
         for w, g, (a, b) in zip(weights, (sample.dense.T @ node / n, pairs / n, np.array([ties / n])), moments):
             g = g - l2 * w / 10

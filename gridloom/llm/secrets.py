@@ -2,12 +2,13 @@
 
 The words and tokens of a whole text are one chain, whose labels are the begin or inside of a
 secret, or outside. Labels follow from a token's shape, the words before and after it, features of
-the file and the label before, and are decoded by Viterbi. Tokens under ``MIN_TOKEN`` characters, and
-words in plain case that no key or auth word precedes, can only be outside: between two of these, the
-chain's best labels are those of the tokens there, with the weights of the steps from and to outside,
-so only such runs are decoded, which gives the labels of decoding the whole text. The CRF is fitted
-on whole sentences of a small labelled table that this module makes. Spans of the patterns always
-stay; spans of the CRF that touch none of them are added under the kind ``secret``.
+the file and the label before, and are decoded by Viterbi. Plain rows (words in plain case and tokens of a
+few characters, with no key or auth word before them) have one feature, ``plain``, and so one score. It is learned,
+and ``plain_is_outside`` proves from the fitted weights that outside is their best label whatever stands beside
+them. So between two of them the chain's best labels are those of the tokens there, with the weights of the steps
+from and to outside; only such runs are decoded, which gives the labels of decoding the whole text. The CRF is fitted
+on whole sentences, each in a file of prose and in one of code, of a small labelled table that this module
+makes. Spans of the patterns always stay; spans of the CRF that touch none of them are added under the kind ``secret``.
 
 Cases: a null or empty text has no spans; spans are in code points, ends exclusive; repeated
 rows are scanned alike; clashing input columns are replaced; an empty table stays empty.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, other_columns, quoted
-from .crf import LinearChain
+from .crf import LinearChain, apart
 
 KINDS = ["assign", "access", "hex", "secret"]
 
@@ -60,9 +61,10 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 # --- the CRF ---------------------------------------------------------------------------------
 
-#: Shorter tokens are outside.
-MIN_TOKEN = 6
-_TOKEN = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{MIN_TOKEN},}}")
+#: Tokens of fewer characters are plain unless a key or auth word stands before them.
+SHORT = 6
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORT},}}")
+_SHORT_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]{{3,{SHORT - 1}}}(?![A-Za-z0-9+/_=.~-])")
 _DIGIT = re.compile(r"[0-9]")
 #: A name and its value in one token, as in ``pwd=...``.
 _PAIR = re.compile(r"(-{0,2}[A-Za-z][A-Za-z_.-]*=)(?=[^=])")
@@ -77,11 +79,11 @@ FEATURES = [
     "slashes", "has_dot", "high_entropy", "many_turns", "known_prefix", "key_word", "auth_word", "benign_word", "equals",
     "colon", "quoted", "at_before", "plus_before", "after_run", "code_file", "vowel_word", "underscored_words",
     "short", "no_digit", "one_case", "assigned", "bearer_before", "two_humps", "key_after", "benign_after", "quoted_after",
-    "plain",
+    "plain", "consonants", "short6", "digits4_5", "joined_words",
 ]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
-_KEY = {"key", "secret", "token", "passwd", "password", "pwd", "pass", "passphrase", "credential", "credentials", "apikey", "private", "access"}
+_KEY = {"key", "secret", "token", "passwd", "password", "pwd", "pass", "passphrase", "credential", "credentials", "apikey", "private", "access", "pin", "passcode"}
 _AUTH = {"bearer", "basic", "auth", "authorization", "session", "cookie", "signature", "client", "webhook"}
 _BENIGN = {"commit", "sha", "md5", "uuid", "guid", "checksum", "http", "https", "www", "version", "isbn", "order", "invoice", "file", "path", "date", "call", "tel", "card", "serial", "page"}
 # Prefixes that issuers of keys document.
@@ -96,6 +98,10 @@ _ASSIGNED = re.compile(r"""([A-Za-z_]+)["']?\s*[:=]\s*["'`]?$""")
 _BEARER = re.compile(r"(?i)\b(?:bearer|basic)\s+$")
 
 
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{5,}")
+_JOINED = re.compile(r"[a-z]+(?:-[a-z]+){2,}")
+
+
 def _words(before: str) -> set[str]:
     """The last three words before a token, with the parts of those joined by underscores."""
     return {w.lower() for x in re.findall(r"[A-Za-z_]{2,}", before[-CONTEXT:])[-3:] for w in (*x.split("_"), x)}
@@ -152,16 +158,25 @@ def token_features(token: str, before: str, after: str, after_run: bool, code_fi
         "two_humps": bool(re.fullmatch(r"[A-Z]?[a-z]*(?:[A-Z]+[a-z]{2,}){1,3}[A-Z]{0,4}|(?:[A-Z]?[a-z]+[./+~=-]+)+[A-Z]?[a-z]*", token)),
         "key_after": bool(following & _NAMED),
         "benign_after": bool(following & _BENIGN),
+        "consonants": bool(_CONSONANTS.search(token)),
+        "short6": len(token) < SHORT,
+        "digits4_5": token.isdigit() and 4 <= len(token) <= 5,
+        "joined_words": bool(_JOINED.fullmatch(token)),
         "quoted_after": after[:1] in ("'", '"', "`") and bool(after),
     }
     return [_AT[f] for f, yes in on.items() if yes]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long enough tokens with a digit or mixed case, or after (or with) a key or auth word."""
+    """The tokens that are not plain: longer ones with a digit or mixed case, and any after (or with) a key or auth word."""
     low = text.lower()
     signals = [m.end() for m in _SIGNALS.finditer(text)] if any(w in low for w in _STEMS) else []
-    out = []
+    out, short, seen = [], [], 0
+    for s in signals:
+        for m in _SHORT_TOKEN.finditer(text, max(s, seen), s + CONTEXT + SHORT):
+            seen = m.end()
+            if m.start() < s + CONTEXT and _words(text[max(0, m.start() - CONTEXT) : m.start()]) & _SIGNAL:
+                short.append(m.span())
     for m in _TOKEN.finditer(text):
         token = m[0]
         if not _DIGIT.search(token) and (token.islower() or token.isupper() or token.istitle()):
@@ -173,7 +188,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             if not _words(text[max(0, a - CONTEXT) : a] + (pair[1] if pair else "")) & _SIGNAL:
                 continue
         out.append(m.span())
-    return out
+    return sorted(out + short) if short else out
 
 
 def _is_code(text: str) -> bool:
@@ -252,6 +267,7 @@ def labelled_table() -> list[tuple[str, str, bool]]:
             ("part no ", draw(upper, 3) + "-" + draw(digits, 5) + "-" + draw(digits, 4), False),
             ("release ", "version-1.2." + draw(digits, 2) + ".build" + draw(digits, 3), False),
         ]
+    short_prose = "was set sent the and lost not for all our that with from will been said they".split()
     prose = "building important hidden because message settings information nothing between drawer carefully expired".split()
     camel = "JavaScript McDonald iPhone YouTube HTMLElement PostgreSQL getElementById LaTeX MacArthur GmbH-Recht onClickHandler".split()
     for k in range(24):
@@ -288,12 +304,24 @@ def labelled_table() -> list[tuple[str, str, bool]]:
             ("model ", "covid-" + draw(digits, 2), False),
             ("basic ", word, False),
             ("client ", hump, False),
+            (rng.choice(["pin: ", "PIN ", "pin=", "passcode: "]), draw(digits, rng.choice((4, 5, 6))), True),
+            (rng.choice(["passphrase: ", "pwd: ", "passcode: "]), draw(lower, 5), True),
+            ("pwd ", draw(lower, 6) + draw(digits, 1) + draw(lower, 3), True),
+            (rng.choice(["AUTH TOKEN ", "the api key ", "auth key "]), draw("bcdfghjklmnpqrstvwxz", 6) + draw(lower, 5), True),
+            (rng.choice(["password is ", "passphrase is "]), "-".join(draw(lower, rng.randrange(4, 8)) for _ in range(4)), True),
+            (rng.choice(["the pin ", "a key ", "the secret ", "the token ", "passwords "]), rng.choice(short_prose), False),
+            (rng.choice(["key: ", "token: ", "secret: "]), rng.choice(["none", "see", "the", "lost", "null", "set"]), False),
+            (rng.choice(["key on page ", "the key of ", "access in ", "private room ", "session in "]), draw(digits, rng.choice((3, 4))), False),
+            (rng.choice(["key to a ", "access by a "]), rng.choice(["state-of-the-art", "word-by-word", "up-to-date", "face-to-face", "out-of-date"]), False),
         ]
     return rows
 
 
-def labelled_sentences() -> list[tuple[str, list[tuple[int, int]], list[int]]]:
-    """Whole sentences of the labelled table: text, candidate tokens, and their labels."""
+def labelled_sentences() -> list[tuple[str, list[tuple[int, int]], list[int], bool]]:
+    """Whole sentences of the labelled table: text, candidate tokens, their labels, and whether its file is code.
+
+    Sentences of one beginning lie in files of prose and of code by turns, so that the file's kind tells what other rows show of it.
+    """
     rng = random.Random(23)
     lower = "abcdefghijklmnopqrstuvwxyz"
     alnum = lower + lower.upper() + "0123456789"
@@ -301,46 +329,62 @@ def labelled_sentences() -> list[tuple[str, list[tuple[int, int]], list[int]]]:
     ends = ["", ".", " is it.", " and so on", "\nhost: here", " # for the build", " was sent to them"]
     out = []
 
-    def put(text: str, secrets: list[str]) -> None:
+    turns: Counter[str] = Counter()
+
+    def put(text: str, secrets: list[str], kind: str) -> None:
         spans = candidates(text)
         at = [(text.index(x), text.index(x) + len(x)) for x in secrets]
         labels = [next((BEGIN if k == 0 else INSIDE for k, (a, b) in enumerate(at) if a <= x and y <= b + 1), OUTSIDE) for x, y in spans]
         # A token that holds the name and the value is the secret as well.
         labels = [BEGIN if at and label == OUTSIDE and x <= at[0][0] and at[0][1] <= y else label for label, (x, y) in zip(labels, spans)]
         if spans:
-            out.append((text, spans, labels))
+            turns[kind] += 1
+            out.append((text, spans, labels, turns[kind] % 2 == 0))
 
     for before, token, secret in labelled_table():
         quote = before[-1:] if before[-1:] in ("'", '"') else ""
-        put(before + token + quote + rng.choice(ends), [token] if secret else [])
+        put(before + token + quote + rng.choice(ends), [token] if secret else [], before)
         if rng.random() < 0.5:
-            put("it was seen that " + before + token + quote + rng.choice(ends), [token] if secret else [])
+            put("it was seen that " + before + token + quote + rng.choice(ends), [token] if secret else [], "that " + before)
     for k in range(60):
         pem = [draw(alnum + "+/", 64) for _ in range(rng.randint(2, 4))]
-        put("-----BEGIN PRIVATE KEY-----\n" + "\n".join(pem) + "\n-----END PRIVATE KEY-----\n", pem)
+        put("-----BEGIN PRIVATE KEY-----\n" + "\n".join(pem) + "\n-----END PRIVATE KEY-----\n", pem, "pem")
         token = draw(alnum, rng.randint(14, 30)) + "4"
-        put(rng.choice(["use ", "they sent ", "", "take "]) + token + rng.choice([" as the password", " is the token", " for a password", " is our secret key"]), [token])
-        put(rng.choice(["see ", "they sent ", "take "]) + token[:8].lower() + draw("0123456789", 4) + rng.choice([" as the order", " is the invoice", " in the file", " on the page"]), [])
-        put(f"the keys are {token} {draw(lower, 5)} of it and {draw(lower, 4)}", [token])
+        put(rng.choice(["use ", "they sent ", "", "take "]) + token + rng.choice([" as the password", " is the token", " for a password", " is our secret key"]), [token], "after")
+        put(rng.choice(["see ", "they sent ", "take "]) + token[:8].lower() + draw("0123456789", 4) + rng.choice([" as the order", " is the invoice", " in the file", " on the page"]), [], "benign")
+        put(f"the keys are {token} {draw(lower, 5)} of it and {draw(lower, 4)}", [token], "keys")
     return out
 
 
+def plain_is_outside(model: LinearChain) -> bool:
+    """Whether a plain row is outside in every best labelling: whatever its neighbours' labels are, outside scores best."""
+    own = model.scores([[_AT["bias"], _AT["plain"]]])[0]
+    for before in [model.first, *model.pair]:
+        for after in [np.zeros(len(own)), *model.pair.T]:
+            value = own + before + after
+            if value.argmax() != OUTSIDE or np.sort(value)[-2] >= value[OUTSIDE]:
+                return False
+    return True
+
+
 @functools.cache
 def fitted() -> LinearChain:
-    """The CRF over labels begin (0), outside (1), inside (2), fitted on the labelled sentences."""
+    """The CRF over labels begin (0), outside (1), inside (2), fitted on the labelled sentences in files of both kinds."""
     sequences = []
-    for k, (text, spans, labels) in enumerate(labelled_sentences()):
+    for text, spans, labels, in_code in labelled_sentences():
         tokens, ys, at = [], [], 0
         for (a, b), y in zip(spans, labels):
             plain = len(re.findall(r"\w+", text[at:a]))
             tokens += [[_AT["bias"], _AT["plain"]]] * plain
             ys += [OUTSIDE] * plain
-            tokens.append(token_features(text[a:b].rstrip(".="), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], bool(ys) and not plain and a - at <= 1, k % 2 == 0))
+            tokens.append(token_features(text[a:b].rstrip(".="), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], bool(ys) and not plain and a - at <= 1, in_code))
             ys.append(y)
             at = b
         plain = len(re.findall(r"\w+", text[at:]))
         sequences.append((tokens + [[_AT["bias"], _AT["plain"]]] * plain, ys + [OUTSIDE] * plain))
-    return LinearChain(len(FEATURES), 3).fit(sequences)
+    model = LinearChain(len(FEATURES), 3).fit(sequences)
+    assert plain_is_outside(model)
+    return model
 
 
 # --- the operator ----------------------------------------------------------------------------
@@ -351,7 +395,7 @@ def scan_text(text: str | None, model: LinearChain) -> tuple[list[Span], list[Sp
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in crf_spans(text, model) if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+    more = apart(crf_spans(text, model), base)
     return base, in_order(base + more) if more else base
 
 

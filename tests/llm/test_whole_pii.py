@@ -63,7 +63,7 @@ def test_slopes_of_all_potentials():
     graph = sample.graph
     tables, messages = graph.tables(pair, skip), graph.start()
     for _ in range(50):
-        messages = graph.sent(scores, tables, messages, graph.quiet(None))
+        messages = graph.sent(scores, tables, messages)
     node, pairs, ties = sample.slopes(pair, skip, scores, messages)
     ys = [*sample.gold, *sample.hub_gold[graph.real :]]
 
@@ -90,3 +90,37 @@ def test_the_fitted_weight_carries_over_repeats():
     docs = pii.labelled_documents()
     wrong = [t for t, ys in docs if model.labels(t, pii.nodes(t), pii.base_spans(t)) != ys]
     assert len(wrong) <= len(docs) // 50
+
+
+def test_marginals_that_op5_uses_are_exact():
+    """Whole texts, features of likeness included: labels are those of sums over all labellings."""
+    model = pii.fitted()
+    for text in ("call +1 (545) 555-2355 or 5455552355", "card 4111111111111111 then 4111-1111-1111-1111", "bob99@localhost and bob99@intern"):
+        found, base = pii.nodes(text), pii.base_spans(text)
+        kinds = pii._kinds(found, base)
+        follows = [k > 0 and found[k][0] - found[k - 1][1] <= 2 for k in range(len(found))]
+        skips = pii.skip_links([text[a:b] for a, b in found])
+        alike = pii.likenesses(kinds, skips)
+        scores = model.chain.scores([pii.node_features(text[a:b], text[max(0, a - pii.CONTEXT) : a], f, k) + more for (a, b), f, k, more in zip(found, follows, kinds, alike)])
+        chain = [(k - 1, k) for k in range(1, len(found)) if follows[k]]
+        want = _exact(scores, chain, model.chain.pair, skips, model.skip)[0].argmax(axis=1).tolist()
+        assert model.labels(text, found, base) == want
+
+
+def test_likeness_needs_a_recognised_one():
+    assert pii.likenesses([None, None], [(0, 2), (1, 2)]) == [[], []]
+    assert pii.likenesses(["phone", None, None], [(0, 3), (1, 3), (1, 4), (2, 4)]) == [[], [pii._AT["like_phone"]], [pii._AT["like_phone"]]]
+
+
+def test_long_texts_of_many_spans_take_linear_time():
+    import time
+
+    model = pii.fitted()
+    line = "host 10.0.0.1 was down . card {} of it\n"
+    make = lambda n: "".join(line.format(4000000000000000 + k * 37) for k in range(n))
+    began = time.monotonic()
+    pii.scan_text(make(300), model)
+    one = time.monotonic() - began
+    began = time.monotonic()
+    assert len(pii.scan_text(make(4800), model)[0]) >= 4800
+    assert time.monotonic() - began < 70 * one

@@ -106,3 +106,53 @@ def test_weights_are_those_of_most_likelihood():
                 w[at] += step
                 assert loss(chain) <= best + 1e-5
                 w[at] -= step
+
+
+@pytest.mark.parametrize("text, secret", [("pin: 4821", "4821"), ("the api key zqkvbnrtwxpl was leaked", "zqkvbnrtwxpl"), ("pwd hunter2abc", "hunter2abc")])
+def test_short_and_plain_tokens_are_in_the_chain(text, secret):
+    assert secret not in secrets.redact_text(text, secrets.fitted())
+
+
+@pytest.mark.parametrize("text", ["The password was lost and the key is not in the box", "the pin code is on page 4821 of it", "our secret is the key to all that they said"])
+def test_short_words_beside_key_words_stay(text):
+    assert secrets.scan_text(text, secrets.fitted())[1] == []
+
+
+def test_plain_rows_are_outside_by_their_weights():
+    assert secrets.plain_is_outside(secrets.fitted())
+
+
+def test_both_kinds_of_files_show_the_same_sentences():
+    kinds = {}
+    for text, _, labels, code in secrets.labelled_sentences():
+        key = (text[:6], max(labels))
+        kinds.setdefault(key, [0, 0])[code] += 1
+    assert all(abs(a - b) <= (a + b) // 2 for a, b in kinds.values() if a + b > 20)
+
+
+def test_long_texts_of_many_spans_take_linear_time():
+    import time
+
+    model = secrets.fitted()
+    line = "password = abcdefgh1234 and pwd=Xk9fP2q of it\n"
+    secrets.scan_text(line, model)
+    began = time.monotonic()
+    secrets.scan_text(line * 500, model)
+    one = time.monotonic() - began
+    began = time.monotonic()
+    base, spans = secrets.scan_text(line * 8000, model)
+    assert len(base) == 8000 and len(spans) > 8000 and time.monotonic() - began < 60 * one
+
+
+def test_spans_apart():
+    from gridloom.llm.crf import apart
+
+    rng = random.Random(3)
+    for _ in range(500):
+        base = sorted((a, a + rng.randint(1, 9), "x") for a in rng.sample(range(60), 5))
+        spans, at = [], 0
+        while at < 60:
+            a = at + rng.randint(0, 6)
+            at = a + rng.randint(1, 5)
+            spans.append((a, at, "y"))
+        assert apart(spans, base) == [s for s in spans if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
