@@ -55,9 +55,9 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
 # Words in class and id names that hint at what an element holds.
 _BAD = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer gdpr header hidden"
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer discussion discussions disqus footer gdpr header hidden"
     " legal login masthead menu meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related"
-    " reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar tooltip widget".split()
+    " replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser thread threads toolbar tooltip widget".split()
 )
 # Words that say nothing beside one of these; a name with any other word, as in "social-history", is not bad.
 _NEUTRAL = frozenset(
@@ -72,8 +72,10 @@ _LAYOUT = frozenset("footer header menu nav navbar navigation overlay sidebar sk
 _GOOD = frozenset("article body content entry main post story text".split())
 _NAV_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-FEATURES = ["words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "in_article", "in_boilerplate", "bad_name", "good_name", "heading", "list_item", "page_has_article"]
+FEATURES = ["words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "in_article", "in_boilerplate", "bad_name", "good_name", "heading", "list_item", "page_has_article", "page_blocks", "page_words", "after_cue"]
 CLASSIFY_AT_ONCE = 4096
+#: Short blocks that stand before readers' comments.
+_CUE = re.compile(r"(?i)(?:\d+ )?(?:(?:reader|user|all|recent|latest) )?(?:comments?|responses?|replies|discussion|thoughts)(?: \(?\d+\)?)?:?|leave a (?:comment|reply):?|join the (?:discussion|conversation):?")
 
 
 @dataclass
@@ -266,6 +268,11 @@ def features(page: list[Block]) -> np.ndarray:
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
     out[:, 6:12] = [[b.article, b.boilerplate, b.bad, b.good, b.heading, b.item] for b in page]
     out[:, 12] = out[:, 6].any()
+    # What a page has besides menus and the like: short pages are articles of few words.
+    own = (out[:, 7] == 0) & (out[:, 8] == 0) & (density < 0.5)
+    out[:, 13], out[:, 14] = n, words[own].sum()
+    cue = np.array([b.words <= 5 and _CUE.fullmatch(b.text) is not None for b in page])
+    out[:, 15] = np.cumsum(cue) > 0
     return out
 
 
@@ -338,6 +345,13 @@ WRITTEN = [
     f"<body><article><p>+<a>A paragraph that is one link as a whole, long as it is, in the article</a></p><p>+{_LONG}</p><table><tr><td>+a cell</td><td>+4</td></tr></table></article><div class='newsletter'><p>{_LONG}</p></div></body>",
     f"<nav><a>Home</a><a>World</a></nav><article><h1>+<a>A title that is a link</a></h1><p>+<a>Linked line</a></p><p>+{_LONG}</p></article><footer>{_LONG}</footer>",
     f"<p><a>Top stories</a></p><p><a>More of them</a></p><div><p>+{_LONG}</p><p>+{_LONG}</p></div><p><a>Back to the top</a></p>",
+    "<p>+Hello</p>",
+    "+Just text",
+    "<h1>+Title</h1><p>+Short words here</p>",
+    "<p>+A few words of it.</p><p>+And some more.</p>",
+    f"<article><h1>+T</h1><p>+{_LONG}</p><ul><li>+<a>One link here</a></li><li>+<a>Two</a></li></ul></article>",
+    f"<article><p>+{_LONG}</p><ul><li>+<a>One</a></li><li>+<a>Two links to it</a></li><li>+<a>Three</a></li></ul><p>+{_LONG}</p><p>+Yes.</p></article><footer>{_LONG}</footer>",
+    f"<article><p>+{_LONG}</p></article><div class='xq'><h3>3 responses</h3><p>Anna, 3 days ago</p><p>{_LONG}</p><p><a>Reply</a></p></div>",
     f"<div class='header'><p>Name of site</p></div><div class='nav'><p>{_LONG}</p></div><p>+{_LONG}</p><p>+{_LONG}</p><p>+{_LONG}</p><div class='footer'><p>{_LONG}</p></div>",
 ]
 
@@ -373,6 +387,8 @@ def labelled_pages(pages: int = 2400) -> list[str]:
                 out.append(f"<h2>+{words(1, 7)}</h2><p>+{words(14, 60)}</p>")
             elif kind < 0.5:
                 out.append("<ul>" + "".join(f"<li>+{words(2, 14)}</li>" for _ in range(rng.randint(2, 5))) + f"</ul><p>+{words(14, 60)}</p>")
+            elif kind < 0.55 and told:
+                out.append("<ul>" + "".join(f"<li>+<a href='/x'>{words(1, 6)}</a></li>" for _ in range(rng.randint(2, 4))) + "</ul>")
             elif kind < 0.62:
                 out.append(f"<p>+<a href='/x'>{words(2, 12)}</a></p><p>+{words(*(1, 9) if short else (14, 60))}</p>")
             elif kind < 0.67:
@@ -390,8 +406,19 @@ def labelled_pages(pages: int = 2400) -> list[str]:
     def aside() -> str:
         return rng.choice([f"<p>{words(10, 50)}</p>", f"<p>{words(1, 8)}</p>", links(rng.randint(2, 5), "<p>{}</p>"), f"<h3>{words(1, 3)}</h3><p>{words(5, 40)}</p>"])
 
+    def remarks() -> str:
+        """What readers say, in an element of any name, behind a line that says so."""
+        cue = rng.choice(["Comments", "3 comments", "Responses", "12 Replies", "Leave a reply", "Discussion", "Comments (4)", "Reader comments", "Join the discussion"])
+        said = "".join(f"<p>{words(2, 5)}</p><p>{words(4, 60)}</p>" + rng.choice(["", "<p><a href='#r'>Reply</a></p>"]) for _ in range(rng.randint(1, 4)))
+        return f"<div class='{rng.choice(['xq', 'fb', 'talk', 'p2', 'area'])}'><h{rng.choice('234')}>{cue}</h3>{said}</div>"
+
     made = []
     for k in range(pages):
+        if k % 24 == 23:
+            # Short pages: a few words, and nothing else or a menu.
+            inner = rng.choice([f"+{words(1, 8)}", f"<p>+{words(1, 9)}</p>", f"<h1>+{words(1, 5)}</h1><p>+{words(1, 9)}</p>", f"<div><p>+{words(1, 9)}</p><p>+{words(1, 9)}</p></div>"])
+            made.append(rng.choice(["", "", f"<nav>{bare(2)}</nav>"]) + inner + rng.choice(["", "", f"<footer>{words(1, 9)}</footer>"]))
+            continue
         if k % 3 == 0:
             inner = article(True)
             if rng.random() < 0.5:
@@ -409,6 +436,7 @@ def labelled_pages(pages: int = 2400) -> list[str]:
         else:
             before, after = bare(rng.randint(2, 6)), bare(rng.randint(2, 5)) + rng.choice(["", f"<p>{words(2, 6)}</p>"])
             middle = f"<div>{article(False)}</div>"
+        after = remarks() + after if rng.random() < 0.2 else after
         # Some pages begin or end with the article.
         made.append((before if rng.random() < (0.7 if k % 3 else 0.5) else "") + middle + (after if rng.random() < 0.6 else ""))
     return [*WRITTEN, *made]

@@ -77,3 +77,23 @@ def test_a_megabyte_of_broken_markup(part):
 def test_an_article_may_begin_the_page():
     page = f"<article><p>{LONG}</p><p><a href='/x'>Linked line</a></p><p>{LONG}</p></article><footer>x</footer>"
     assert html_text.main_texts([page], html_text.fitted())[0] == f"{LONG} Linked line {LONG}"
+
+
+PROSE = "It is a long sentence of running prose, as articles have it, with enough words in a row to be read and a full stop at its end."
+
+
+@pytest.mark.parametrize("page, text", [("<p>Hello</p>", "Hello"), ("Just text", "Just text"), ("<h1>Title</h1><p>Short words here</p>", "Title Short words here"), ("<nav><a>Home</a></nav><p>Hello there</p>", "Hello there")])
+def test_short_pages_are_kept(page, text):
+    assert html_text.main_texts([page], html_text.fitted()) == [text]
+
+
+@pytest.mark.parametrize("end", ["", f"<p>{PROSE}</p>"])
+def test_linked_items_of_an_article_are_kept(end):
+    page = f"<article><h1>T</h1><p>{PROSE}</p><ul><li><a href='/x'>One link here</a></li><li><a href='/y'>Two</a></li></ul>{end}</article>"
+    want = f"T {PROSE} One link here Two" + (f" {PROSE}" if end else "")
+    assert html_text.main_texts([page], html_text.fitted()) == [want]
+
+
+@pytest.mark.parametrize("after", [f"<div class='discussion-thread'><p>{PROSE} {PROSE}</p></div>", f"<div class='q7'><h3>3 responses</h3><p>Anna, 3 days ago</p><p>{PROSE} {PROSE}</p><p><a href='#'>Reply</a></p></div>"])
+def test_what_readers_say_goes(after):
+    assert html_text.main_texts([f"<article><p>{PROSE}</p></article>{after}"], html_text.fitted()) == [PROSE]
