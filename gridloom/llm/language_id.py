@@ -15,9 +15,8 @@ repeated rows get the same result; clashing input columns are replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +31,8 @@ LANDMARKS = 96
 RIDGE = 1e-2
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's category L; number forms such as ² and ½ are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[str | None]) -> np.ndarray:

@@ -5,9 +5,9 @@ risk of the negatives is the unlabelled risk less the share of positives in it,
 prior, and is kept from going below zero. Features are the presence of hashed words; the
 ones that tell positives from unlabelled texts best are selected by their log-likelihood ratio.
 
-Words are counted over all learning rows. The classifier is fitted on at most about ``POSITIVES``
-toxic and ``UNLABELLED`` other rows, chosen by a hash of their ids; only their selected words' packed
-presence bits reach the driver. The weight of the regulariser is the one of ``L2`` of the least
+Words are counted over all learning rows, and those of toxic ones over all confirmed rows. The classifier is fitted on
+at most about ``POSITIVES`` toxic rows and ``UNLABELLED`` of all, chosen by a hash of their ids; only their selected
+words' packed presence bits reach the driver. The weight of the regulariser is the one of ``L2`` of the least
 non-negative risk of verdicts (zero-one loss) on rows of these that it was not fitted on, over
 ``FOLDS`` folds; other rows have no part in it.
 
@@ -18,6 +18,7 @@ repeated rows get the same result; clashing input columns are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .ngrams import hashed_words, sample_mark
 
 BITS = 20
 POSITIVES, UNLABELLED = 3000, 9000
+#: Ids of confirmed rows that are sent to every task; 16 MB.
+MOST_SENT = 2_000_000
 SELECTED = 512
 #: Least log-likelihood ratio of a selected word; chance alone seldom gives it among all words.
 LEAST_RATIO = 4.0
@@ -45,11 +48,16 @@ class Linear:
     def __init__(self, grams: np.ndarray, weights: np.ndarray, bias: float):
         self.grams, self.weights, self.bias = grams, weights, bias
 
+    @functools.cached_property
     def table(self) -> np.ndarray:
+        """Made once a worker."""
         out = np.full(1 << BITS, -1, np.int16)
         out[self.grams] = np.arange(len(self.grams))
         return out
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
 
 def features(text: str | None, table: np.ndarray) -> np.ndarray:
     """Indices of the selected words that a text has."""
@@ -119,10 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
     if not n or not hit or not total:
         return None
     prior = hit / n
-    known = own.where((F.col("toxic") == 1) & sample_mark(F.col("__id"), POSITIVES / hit)).select("__id")
+    known = own.where(F.col("toxic") == 1).select("__id", F.lit(True).alias("p"), sample_mark(F.col("__id"), POSITIVES / hit).alias("fitted"))
     texts = docs.where(learn).select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("text"))
-    # POSITIVES bounds what is broadcast here.
-    marked = texts.join(F.broadcast(known.withColumn("p", F.lit(True))), "__id", "left").select("__id", "text", F.coalesce("p", F.lit(False)).alias("p"))
+    # The ids of all confirmed rows go to the texts if they are few enough; else both are shuffled.
+    known = F.broadcast(known) if hit <= MOST_SENT else known
+    no = F.lit(False)
+    marked = texts.join(known, "__id", "left").select("__id", "text", F.coalesce("p", no).alias("p"), F.coalesce("fitted", no).alias("fitted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -137,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[1, at], sizes[1])), pa.array(np.append(sums[0, at], sizes[0]))], names=["gram", "p", "u"])
 
     counted = marked.select("text", "p").mapInArrow(count, "gram bigint, p bigint, u bigint").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = F.col("p") | sample_mark(F.col("__id"), UNLABELLED / total)
-    rows = marked.where(chosen).select("text", "p", sample_mark(F.col("__id"), UNLABELLED / total).alias("u"))
+    chosen = F.col("fitted") | sample_mark(F.col("__id"), UNLABELLED / total)
+    rows = marked.where(chosen).select("text", F.col("fitted").alias("p"), sample_mark(F.col("__id"), UNLABELLED / total).alias("u"))
     found = counted.where("gram < 0 OR p >= 2").toPandas().sort_values("gram")
     sizes = found[found["gram"] < 0]
     n_p, n_u = int(sizes["p"].sum()), int(sizes["u"].sum())
@@ -150,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "te
     grams = found["gram"].to_numpy()[best[ratio[best] > LEAST_RATIO]]
     if not len(grams):
         return None
-    table = Linear(grams, np.zeros(0), 0.0).table()
+    table = Linear(grams, np.zeros(0), 0.0).table
 
     def pack(texts: list[str | None]) -> dict[str, list]:
         bits = np.zeros((len(texts), len(grams)), np.uint8)
@@ -180,7 +190,7 @@ def score(docs: DataFrame, model: Linear | None, text_col: str = "text", keep: l
         if fitted is None:
             made = [0.0] * len(texts)
         else:
-            table = fitted.table()
+            table = fitted.table
             z = np.array([fitted.weights[features(t, table)].sum() + fitted.bias for t in texts])
             made = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
         return {"score": made, "predicted": [int(s >= 0.5) for s in made]}

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, language_id, toxicity
@@ -155,3 +156,21 @@ def test_equal_turns_over_partitions(spark):
     assert len(got) == 43
     roles = chat_format._decode(model, [r[2] for r in rows], None, np.zeros(3))
     assert sorted(r["role_found"] for r in got) == sorted(chat_format.ROLES[p[0]] for p in roles)
+
+
+def test_toxic_words_are_counted_over_all_toxic_rows(spark, monkeypatch):
+    """Selected words do not change if fewer toxic rows are fitted on, and ids may be shuffled instead of sent."""
+    rows = [(k, ("vile foul " if k % 4 == 0 else "") + f"plain words here {'rare' if k % 3 else 'common'}", None, None, None) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels, F.lit(True)).grams.tolist()
+    monkeypatch.setattr(toxicity, "POSITIVES", 20)
+    monkeypatch.setattr(toxicity, "MOST_SENT", 0)
+    assert sorted(toxicity.train(docs, labels, F.lit(True)).grams.tolist()) == sorted(whole)
+
+
+@pytest.mark.parametrize("text, is_letter", [("²½Ⅷ", False), ("½ ³ ①", False), ("é", True), ("ß 1", True), ("日", True)])
+def test_number_forms_are_no_letters(spark, text, is_letter):
+    model = language_id.fit(language_id.presence(["some words", "quelques mots"]), ["en", "fr"])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert (language_id.predict(df, model).first()["lang_pred"] != "und") == is_letter
