@@ -78,7 +78,11 @@ def times(a: Matrix, x: np.ndarray) -> Matrix:
 
 
 def _stacked(lists: pa.ListArray, n: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    """Rows as one array; a row of another length would shift all that follow."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(lists) * n or len(lists) and (np.diff(lists.offsets.to_numpy()) != n).any():
+        raise ValueError(f"a row has other than {n} elements")
+    return flat.reshape(-1, n)
 
 
 def _reduce(n: int, x: np.ndarray, held: np.ndarray) -> np.ndarray:

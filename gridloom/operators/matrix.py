@@ -56,6 +56,7 @@ class Matrix:
         if m < 0 or n < 0:
             raise ValueError("a shape is not negative")
         self.df, self.m, self.n, self.mask, self.packed = df, m, n, mask, packed
+        self.untransposed: Matrix | None = None
 
     # --- making ---
 
@@ -395,15 +396,20 @@ class Matrix:
         return math.sqrt(self.var(sample))
 
     def median(self, axis: bool | None = None):
-        """The middle value, the mean of both for an even count. Long lines are ranked, not gathered."""
+        """The middle value, the mean of both for an even count. Long lines are counted by ranges, not gathered or sorted."""
+        from gridloom.operators import exact
+
         if axis is None:
             self._need("median")
-            return self.reshape(1, self.numel()).median(ROW).scalar()
-        run, _, n = self._along(axis)
+            return exact.median(self.df, "v").first()["median"]
+        _, stay, n = self._along(axis)
         if n <= scans.BLOCK:
             return self._reduce(axis, F.median(cell.v))
-        middle = self.sort(axis).df.where(F.col(run).isin((n - 1) // 2, n // 2))
-        return Matrix(middle, self.m, self.n)._reduce(axis, F.avg(cell.v))
+        made = exact.median(self.df, "v", [stay]).withColumnRenamed("median", "v")
+        none = F.lit(0).cast("bigint")
+        if axis == ROW:
+            return Matrix(made.select("i", none.alias("j"), "v"), self.m, 1)
+        return Matrix(made.select(none.alias("i"), "j", "v"), 1, self.n)
 
     def mode(self) -> float:
         """The most frequent value, the smallest among ties."""
@@ -544,7 +550,9 @@ class Matrix:
     # --- structure ---
 
     def T(self) -> Matrix:  # noqa: N802
-        return self._moved(cell.j, cell.i, self.n, self.m)
+        out = self._moved(cell.j, cell.i, self.n, self.m)
+        out.untransposed = self
+        return out
 
     H = T
 

@@ -29,36 +29,11 @@ def multiply(a: Matrix, b: Matrix) -> Matrix:
     return multiply_blocked(a, b)
 
 
-def _blocks(df: DataFrame, row: str, col: str, names: tuple[str, str, str], block: int) -> DataFrame:
-    """Cells packed by block: a block holds at most ``block`` x ``block`` cells, however large the matrix."""
-    at = lambda c: F.floor(F.col(c) / block).cast("bigint")
-    inner = F.struct((F.col(row) % block).cast("int").alias("r"), (F.col(col) % block).cast("int").alias("c"), F.col("v"))
-    return df.groupBy(at(row).alias(names[0]), at(col).alias(names[1])).agg(F.collect_list(inner).alias(names[2]))
-
-
 def multiply_blocked(a: Matrix, b: Matrix, block: int = BLOCK) -> Matrix:
-    """A·B by an equi-join of blocks on the inner block index; each pair is one dense product."""
-    rows, columns = a.m, b.n
-    both = _blocks(a.df, "i", "j", ("p", "k", "x"), block).join(_blocks(b.df, "i", "j", ("k", "q", "y"), block), "k")
-
-    def dense(cells: pa.ListArray, at: int) -> np.ndarray:
-        out = np.zeros((block, block))
-        own = cells[at].values
-        out[own.field(0).to_numpy(), own.field(1).to_numpy()] = own.field(2).to_numpy()
-        return out
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, q = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row in range(batch.num_rows):
-                m, n = min(block, rows - p[row] * block), min(block, columns - q[row] * block)
-                made = (dense(batch.column(2), row) @ dense(batch.column(3), row))[:m, :n]
-                i, j = np.indices(made.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + p[row] * block), pa.array(j.ravel() + q[row] * block), pa.array(made.ravel())], names=["i", "j", "v"])
+    """A·B by blocks, which meet by inner and outer index; each pair is one dense product."""
+    from gridloom.operators.blocks import Blocked
 
-    cells = both.select("p", "q", "x", "y").mapInArrow(products, "i bigint, j bigint, v double")
-    # With one inner block every cell is whole already.
-    return Matrix(cells if a.n <= block else cells.groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, b.n)
+    return Blocked.of(a, block).multiply(Blocked.of(b, block)).to_matrix()
 
 
 def gram(a: Matrix) -> Matrix:
@@ -84,11 +59,12 @@ def t_mul(a: Matrix, b: Matrix) -> Matrix:
 
 def _row_products(rows: DataFrame, m: int, n: int) -> Matrix:
     """The sum over rows of rᵀ·s, of m x n."""
+    from gridloom.operators import linalg
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((m, n))
         for batch in batches:
-            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (0, 1))
+            x, y = linalg._stacked(batch.column(0), m), linalg._stacked(batch.column(1), n)
             total += x.T @ y
         i, j = np.indices((m, n)).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "v"])
@@ -102,7 +78,14 @@ def mul_t(a: Matrix, b: Matrix) -> Matrix:
 
 
 def gemm(alpha: float, a: Matrix, b: Matrix, beta: float, c: Matrix) -> Matrix:
-    return multiply(a, b) * alpha + c * beta
+    return _pair(a, b) * alpha + c * beta
+
+
+def _pair(a: Matrix, b: Matrix) -> Matrix:
+    """A·B, where A may be a transposed matrix whose rows are at hand: then its rows meet B's, or its own."""
+    if a.untransposed is not None and a.untransposed.packed is not None and max(a.m, b.n) <= MOST_COLUMNS and b.packed is not None:
+        return gram(b) if a.untransposed.packed is b.packed else t_mul(a.untransposed, b)
+    return multiply(a, b)
 
 
 def chain(*parts: Matrix) -> Matrix:
@@ -115,7 +98,7 @@ def chain(*parts: Matrix) -> Matrix:
         return min((best(a, k)[0] + best(k + 1, b)[0] + parts[a].m * parts[k].n * parts[b].n, k) for k in range(a, b))
 
     def build(a: int, b: int) -> Matrix:
-        return parts[a] if a == b else multiply(build(a, best(a, b)[1]), build(best(a, b)[1] + 1, b))
+        return parts[a] if a == b else _pair(build(a, best(a, b)[1]), build(best(a, b)[1] + 1, b))
 
     return build(0, len(parts) - 1)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators import spectrum
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.scans import BLOCK, lagged, last_and_next, numbered
 
@@ -20,16 +21,25 @@ CONV_BLOCK = 16_384
 
 
 def conv(a: Matrix, b: Matrix, block: int = CONV_BLOCK) -> Matrix:
-    """Full convolution: every block of A meets every block of B once, and each pair is transformed, multiplied and added in."""
-    count_b = -(-b.numel() // block)
+    """Full convolution. Two long series go through half spectra; of a long and a short one, every block of the long one is
+    transformed with the whole of the short one, which every task is told.
+    """
+    if a.empty() or b.empty():
+        raise ValueError("convolution of an empty series")
+    if a.numel() < b.numel():
+        a, b = b, a
     flat = lambda m: m.df.select((F.col("i") * m.n + F.col("j")).alias("k"), "v")
+    zero, total = F.lit(0).cast("bigint").alias("i"), a.numel() + b.numel() - 1
+    if b.numel() > block:
+        made = spectrum.convolve(spectrum.series(flat(a), "k", "v"), a.numel(), spectrum.series(flat(b), "k", "v"), b.numel())
+        return Matrix(made.select(zero, F.col("k").alias("j"), "v"), 1, total)
 
     def packed(m: Matrix, name: str) -> DataFrame:
         inner = F.struct((F.col("k") % block).cast("int").alias("k"), "v")
         return flat(m).groupBy(F.floor(F.col("k") / block).alias(name)).agg(F.collect_list(inner).alias(f"{name}_cells"))
 
-    left = packed(a, "p").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count_b - 1).cast("bigint"))))
-    both = left.join(packed(b, "q"), "q").select("p", "q", "p_cells", "q_cells")
+    one = F.lit(0).alias("one")
+    both = packed(a, "p").withColumn("one", one).join(F.broadcast(packed(b, "q").select(one, "q_cells")), "one").select("p", "p_cells", "q_cells")
     length = 2 * block
 
     def dense(cells: pa.ListArray, at: int) -> np.ndarray:
@@ -40,14 +50,13 @@ def conv(a: Matrix, b: Matrix, block: int = CONV_BLOCK) -> Matrix:
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                at = (batch.column(0)[row].as_py() + batch.column(1)[row].as_py()) * block
-                made = np.fft.irfft(np.fft.rfft(dense(batch.column(2), row)) * np.fft.rfft(dense(batch.column(3), row)), length)
+                at = batch.column(0)[row].as_py() * block
+                made = np.fft.irfft(np.fft.rfft(dense(batch.column(1), row)) * np.fft.rfft(dense(batch.column(2), row)), length)
                 keep = max(0, min(length, total - at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + keep)), pa.array(made[:keep])], names=["j", "v"])
 
-    total = a.numel() + b.numel() - 1
     out = both.mapInArrow(products, "j bigint, v double").groupBy("j").agg(F.sum("v").alias("v"))
-    return Matrix(out.select(F.lit(0).cast("bigint").alias("i"), "j", "v"), 1, total)
+    return Matrix(out.select(zero, "j", "v"), 1, total)
 
 
 def polyval(coefficients: list[float], x: Column) -> Column:

@@ -284,19 +284,10 @@ def contract(a: Tensor, b: Tensor, k: int = 1) -> Tensor:
 
 
 def contract_axes(a: Tensor, b: Tensor, axes_a: Sequence[int], axes_b: Sequence[int]) -> Tensor:
-    """Sum over pairs of axes: an equi-join on them, and a grouping by the free ones."""
-    if [a.shape[x] for x in axes_a] != [b.shape[y] for y in axes_b]:
-        raise ValueError("contracted axes of different lengths")
-    free_a, free_b = [x for x in range(a.rank()) if x not in axes_a], [y for y in range(b.rank()) if y not in axes_b]
-    left = a.df.select(*[F.col(f"a{x}").alias(f"k{n}") for n, x in enumerate(axes_a)], *[F.col(f"a{x}").alias(f"l{n}") for n, x in enumerate(free_a)], F.col("v").alias("x"))
-    right = b.df.select(*[F.col(f"a{y}").alias(f"k{n}") for n, y in enumerate(axes_b)], *[F.col(f"a{y}").alias(f"r{n}") for n, y in enumerate(free_b)], F.col("v").alias("y"))
-    both = left.join(right, [f"k{n}" for n in range(len(axes_a))])
-    free = [f"l{n}" for n in range(len(free_a))] + [f"r{n}" for n in range(len(free_b))]
-    shape = [a.shape[x] for x in free_a] + [b.shape[y] for y in free_b]
-    total = F.sum(F.col("x") * F.col("y")).alias("v")
-    if not free:
-        return Tensor(both.agg(total).select(F.lit(0).cast("bigint").alias("a0"), "v"), [1])
-    return Tensor(both.groupBy(*[F.col(f).alias(f"a{n}") for n, f in enumerate(free)]).agg(total), shape)
+    """Sum over pairs of axes, by products of tiles; absent cells are zero."""
+    from gridloom.operators import tiles
+
+    return tiles.contract_cells(a, b, axes_a, axes_b)
 
 
 def contract_acc(a: Tensor, b: Tensor, k: int, out: Tensor) -> Tensor:

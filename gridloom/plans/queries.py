@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import ieee
-from gridloom.operators import batched, complexes, distributions, learn, linalg, products, setops, signal
+from gridloom.operators import batched, blocks, complexes, distributions, exact, implicit, learn, linalg, products, scans, setops, signal, spectrum
 from gridloom.operators.matrix import COL, ROW, Matrix
 from gridloom.operators.identity import I, Identity
 from gridloom.operators.tensor import Tensor, contract, contract_acc, contract_axes
@@ -67,14 +67,7 @@ def matrix_query(name: str, sql: str, f: Callable[[Matrix], Matrix]) -> None:
     ORACLE[name] = SQL_E + sql
 
 
-def generated(name: str, sql: str, f: Callable[[SparkSession], Matrix]) -> None:
-    """Register a query of a generated matrix."""
-    QUERIES[name] = lambda spark, sf_dir: cells(f(spark))
-    ORACLE[name] = sql
-
-
 _SQL_GRAM = "SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) GROUP BY 1, 2"
-_GRID = "WITH g AS (SELECT i, j FROM range({m}) a(i), range({n}) b(j)) "
 _R = "round({}, 6) + 0.0 AS v"
 
 # --- products ---------------------------------------------------------------------------------
@@ -84,10 +77,17 @@ matrix_query("product_with_gram", f"SELECT e.i, g.j, {_R.format('sum(e.v * g.v)'
 matrix_query("product_by_blocks", ORACLE["product_with_gram"].removeprefix(SQL_E), lambda e: products.multiply_blocked(e, products.gram(e), 24))
 matrix_query("matmul_chain", f", g AS ({_SQL_GRAM}), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT i, j, {_R.format('v / 1000')} FROM h".replace(", g", ", g", 1), lambda e: products.chain(e.T(), e, e.T(), e) / 1000)
 matrix_query("gemm_gram", f"SELECT i, j, {_R.format('2 * v + 0.5 * v')} FROM ({_SQL_GRAM})", lambda e: products.gemm(2.0, e.T(), e, 0.5, products.gram(e)))
-matrix_query("kron_corner", f", k AS (SELECT * FROM e WHERE i < 6 AND j < 5) SELECT a.i * 6 + b.i AS i, a.j * 5 + b.j AS j, {_R.format('a.v * b.v')} FROM k a, k b", lambda e: products.kron(e.block((0, 5), (0, 4)), e.block((0, 5), (0, 4))))
 _SMALL = ((1.0, 2.0), (-0.5, 3.0))
 matrix_query("kron_embeddings", f", s AS (SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (1, 0, -0.5), (1, 1, 3.0)) t(i, j, v)) SELECT e.i * 2 + s.i AS i, e.j * 2 + s.j AS j, {_R.format('e.v * s.v')} FROM e, s", lambda e: products.kron(e, linalg.lift(e, np.array(_SMALL))))
-matrix_query("cross_rows", ", a AS (SELECT j AS k, v FROM e WHERE i = 0 AND j < 3), b AS (SELECT j AS k, v FROM e WHERE i = 1 AND j < 3) SELECT 0::BIGINT AS i, x.k::BIGINT AS j, round((SELECT v FROM a WHERE k = (x.k + 1) % 3) * (SELECT v FROM b WHERE k = (x.k + 2) % 3) - (SELECT v FROM a WHERE k = (x.k + 2) % 3) * (SELECT v FROM b WHERE k = (x.k + 1) % 3), 6) + 0.0 AS v FROM a x", lambda e: products.cross(e.block((0, 0), (0, 2)), e.block((1, 1), (0, 2))))
+matrix_query("cross_rows", ", a AS (SELECT j % 3 AS k, sum(v) FILTER (i % 2 = 0) AS x, sum(v) FILTER (i % 2 = 1) AS y FROM e GROUP BY 1) SELECT 0::BIGINT AS i, a.k::BIGINT AS j, round((SELECT x FROM a p WHERE p.k = (a.k + 1) % 3) * (SELECT y FROM a p WHERE p.k = (a.k + 2) % 3) - (SELECT x FROM a p WHERE p.k = (a.k + 2) % 3) * (SELECT y FROM a p WHERE p.k = (a.k + 1) % 3), 3) + 0.0 AS v FROM a", lambda e: products.cross(_thirds(e, 0), _thirds(e, 1)).map_elems(lambda v: F.round(v, 3)))
+
+
+
+def _thirds(e: Matrix, rest: int) -> Matrix:
+    """The sums of every third column over even or odd rows, as three elements."""
+    held = e.df.where(F.col("i") % 2 == rest).groupBy((F.col("j") % 3).alias("j")).agg(F.sum("v").alias("v"))
+    return Matrix(held.select(F.lit(0).cast("bigint").alias("i"), "j", "v"), 1, 3)
+
 
 # --- element by element -----------------------------------------------------------------------
 
@@ -255,8 +255,6 @@ matrix_query("tril_gram", f"SELECT i, j, {_R.format('CASE WHEN j - i <= -1 THEN
 matrix_query("diag_gram", f"SELECT i, 0::BIGINT AS j, {_R.format('v')} FROM ({_SQL_GRAM}) WHERE i = j", lambda e: products.gram(e).diag())
 matrix_query("hstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i, j + 64, round(v * 2, 6) + 0.0 FROM e", lambda e: e.hstack(e * 2.0))
 matrix_query("vstack", "SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, round(v * 2, 6) + 0.0 FROM e", lambda e: e.vstack(e * 2.0))
-matrix_query("repmat_corner", "SELECT p * 4 + i AS i, q * 3 + j AS j, round(v, 6) + 0.0 AS v FROM e, range(2) a(p), range(3) b(q) WHERE i < 4 AND j < 3", lambda e: e.block((0, 3), (0, 2)).repmat(2, 3))
-matrix_query("blkdiag_corner", ", p AS (SELECT i, j, v FROM e WHERE i < 3 AND j < 2), q AS (SELECT i, j, v FROM p UNION ALL SELECT i + 3, j + 2, v FROM p) SELECT a.i, b.j, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM range(6) a(i) CROSS JOIN range(4) b(j) LEFT JOIN q ON q.i = a.i AND q.j = b.j", lambda e: e.block((0, 2), (0, 1)).blkdiag(e.block((0, 2), (0, 1))))
 matrix_query("repmat_embeddings", "SELECT p * (SELECT count(*) FROM embeddings) + i AS i, q * 64 + j AS j, round(v, 6) + 0.0 AS v FROM e, range(2) a(p), range(3) b(q)", lambda e: e.repmat(2, 3))
 matrix_query("blkdiag_embeddings", ", n AS (SELECT count(*) AS m FROM embeddings), q AS (SELECT i, j, v FROM e UNION ALL SELECT i + m, j + 64, v * 2 FROM e, n) SELECT a.i, b.j, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(2 * m)) AS i FROM n) a CROSS JOIN range(128) b(j) LEFT JOIN q ON q.i = a.i AND q.j = b.j", lambda e: e.blkdiag(e * 2.0))
 matrix_query("block_reversed", "SELECT 9 - i AS i, j - 2 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i BETWEEN 4 AND 9 AND j BETWEEN 2 AND 7", lambda e: e.block((9, 4), (2, 7)))
@@ -264,17 +262,37 @@ matrix_query("row_and_block_assign", "SELECT a.i, a.j, round(CASE WHEN a.i BETWE
 
 # --- generators -----------------------------------------------------------------------------------------
 
-generated("generate_hilb", _GRID.format(m=40, n=40) + "SELECT i, j, round(1.0 / (i + j + 1)::DOUBLE, 6) AS v FROM g", lambda s: generate.hilb(s, 40))
-generated("generate_linspace", "SELECT 0::BIGINT AS i, j, round(2 + j * 3.0::DOUBLE / 99, 6) AS v FROM range(100) a(j)", lambda s: generate.linspace(s, 2.0, 5.0, 100))
-generated("generate_logspace", "SELECT 0::BIGINT AS i, j, round(pow(10, -1 + j * 3.0::DOUBLE / 49), 6) AS v FROM range(50) a(j)", lambda s: generate.logspace(s, -1.0, 2.0, 50))
-generated("generate_range", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM range(37) a(j)", lambda s: generate.span(s, 1.0, 10.0, 0.25))
-generated("generate_eye", _GRID.format(m=20, n=20) + "SELECT i, j, CASE WHEN i = j THEN 3.0::DOUBLE ELSE 0 END AS v FROM g", lambda s: generate.eye(s, 20, 3.0))
-generated("generate_pascal", _GRID.format(m=8, n=8) + "SELECT i, j, (factorial((i + j)::INT) / (factorial(i::INT) * factorial(j::INT)))::DOUBLE AS v FROM g", lambda s: generate.pascal(s, 8))
-generated("generate_wilkinson", _GRID.format(m=9, n=9) + "SELECT i, j, CASE abs(i - j) WHEN 0 THEN abs(i - 4)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM g", lambda s: generate.wilkinson(s, 9))
-generated("generate_toeplitz", _GRID.format(m=12, n=12) + "SELECT i, j, (1 + abs(i - j) * 0.5)::DOUBLE AS v FROM g", lambda s: generate.toeplitz(generate.span(s, 1.0, 6.5, 0.5)))
-generated("generate_hankel", _GRID.format(m=12, n=12) + "SELECT i, j, (CASE WHEN i + j < 12 THEN 1 + (i + j) * 0.5 ELSE 0 END)::DOUBLE AS v FROM g", lambda s: generate.hankel(generate.span(s, 1.0, 6.5, 0.5)))
-generated("generate_vander", _GRID.format(m=6, n=6) + "SELECT i, j, round(pow(1 + i * 0.5, 5 - j), 6)::DOUBLE AS v FROM g", lambda s: generate.vander(generate.span(s, 1.0, 3.5, 0.5)))
-generated("generate_diagonal", _GRID.format(m=6, n=6) + "SELECT i, j, (CASE WHEN i = j THEN 1 + i * 0.5 ELSE 0 END)::DOUBLE AS v FROM g", lambda s: generate.diagonal(generate.span(s, 1.0, 3.5, 0.5)))
+_SQL_SUPPLIERS = (
+    "WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_acctbal::DOUBLE AS v FROM supplier), n AS (SELECT count(*) AS n FROM supplier),"
+    " g AS (SELECT a.k AS i, b.k AS j, n, a.v AS x FROM s a, s b, n), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS j, (SELECT count(*) FROM orders) AS n FROM orders) "
+)
+
+
+def generated(name: str, sql: str, f: Callable[[SparkSession, int, int, Matrix], Matrix]) -> None:
+    """Register a query of a matrix that is generated from the numbers of suppliers and orders, or from the suppliers' balances."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranked = scans.numbered(read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_suppkey"])
+        n = ranked.count()
+        balances = tables.from_cells(ranked.withColumn("i", F.lit(0)), 1, n, "i", "rank", "s_acctbal")
+        return cells(f(spark, n, read(spark, sf_dir, "orders").count(), balances))
+
+    QUERIES[name] = run
+    ORACLE[name] = _SQL_SUPPLIERS + sql
+
+
+generated("generate_hilb", "SELECT i, j, round(1.0 / (i + j + 1)::DOUBLE, 6) AS v FROM g", lambda s, n, m, x: generate.hilb(s, n))
+generated("generate_linspace", "SELECT 0::BIGINT AS i, j, round(2 + j * (3.1::DOUBLE / (n - 1)), 6) AS v FROM o", lambda s, n, m, x: generate.linspace(s, 2.0, 5.1, m))
+generated("generate_logspace", "SELECT 0::BIGINT AS i, j, round(pow(10, -1 + j * (2.9::DOUBLE / (n - 1))), 6) AS v FROM o", lambda s, n, m, x: generate.logspace(s, -1.0, 1.9, m))
+generated("generate_range", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM o", lambda s, n, m, x: generate.span(s, 1.0, 1.0 + 0.25 * (m - 1), 0.25))
+generated("generate_range_half_open", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM o WHERE j < n - 1", lambda s, n, m, x: generate.span(s, 1.0, 1.0 + 0.25 * (m - 1), 0.25, half_open=True))
+generated("generate_eye", "SELECT i, j, CASE WHEN i = j THEN 3.0::DOUBLE ELSE 0 END AS v FROM g", lambda s, n, m, x: generate.eye(s, n, 3.0))
+generated("generate_pascal", "SELECT i, j, (factorial((i + j)::INT) / (factorial(i::INT) * factorial(j::INT)))::DOUBLE AS v FROM range(8) a(i), range(8) b(j), n WHERE n >= 8", lambda s, n, m, x: generate.pascal(s, min(n, 8)))
+generated("generate_wilkinson", "SELECT i, j, CASE abs(i - j) WHEN 0 THEN abs(i - (n - 1) / 2.0)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM g", lambda s, n, m, x: generate.wilkinson(s, n))
+generated("generate_toeplitz", f"SELECT i, j, {_R.format('s.v')} FROM g JOIN s ON s.k = abs(i - j)", lambda s, n, m, x: generate.toeplitz(x))
+generated("generate_hankel", f"SELECT i, j, {_R.format('coalesce(s.v, 0)')} FROM g LEFT JOIN s ON s.k = i + j", lambda s, n, m, x: generate.hankel(x))
+generated("generate_vander", "SELECT k AS i, j, round(pow(v / 1000, 3 - j), 5) + 0.0 AS v FROM s, range(4) t(j)", lambda s, n, m, x: generate.vander(x / 1000.0, 4).map_elems(lambda v: F.round(v, 5)))
+generated("generate_diagonal", f"SELECT i, j, {_R.format('CASE WHEN i = j THEN x ELSE 0 END')} FROM g", lambda s, n, m, x: generate.diagonal(x))
 
 
 # Magic squares of orders 3 to 6, row by row.
@@ -285,17 +303,19 @@ _MAGIC = {
 }
 
 
-@query("SELECT n, k // n AS i, k % n AS j, v::DOUBLE AS v FROM (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, unnest(range({n * n})) AS k, unnest({c}) AS v" for n, c in _MAGIC.items()) + ")")
+@query("SELECT n, k // n AS i, k % n AS j, v::DOUBLE AS v FROM (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, unnest(range({n * n})) AS k, unnest({c}) AS v" for n, c in _MAGIC.items()) + ") WHERE n IN (SELECT r_regionkey + 3 FROM region)")
 def magic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [generate.magic(spark, n).df.select(F.lit(n).cast("bigint").alias("n"), "i", "j", "v") for n in _MAGIC]
+    """One square for each region, of its number and three, as far as they are written down above."""
+    orders = sorted(r[0] + 3 for r in read(spark, sf_dir, "region").select("r_regionkey").collect())
+    parts = [generate.magic(spark, n).df.select(F.lit(n).cast("bigint").alias("n"), "i", "j", "v") for n in orders if n in _MAGIC]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT n, n * (n * n + 1) / 2.0::DOUBLE AS total, 1::BIGINT AS sums, (n * n)::BIGINT AS different FROM (VALUES (7::BIGINT), (8), (10)) t(n)")
+@query("SELECT n, n * (n * n + 1) / 2.0::DOUBLE AS total, 1::BIGINT AS sums, (n * n)::BIGINT AS different FROM (SELECT (SELECT count(*) FROM supplier) + k AS n FROM (VALUES (1::BIGINT), (2), (4)) t(k))")
 def magic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row and column of a magic square has one sum, and every element is different."""
-    parts = []
-    for n in (7, 8, 10):
+    parts, suppliers = [], read(spark, sf_dir, "supplier").count()
+    for n in (suppliers + 1, suppliers + 2, suppliers + 4):
         a = generate.magic(spark, n)
         sums = a.sum(ROW).df.select("v").unionByName(a.sum(COL).df.select("v"))
         parts.append(sums.agg(F.lit(n).cast("bigint").alias("n"), F.max("v").alias("total"), F.countDistinct("v").alias("sums")).join(a.df.agg(F.countDistinct("v").alias("different"))))
@@ -305,9 +325,11 @@ def magic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- signals -------------------------------------------------------------------------------------------------
 
 
-@query("WITH a AS (SELECT j AS k, j + 1 AS v FROM range(50) t(j)), b AS (SELECT j AS k, 2 * j - 1 AS v FROM range(7) t(j)) SELECT 0::BIGINT AS i, a.k + b.k AS j, sum(a.v * b.v)::DOUBLE AS v FROM a, b GROUP BY 2")
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, value::DOUBLE AS v FROM events), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_nationkey + 1 AS v FROM supplier) SELECT 0::BIGINT AS i, a.k + b.k AS j, round(sum(a.v * b.v), 3)::DOUBLE + 0.0 AS v FROM a, b GROUP BY 2")
 def conv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(signal.conv(generate.span(spark, 1.0, 50.0), generate.span(spark, -1.0, 11.0, 2.0)))
+    """Events' values with suppliers' nations, by blocks of the longer series."""
+    flat = lambda name, key, v: (lambda r: tables.from_cells(r.select(F.lit(0).alias("i"), "rank", v.alias("v")), 1, r.count(), "i", "rank"))(scans.numbered(read(spark, sf_dir, name), [key]))
+    return cells(signal.conv(flat("events", "event_id", F.col("value")), flat("supplier", "s_suppkey", F.col("s_nationkey") + 1)), 3)
 
 
 @query("SELECT o_orderkey, round(((2 * x - 3) * x) * x + 5, 6) AS v FROM (SELECT o_orderkey, o_totalprice / 100000 AS x FROM orders)")
@@ -422,7 +444,8 @@ def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = (F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1).cast("bigint")
     c = Tensor(ev.groupBy(F.col("user_id").alias("a0"), place.alias("a1")).agg(F.sum("value").alias("v")), (ev.agg(F.max("user_id")).first()[0] + 1, len(types)))
     w = Tensor(ev.groupBy(place.alias("a0")).agg(F.count(F.lit(1)).cast("double").alias("v")), (len(types),))
-    return contract(c, w).df.select(F.col("a0").alias("user_id"), F.round("v", 2).alias("v"))
+    users = ev.select(F.col("user_id").alias("a0")).distinct()
+    return contract(c, w).df.join(users, "a0", "left_semi").select(F.col("a0").alias("user_id"), F.round("v", 2).alias("v"))
 
 
 # --- factorisations, by what must hold of them ------------------------------------------------------------------
@@ -461,10 +484,10 @@ def solve_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(linalg.solve(a, e.col(1))).select((F.col("i") + 1).alias("i"), "j", "v")
 
 
-@query("WITH g AS (SELECT i, j FROM range(7) a(i), range(7) b(j)) SELECT i, j, round((CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END * (i + j + 1) * (factorial((7 + i)::INT) / factorial((7 - j - 1)::INT) / factorial((i + j + 1)::INT)) * (factorial((7 + j)::INT) / factorial((7 - i - 1)::INT) / factorial((i + j + 1)::INT)) * pow(factorial((i + j)::INT) / factorial(i::INT) / factorial(j::INT), 2))::DOUBLE / 1e6, 5) + 0.0 AS v, 7::BIGINT AS rank FROM g")
+@query("WITH r AS (SELECT r_regionkey AS k FROM region UNION ALL SELECT unnest([5, 6])), g AS (SELECT a.k::BIGINT AS i, b.k::BIGINT AS j FROM r a, r b) SELECT i, j, round((CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END * (i + j + 1) * (factorial((7 + i)::INT) / factorial((7 - j - 1)::INT) / factorial((i + j + 1)::INT)) * (factorial((7 + j)::INT) / factorial((7 - i - 1)::INT) / factorial((i + j + 1)::INT)) * pow(factorial((i + j)::INT) / factorial(i::INT) / factorial(j::INT), 2))::DOUBLE / 1e6, 5) + 0.0 AS v, 7::BIGINT AS rank FROM g")
 def hilbert_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ill-conditioned matrix whose inverse is known in whole numbers."""
-    h = generate.hilb(spark, 7)
+    h = generate.hilb(spark, read(spark, sf_dir, "region").count() + 2)
     return cells(linalg.inverse(h) / 1e6, 5).withColumn("rank", F.lit(linalg.rank(h)).cast("bigint"))
 
 
@@ -508,9 +531,6 @@ def _label_grams(spark: SparkSession, sf_dir: str, n: int = WIDTH) -> DataFrame:
     return g.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + n).otherwise(F.col("v")))
 
 
-_SQL_LG = "WITH x AS (SELECT label, vec_id, unnest(range(8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings), g AS (SELECT a.label, a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN 8 ELSE 0 END AS v FROM x a JOIN x b USING (label, vec_id) GROUP BY a.label, a.j, b.j) "
-
-
 def _unit(a: np.ndarray) -> np.ndarray:
     """The matrix scaled to a determinant of 1 or -1, which stays in range for any number of rows."""
     return a / math.exp(np.linalg.slogdet(a)[1] / len(a))
@@ -644,13 +664,6 @@ def rcond_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label").agg(F.max(F.when(F.col("j") == 0, F.round("re", 5))).alias("one"), F.bool_and((F.col("j") == 0) | (F.col("re") == 1)).alias("near"))
 
 
-@query(_SQL_LG + "SELECT label, round(sum(v), 4) AS total FROM g WHERE i = j GROUP BY label")
-def eig_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eigenvalues add up to the trace."""
-    found = batched.apply(_label_grams(spark, sf_dir, 8), "label", 8, 8, "eigvals")
-    return found.groupBy("label").agg(F.round(F.sum("re"), 4).alias("total"))
-
-
 @query(SQL_E + "SELECT label, round(sum(v * v) + 64 * 64, 4) AS total FROM e JOIN embeddings ON e.i = vec_id GROUP BY label")
 def eig_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eigenvalues add up to the trace, over all components."""
@@ -658,11 +671,6 @@ def eig_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label").agg(F.round(F.sum("re"), 4).alias("total"))
 
 
-@query(_SQL_LG + ", p AS (SELECT * FROM g WHERE i < 3 AND j < 3), m AS (SELECT label, list(v ORDER BY i, j) AS a FROM p GROUP BY label) SELECT label, round(a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7]), 2) AS det FROM m")
-def det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batched.apply(_label_grams(spark, sf_dir, 8).where("i < 3 AND j < 3"), "label", 3, 3, "det").select("label", F.round("re", 2).alias("det"))
-
-
 @query()
 def log_det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logarithm of the determinant over all components; the matrices are positive definite."""
@@ -670,11 +678,19 @@ def log_det_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.round("re", 6).alias("log_det"))
 
 
-@query("SELECT a, b, a AND b AS y FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) z(b)")
+_SQL_FLAGS = "WITH l AS (SELECT l_quantity > 25 AS a, l_discount > 0.05 AS b FROM lineitem) "
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 25).alias("a"), (F.col("l_discount") > 0.05).alias("b"))
+
+
+@query(_SQL_FLAGS + "SELECT a, b, a AND b AS y, count(*) AS n FROM l GROUP BY 1, 2")
 def perceptron_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = learn.truth_table(spark, learn.LOGIC["and"])
-    weights, _ = learn.train_online(table, ["a", "b", "one"], "y")
-    return learn.predict(table, ["a", "b", "one"], weights).select("a", "b", F.col("predicted").alias("y"))
+    """Learned from all line items: which of them have both marks."""
+    table = _flags(spark, sf_dir).withColumn("y", F.col("a") & F.col("b")).withColumn("one", F.lit(1.0))
+    weights, _ = learn.train_batch(table, ["a", "b", "one"], "y")
+    return learn.predict(table, ["a", "b", "one"], weights).groupBy("a", "b", F.col("predicted").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- complex matrices ------------------------------------------------------------------------------------------------
@@ -701,11 +717,11 @@ complex_query("complex_quotient", f"SELECT i, j, {_RI.format('(re * re - im * im
 complex_query("complex_gram", f"SELECT a.j AS i, b.j AS j, {_RI.format('sum(a.re * b.re + a.im * b.im)', 'sum(a.re * b.im - a.im * b.re)')} FROM z a JOIN z b USING (i) GROUP BY 1, 2", lambda z: z.H() * z)
 
 
-@query("WITH RECURSIVE p AS (SELECT i, j, -2 + j * 0.05::DOUBLE AS a, -1.2 + i * 0.06::DOUBLE AS b FROM range(40) x(i), range(60) y(j)), s AS (SELECT i, j, a, b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0 AS n FROM p UNION ALL SELECT i, j, a, b, x * x - y * y + a, 2 * x * y + b, n + 1 FROM s WHERE n < 30 AND x * x + y * y <= 4) SELECT i, j, max(n)::BIGINT AS steps FROM s GROUP BY 1, 2")
+@query("WITH RECURSIVE p AS (SELECT event_id, (event_id % 256) / 102.4::DOUBLE - 2 AS a, value / 256::DOUBLE - 1.25 AS b FROM events), s AS (SELECT event_id, a, b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0 AS n FROM p UNION ALL SELECT event_id, a, b, x * x - y * y + a, 2 * x * y + b, n + 1 FROM s WHERE n < 30 AND x * x + y * y <= 4) SELECT event_id, max(n)::BIGINT AS steps FROM s GROUP BY 1")
 def mandelbrot_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generate.zeros(spark, 40, 60).df
-    points = g.select("i", "j", (F.lit(-2.0) + F.col("j") * 0.05).alias("a"), (F.lit(-1.2) + F.col("i") * 0.06).alias("b"))
-    return complexes.mandelbrot(points, "a", "b", 30).select("i", "j", "steps")
+    """The steps after which each event's point of the plane has escaped."""
+    points = read(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 256) / F.lit(102.4) - 2).alias("a"), (F.col("value") / F.lit(256.0) - 1.25).alias("b"))
+    return complexes.mandelbrot(points, "a", "b", 30).select("event_id", "steps")
 
 
 @query("WITH p AS (SELECT event_id, (event_id % 97) * 0.7 + value / 1000 AS x, (event_id % 89) * 0.9 AS y FROM events), d AS (SELECT a.event_id, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS r2 FROM p a JOIN p b ON a.event_id <> b.event_id AND abs(a.x - b.x) < 1.5 AND abs(a.y - b.y) < 1.5) SELECT event_id, count(*) AS partners, round(avg(r2), 6) AS mean_r2 FROM d WHERE r2 < 2.25 AND r2 > 0 GROUP BY 1")
@@ -738,11 +754,10 @@ matrix_query("fftshift_columns", "SELECT (i + n // 2) % n AS i, j, round(v, 6) +
 matrix_query("ifftshift_both", "SELECT (i + n - n // 2) % n AS i, (j + 32) % 64 AS j, round(v, 6) + 0.0 AS v FROM e, (SELECT count(*) AS n FROM embeddings)", lambda e: e.ifftshift(both=True))
 matrix_query("identity_sum", f"SELECT i, j, {_R.format('v + CASE WHEN i = j THEN 2.5 ELSE 0 END')} FROM ({_SQL_GRAM})", lambda e: products.gram(e) + (Identity(64, 1.5) + I))
 matrix_query("identity_product", f"SELECT i, j, {_R.format('v * 6')} FROM ({_SQL_GRAM})", lambda e: (I * 3) * products.gram(e) * (2 * I))
-matrix_query("gemm_ranks", f"SELECT a.i, b.i AS j, {_R.format('sum(a.v * b.v)')} FROM e a JOIN e b USING (j) WHERE a.i < 40 AND b.i < 40 GROUP BY 1, 2", lambda e: products.mul_t(e.block((0, 39), (0, 63)), e.block((0, 39), (0, 63))))
+matrix_query("gemm_ranks", f"SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b USING (j) GROUP BY 1, 2", lambda e: products.mul_t(e, e).map_elems(lambda v: F.round(v, 5)))
 matrix_query("low_rank_whole", f"SELECT i, j, {_R.format('v')} FROM e", lambda e: linalg.low_rank(e, 64))
 matrix_query("power_of_gram", f", g AS (SELECT i, j, v / (SELECT count(*) FROM embeddings) AS v FROM ({_SQL_GRAM})), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT a.i, b.j, {_R.format('sum(a.v * b.v)')} FROM h a JOIN g b ON a.j = b.i GROUP BY 1, 2", lambda e: products.power(products.gram(e) / float(e.m), 3))
 matrix_query("right_divide_gram", f", g AS (SELECT i, j, v + CASE WHEN i = j THEN 64 ELSE 0 END AS v FROM ({_SQL_GRAM})) SELECT i, j, {_R.format('v')} FROM g", lambda e: (lambda g: (g / (g * 2.0)).T() * 2.0 * g)(products.gram(e) + Identity(64, 64.0)))
-generated("generate_range_half_open", "SELECT 0::BIGINT AS i, j, round(1 + j * 0.25::DOUBLE, 6) AS v FROM range(36) a(j)", lambda s: generate.span(s, 1.0, 10.0, 0.25, half_open=True))
 
 
 @query(SQL_E + f", g AS ({_SQL_GRAM}) SELECT (SELECT round(sum(v), 4) FROM g WHERE i = j) AS trace, (SELECT round(sum(v * v), 2) FROM g) AS dot, (SELECT bool_and(abs(a.v - b.v) < 1e-6) FROM g a JOIN g b ON a.i = b.j AND a.j = b.i) AS symmetric, (SELECT bool_and(v = 0) FROM g WHERE i <> j) AS diagonal, (SELECT max(i - j) FROM g WHERE v <> 0) AS below, (SELECT max(j - i) FROM g WHERE v <> 0) AS above, false AS upper, true AS triangular, true AS same, false AS shifted")
@@ -752,18 +767,19 @@ def structure_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalars(spark, trace=round(g.trace(), 4), dot=round(g.dot(g), 2), symmetric=g.is_symmetric(), diagonal=g.is_diagonal(), upper=g.is_upper(), triangular=g.triu().is_upper() and g.tril().is_lower() and g.is_banded(63, 63), same=g.allclose(g * 1.0), shifted=g.equals(g + 1.0)).select("*", F.lit(below).cast("bigint").alias("below"), F.lit(above).cast("bigint").alias("above"))
 
 
-@query(SQL_E + ", a AS (SELECT j AS k, v FROM e WHERE i = 0), s AS (SELECT a.k, a.v, b.v AS w FROM a JOIN a b ON b.k = a.k + 1), x AS (SELECT k, k * k + 1.0 AS v FROM a), y AS (SELECT x.k, z.v - x.v AS d FROM x JOIN x z ON z.k = x.k + 1) SELECT round((SELECT sum((v + w) / 2) FROM s), 6) AS unit, round((SELECT sum(d * (v + w) / 2) FROM s JOIN y USING (k)), 5) AS over_x, (SELECT k FROM a ORDER BY v DESC, k LIMIT 1) AS top, round((SELECT median(v) FROM e), 6) AS middle")
+@query(SQL_E + ", a AS (SELECT i * 64 + j AS k, v FROM e), s AS (SELECT k, v, lead(v) OVER (ORDER BY k) AS w FROM a) SELECT round((SELECT sum((v + w) / 2) FROM s), 4) AS unit, round((SELECT sum((1 + (k + 0.5) / 1000) * (v + w) / 2) FROM s), 3) AS over_x, (SELECT k FROM a ORDER BY v DESC, k LIMIT 1)::BIGINT AS top, round((SELECT median(v) FROM e), 6) AS middle")
 def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trapezoids over all cells as one line, at unit spacing and at places that grow apart."""
     e = embeddings(spark, sf_dir)
-    a = e.row(0)
-    x = generate.grid(spark, 1, 64, F.col("j") * F.col("j") + 1.0)
-    return _scalars(spark, unit=round(a.trapz(), 6), over_x=round(a.trapz_over(x), 5), middle=round(e.median(), 6)).withColumn("top", F.lit(a.argmax(flat=True)).cast("bigint"))
+    a = e.reshape(1, e.numel())
+    x = generate.grid(spark, 1, a.n, F.col("j") + F.col("j") * F.col("j") / 2000)
+    return _scalars(spark, unit=round(a.trapz(), 4), over_x=round(a.trapz_over(x), 3), middle=round(e.median(), 6)).withColumn("top", F.lit(a.argmax(flat=True)).cast("bigint"))
 
 
-@query("WITH w AS (SELECT 21 AS n), g AS (SELECT i, j, CASE abs(i - j) WHEN 0 THEN abs(i - 10)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM range(21) a(i), range(21) b(j)) SELECT round(max(s), 6) AS one, round((SELECT sqrt(sum(v * v)) FROM g), 6) AS fro, 10.746194::DOUBLE AS two, 10.746194::DOUBLE AS estimate, true AS conditioned FROM (SELECT j, sum(abs(v)) AS s FROM g GROUP BY j)")
+@query("WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 21), g AS (SELECT a.k AS i, b.k AS j, CASE abs(a.k - b.k) WHEN 0 THEN abs(a.k - 10)::DOUBLE WHEN 1 THEN 1 ELSE 0 END AS v FROM n a, n b) SELECT round(max(s), 6) AS one, round((SELECT sqrt(sum(v * v)) FROM g), 6) AS fro, 10.746194::DOUBLE AS two, 10.746194::DOUBLE AS estimate, true AS conditioned FROM (SELECT j, sum(abs(v)) AS s FROM g GROUP BY j)")
 def norms_of_wilkinson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest eigenvalue of the order 21 is a known value; conditions of all kinds are finite and in order."""
-    w = generate.wilkinson(spark, 21)
+    w = generate.wilkinson(spark, read(spark, sf_dir, "nation").where("n_nationkey < 21").count())
     kinds = {k: linalg.cond(w, k) for k in ("two", "one", "inf", "fro")}
     ok = kinds["two"] <= kinds["one"] and abs(kinds["one"] - kinds["inf"]) < 1e-9 and kinds["fro"] >= kinds["two"] and linalg.cond(generate.full(spark, 3, 3, 1.0)) == math.inf
     return _scalars(spark, one=round(w.norm("one"), 6), fro=round(w.norm(), 6), two=round(w.norm("two"), 6), estimate=round(linalg.normest(w, 1e-13, 2000), 6), conditioned=bool(ok))
@@ -798,34 +814,57 @@ def bands_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.bands(embeddings(spark, sf_dir)).select("i", "j", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"))
 
 
-@query("SELECT * FROM (VALUES ('csv', 'col0,col1' || chr(10) || '1,0.5' || chr(10) || '0.5,0.333'), ('tsv', '1' || chr(9) || '0.5' || chr(10) || '0.5' || chr(9) || '0.333'), ('markdown', '| col0 | col1 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 0.5 |' || chr(10) || '| 0.5 | 0.333 |'), ('matlab', 'A = [1 0.5; 0.5 0.333];'), ('numpy', 'A = np.array([[1, 0.5], [0.5, 0.333]])'), ('plain', '1 0.5' || chr(10) || '0.5 0.333'), ('pretty', '    1   0.5' || chr(10) || '  0.5 0.333')) t(fmt, said)")
+_SQL_LINES = "string_agg({}, chr(10) ORDER BY k)"
+
+
+@query(
+    "WITH r AS (SELECT n_nationkey::INT AS k, n_nationkey::VARCHAR AS a, (n_regionkey + 0.5)::VARCHAR AS b FROM nation), w AS (SELECT greatest(max(length(a)), max(length(b))) AS w FROM r) "
+    f"SELECT 'csv' AS fmt, 'col0,col1' || chr(10) || {_SQL_LINES.format('a || chr(44) || b')} AS said FROM r UNION ALL SELECT 'tsv', {_SQL_LINES.format('a || chr(9) || b')} FROM r"
+    f" UNION ALL SELECT 'markdown', '| col0 | col1 |' || chr(10) || '| --- | --- |' || chr(10) || {_SQL_LINES.format(chr(39) + '| ' + chr(39) + ' || a || ' + chr(39) + ' | ' + chr(39) + ' || b || ' + chr(39) + ' |' + chr(39))} FROM r"
+    " UNION ALL SELECT 'matlab', 'A = [' || string_agg(a || ' ' || b, '; ' ORDER BY k) || '];' FROM r UNION ALL SELECT 'numpy', 'A = np.array([' || string_agg('[' || a || ', ' || b || ']', ', ' ORDER BY k) || '])' FROM r"
+    f" UNION ALL SELECT 'plain', {_SQL_LINES.format('a || chr(32) || b')} FROM r UNION ALL SELECT 'pretty', {_SQL_LINES.format('lpad(a, w::INT, chr(32)) || chr(32) || lpad(b, w::INT, chr(32))')} FROM r, w"
+)
 def render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = generate.hilb(spark, 2)
+    """The nations' numbers beside their regions' and a half, in every format."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") + F.lit(0.5)).alias("half"))
+    h = tables.from_columns(n, "n_nationkey", ["n_nationkey", "half"], n.count())
     made = [(f, sinks.render(h, sinks.Options(f, 3, header=f == "csv"))) for f in ("csv", "tsv", "markdown", "matlab", "numpy", "plain", "pretty")]
     return spark.createDataFrame(made, "fmt string, said string")
 
 
-@query("SELECT 0::BIGINT AS i, j, v FROM (SELECT unnest(range(4)) AS j, unnest([6.0, 11.0, 6.0, 1.0]) AS v)")
+_SQL_PAIRS = "WITH p AS (SELECT s_suppkey AS key, s_nationkey % 5 + 1 AS a, s_nationkey % 5 + 2 + s_suppkey % 3 AS b FROM supplier) "
+
+
+def _pairs(spark: SparkSession, sf_dir: str, *values: Column) -> DataFrame:
+    """(key, i, j, v): a row of values for each supplier, of its two numbers a and b."""
+    a = F.col("s_nationkey") % 5 + 1
+    p = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), a.alias("a"), (a + 1 + F.col("s_suppkey") % 3).alias("b"))
+    return p.select("key", F.lit(0).cast("bigint").alias("i"), F.posexplode(F.array(*[v.cast("double") for v in values])).alias("j", "v")).select("key", "i", F.col("j").cast("bigint").alias("j"), "v")
+
+
+@query(_SQL_PAIRS + "SELECT key, j::BIGINT AS j, (CASE j WHEN 0 THEN a * b WHEN 1 THEN a + b ELSE 1 END)::DOUBLE AS v FROM p, range(3) t(j)")
 def poly_from_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(x + 1)(x + 2)(x + 3), lowest power first, from its roots; these from its coefficients again."""
-    table = lambda xs: spark.createDataFrame([(0, 0, k, float(x)) for k, x in enumerate(xs)], "key int, i bigint, j bigint, v double")
-    made = batched.apply(table([-1, -2, -3]), "key", 1, 3, "poly").select("key", "i", "j", F.col("re").alias("v"))
-    back = batched.apply(made, "key", 1, 4, "roots").select("key", F.col("j").alias("i"), F.col("i").alias("j"), F.col("re").alias("v"))
-    again = batched.apply(back, "key", 1, 3, "poly")
-    return again.select("i", (3 - F.col("j")).alias("j"), rounded(F.col("re")).alias("v"))
+    """(x + a)(x + b), lowest power first, from its roots; these from its coefficients again."""
+    made = batched.apply(_pairs(spark, sf_dir, -F.col("a"), -F.col("b")), "key", 1, 2, "poly").select("key", "i", "j", F.col("re").alias("v"))
+    back = batched.apply(made, "key", 1, 3, "roots").select("key", F.col("j").alias("i"), F.col("i").alias("j"), F.col("re").alias("v"))
+    again = batched.apply(back, "key", 1, 2, "poly")
+    return again.select("key", (2 - F.col("j")).alias("j"), rounded(F.col("re"), 5).alias("v"))
 
 
-@query("SELECT 0::BIGINT AS i, j, v FROM (SELECT unnest(range(3)) AS j, unnest([1.0, 2.0, 3.0]) AS v)")
+@query(_SQL_PAIRS + "SELECT key, 0::BIGINT AS i, j::BIGINT AS j, (CASE j WHEN 0 THEN 1 WHEN 1 THEN a ELSE b END)::DOUBLE AS v FROM p, range(3) t(j)")
 def deconv_of_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = lambda xs: spark.createDataFrame([(0, 0, k, float(x)) for k, x in enumerate(xs)], "key int, i bigint, j bigint, v double")
-    y = batched.apply_pair(table([1, 2, 3]), table([2, -1, 4, 1]), "key", (1, 3), (1, 4), "conv").select("key", "i", "j", F.col("re").alias("v"))
-    found = batched.apply_pair(y, table([2, -1, 4, 1]), "key", (1, 6), (1, 4), "deconv")
-    return found.where("factor = 'quotient'").select("i", "j", rounded(F.col("re")).alias("v"))
+    """Each supplier's 1, a, b out of its product with 2, -1, 4, 1."""
+    by = _pairs(spark, sf_dir, F.lit(2), F.lit(-1), F.lit(4), F.lit(1))
+    y = batched.apply_pair(_pairs(spark, sf_dir, F.lit(1), F.col("a"), F.col("b")), by, "key", (1, 3), (1, 4), "conv").select("key", "i", "j", F.col("re").alias("v"))
+    found = batched.apply_pair(y, by, "key", (1, 6), (1, 4), "deconv")
+    return found.where("factor = 'quotient'").select("key", "i", "j", rounded(F.col("re")).alias("v"))
 
 
-@query("SELECT a, b, f, CASE f WHEN 'and' THEN a AND b WHEN 'or' THEN a OR b WHEN 'nand' THEN NOT (a AND b) WHEN 'nor' THEN NOT (a OR b) ELSE a <> b END AS y FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) z(b), (VALUES ('and'), ('or'), ('nand'), ('nor'), ('xor')) w(f)")
+@query(_SQL_FLAGS + "SELECT a, b, f, CASE f WHEN 'and' THEN a AND b WHEN 'or' THEN a OR b WHEN 'nand' THEN NOT (a AND b) WHEN 'nor' THEN NOT (a OR b) ELSE a <> b END AS y, count(*) AS n FROM l, (VALUES ('and'), ('or'), ('nand'), ('nor'), ('xor')) w(f) GROUP BY ALL")
 def truth_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [learn.truth_table(spark, f, bias=False).select("a", "b", F.lit(name).alias("f"), "y") for name, f in learn.LOGIC.items()]
+    """Every function's truth table, and how many line items have each of its rows."""
+    counted = _flags(spark, sf_dir).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    parts = [learn.truth_table(spark, f, bias=False).join(counted, ["a", "b"]).select("a", "b", F.lit(name).alias("f"), "y", "n") for name, f in learn.LOGIC.items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -839,3 +878,203 @@ def random_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.lit(0).alias("j"), F.col("c_nationkey").alias("v"))
     subset = setops.issubset(tables.from_cells(few, 3, 1), tables.from_cells(many, 1, 1))
     return _scalars(spark, inside=bool(inside), permutation=p.df.select(F.countDistinct("v")).first()[0] == 5000 and p.sum() == 5000 * 4999 / 2, whole=bool(whole), subset=bool(subset))
+
+
+# --- large matrices in blocks -------------------------------------------------------------------------
+
+# The outer matrix of the embeddings, whose order grows with the table, and the same with columns turned by one.
+_SQL_OUTER = "o AS (SELECT x.i, y.i AS j, sum(x.v * y.v) + CASE WHEN x.i = y.i THEN 64 ELSE 0 END AS v FROM e x JOIN e y USING (j) GROUP BY 1, 2)"
+_SQL_TURNED = _SQL_OUTER + ", t AS (SELECT i, (j + 1) % (SELECT count(*) FROM embeddings) AS j, v FROM o)"
+_R4 = "round(v, 4) + 0.0 AS v"
+
+
+def _outer(spark: SparkSession, sf_dir: str) -> tuple[blocks.Blocked, blocks.Blocked]:
+    """(E·Eᵀ + 64·I, E), in blocks."""
+    e = blocks.Blocked.of(embeddings(spark, sf_dir)).written()
+    return e.multiply(e.T()).plus_diagonal(64.0).written(), e
+
+
+def _turned(spark: SparkSession, sf_dir: str) -> tuple[blocks.Blocked, blocks.Blocked]:
+    a, e = _outer(spark, sf_dir)
+    cells_ = a.to_matrix().df.select("i", ((F.col("j") + 1) % a.n).alias("j"), "v")
+    return blocks.Blocked.of(Matrix(cells_, a.m, a.n)).written(), e
+
+
+@query(SQL_E + f", {_SQL_OUTER} SELECT i, j, {_R4} FROM o")
+def cholesky_of_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L·Lᵀ of the outer matrix's factor."""
+    low = blocks.cholesky(_outer(spark, sf_dir)[0])
+    return cells(low.multiply(low.T()).to_matrix(), 4)
+
+
+@query(SQL_E + f", {_SQL_TURNED} SELECT i, j, {_R4} FROM t")
+def lu_of_turned_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L·U, its rows back where the pivots were."""
+    f = blocks.lu(_turned(spark, sf_dir)[0])
+    made = f.lower.multiply(f.upper).to_matrix().df.join(f.order.withColumnRenamed("pos", "i"), "i")
+    return made.select(F.col("row").alias("i"), "j", rounded(F.col("v"), 4).alias("v"))
+
+
+_SQL_CELLS_OF_E = SQL_E + f"SELECT i, j, {_R4} FROM e"
+
+
+@query(_SQL_CELLS_OF_E)
+def solve_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A·X for the solution of A·X = E by Cholesky: E's cells."""
+    a, e = _outer(spark, sf_dir)
+    return cells(a.multiply(blocks.solve_positive(a, e)).to_matrix(), 4)
+
+
+@query(_SQL_CELLS_OF_E)
+def solve_turned_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aᵀ·X for the solution of Aᵀ·X = E by LU with pivoting."""
+    a, e = _turned(spark, sf_dir)
+    return cells(a.T().multiply(blocks.solve(a, e, transposed=True)).to_matrix(), 4)
+
+
+@query(_SQL_CELLS_OF_E)
+def solve_mixed_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A·X by single-precision factors, refined."""
+    a, e = _turned(spark, sf_dir)
+    return cells(a.multiply(blocks.solve_mixed(a, e)[0]).to_matrix(), 4)
+
+
+_SQL_MEAN_GRAM = ", g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) / (SELECT count(*) FROM embeddings) AS v FROM e a JOIN e b USING (i) GROUP BY 1, 2)"
+
+
+def _mean_gram(spark: SparkSession, sf_dir: str) -> blocks.Blocked:
+    """The Gram matrix over the number of rows, in blocks of 32."""
+    e = embeddings(spark, sf_dir)
+    return blocks.Blocked.of(products.gram(e) / float(e.m), 32).written()
+
+
+@query(SQL_E.replace("WITH", "WITH RECURSIVE", 1) + _SQL_MEAN_GRAM + ", s(n, i, j, v) AS (SELECT 0, i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END FROM g UNION ALL SELECT n + 1, s.i, g.j, sum(s.v * g.v) / (n + 1) FROM s JOIN g ON s.j = g.i WHERE n < 40 GROUP BY n, s.i, g.j) SELECT i, j, round(sum(v), 5) + 0.0 AS v FROM s GROUP BY 1, 2")
+def exp_of_mean_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(blocks.exp(_mean_gram(spark, sf_dir)).to_matrix(), 5)
+
+
+@query(SQL_E + _SQL_MEAN_GRAM + " SELECT i, j, round(v, 5) + 0.0 AS v FROM g")
+def sqrt_of_mean_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The square of the root, by blocks."""
+    root = blocks.sqrt(_mean_gram(spark, sf_dir))
+    return cells(root.multiply(root).to_matrix(), 5)
+
+
+@query(_SQL_CELLS_OF_E)
+def implicit_q_times_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q·R with Q as a tree of reflectors: R comes down the tree and becomes E."""
+    f = implicit.qr(embeddings(spark, sf_dir), 256)
+    return cells(f.down(f.triangle().select(F.col("r").alias("x")), None, f.n), 4)
+
+
+@query(SQL_E + f"SELECT i, 63 - j AS j, {_R4} FROM e")
+def implicit_q_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q·(Qᵀ·B) for B of E's columns in reverse, with what stays at the nodes: B."""
+    e = embeddings(spark, sf_dir)
+    f = implicit.qr(e, 256)
+    return cells(f.down(*f.up(e.fliplr()), e.n), 4)
+
+
+@query(SQL_E + "SELECT 0::BIGINT AS i, j, 0.0::DOUBLE AS v, 0.0::DOUBLE AS off FROM e WHERE i = 0 AND j < 2")
+def implicit_q_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns 62 and 63 by the other 62: the residual has no part along these, and its norm is that from Qᵀ·B alone."""
+    e = embeddings(spark, sf_dir)
+    a, b = e.block((0, e.m - 1), (0, 61)), e.block((0, e.m - 1), (62, 63))
+    x, norms = implicit.qr(a, 256).least_squares(b)
+    left = linalg.of_rows(linalg.rows_of(b - products.multiply(a, x)), e.m, 2)
+    along = products.t_mul(a, left).abs()._reduce(COL, F.max("v"))
+    sizes = linalg.column_norms(left)
+    told = along.df.select("j", rounded(F.col("v"), 5).alias("v")).join(sizes.df.select("j", F.col("v").alias("size")), "j")
+    off = F.abs(F.col("size") - F.get(F.array(*[F.lit(n) for n in norms]), F.col("j").cast("int")))
+    return told.select(F.lit(0).cast("bigint").alias("i"), "j", "v", rounded(off, 6).alias("off"))
+
+
+# --- transforms of one long series --------------------------------------------------------------------
+
+
+def _event_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All events' values as one series, in the order of their ids."""
+    ranked = scans.numbered(read(spark, sf_dir, "events").select("event_id", "value"), ["event_id"])
+    return spectrum.series(ranked, "rank", "value"), ranked.count()
+
+
+_SQL_SERIES = "WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, value::DOUBLE AS v, count(*) OVER () AS n FROM events) "
+_SQL_FREQUENCIES = _SQL_SERIES + ", f AS (SELECT unnest([0, 1, 2, 3, 7, 50, 333, 997, {last} - 1]) AS f) SELECT f::BIGINT AS k, round(sum(v * cos(2 * pi() * ((f * k) % {n}) / {n})), 3) + 0.0 AS re, round(-sum(v * sin(2 * pi() * ((f * k) % {n}) / {n})), 3) + 0.0 AS im FROM f, s GROUP BY f"
+_CHOSEN = (0, 1, 2, 3, 7, 50, 333, 997)
+
+
+def _chosen(df: DataFrame, n: int) -> DataFrame:
+    return df.where(F.col("k").isin(*_CHOSEN, n - 1)).select("k", rounded(F.col("re"), 3).alias("re"), rounded(F.col("im"), 3).alias("im"))
+
+
+@query(_SQL_FREQUENCIES.format(n="n", last="(SELECT count(*) FROM events)"))
+def fft_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = _event_series(spark, sf_dir)
+    return _chosen(spectrum.transform(s, n), n)
+
+
+@query(_SQL_FREQUENCIES.format(n="(n + 7)", last="(SELECT count(*) + 7 FROM events)"))
+def fft_of_events_chirp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven zeros behind the values make a length that is transformed by the chirp."""
+    s, n = _event_series(spark, sf_dir)
+    return _chosen(spectrum._chirp(s, n + 7, False), n + 7)
+
+
+@query("SELECT event_id, round(value, 5) + 0.0 AS v FROM events")
+def ifft_of_fft_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = _event_series(spark, sf_dir)
+    back = spectrum.transform(spectrum.transform(s, n), n, inverse=True)
+    ranked = read(spark, sf_dir, "events").select("event_id")
+    return scans.numbered(ranked, ["event_id"]).join(back, F.col("rank") == F.col("k")).select("event_id", rounded(F.col("re"), 5).alias("v"))
+
+
+@query(_SQL_SERIES + ", l AS (SELECT unnest(range(20)) AS lag) SELECT lag::BIGINT AS k, round(sum(a.v * b.v) / 1000, 4) + 0.0 AS v FROM l JOIN s a ON true JOIN s b ON b.k = (a.k + lag) % a.n GROUP BY lag")
+def autocorrelation_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse of the half spectrum's power: circular autocorrelation, the first twenty lags."""
+    s, n = _event_series(spark, sf_dir)
+    return spectrum.HalfSpectrum.of(s, n).power().inverse().where("k < 20").select("k", rounded(F.col("v") / 1000, 4).alias("v"))
+
+
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, value::DOUBLE AS v FROM events), b AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_size::DOUBLE AS v FROM part) SELECT a.k + b.k AS k, round(sum(a.v * b.v), 3) + 0.0 AS v FROM a, b GROUP BY 1")
+def convolution_by_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' values with parts' sizes, through half spectra."""
+    a, n = _event_series(spark, sf_dir)
+    ranked = scans.numbered(read(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"])
+    made = spectrum.convolve(a, n, spectrum.series(ranked, "rank", "p_size"), ranked.count())
+    return made.select("k", rounded(F.col("v"), 3).alias("v"))
+
+
+@query(SQL_E + "SELECT j AS i, i AS j, " + _R4 + " FROM e")
+def svd_of_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U·S·Vᵀ of Eᵀ, which has a column for every vector."""
+    e = blocks.Blocked.of(embeddings(spark, sf_dir), 128).T().written()
+    u, s, v = blocks.svd(e)
+    return cells(blocks.scale_columns(u, s).multiply(v.T()).to_matrix(), 4)
+
+
+@query(SQL_E + ", g AS (" + _SQL_GRAM + ") SELECT (SELECT round(sum(v * v), 3) FROM e) AS squares, (SELECT round(sum(v * v) / 1000, 2) FROM g) AS fourths, 64::BIGINT AS rank")
+def singular_values_of_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of squares and of fourth powers of all singular values, which the norms of E and of its Gram matrix give."""
+    s = blocks.svd(blocks.Blocked.of(embeddings(spark, sf_dir), 128).T().written())[1]
+    power = lambda k: F.sum(F.pow("s", F.lit(float(k))))
+    return s.agg(F.round(power(2), 3).alias("squares"), F.round(power(4) / 1000, 2).alias("fourths"), F.count(F.when(F.col("s") > 0, 1)).alias("rank"))
+
+
+# --- aggregates without an order -------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, round(fsum(l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE)), 4) AS total, round(sqrt(sum(l_extendedprice::DOUBLE ** 2)), 3) AS norm, median(l_quantity::DOUBLE) AS quantity, round(median(l_extendedprice::DOUBLE), 4) AS price FROM lineitem GROUP BY 1")
+def exact_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums as if they were rounded once, norms of any magnitude, and medians by counts; a fiftieth of all rows share one quantity."""
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("p"), F.col("l_discount").cast("double").alias("d"))
+    by = ["l_returnflag"]
+    out = exact.total(li.withColumn("r", F.col("p") * (1 - F.col("d"))), "r", by).join(exact.norm(li, "p", by), by)
+    out = out.join(exact.median(li, "q", by).withColumnRenamed("median", "quantity"), by).join(exact.median(li, "p", by), by)
+    return out.select("l_returnflag", F.round("total", 4).alias("total"), F.round("norm", 3).alias("norm"), "quantity", F.round("median", 4).alias("price"))
+
+
+@query("SELECT median(CASE WHEN event_type = 'click' THEN 7 ELSE value END) AS median FROM events")
+def median_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of all events, where every click counts as one value."""
+    ev = read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", 7.0).otherwise(F.col("value")).alias("v"))
+    return exact.median(ev, "v")
