@@ -3,7 +3,8 @@
 A transcript is the rows of one conversation in order; every row's text is read line by line. The
 hidden state of a line is its role. A line shows a symbol: the speaker marker it begins with, if
 any, whether it opens a row, its length, and whether it asks or holds code. Start, transition and
-symbol probabilities are counted over all rows whose role is known, with add-one smoothing.
+symbol probabilities are counted over all rows whose role is known, with add-one smoothing; the first
+and the following turns of a conversation are so by their order, whatever their numbers are.
 
 Conversations may be of any length, so none is gathered. Rows are ranged and sorted by
 conversation and turn into partitions. Of a conversation that crosses partitions, each partition
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.operators.scans import numbered
+
 from .common import other_columns, quoted, shared_dir
 
 ROLES = ["system", "user", "assistant"]
@@ -43,7 +46,8 @@ _MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*|>\s*)?(" + "
 _END = re.compile(r"\s*<\|(?:im_)?end\|?>?\s*$", re.IGNORECASE)
 _CODE = re.compile(r"```|^\s{4}\S|[{};]\s*$|^\s*(?:def|class|import|return)\b")
 #: Symbols: marker (none or role) x opens a row x length (5) x question x code.
-SYMBOLS = 4 * 2 * 5 * 2 * 2
+PER_MARKER = 2 * 5 * 2 * 2
+SYMBOLS = 4 * PER_MARKER
 #: How much more probable a marker is under the role that it names.
 MARKER_ODDS = 200.0
 
@@ -68,7 +72,7 @@ class Hmm:
     def emission(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Scores by line and role, and which lines begin with a marker."""
         symbols = np.array([symbol(x, k == 0) for k, x in enumerate(lines_of(text))])
-        return self.emit[symbols], symbols // 40 > 0
+        return self.emit[symbols], symbols // PER_MARKER > 0
 
     def step(self, opens: bool, marked: bool) -> np.ndarray:
         """Scores from role to role between two lines: a role only changes at a row or a marker."""
@@ -91,24 +95,39 @@ def counted(df: DataFrame, conv_col: str, turn_col: str, text_col: str, role_col
         r, s = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(s), pa.array(sums[r, s])], names=["r", "s", "n"])
 
-    emit = np.ones((3, SYMBOLS))
+    seen = np.zeros((3, SYMBOLS))
     rows = known.select(role.alias("r"), quoted(text_col).cast("string").alias("t")).mapInArrow(symbols, "r bigint, s bigint, n bigint")
     for row in rows.groupBy("r", "s").agg(F.sum("n").alias("n")).collect():
-        emit[row["r"], row["s"]] += row["n"]
-    # Neighbouring turns meet by their number, so that no conversation is sorted in one place.
-    ends = known.select(quoted(conv_col).alias("c"), quoted(turn_col).cast("bigint").alias("k"), role.alias("r")).where("k IS NOT NULL")
-    firsts = {x["r"]: x["n"] for x in ends.where("k = 0").groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pairs = ends.groupBy("c", "k").agg(F.min("r").alias("r"))
-    nexts = pairs.select("c", (F.col("k") - 1).alias("k"), F.col("r").alias("s"))
-    turn = np.ones((3, 3))
-    for x in pairs.join(nexts, ["c", "k"]).groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).collect():
-        turn[x["r"], x["s"]] += x["n"]
-    first = np.array([1.0 + firsts.get(k, 0) for k in range(3)])
-    emit /= emit.sum(axis=1, keepdims=True)
-    for s in range(40, SYMBOLS):
-        emit[:, s] = emit[:, s].mean()
-        emit[s // 40 - 1, s] *= MARKER_ODDS
-    return Hmm(np.log(first / first.sum()), np.log(turn / turn.sum(axis=1, keepdims=True)), np.log(emit).T)
+        seen[row["r"], row["s"]] += row["n"]
+    # Neighbouring turns meet by their ranks, whatever their numbers are; no conversation is sorted in one place.
+    ends = known.select(quoted(conv_col).cast("string").alias("c"), quoted(turn_col).alias("k"), role.alias("r"))
+    ranked = numbered(ends, ["c", "k", "r"])
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.struct("c").alias("b"), F.col("r").alias("q"))
+    same = F.struct("c") == F.col("b")
+    pairs = ranked.join(before, "rank", "left").select("r", F.when(same, F.col("q")).alias("q"))
+    first, turn = np.ones(3), np.ones((3, 3))
+    for x in pairs.groupBy("q", "r").agg(F.count(F.lit(1)).alias("n")).collect():
+        if x["q"] is None:
+            first[x["r"]] += x["n"]
+        else:
+            turn[x["q"], x["r"]] += x["n"]
+    return Hmm(np.log(first / first.sum()), np.log(turn / turn.sum(axis=1, keepdims=True)), np.log(emissions(seen)).T)
+
+
+def emissions(seen: np.ndarray) -> np.ndarray:
+    """Probabilities of symbols by role from their counts: whether a line has a marker, which one, and what else it shows.
+
+    Markers are too few to be counted by name: a role's own one is ``MARKER_ODDS`` times as probable as another. What a line shows
+    beside it is counted apart for lines with and without one. Each role's probabilities sum to one.
+    """
+    plain = seen[:, :PER_MARKER]
+    marked = seen[:, PER_MARKER:].reshape(3, 3, PER_MARKER).sum(axis=1)
+    has = (marked.sum(axis=1) + 1) / (seen.sum(axis=1) + 2)
+    shows = lambda x: (x + 1) / (x + 1).sum(axis=1, keepdims=True)
+    named = (1 + (MARKER_ODDS - 1) * np.eye(3)) / (MARKER_ODDS + 2)
+    out = [(1 - has)[:, None] * shows(plain)]
+    out += [(has * named[:, m])[:, None] * shows(marked) for m in range(3)]
+    return np.hstack(out)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -174,3 +174,40 @@ def test_number_forms_are_no_letters(spark, text, is_letter):
     model = language_id.fit(language_id.presence(["some words", "quelques mots"]), ["en", "fr"])
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert (language_id.predict(df, model).first()["lang_pred"] != "und") == is_letter
+
+
+def test_emissions_of_a_role_sum_to_one():
+    rng = np.random.default_rng(3)
+    for seen in (np.zeros((3, chat_format.SYMBOLS)), rng.integers(0, 50, (3, chat_format.SYMBOLS))):
+        emit = chat_format.emissions(seen)
+        assert np.allclose(emit.sum(axis=1), 1) and (emit > 0).all()
+        for m in range(3):
+            own = emit[:, (m + 1) * chat_format.PER_MARKER : (m + 2) * chat_format.PER_MARKER].sum(axis=1)
+            assert own.argmax() == m
+    # Length counts on lines with a marker too.
+    seen = np.zeros((3, chat_format.SYMBOLS))
+    short, long = chat_format.symbol("user: ok", True), chat_format.symbol("user: " + "word " * 60, True)
+    seen[1, long] = 50
+    emit = chat_format.emissions(seen)
+    assert emit[1, long] > 10 * emit[1, short]
+
+
+def test_turns_that_start_at_one_and_have_gaps(spark):
+    rows = [(c, t, "x", r) for c in range(20) for t, r in ((1, "system"), (5, "user"), (6, "assistant"), (90, "user"))] + [(None, None, "x", "user"), (None, 3, "y", "assistant")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, text string, role string")
+    model = chat_format.counted(df, "conv_id", "turn", "text", "role")
+    assert np.allclose(np.exp(model.first), np.array([21, 2, 1]) / 24)
+    turn = np.ones((3, 3))
+    turn[0, 1] += 20
+    turn[1, 2] += 21
+    turn[2, 1] += 20
+    assert np.allclose(np.exp(model.turn), turn / turn.sum(axis=1, keepdims=True))
+
+
+def test_roles_of_conversations_left_out(spark):
+    """Counted from half of the conversations, found in the others."""
+    chats = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    half = F.crc32(F.col("conv_id").cast("string")) % 2 == 0
+    model = chat_format.counted(chats.where(half), "conv_id", "turn", "text", "role")
+    got = chat_format.format_chats(chats.where(~half), model).toPandas()
+    assert len(got) > 200 and (got["role"] == got["role_found"]).mean() > 0.9
