@@ -141,6 +141,13 @@ class Blocked:
     def columns(self) -> int:
         return -(-self.n // self.block)
 
+    def filled(self) -> Blocked:
+        """With blocks of zeros where there are none."""
+        every = self.df.sparkSession.range(self.rows * self.columns).select(F.floor(F.col("id") / self.columns).cast("bigint").alias("p"), (F.col("id") % self.columns).alias("q"))
+        side = lambda at, n: F.least(F.lit(self.block), F.lit(n) - F.col(at) * self.block)
+        zeros = F.array_repeat(F.lit(0.0), (side("p", self.m) * side("q", self.n)).cast("int"))
+        return Blocked(every.join(self.df, ["p", "q"], "left").select("p", "q", F.coalesce("x", zeros).alias("x")), self.m, self.n, self.block)
+
     def written(self, label: str = "blocks") -> Blocked:
         return Blocked(materialize(self.df, label), self.m, self.n, self.block)
 
@@ -267,7 +274,7 @@ def cholesky(a: Blocked, single: bool = False) -> Blocked:
     if a.m != a.n:
         raise ValueError("Cholesky of a matrix that is not square")
     kind = np.float32 if single else np.float64
-    width, rest, panels = a.width, a.df.where("p >= q"), []
+    width, rest, panels = a.width, a.filled().df.where("p >= q"), []
 
     def panel(k: int) -> Callable:
         def f(p, x, d):
@@ -362,9 +369,10 @@ def _met(level: DataFrame) -> DataFrame:
 
 
 def lu(a: Blocked, single: bool = False) -> LU:
-    """LU with tournament pivoting of a square matrix; see the module. All blocks must be present."""
+    """LU with tournament pivoting of a square matrix; see the module."""
     if a.m != a.n:
         raise ValueError("LU of a matrix that is not square")
+    a = a.filled().written()
     kind, block, width, height = np.float32 if single else np.float64, a.block, a.width, a.height
     here = F.sequence(F.col("p") * block, F.least(F.col("p") * block + block, F.lit(a.m)) - 1)
     rest = a.df.select("p", "q", here.alias("rows"), "x")
@@ -516,7 +524,7 @@ def solve_factored(f: LU, b: Blocked, transposed: bool = False, single: bool = F
 
 
 def solve(a: Blocked, b: Blocked, transposed: bool = False) -> Blocked:
-    return solve_factored(lu(a.written()), b, transposed)
+    return solve_factored(lu(a), b, transposed)
 
 
 def log_det(f: LU) -> tuple[int, float]:

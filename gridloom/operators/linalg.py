@@ -4,9 +4,9 @@ A tall matrix has any number of rows and up to ``MOST_COLUMNS`` columns. Every p
 its rows to the triangular factor of their QR, factors are stacked and reduced again, and the last
 one, of n x n, reaches the driver. It has A's singular values, null space, rank and least squares
 to working precision: the condition is not squared, as it would be by the Gram matrix. Q, U and
-residuals are products with small matrices that stay distributed. Square matrices up to
-``MOST_COLUMNS`` are solved and inverted by LU on the driver; factorisations that need a larger
-square matrix in one place are not offered; tables of many small matrices are in ``batched``.
+residuals are products with small matrices that stay distributed. Square matrices of any order are
+solved and inverted by block LU (``blocks``); Q that is never formed is in ``implicit``; tables of many small
+matrices are in ``batched``.
 """
 
 from __future__ import annotations
@@ -241,13 +241,15 @@ def _least(r: np.ndarray, n: int, shape: tuple[int, int]) -> np.ndarray:
 
 
 def solve(a: Matrix, b: Matrix) -> Matrix:
-    """By LU for square A, which must not be singular; least squares, of least norm, for tall A of any rank."""
+    """By block LU for square A of any order, which must not be singular; least squares, of least norm, for tall A of any rank."""
     if a.m != b.m:
         raise ValueError("sides of different heights")
     if a.m < a.n:
         raise ValueError("under-determined")
     if a.m == a.n:
-        return lift(a, np.linalg.solve(small(a), small(b)))
+        from gridloom.operators import blocks
+
+        return blocks.solve(blocks.Blocked.of(a), blocks.Blocked.of(b)).to_matrix()
     return lift(a, _least(_beside(a, b), a.n, a.shape))
 
 
@@ -269,8 +271,10 @@ def right_divide(a: Matrix, b: Matrix) -> Matrix:
 
 
 def inverse(a: Matrix) -> Matrix:
+    from gridloom.operators import blocks
+
     a._square("inverse")
-    return lift(a, np.linalg.inv(small(a)))
+    return blocks.inverse(blocks.Blocked.of(a)).to_matrix()
 
 
 def power(a: Matrix, p: int) -> Matrix:
@@ -281,8 +285,10 @@ def power(a: Matrix, p: int) -> Matrix:
 
 
 def det(a: Matrix) -> float:
+    from gridloom.operators import blocks
+
     a._square("determinant")
-    sign, log = np.linalg.slogdet(small(a))
+    sign, log = blocks.log_det(blocks.lu(blocks.Blocked.of(a)))
     return float(sign * np.exp(log))
 
 
