@@ -34,8 +34,8 @@ from .common import join_spread, materialize, other_columns, quoted
 
 #: Nodes that become one.
 FANOUT = 3
-#: Levels of one block: 3**9 leaves, 1.3 MB of digests.
-LEVELS = 9
+#: Levels of one block: 3**7 leaves, 140 KB of digests.
+LEVELS = 7
 
 HEX = 64
 
