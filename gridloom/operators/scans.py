@@ -21,10 +21,11 @@ def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Add ``rank``, the 0-based position in the order, without gathering rows in one task.
 
     Rows are ranged into sorted partitions and written once, so that ties and partitions are settled;
-    each partition's offset, of which there is one row a partition, is joined back.
+    each partition's offset, of which there is one row a partition, is joined back. Ties are ranged by where
+    they were read, so that a value that many rows share is dealt over partitions as well.
     """
-    sortable = [F.col(c) if isinstance(c, str) else c for c in order]
-    held = df.repartitionByRange(*sortable).sortWithinPartitions(*sortable)
+    sortable = [*[F.col(c) if isinstance(c, str) else c for c in order], F.col("__tie")]
+    held = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*sortable).sortWithinPartitions(*sortable).drop("__tie")
     held = materialize(held.select("*", F.monotonically_increasing_id().alias("__place")), "numbered")
     part = F.shiftright("__place", 33)
     sizes = held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))

@@ -178,3 +178,19 @@ def polyfit_line(df: DataFrame, x: str, y: str, degree: int) -> list[float]:
     r = df.agg(*moments, *mixed).first()
     gram = np.array([[r[f"s{p + q}"] for q in range(degree + 1)] for p in range(degree + 1)])
     return np.linalg.solve(gram, np.array([r[f"t{p}"] for p in range(degree + 1)]))[::-1].tolist()
+
+
+def polyfit(df: DataFrame, x: str | Column, y: str | Column, degree: int) -> list[float]:
+    """Coefficients, highest power first, by the triangular factor of the powers beside ``y``: conditions are not squared.
+
+    Every partition reduces its own rows; what reaches the driver has the square of ``degree`` + 2 numbers.
+    """
+    from gridloom.operators import linalg
+
+    at = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    powers = [F.pow(at(x), F.lit(float(k))) for k in range(degree, -1, -1)]
+    rows = df.select(F.array(*powers, at(y)).alias("r")).where(~F.exists("r", lambda v: v.isNull()))
+    r = linalg.triangle(rows, degree + 2)
+    if len(r) <= degree:
+        raise ValueError("fewer rows than coefficients")
+    return np.linalg.solve(r[: degree + 1, : degree + 1], r[: degree + 1, degree + 1]).tolist()

@@ -363,6 +363,17 @@ def polyfit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalars(spark, slope=round(slope, 8), intercept=round(intercept, 4))
 
 
+@query(
+    "WITH p AS (SELECT (event_id % 1000) / 1000.0::DOUBLE AS x, value AS y FROM events), m AS (SELECT count(*)::DOUBLE AS n, sum(x) AS a, sum(x ** 2) AS b, sum(x ** 3) AS c, sum(x ** 4) AS d, sum(y) AS t, sum(x * y) AS u, sum(x * x * y) AS w FROM p),"
+    " k AS (SELECT *, n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b) AS det FROM m)"
+    " SELECT round((n * (b * w - u * c) - a * (a * w - u * b) + t * (a * c - b * b)) / det, 3) + 0.0 AS square, round((n * (u * d - c * w) - t * (a * d - c * b) + b * (a * w - u * b)) / det, 3) + 0.0 AS slope,"
+    " round((t * (b * d - c * c) - a * (u * d - c * w) + b * (u * c - b * w)) / det, 3) + 0.0 AS intercept FROM k"
+)
+def polyfit_parabola(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square, slope, intercept = signal.polyfit(read(spark, sf_dir, "events"), (F.col("event_id") % 1000) / F.lit(1000.0), "value", 2)
+    return _scalars(spark, square=round(square, 3) + 0.0, slope=round(slope, 3) + 0.0, intercept=round(intercept, 3) + 0.0)
+
+
 @query(SQL_E + "SELECT i, round(sum(v * v), 5) AS energy FROM e GROUP BY i")
 def dft_parseval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The energy of each row's transform, over its length, is the row's own."""
@@ -476,6 +487,22 @@ def _with_sum(e: Matrix) -> Matrix:
     return linalg.of_rows(rows, e.m, e.n + 1)
 
 
+@query("SELECT j::BIGINT AS i, 0::BIGINT AS j, CASE j WHEN 0 THEN 0.57735 WHEN 1 THEN 0.57735 WHEN 64 THEN -0.57735 ELSE 0 END::DOUBLE AS v FROM (SELECT unnest(range(65)) AS j)")
+def null_of_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one direction that a matrix with a column that is the sum of two others takes to zero."""
+    e = embeddings(spark, sf_dir)
+    found = linalg.null(_with_sum(e))
+    return cells(linalg.lift(e, -np.sign(found[-1:]) * found), 5)
+
+
+@query(SQL_E + f", w AS (SELECT i, j, v FROM e UNION ALL SELECT i, 64, sum(v) FROM e WHERE j < 2 GROUP BY i) SELECT i, j, round(v, 4) + 0.0 AS v FROM w")
+def projection_on_orth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q·(Qᵀ·W) for the orthogonal basis of W's columns, one of which depends on two others: W."""
+    w = _with_sum(embeddings(spark, sf_dir))
+    q = linalg.orth(w)
+    return cells(products.multiply(q, products.t_mul(q, w)), 4)
+
+
 @query(SQL_E + f", c AS (SELECT a.i, a.v AS x, b.v AS y FROM e a JOIN e b USING (i) WHERE a.j = 0 AND b.j = 1) SELECT k AS i, 0::BIGINT AS j, {_R.format('k * 1.0 * sum(x * y) / sum(x * x) / 5')} FROM c, (VALUES (1::BIGINT), (2)) t(k) GROUP BY k")
 def solve_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least squares of least norm over a column and its double: the slope of the line, shared 1 to 2."""
