@@ -113,7 +113,8 @@ def triangle(rows: DataFrame, n: int) -> np.ndarray:
         held, part = np.zeros((0, n)), 0
         for batch in parts:
             part = batch.column(0)[0].as_py() // FAN_IN if batch.num_rows else part
-            held = _reduce(n, _stacked(batch.column(1), n), held)
+            # A row here is a stack of factors.
+            held = _reduce(n, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n), held)
         yield _as_batch(part, held)
 
     level = materialize(rows.select("r").mapInArrow(fold, "p bigint, r array<double>"), "triangles")

@@ -8,7 +8,7 @@ from gridloom.operators import blocks
 from gridloom.operators.blocks import Blocked
 from gridloom.operators.matrix import Matrix
 
-N, BLOCK = 23, 5
+N, BLOCK = 23, 8
 
 
 @pytest.fixture(scope="module")
