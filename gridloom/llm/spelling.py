@@ -117,8 +117,11 @@ def anagram_key(word: Column) -> Column:
 def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
     """(word, other, other_n): every ordered pair of words that are one inserted, deleted or replaced letter apart. ``words`` is a written table."""
     keyed = words.select("word", "n", anagram_key(F.col("word")).alias("key"))
-    rest = keyed.select("word", "n", F.explode(F.transform(F.array_distinct(_letters(F.col("word"))), lambda c: F.col("key") - power(c))).alias("key"))
-    rests = materialize(rest.select("key", "word", "n", F.lit(False).alias("whole")).unionByName(keyed.select("key", "word", "n", F.lit(True).alias("whole"))), "spelling-keys")
+    less = F.transform(F.array_distinct(_letters(F.col("word"))), lambda c: F.struct((F.col("key") - power(c)).alias("key"), c.alias("letter")))
+    rest = keyed.select("word", "n", F.explode(less).alias("x")).select("x.key", "word", "n", "x.letter")
+    # A row without a letter has the word's whole key.
+    rests = materialize(rest.unionByName(keyed.select("key", "word", "n", F.lit(None).cast("string").alias("letter"))), "spelling-keys")
+    rests = rests.withColumn("whole", F.col("letter").isNull())
     sizes = rests.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or(~F.col("whole")).alias("any_rest"))
     # Keys of one word meet nothing.
     sizes = materialize(sizes.where(F.col("any_rest") & (F.col("size") > 1)).select("key", "size"), "spelling-sizes")
@@ -132,20 +135,22 @@ def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
     found = a.join(b, "key").where(fits & (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "other", "other_n")
     if many.isEmpty():
         return found
-    return found.unionByName(_hot_pairs(words, many))
+    return found.unionByName(_hot_pairs(rests.join(many, "key")))
 
 
-def _hot_pairs(words: DataFrame, many: DataFrame) -> DataFrame:
-    """The pairs of the keys in ``many``, met by key, remaining text and place: at most as many a word and place as there are letters."""
-    letters = words.select("word", "n", anagram_key(F.col("word")).alias("whole_key"), F.posexplode(_letters(F.col("word"))).alias("at", "letter"))
-    left = F.concat(F.substring("word", F.lit(1), F.col("at")), F.substring("word", F.col("at") + 2, F.length("word")))
+def _hot_pairs(rests: DataFrame) -> DataFrame:
+    """The pairs of the keys of ``rests``, met by key, remaining text and place: at most as many a word and place as there are letters."""
+    word, at = F.col("word"), F.col("at")
+    of = lambda i: F.substring(word, i, F.lit(1))
+    places = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: of(i) == F.col("letter"))
+    left = F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word)))
     # In a run of one letter the first place stands for all when a letter was removed.
-    first = (F.col("at") == 0) | (F.substring("word", F.col("at"), F.lit(1)) != F.col("letter"))
-    cut = letters.select("word", "n", (F.col("whole_key") - power(F.col("letter"))).alias("key"), left.alias("rest"), "at", first.alias("first")).join(many, "key")
-    cut = materialize(cut, "spelling-hot")
+    first = (at == 1) | (of(at - 1) != F.col("letter"))
+    cut = rests.where(~F.col("whole")).select("key", "word", "n", "letter", F.explode(places).alias("at"))
+    cut = materialize(cut.select("key", "word", "n", left.alias("rest"), "at", first.alias("first")), "spelling-hot")
     a, b = (cut.select("key", "rest", "at", F.col("word").alias(w), F.col("n").alias(f"{w}_n")) for w in ("word", "other"))
     exchanged = a.join(b, ["key", "rest", "at"]).where("word <> other").select("word", "other", "other_n")
-    whole = words.select(anagram_key(F.col("word")).alias("key"), F.col("word").alias("rest"), F.col("n").alias("rest_n"))
+    whole = rests.where("whole").select("key", F.col("word").alias("rest"), F.col("n").alias("rest_n"))
     removed = cut.where("first").join(whole, ["key", "rest"])
     longer = removed.select("word", F.col("rest").alias("other"), F.col("rest_n").alias("other_n"))
     shorter = removed.select(F.col("rest").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n"))
