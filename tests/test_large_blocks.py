@@ -138,3 +138,40 @@ def test_singular_values(spark, x, shape, block):
     assert np.allclose(right.T @ right, np.eye(shape[1])) and np.allclose(left * values @ right.T, a)
     assert np.allclose(left.T @ left, np.diag((values > 0).astype(float)), atol=1e-9)
     assert np.allclose(back(blocks.scale_columns(u, s)), left * values)
+
+
+def test_thin_singular_values_of_a_wide_matrix(spark, x):
+    """V has as many columns as the matrix has rows; its square would grow with the columns."""
+    a = x[:5]
+    u, s, v = blocks.svd_thin(of(spark, a, 4))
+    values = np.zeros(5)
+    for j, sv in s.collect():
+        values[j] = sv
+    assert (v.m, v.n, u.n) == (N, 5, 5) and np.allclose(back(u) * values @ back(v).T, a)
+    assert np.allclose(back(v).T @ back(v), np.eye(5))
+
+
+def test_blocks_widen_with_the_order():
+    assert [blocks.side(n) for n in (1, 1024, 1025, 2049, 10**6)] == [256, 256, 512, 1024, 1024]
+
+
+def test_rows_of_wide_panels():
+    a = np.random.default_rng(3).normal(size=(301, 190))
+    order, lu = blocks._lu_rows(a)
+    low, up = np.tril(lu, -1)[:, :190] + np.eye(301, 190), np.triu(lu[:190])
+    assert np.allclose(low @ up, a[order]) and np.abs(low).max() <= 1 + 1e-12
+    a[:, 77] = a[:, 12]
+    order, lu = blocks._lu_rows(a)
+    assert np.allclose((np.tril(lu, -1) + np.eye(301, 190)) @ np.triu(lu[:190]), a[order])
+
+
+@pytest.mark.parametrize("by", [1, 9])
+def test_turned_columns(spark, x, by):
+    assert np.allclose(back(of(spark, x).turned(by)), np.roll(x, by, axis=1))
+
+
+def test_products_copy_a_factor_once_a_tile(spark, x, monkeypatch):
+    """Many blocks along a side: partial products of one place are added up in one task, and copies follow the tiles, not the blocks."""
+    monkeypatch.setattr(blocks, "SMALL", 0)
+    a = of(spark, np.tril(x), 2)
+    assert np.allclose(back(a.multiply(a.T())), np.tril(x) @ np.tril(x).T)
