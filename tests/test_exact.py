@@ -59,3 +59,15 @@ def test_medians(spark, bins, sent, monkeypatch):
     assert exact.median(df, "v", bins=bins).first()[0] == np.median(every)
     assert exact.nth(df, "v", 5, bins=bins).first()[0] == sorted(every)[5]
     assert exact.median(df.where(F.lit(False)), "v").count() == 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Halves go away from zero, and what has no decimals, or is not a number, stays."""
+    import duckdb
+
+    from gridloom.functions import ieee
+
+    v = [1 / 64, -1 / 64, 2.5e-5, -0.0, 1e300, 1e308, -7.123455, float("inf"), float("nan")]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(unnest({[repr(x) for x in v]}::DOUBLE[]), 5) + 0.0").fetchall()]
+    got = [r["v"] for r in rows_of(spark, v, 1).select(ieee.rounded(F.col("v"), 5).alias("v")).collect()]
+    assert list(map(repr, got)) == list(map(repr, want))

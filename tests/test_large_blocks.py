@@ -175,3 +175,19 @@ def test_products_copy_a_factor_once_a_tile(spark, x, monkeypatch):
     monkeypatch.setattr(blocks, "SMALL", 0)
     a = of(spark, np.tril(x), 2)
     assert np.allclose(back(a.multiply(a.T())), np.tril(x) @ np.tril(x).T)
+
+
+def test_narrow_factors_meet_in_pairs_without_copies(spark, x, monkeypatch):
+    """Of one inner block no factor is copied on disk: each is shuffled once, whatever the product's order."""
+    monkeypatch.setattr(blocks, "SMALL", 0)
+    monkeypatch.setattr(blocks, "TILE", BLOCK)
+    rows = spark.createDataFrame([(k, r[:5].tolist()) for k, r in enumerate(x)], "i bigint, r array<double>")
+    e = Matrix(rows.select("i", F.posexplode("r").alias("j", "v")), N, 5, packed=rows)
+    left, right = Blocked.of(e, BLOCK), Blocked.of(e.T(), BLOCK)
+    got = left.product_cells(right)
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+    assert np.allclose(got.to_rows(), x[:, :5] @ x[:, :5].T)
+    assert np.allclose(back(left.multiply(right)), x[:, :5] @ x[:, :5].T)
+    with pytest.raises(ValueError):
+        left.product_cells(left)
