@@ -124,8 +124,11 @@ def _square(k: np.ndarray, m: int) -> np.ndarray:
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Element by element; places that one of them lacks are zero."""
-    both = a.join(b.select("k", F.col("re").alias("re2"), F.col("im").alias("im2")), "k")
+    """Element by element; places that one of them lacks are zero.
+
+    A spectrum is as long as its padded series however short the table it came from, so neither is broadcast.
+    """
+    both = a.join(b.select("k", F.col("re").alias("re2"), F.col("im").alias("im2")).hint("merge"), "k")
     x, y, u, v = (F.col(c) for c in ("re", "im", "re2", "im2"))
     return both.select("k", (x * u - y * v).alias("re"), (x * v + y * u).alias("im"))
 

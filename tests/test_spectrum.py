@@ -66,6 +66,14 @@ def test_convolutions(spark, n, m, block):
     assert np.allclose([r["v"] for r in got.df.orderBy("j").collect()], np.convolve(x, y))
 
 
+def test_spectra_of_short_tables_are_not_broadcast(spark):
+    """A short series' spectrum has the padded length; sent to all tasks, it would pass the driver."""
+    a, b = put(spark, RNG.normal(size=40)), put(spark, RNG.normal(size=3))
+    made = spectrum.product(spectrum.transform(a, 64), spectrum.transform(b, 64))
+    assert np.allclose(get(made, 64), get(spectrum.transform(a, 64), 64) * get(spectrum.transform(b, 64), 64))
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def cells(a):
     out = np.zeros(a.shape)
     for i, j, v in a.df.select("i", "j", "v").collect():
