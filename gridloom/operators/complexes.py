@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from gridloom.operators.matrix import ROW, Matrix
 
 Pair = tuple[Column, Column]
 
+#: Cutoffs along a side of the tiles in which neighbours are counted, and places of one line that are added one by one.
+SIDE, FEW = 4, 32
+
 
 def times(a: Pair, b: Pair) -> Pair:
     return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
@@ -208,6 +213,106 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, cutoff: float) -> Da
     return both.where((F.col("r2") < cutoff * cutoff) & (F.col("r2") > 0)).drop("p", "q")
 
 
+def near_totals(points: DataFrame, key: str, x: str, y: str, cutoff: float, unit: float = 1.0) -> DataFrame:
+    """(k, n, s) of the keys with partners: how many pairs of ``near_pairs`` a key has, and the sum of their r2.
+
+    No pair is made. The plane is cut into tiles of ``SIDE`` cutoffs, and a point is copied to those that its cutoff reaches. In a tile the
+    points of one y lie on a line in the order of x, where partners are a range, and their totals differences of running sums: a point costs
+    the lines within the cutoff, not the points on them. ``y`` is in units, so that lines at whole multiples of one have exact distances.
+    """
+    finite = lambda c: F.col(c) - F.col(c) == 0
+    own = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("k").isNotNull() & finite("x") & finite("y"))
+    side, reach = SIDE * cutoff, cutoff * (1 + 1e-6)
+    at = lambda c: F.floor(c / side)
+    tiles = lambda c: F.explode(F.sequence(at(c - reach), at(c + reach)))
+    across, up = F.col("x"), F.col("y") * float(unit)
+    seen = own.select("*", tiles(across).alias("p")).select("*", tiles(up).alias("q"))
+    seen = seen.select("*", ((F.col("p") == at(across)) & (F.col("q") == at(up))).alias("own"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        px, py, home = part["x"].to_numpy(), part["y"].to_numpy(), part["own"].to_numpy()
+        n, s = _totals(np.zeros(len(part), np.int64), px, py, home, cutoff, unit)
+        codes = pd.factorize(part["k"])[0]
+        again = np.flatnonzero(np.bincount(codes)[codes] > 1)
+        if len(again):
+            same, squares = _totals(codes[again], px[again], py[again], home[again], cutoff, unit)
+            n[again] -= same
+            s[again] -= squares
+        keep = home & (n > 0)
+        return pd.DataFrame({"k": part["k"][keep], "n": n[keep], "s": s[keep].astype(float)})
+
+    made = seen.groupBy("p", "q").applyInPandas(run, f"k {own.schema['k'].dataType.simpleString()}, n bigint, s double")
+    return made.groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def _totals(group: np.ndarray, px: np.ndarray, py: np.ndarray, home: np.ndarray, cutoff: float, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """For every point at home: points of its group within the cutoff and not at its place, and their squared distances' sum.
+
+    Running sums are kept in long doubles, so that their differences are as good as sums of doubles.
+    """
+    limit, wide = cutoff * cutoff, np.longdouble
+    order = np.lexsort((px, py, group))
+    g, sy, sx = group[order], py[order], px[order]
+    new_line = np.r_[True, (g[1:] != g[:-1]) | (sy[1:] != sy[:-1])]
+    new_place = new_line | np.r_[True, sx[1:] != sx[:-1]]
+    first = np.flatnonzero(new_place)
+    weight, place_of = np.diff(np.r_[first, len(sx)]), np.cumsum(new_place) - 1
+    g, sy, sx, starts, asked = g[first], sy[first], sx[first], np.flatnonzero(new_line[first]), np.flatnonzero(home[order][first])
+    ends = np.r_[starts[1:], len(sx)]
+    line_y, ys, xs = sy[starts], np.unique(sy), np.unique(sx)
+    line_keys = g[starts] * (len(ys) + 1) + np.searchsorted(ys, line_y)
+    keys = np.repeat(np.arange(len(starts)), ends - starts) * (len(xs) + 1) + np.searchsorted(xs, sx)
+    middle = wide(xs[0]) + (wide(xs[-1]) - wide(xs[0])) / 2
+    running = lambda v: np.concatenate([np.zeros(1, v.dtype), np.cumsum(v)])
+    d = sx.astype(wide) - middle
+    counts, firsts, seconds = running(weight), running(weight * d), running(weight * d * d)
+
+    def reach(x: np.ndarray, line: np.ndarray, dy2: np.ndarray, below: float) -> tuple[np.ndarray, np.ndarray]:
+        """The range of a line's places whose squared distance, as doubles round it, is below a limit."""
+        w, base = np.sqrt(np.maximum(below - dy2, 0)), line * (len(xs) + 1)
+        a = np.searchsorted(keys, base + np.searchsorted(xs, x - w))
+        b = np.searchsorted(keys, base + np.searchsorted(xs, x + w, "right"))
+        inside = lambda at: (x - sx[np.clip(at, 0, len(sx) - 1)]) ** 2 + dy2 < below
+
+        def walked(at: np.ndarray, step: int, goes: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            while (go := goes(at)).any():
+                at = at + step * go
+            return at
+
+        a = walked(a, -1, lambda at: (at > starts[line]) & inside(at - 1))
+        a = walked(a, 1, lambda at: (at < b) & ~inside(at))
+        b = walked(b, 1, lambda at: (at < ends[line]) & inside(at))
+        return a, walked(b, -1, lambda at: (at > a) & ~inside(at - 1))
+
+    n, s = np.zeros(len(sx), np.int64), np.zeros(len(sx), wide)
+    border = cutoff / unit * (1 + 1e-9)
+    low = np.searchsorted(line_keys, g[asked] * (len(ys) + 1) + np.searchsorted(ys, sy[asked] - border))
+    high = np.searchsorted(line_keys, g[asked] * (len(ys) + 1) + np.searchsorted(ys, sy[asked] + border, "right"))
+    for step in range(int((high - low).max(initial=0))):
+        own = np.flatnonzero(low + step < high)
+        line, to = low[own] + step, asked[own]
+        dy2 = ((sy[to] - line_y[line]) * unit) ** 2
+        hit = dy2 < limit
+        line, to, dy2 = line[hit], to[hit], dy2[hit]
+        x, (a, b) = sx[to], reach(sx[to], line, dy2, limit)
+        found, away = counts[b] - counts[a], d[to]
+        total = found * (away * away + dy2) - 2 * away * (firsts[b] - firsts[a]) + (seconds[b] - seconds[a])
+        few = np.flatnonzero(b - a <= FEW)
+        total[few] = 0
+        for k in range(int((b - a)[few].max(initial=0))):
+            few = few[a[few] + k < b[few]]
+            at = a[few] + k
+            total[few] += weight[at] * ((x[few] - sx[at]) ** 2 + dy2[few])
+        none = np.flatnonzero(dy2 == 0)
+        za, zb = reach(x[none], line[none], dy2[none], np.nextafter(0, 1))
+        found[none] -= counts[zb] - counts[za]
+        n[to] += found
+        s[to] += total
+    out_n, out_s = np.zeros(len(px), np.int64), np.zeros(len(px), wide)
+    out_n[order], out_s[order] = n[place_of], s[place_of]
+    return out_n, out_s
+
+
 def pair_forces(particles: DataFrame, key: str, x: str, y: str, cutoff: float, epsilon: float = 1.0, sigma: float = 1.0) -> DataFrame:
     """(key, fx, fy, partners): Lennard-Jones forces within ``cutoff``."""
     s6 = F.pow(F.lit(sigma * sigma) / F.col("r2"), F.lit(3.0))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import batched, learn, linalg, products, setops
 from gridloom.operators.matrix import COL, ROW, Matrix
@@ -229,3 +230,51 @@ def test_product_by_blocks(spark):
     a, b = Matrix.of(spark, x.tolist()), Matrix.of(spark, y.tolist())
     for block in (3, 4, 16):
         assert np.allclose(products.multiply_blocked(a, b, block).to_rows(), x @ y)
+
+
+@pytest.mark.parametrize("few", [0, 32])
+@pytest.mark.parametrize("kind", ["lines", "anywhere", "copies"])
+def test_near_totals_are_those_of_the_pairs(spark, kind, few, monkeypatch):
+    """Borders, copies of one place, keys of many places and places that are not numbers, over many tiles."""
+    from gridloom.operators import complexes
+
+    monkeypatch.setattr(complexes, "FEW", few)
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(-40, 40, 260) / 4, rng.integers(-20, 20, 260) / 2
+    if kind == "anywhere":
+        x, y = x + rng.uniform(size=260), y + rng.uniform(size=260)
+    if kind == "copies":
+        x, y = np.round(x / 8) * 8 + 0.5, np.round(y / 4) * 4
+    rows = [(k // 2 if k < 60 else k, a, b) for k, (a, b) in enumerate(zip(x.tolist(), y.tolist()))]
+    rows += [(900, float("nan"), 1.0), (901, 1.0, float("inf")), (902, None, 1.0), (None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").repartition(3)
+    pairs = complexes.near_pairs(df.where("k < 900"), "k", "x", "y", 1.25).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("r2").alias("s")).collect()
+    got = {r["k"]: (r["n"], r["s"]) for r in complexes.near_totals(df, "k", "x", "y", 1.25).collect()}
+    assert {r["k"]: r["n"] for r in pairs} == {k: n for k, (n, _) in got.items()}
+    assert all(got[r["k"]][1] == pytest.approx(r["s"], rel=1e-13) for r in pairs)
+    units = df.withColumn("y", F.col("y") * 2)
+    assert {r["k"]: (r["n"], r["s"]) for r in complexes.near_totals(units, "k", "x", "y", 1.25, 0.5).collect()}.keys() == got.keys()
+
+
+def test_crowded_neighbours_make_no_pairs(spark):
+    """60,000 points in two places have 1.8 billion pairs, which a join would make one by one."""
+    from gridloom.operators.complexes import near_totals
+
+    df = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert near_totals(df, "k", "x", "y", 1.5).groupBy("n", "s").count().collect() == [(30_000, 30_000.0, 60_000)]
+
+
+def test_neighbours_are_those_of_sql_at_the_border(spark, tmp_path):
+    """Partners at a distance of exactly 1.5, whose lines SQL keeps as decimals."""
+    import duckdb
+
+    from gridloom.plans.queries import ORACLE, QUERIES
+
+    path = tmp_path / "events.parquet"
+    duckdb.sql(f"COPY (SELECT range * 97 + range % 3 AS event_id, (range * 7 % 5) * 100.0::DOUBLE AS value FROM range(1500)) TO '{path}'")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    want = {r[0]: r[1:] for r in c.sql(ORACLE["neighbours_in_range"]).fetchall()}
+    got = {r["event_id"]: (r["partners"], r["mean_r2"]) for r in QUERIES["neighbours_in_range"](spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
