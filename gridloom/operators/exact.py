@@ -9,11 +9,11 @@ holds the middle value by rounds of counts: rows are neither sorted nor moved, a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -204,31 +204,37 @@ def _selected(df: DataFrame, value: str, by: Sequence[str], first, second, name:
 BITS, MAPS = 1 << 18, 128
 
 
-def distinct(df: DataFrame, column: str) -> DataFrame:
-    """(different): how many different whole numbers a column has, exactly, by maps of bits instead of a shuffle of all rows.
+class _Maps:
+    """Bits of the whole numbers that a task has seen. A map that is full is told by its number alone."""
 
-    A map that a task fills is told by its number alone. Where neighbouring numbers are near in the table few maps are shuffled.
-    """
+    def __init__(self, bits: int, most: int) -> None:
+        self.bits, self.most = bits, most
+        self.held: dict[int, np.ndarray] = {}
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def mark(self, k: np.ndarray) -> Iterator[tuple[list[int], list[bytes | None]]]:
+        """Marks ``k``; what is held goes on where there would be too many maps."""
+        if not len(k):
+            return
+        least, most = int(k.min()) // self.bits, int(k.max()) // self.bits
+        of = k // self.bits if most > least else None
+        for m in range(least, most + 1) if most - least < 16 else np.unique(of).tolist():
+            own = k if of is None else k[of == m]
+            if m not in self.held and len(own):
+                if len(self.held) >= self.most:
+                    yield self.told()
+                self.held[m] = np.zeros(self.bits, bool)
+            if len(own):
+                self.held[m][own - m * self.bits] = True
 
-        def told() -> pa.RecordBatch:
-            full = [bool(x.all()) for x in held.values()]
-            bits = [None if f else np.packbits(x).tobytes() for f, x in zip(full, held.values())]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bits, pa.binary())], names=["map", "bits"])
+    def told(self) -> tuple[list[int], list[bytes | None]]:
+        """(numbers of the maps, their bits), and holds none."""
+        found = list(self.held), [None if x.all() else np.packbits(x).tobytes() for x in self.held.values()]
+        self.held.clear()
+        return found
 
-        for batch in batches:
-            k = batch.column(0).drop_null().to_numpy()
-            of = k // BITS
-            for m in np.unique(of).tolist():
-                if m not in held:
-                    if len(held) >= MAPS:
-                        yield told()
-                        held.clear()
-                    held[m] = np.zeros(BITS, bool)
-                held[m][k[of == m] - m * BITS] = True
-        yield told()
+
+def _different(maps: DataFrame) -> DataFrame:
+    """(different) of (map, bits)."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bits, n = None, None, 0
@@ -241,5 +247,50 @@ def distinct(df: DataFrame, column: str) -> DataFrame:
         n += 0 if bits is None else int(np.bitwise_count(bits).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    own = df.select(F.col(column).cast("bigint").alias("k")).mapInArrow(maps, "map bigint, bits binary")
-    return own.repartition("map").sortWithinPartitions("map").mapInArrow(met, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("different"))
+    return maps.repartition("map").sortWithinPartitions("map").mapInArrow(met, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("different"))
+
+
+def distinct(df: DataFrame, column: str) -> DataFrame:
+    """(different): how many different whole numbers a column has, exactly, by maps of bits instead of a shuffle of all rows.
+
+    Where neighbouring numbers are near in the table few maps are shuffled.
+    """
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, row = _Maps(BITS, MAPS), lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.binary())], names=["map", "bits"])
+        for batch in batches:
+            yield from map(row, held.mark(batch.column(0).drop_null().to_numpy()))
+        yield row(held.told())
+
+    return _different(df.select(F.col(column).cast("bigint").alias("k")).mapInArrow(maps, "map bigint, bits binary"))
+
+
+def sums_of_square(spark: SparkSession, n: int, lines: int, line: Callable[[int], Iterator[tuple]]) -> tuple[DataFrame, DataFrame]:
+    """((side, at, v), (different)) of a square of n x n whole numbers: the sum of every row (side 0) and column (side 1), and how many
+    different elements there are.
+
+    ``line(s)`` makes the elements of one of ``lines`` lines in pieces (i, j, v) of places and numbers: i and j do not repeat in a piece,
+    but i may be one number for all of it. Tasks make, add and mark every element, and only their sums and maps of bits are written.
+    """
+    tasks = max(1, min(lines, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, down, along = _Maps(BITS, MAPS), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+        def rows(side: int, at, v, bits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side)), pa.array(at, pa.int64()), pa.array(v, pa.int64()), pa.array(bits, pa.binary())], names=["side", "at", "v", "bits"])
+
+        maps = lambda x: rows(2, x[0], [None] * len(x[0]), x[1])
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                for i, j, v in line(s):
+                    down[i] += v.sum() if np.ndim(i) == 0 else v
+                    along[j] += v
+                    yield from map(maps, held.mark(v))
+        yield maps(held.told())
+        for side, x in enumerate((down, along)):
+            yield rows(side, np.arange(n), x, pa.nulls(n, pa.binary()))
+
+    made = materialize(spark.range(0, lines, 1, tasks).mapInArrow(run, "side bigint, at bigint, v bigint, bits binary"), "sums-of-square")
+    sums = made.where("side < 2").groupBy("side", "at").agg(F.sum("v").alias("v"))
+    return sums, _different(made.where("side = 2").select(F.col("at").alias("map"), "bits"))

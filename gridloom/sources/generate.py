@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,7 +193,41 @@ def magic(spark: SparkSession, n: int) -> Matrix:
     swapped = F.when(a == h // 2, (at >= 1) & (at <= q)).otherwise(at < q) | (at >= n - q + 1)
     down = low != swapped
     quarter = F.when(~down & ~right, 0).when(down & right, 1).when(~down & right, 2).otherwise(3)
-    return Matrix(cells.select(F.when(low, a + h).otherwise(a).alias("i"), at.alias("j"), (odd(h, a, b) + F.lit(h * h) * quarter).cast("double").alias("v")), n, n)
+    return Matrix(cells.select(F.when(low, a + h).otherwise(a).alias("i"), at.alias("j"), (odd(h, a, b) + F.lit(h * h).cast("bigint") * quarter).cast("double").alias("v")), n, n)
+
+
+def magic_lines(n: int) -> tuple[int, Callable[[int], Iterator[tuple]]]:
+    """(lines, line): the elements of ``magic`` line by line, for tasks that make them as arrays.
+
+    ``line(s)`` yields (i, j, v) in which no i and no j repeats, or i is one row; a line's elements are near one another, as are those of neighbouring lines.
+    """
+    if n < 1 or n == 2:
+        raise ValueError("no magic square of this order")
+    require_allocatable(n, n)
+
+    def odd(size: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.arange(size)
+        j = (s - i) % size
+        return i, j, size * ((s + 1 + size // 2) % size) + (s + j + 1) % size + 1
+
+    def by_four(s: int) -> Iterator[tuple]:
+        i, j = n - 1 - s // 2 if s % 2 else s // 2, np.arange(n)
+        straight, middle = i * n + j + 1, (j % 4 == 1) | (j % 4 == 2)
+        yield i, j, np.where(~middle if i % 4 in (0, 3) else middle, n * n + 1 - straight, straight)
+
+    h, q = n // 2, (n - 2) // 4
+
+    def quarters(s: int) -> Iterator[tuple]:
+        a, b, x = odd(h, s)
+        for low in (False, True):
+            for right in (False, True):
+                at = b + h if right else b
+                down = low != (np.where(a == h // 2, (at >= 1) & (at <= q), at < q) | (at >= n - q + 1))
+                yield a + h if low else a, at, x + h * h * (np.where(down, 1, 2) if right else np.where(down, 3, 0))
+
+    if n % 2:
+        return n, lambda s: iter([odd(n, s)])
+    return (n, by_four) if n % 4 == 0 else (h, quarters)
 
 
 def rand(spark: SparkSession, m: int, n: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> Matrix:

@@ -42,6 +42,36 @@ def test_magic_squares_by_diagonals(spark, n):
     assert sorted(a.ravel()) == list(range(1, n * n + 1)) and set(a.sum(axis=0)) == set(a.sum(axis=1)) == {n * (n * n + 1) / 2}
 
 
+@pytest.mark.parametrize("n", [1, 3, 9, 10, 12, 14])
+def test_magic_squares_by_lines(spark, n, monkeypatch):
+    monkeypatch.setattr(exact, "BITS", 16)
+    monkeypatch.setattr(exact, "MAPS", 2)
+    a, got = np.array(generate.magic(spark, n).to_rows()), np.zeros((n, n))
+    lines, line = generate.magic_lines(n)
+    for s in range(lines):
+        for i, j, v in line(s):
+            assert (got[i, j] == 0).all()
+            got[i, j] = v
+    assert np.array_equal(got, a)
+    sums, different = exact.sums_of_square(spark, n, lines, line)
+    assert {r["v"] for r in sums.collect()} == {n * (n * n + 1) // 2} and sums.count() == 2 * n and different.first()[0] == n * n
+
+
+def test_sums_of_a_square_that_is_not_magic(spark):
+    line = lambda s: iter([(s, np.arange(5), np.arange(5) - 2 + s % 2)])
+    sums, different = exact.sums_of_square(spark, 5, 5, line)
+    assert {(r["side"], r["at"]): r["v"] for r in sums.collect()} == {(0, k): 5 * (k % 2) for k in range(5)} | {(1, k): 5 * (k - 2) + 2 for k in range(5)}
+    assert different.first()[0] == 6
+
+
+@pytest.mark.parametrize("n", [60_001, 60_002, 60_004])
+def test_magic_squares_beyond_int(spark, n):
+    first = generate.magic(spark, n).df.limit(8).collect()
+    lines, line = generate.magic_lines(n)
+    made = {(int(a), int(b)): int(c) for s in (0, 1, lines // 2 - 2) for i, j, v in line(s) for a, b, c in zip(np.broadcast_to(i, j.shape), j, v)}
+    assert all(made[r["i"], r["j"]] == r["v"] for r in first) and max(made.values()) > 2**31
+
+
 def test_distinct_by_maps(spark, monkeypatch):
     monkeypatch.setattr(exact, "BITS", 64)
     monkeypatch.setattr(exact, "MAPS", 2)
