@@ -36,6 +36,25 @@ def test_no_cell_is_shuffled(spark):
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Exchange")
 
 
+@pytest.mark.parametrize("m, n", [(9, 9), (11, 3), (0, 0)])
+def test_vectors_too_long_to_be_sent(spark, m, n, monkeypatch):
+    c = Matrix.of(spark, [np.arange(1.0, m + 1).tolist()]) if m else generate.zeros(spark, 1, 0)
+    r = Matrix.of(spark, [[1.0, *np.arange(2.0, n + 1) * 10]]) if n else generate.zeros(spark, 1, 0)
+    every = lambda: [sorted(x.df.collect()) for x in (generate.toeplitz(c, r), generate.hankel(c), generate.diagonal(c))]
+    sent = every()
+    assert [len(x) for x in sent] == [m * n, m * m, m * m]
+    monkeypatch.setattr(generate, "MOST_SENT", -1)
+    assert every() == sent
+
+
+def test_one_loop_makes_all_cells(spark):
+    """A second explosion keeps the cells' code from being compiled."""
+    x = Matrix.of(spark, [[1.0] * 9])
+    for made in (generate.toeplitz(x), generate.hankel(x), generate.diagonal(x), generate.eye(spark, 9), generate.hilb(spark, 9, 6), generate.wilkinson(spark, 9)):
+        plan = made.df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Generate explode") == 1 and "CartesianProduct" not in plan
+
+
 @pytest.mark.parametrize("n", [9, 10, 12, 14])
 def test_magic_squares_by_diagonals(spark, n):
     a = np.array(generate.magic(spark, n).to_rows())
