@@ -1,10 +1,12 @@
 """Large matrices in blocks against numpy, with blocks small enough for many panels."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import blocks
+from gridloom.functions import ieee
+from gridloom.operators import blocks, products
 from gridloom.operators.blocks import Blocked
 from gridloom.operators.matrix import Matrix
 
@@ -191,3 +193,29 @@ def test_narrow_factors_meet_in_pairs_without_copies(spark, x, monkeypatch):
     assert np.allclose(back(left.multiply(right)), x[:, :5] @ x[:, :5].T)
     with pytest.raises(ValueError):
         left.product_cells(left)
+
+
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("shape", [(3, 5), (300, 2), (1, 1), (0, 4)])
+def test_runs_are_the_cells_of_a_block(first, shape):
+    x = np.random.default_rng(5).normal(size=shape)
+    got = [(i, j + k, v) for b in blocks._lines(2, 1, x, 300, first) for i, j, run in zip(*[c.to_pylist() for c in b.columns]) for k, v in enumerate(run)]
+    assert sorted(got) == [(600 + i, 300 + j, x[i, j]) for i in range(shape[0]) for j in range(shape[1])]
+
+
+def test_rounded_products_are_written_by_codes(spark, monkeypatch, tmp_path):
+    """Parquet's dictionaries hold: 2 bytes a cell instead of 8."""
+    monkeypatch.setattr(blocks, "SMALL", 0)
+    e = np.random.default_rng(5).normal(size=(1024, 64))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(e)], "i bigint, r array<double>")
+    a = Matrix(rows.select("i", F.posexplode("r").alias("j", "v")), 1024, 64, packed=rows)
+    made = products.multiply_blocked(a, a.T()).map_elems(lambda v: ieee.rounded(v, 5)).df.select("i", "j", "v")
+    made.write.parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(f).metadata.row_group(0).column(2) for f in tmp_path.glob("out/*.parquet")]
+    assert sum(c.num_values for c in files) == 1024 * 1024
+    assert all("PLAIN" not in c.encodings for c in files if c.num_values > 40_000) and max(c.num_values for c in files) > 40_000
+    out = np.zeros((1024, 1024))
+    for i, j, v in spark.read.parquet(f"{tmp_path}/out").collect():
+        out[i, j] = v
+    assert np.allclose(out, e @ e.T, atol=6e-6)
